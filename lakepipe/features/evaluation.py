@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakepipe.functions.scalars import matches
 from lakepipe.operators.ranges import running_totals
+from lakepipe.session import cut_lineage
 
 # Fixed value: every slice must be more accurate than this.
 SLICE_THRESHOLD = 0.55
@@ -43,12 +44,17 @@ def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def _cumulative(df: DataFrame, label: str, score: str) -> DataFrame:
     """Positives and negatives at or above each distinct score, and the totals.
 
-    Rows are first added up per score; the running sums are then built range by
-    range, so no task sees the whole score axis. The totals are two numbers.
+    Rows are first added up per score (checkpointed, as it is read several
+    times); the running sums are then built range by range, so no task sees the
+    whole score axis. Only the two totals pass through the driver.
     """
-    per_score = df.filter(F.col(score).isNotNull()).groupBy(score).agg(
-        F.count_if(F.col(label) == 1).alias("positives"),
-        F.count_if(F.col(label) == 0).alias("negatives"),
+    per_score = cut_lineage(
+        df.filter(F.col(score).isNotNull())
+        .groupBy(score)
+        .agg(
+            F.count_if(F.col(label) == 1).alias("positives"),
+            F.count_if(F.col(label) == 0).alias("negatives"),
+        )
     )
     summed = running_totals(
         per_score, score, {"tp": "positives", "fp": "negatives"}, descending=True

@@ -14,17 +14,31 @@ from lakepipe.features.tables import select_signature
 Model = Callable[[pd.DataFrame], pd.Series]
 
 
-def model_udf(model: Model, signature: T.StructType | str, returns: str):
-    """A vectorised function over ``struct(...)`` or over the signature's columns in order."""
+def _field_names(signature: T.StructType | str) -> list[str]:
     fields = signature if isinstance(signature, T.StructType) else T.StructType.fromDDL(signature)
+    return fields.names
+
+
+def model_udf(model: Model, signature: T.StructType | str, returns: str):
+    """A vectorised function over one struct of the signature's fields."""
+    names = _field_names(signature)
+
+    @F.pandas_udf(returns)
+    def score(frame: pd.DataFrame) -> pd.Series:
+        return model(frame[names])
+
+    return score
+
+
+def model_udf_of_columns(model: Model, signature: T.StructType | str, returns: str):
+    """The same, called with the signature's columns in order."""
+    names = _field_names(signature)
 
-    def score(*columns):
-        if len(columns) == 1 and isinstance(columns[0], pd.DataFrame):
-            return model(columns[0][fields.names])
-        return model(pd.concat(columns, axis=1, keys=fields.names))
+    @F.pandas_udf(returns)
+    def score(*columns: pd.Series) -> pd.Series:
+        return model(pd.concat(columns, axis=1, keys=names))
 
-    score.__annotations__ = {}
-    return F.pandas_udf(score, returns, F.PandasUDFType.SCALAR)
+    return score
 
 
 def register_model(spark: SparkSession, name: str, udf) -> None:

@@ -7,9 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakepipe.operators.ranges import running_totals
+from lakepipe.session import cut_lineage
+
 # The percentile grid of the sensor statistics.
 PERCENTILES = [0.1, 0.3, 0.6, 0.8, 0.95]
 
+QUARTILES = [0.25, 0.5, 0.75]
+
 DEFAULT_ACCURACY = 10_000
 
 
@@ -68,24 +73,55 @@ def bucket_statistics(
     )
 
 
-def describe_numeric(
-    df: DataFrame, columns: Sequence[str], accuracy: int = DEFAULT_ACCURACY
-) -> DataFrame:
-    """One row per column: count, mean, stddev, min, quartiles, max - in a single pass."""
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Exact discrete quantiles: one row per column with an array of values.
+
+    Equal values are counted first, on the map side already; the running counts
+    over the distinct values are then built range by range.
+    """
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+            for c in columns
+        ]
+    )
+    counted = cut_lineage(
+        df.select(F.explode(pairs).alias("p"))
+        .select("p.*")
+        .filter(F.col("value").isNotNull())
+        .groupBy("column_name", "value")
+        .count()
+    )
+    upto = running_totals(counted, "value", {"upto": "count"}, within=["column_name"])
+    size = counted.groupBy("column_name").agg(F.sum("count").alias("size"))
+    reached = [F.min(F.when(F.col("upto") >= F.col("size") * p, F.col("value"))) for p in probabilities]
+    # one row per column name
+    return upto.join(F.broadcast(size), "column_name").groupBy("column_name").agg(
+        F.array(*reached).alias("quantiles")
+    )
+
+
+def describe_numeric(df: DataFrame, columns: Sequence[str], exact: bool = False) -> DataFrame:
+    """One row per column: count, mean, stddev, min, quartiles, max.
+
+    Quartiles are approximate and part of the same single pass, or exact.
+    """
     aggregates = []
     for c in columns:
-        quartiles = F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy)
-        aggregates.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.count(c).alias("count"),
-                F.avg(c).alias("mean"),
-                F.stddev(c).alias("stddev"),
-                F.min(c).cast("double").alias("min"),
-                quartiles[0].cast("double").alias("q25"),
-                quartiles[1].cast("double").alias("q50"),
-                quartiles[2].cast("double").alias("q75"),
-                F.max(c).cast("double").alias("max"),
-            )
-        )
-    return df.agg(F.array(*aggregates).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+        fields = [
+            F.lit(c).alias("column_name"),
+            F.count(c).alias("count"),
+            F.avg(c).alias("mean"),
+            F.stddev(c).alias("stddev"),
+            F.min(c).cast("double").alias("min"),
+            F.max(c).cast("double").alias("max"),
+        ]
+        if not exact:
+            approximate = F.percentile_approx(F.col(c).cast("double"), QUARTILES, DEFAULT_ACCURACY)
+            fields.append(approximate.alias("quantiles"))
+        aggregates.append(F.struct(*fields))
+    summary = df.agg(F.array(*aggregates).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    if exact:
+        summary = summary.join(exact_quantiles(df, columns, QUARTILES), "column_name", "left")
+    names = ["q25", "q50", "q75"]
+    return summary.withColumns({n: F.col("quantiles")[i] for i, n in enumerate(names)}).drop("quantiles")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakepipe.operators.ranges import KeySplit, plan_split, with_neighbours
+from lakepipe.session import cut_lineage
 
 
 def _names(value: str | Sequence[str]) -> list[str]:
@@ -128,13 +129,13 @@ def apply_changes_scd2(
     show their newest value. Changes of a key that share one sequence value count
     as one: the greatest tie breaker (by default a hash of the row) wins.
 
-    ``split`` cuts keys that hold a very large number of changes into sequence
-    ranges, so that no task has to sort one key whole.
+    A window sorts each key in one task. Keys with a very large number of changes
+    are therefore found first (``split="auto"``) and versioned apart from the
+    others, cut into sequence ranges; ``split=None`` skips the search.
     """
     keys, sequence = _names(keys), _names(sequence_by)
     hidden = set(except_columns)
-    payload = [c for c in feed.columns if c not in keys]
-    shown = [c for c in payload if c not in hidden]
+    shown = [c for c in feed.columns if c not in keys and c not in hidden]
     marked = feed.withColumns(
         {
             "__tie": _tie_breaker(feed, tie_breaker),
@@ -142,44 +143,85 @@ def apply_changes_scd2(
             "__here": F.lit(True),
         }
     )
+    tracked = None
+    if track_history_on is not None:
+        tracked = list(track_history_on)
+    elif track_history_except is not None:
+        tracked = [c for c in shown if c not in track_history_except and c not in sequence]
+
+    def versions(part: DataFrame, bounds: Sequence[float]) -> DataFrame:
+        if tracked is None:
+            found = _versions(part, keys, sequence, bounds)
+        else:
+            found = _tracked_versions(part, keys, sequence, tracked, shown, bounds)
+        return found.select(
+            *keys, *shown, F.col("__start").alias(start_column), F.col("__end").alias(end_column)
+        )
+
     if split == "auto":
         split = plan_split(marked, keys, sequence[0])
-    order = [*sequence, "__tie"]
+    if split is None:
+        return versions(marked, ())
+    return versions(marked.filter(~split.is_hot()), ()).unionByName(
+        versions(marked.filter(split.is_hot()), split.bounds)
+    )
 
-    stepped = with_neighbours(
+
+def _versions(
+    marked: DataFrame, keys: Sequence[str], sequence: Sequence[str], bounds: Sequence[float]
+) -> DataFrame:
+    """Every change but the last of its sequence value is dropped; deletes only close."""
+    return (
+        _one_per_sequence(marked, keys, sequence, bounds)
+        .filter(~F.col("__deleted"))
+        .withColumn("__start", F.col(sequence[0]))
+        .withColumn("__end", F.col(f"__next_{sequence[0]}"))
+    )
+
+
+def _one_per_sequence(
+    marked: DataFrame, keys: Sequence[str], sequence: Sequence[str], bounds: Sequence[float]
+) -> DataFrame:
+    following = with_neighbours(
         marked,
         keys,
-        order,
+        [*sequence, "__tie"],
         lead={"__next_here": "__here", **{f"__next_{c}": c for c in sequence}},
-        split=split,
+        bounds=bounds,
     )
     superseded = F.coalesce(F.col("__next_here"), F.lit(False)) & _all(
         F.col(f"__next_{c}").eqNullSafe(F.col(c)) for c in sequence
     )
-    changes = stepped.filter(~superseded)
-    start = F.col(sequence[0]).alias(start_column)
-    if track_history_on is None and track_history_except is None:
-        return changes.filter(~F.col("__deleted")).select(
-            *keys, *shown, start, F.col(f"__next_{sequence[0]}").alias(end_column)
-        )
+    return following.filter(~superseded)
 
-    if track_history_on is None:
-        excluded = set(track_history_except or ())
-        tracked = [c for c in shown if c not in excluded and c not in sequence]
-    else:
-        tracked = list(track_history_on)
+
+def _tracked_versions(
+    marked: DataFrame,
+    keys: Sequence[str],
+    sequence: Sequence[str],
+    tracked: Sequence[str],
+    shown: Sequence[str],
+    bounds: Sequence[float],
+) -> DataFrame:
+    """Runs of changes that agree in the tracked columns become one version.
+
+    All steps sort the same way, so without ``bounds`` they share one shuffle and
+    sort. With them each step reads its input twice and starts from a checkpoint.
+    """
+    order = [*sequence, "__tie"]
     untracked = [c for c in shown if c not in tracked and c not in sequence]
 
-    compared = with_neighbours(
+    def step(df: DataFrame, **columns) -> DataFrame:
+        return with_neighbours(cut_lineage(df) if bounds else df, keys, order, bounds=bounds, **columns)
+
+    changes = _one_per_sequence(marked, keys, sequence, bounds)
+    compared = step(
         changes.drop("__next_here", *[f"__next_{c}" for c in sequence]),
-        keys,
-        order,
         lag={
             "__prev_here": "__here",
             "__prev_deleted": "__deleted",
             **{f"__prev_{c}": c for c in tracked},
         },
-        split=split,
     )
     opens = (
         F.col("__prev_here").isNull()
@@ -190,34 +232,24 @@ def apply_changes_scd2(
     flagged = compared.withColumn("__opens", opens).drop(
         "__prev_here", "__prev_deleted", *[f"__prev_{c}" for c in tracked]
     )
-    closed = with_neighbours(
-        flagged,
-        keys,
-        order,
-        lead={"__next_opens": "__opens", "__close": sequence[0]},
-        split=split,
-    ).withColumn("__ends", F.coalesce(F.col("__next_opens"), F.lit(True)))
-    # between two openings only the first and the last change of a version remain
+    closed = step(flagged, lead={"__next_opens": "__opens", "__close": sequence[0]}).withColumn(
+        "__ends", F.coalesce(F.col("__next_opens"), F.lit(True))
+    )
+    # of the changes inside a version only the first and the last are needed from here on
     borders = closed.filter(F.col("__opens") | F.col("__ends")).drop("__next_opens")
-    paired = with_neighbours(
-        borders,
-        keys,
-        order,
-        lead={"__end_close": "__close", **{f"__end_{c}": c for c in untracked}},
-        split=split,
+    paired = step(
+        borders, lead={"__end_close": "__close", **{f"__end_{c}": c for c in untracked}}
     ).filter(F.col("__opens") & ~F.col("__deleted"))
 
     def at_end(own: str, end: str) -> Column:
         return F.when(F.col("__ends"), F.col(own)).otherwise(F.col(end))
 
-    return paired.select(
-        *keys,
-        *[
-            at_end(c, f"__end_{c}").alias(c) if c in untracked else F.col(c)
-            for c in shown
-        ],
-        start,
-        at_end("__close", "__end_close").alias(end_column),
+    return paired.withColumns(
+        {
+            "__start": F.col(sequence[0]),
+            "__end": at_end("__close", "__end_close"),
+            **{c: at_end(c, f"__end_{c}") for c in untracked},
+        }
     )
 
 
@@ -226,28 +258,29 @@ def snapshot_diff(
 ) -> DataFrame:
     """Rows inserted, updated or deleted between two states with unique keys.
 
-    Updates and inserts carry the new values, deletes the old ones. Unlike a
-    full outer join of wide rows, both states go through one aggregate that the
-    map side can already combine.
+    Updates and inserts carry the new values, deletes the old ones.
     """
     keys = _names(keys)
     values = [c for c in new.columns if c not in keys]
-    both = old.select(*keys, F.struct(*values).alias("__old"), F.lit(None).alias("__new")).unionByName(
-        new.select(*keys, F.lit(None).alias("__old"), F.struct(*values).alias("__new"))
-    )
-    sides = both.groupBy(*keys).agg(
-        F.first("__old", ignorenulls=True).alias("__old"),
-        F.first("__new", ignorenulls=True).alias("__new"),
-    )
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(*values).alias(name))
+
+    same_key = [F.col(f"__old_{k}").eqNullSafe(F.col(f"__new_{k}")) for k in keys]
+    both = side(old, "__old").join(side(new, "__new"), same_key, "full")
     change = (
         F.when(F.col("__old").isNull(), "insert")
         .when(F.col("__new").isNull(), "delete")
         .when(~F.col("__old").eqNullSafe(F.col("__new")), "update")
     )
     return (
-        sides.withColumn(label, change)
+        both.withColumn(label, change)
         .filter(F.col(label).isNotNull())
-        .withColumn("__row", F.coalesce("__new", "__old"))
+        .select(
+            *[F.coalesce(f"__new_{k}", f"__old_{k}").alias(k) for k in keys],
+            F.coalesce("__new", "__old").alias("__row"),
+            label,
+        )
         .select(*keys, "__row.*", label)
     )
 

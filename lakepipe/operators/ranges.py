@@ -77,11 +77,12 @@ def with_range(df: DataFrame, number: Column, bounds: Sequence[float], out: str)
 class KeySplit:
     """Hot keys (by hash) and the cut points of their order column."""
 
+    keys: tuple[str, ...]
     hot: tuple[int, ...]
     bounds: tuple[float, ...]
 
-    def is_hot(self, keys: Sequence[str]) -> Column:
-        return F.xxhash64(*keys).isin(list(self.hot))
+    def is_hot(self) -> Column:
+        return F.xxhash64(*self.keys).isin(list(self.hot))
 
 
 def plan_split(
@@ -113,7 +114,8 @@ def plan_split(
     rows = sum(r["count"] for r in hot_rows) / probe_fraction
     ranges = min(MAX_RANGES, max(2, math.ceil(rows / max_rows)))
     hot_probe = probe.filter(F.xxhash64(*keys).isin(list(hot)))
-    return KeySplit(hot, tuple(range_bounds(hot_probe, order_number(probe, order_by), ranges)))
+    bounds = range_bounds(hot_probe, order_number(probe, order_by), ranges)
+    return KeySplit(tuple(keys), hot, tuple(bounds))
 
 
 def with_neighbours(
@@ -122,13 +124,14 @@ def with_neighbours(
     order: Sequence[str],
     lead: Mapping[str, str] | None = None,
     lag: Mapping[str, str] | None = None,
-    split: KeySplit | None = None,
+    bounds: Sequence[float] = (),
 ) -> DataFrame:
     """Add ``{new column: column of the next / previous row}`` within each key.
 
-    Without a split this is the plain window. With one, hot keys are cut into
-    ranges; the first (last) row of each range is copied into the previous (next)
-    non-empty range of the same key as an edge row and removed afterwards.
+    Without ``bounds`` this is the plain window. With them every key is cut into
+    ranges of its first order column; the first (last) row of each range is
+    copied into the previous (next) non-empty range of the same key as an edge
+    row and removed afterwards.
     """
     lead, lag = dict(lead or {}), dict(lag or {})
 
@@ -138,23 +141,19 @@ def with_neighbours(
         added |= {out: F.lag(src).over(window) for out, src in lag.items()}
         return frame.withColumns(added)
 
-    if split is None:
+    if not bounds:
         return shifted(df, keys)
 
     names = df.columns
-    hot = split.is_hot(keys)
-    ranged = with_range(df, order_number(df, order[0]), split.bounds, "__part").withColumn(
-        "__part", F.when(hot, F.col("__part")).otherwise(F.lit(-1))
-    )
+    ranged = with_range(df, order_number(df, order[0]), bounds, "__part")
 
     def edges(columns: Sequence[str], first: bool) -> DataFrame:
         needed = sorted({*order, *columns} - set(keys))
         pick = F.min_by if first else F.max_by
-        per_range = (
-            ranged.filter(F.col("__part") >= 0)
-            .groupBy(*keys, "__part")
-            .agg(pick(F.struct(*needed), F.struct(*order)).alias("__row"))
+        per_range = ranged.groupBy(*keys, "__part").agg(
+            pick(F.struct(*needed), F.struct(*order)).alias("__row")
         )
+        # one row per range of a key
         window = Window.partitionBy(*keys).orderBy("__part")
         target = F.lag("__part").over(window) if first else F.lead("__part").over(window)
         return (
@@ -176,14 +175,16 @@ def running_totals(
     df: DataFrame,
     order_by: str,
     measures: Mapping[str, str],
+    within: Sequence[str] = (),
     descending: bool = False,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Whole-table running sums ``{new column: measure}`` without a one-task window.
+    """Running sums ``{new column: measure}`` over a whole table or over few large groups.
 
     Rows are cut into value ranges, summed up inside each range, and shifted by
-    the totals of the earlier ranges (one row per range). ``order_by`` must be
-    unique in ``df``.
+    the totals of the earlier ranges, so that no task sees a whole group.
+    ``within`` must have few groups and ``order_by`` must be unique in each.
+    ``df`` is read several times: hand in a stored or checkpointed frame.
     """
     number = order_number(df, order_by)
     if descending:
@@ -191,22 +192,23 @@ def running_totals(
     bounds = range_bounds(df, number, ranges or shuffle_width(df.sparkSession))
     ranged = with_range(df, number, bounds, "__part")
     order = F.col(order_by).desc() if descending else F.col(order_by).asc()
-    inside = Window.partitionBy("__part").orderBy(order)
+    inside = Window.partitionBy(*within, "__part").orderBy(order)
     local = ranged.withColumns({out: F.sum(src).over(inside) for out, src in measures.items()})
 
-    # one row per range, so this window sees at most ``ranges`` rows
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("__part").agg(
+    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*within, "__part").agg(
         *[F.sum(src).alias(f"__total_{out}") for out, src in measures.items()]
     )
     offsets = totals.select(
+        *within,
         "__part",
         *[
             F.coalesce(F.sum(f"__total_{out}").over(before), F.lit(0)).alias(f"__before_{out}")
             for out in measures
         ],
     )
-    joined = local.join(offsets, "__part")
-    for out in measures:
-        joined = joined.withColumn(out, F.col(out) + F.col(f"__before_{out}"))
-    return joined.select(*df.columns, *measures)
+    # at most one row per range and group: small whatever the table holds
+    joined = local.join(F.broadcast(offsets), [*within, "__part"])
+    return joined.withColumns(
+        {out: F.col(out) + F.col(f"__before_{out}") for out in measures}
+    ).select(*df.columns, *measures)

@@ -46,6 +46,7 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column], out: str = "row
     placed = cut_lineage(
         df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__local": local})
     )
+    # both frames below have one row per partition, so the window and the broadcast stay small
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("__part")
@@ -53,7 +54,7 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column], out: str = "row
         .select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     )
     return (
-        placed.join(offsets, "__part")
+        placed.join(F.broadcast(offsets), "__part")
         .withColumn(out, F.col("__before") + F.col("__local"))
         .drop("__part", "__local", "__before")
     )

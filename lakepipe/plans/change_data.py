@@ -181,10 +181,10 @@ def cdc_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "snapshot_diff",
     """WITH newer AS (
-         SELECT c_custkey, c_name, c_acctbal + CASE WHEN c_custkey % 10 = 1 THEN 1 ELSE 0 END AS c_acctbal
-         FROM customer WHERE c_custkey % 10 <> 0
+         SELECT c_custkey, c_name, c_acctbal + CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS c_acctbal
+         FROM customer WHERE c_acctbal >= 0
          UNION ALL
-         SELECT -1 - c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 10 = 2)
+         SELECT -1 - c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY')
        SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name,
               coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal,
               CASE WHEN o.c_custkey IS NULL THEN 'insert' WHEN n.c_custkey IS NULL THEN 'delete' ELSE 'update' END
@@ -194,9 +194,10 @@ def cdc_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserted, updated and deleted rows between two states of a table."""
-    old = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    key = F.col("c_custkey")
-    raised = F.col("c_acctbal") + F.when(key % 10 == 1, 1).otherwise(0)
-    new = old.filter(key % 10 != 0).withColumn("c_acctbal", raised)
-    added = old.filter(key % 10 == 2).withColumn("c_custkey", -1 - key)
-    return snapshot_diff(old, new.unionByName(added), "c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    columns = ["c_custkey", "c_name", "c_acctbal"]
+    raised = F.col("c_acctbal") + F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0)
+    kept = customers.filter("c_acctbal >= 0").withColumn("c_acctbal", raised)
+    added = customers.filter("c_mktsegment = 'MACHINERY'").withColumn("c_custkey", -1 - F.col("c_custkey"))
+    new = kept.select(*columns).unionByName(added.select(*columns))
+    return snapshot_diff(customers.select(*columns), new, "c_custkey")

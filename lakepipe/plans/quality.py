@@ -152,7 +152,7 @@ def dq_metrics_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     "log_lineage",
     """SELECT event_id, 'clean_' || event_type AS output_dataset, '["raw_' || event_type || '"]' AS input_datasets,
               CASE WHEN event_id % 2 = 0 THEN 'APPEND' ELSE 'COMPLETE' END AS flow_type
-       FROM events WHERE event_id % 3 = 0""",
+       FROM events WHERE event_type IN ('purchase', 'signup')""",
 )
 def log_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow definitions inside a mixed log: other kinds of events have no such entry."""
@@ -166,7 +166,9 @@ def log_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     progress = F.struct(F.struct(F.lit("RUNNING").alias("status")).alias("flow_progress"))
     log = table(spark, sf_dir, "events").select(
         "event_id",
-        F.when(F.col("event_id") % 3 == 0, F.to_json(definition)).otherwise(F.to_json(progress)).alias("details"),
+        F.when(F.col("event_type").isin("purchase", "signup"), F.to_json(definition))
+        .otherwise(F.to_json(progress))
+        .alias("details"),
     )
     return event_log.lineage(log, "event_id").drop("flow_schema")
 

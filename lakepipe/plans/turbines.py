@@ -14,6 +14,7 @@ from lakepipe.operators.relational import drop_columns
 from lakepipe.operators.windows import latest_per_key
 from lakepipe.plans.registry import plain_time, query, rounded, table
 from lakepipe.plans.views import SQL, sensor_bronze, status, turbine, with_views
+from lakepipe.session import cut_lineage
 
 SENSORS = ["sensor_A", "sensor_B", "sensor_C", "sensor_D", "sensor_E", "sensor_F"]
 
@@ -102,8 +103,9 @@ def _training(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     """Bucketed readings, joined with the device list and with the status that was valid then."""
     hourly = sensor_buckets(spark, sf_dir, "day").select("turbine_id", "hourly_timestamp", "avg_energy")
     hourly = hourly.withColumn("at", F.unix_timestamp("hourly_timestamp"))
+    intervals = cut_lineage(status(spark, sf_dir))
     labelled = interval_join(
-        hourly, status(spark, sf_dir), ["turbine_id"], "at", "start_time", "end_time", method
+        hourly, intervals, ["turbine_id"], "at", "start_time", "end_time", method
     )
     joined = labelled.join(turbine(spark, sf_dir), "turbine_id")
     return drop_columns(joined, "at", "row", "_rescued_data").withColumns(
@@ -219,7 +221,10 @@ def _faulty(frame) -> list:
 )
 def score_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score the newest statistics of every device."""
-    newest = latest_per_key(sensor_buckets(spark, sf_dir, "month"), ["turbine_id"], ["hourly_timestamp"])
+    metrics = sensor_buckets(spark, sf_dir, "month").select(
+        "turbine_id", "hourly_timestamp", "avg_energy", "std_sensor_A"
+    )
+    newest = latest_per_key(metrics, ["turbine_id"], ["hourly_timestamp"])
     inputs = newest.join(turbine(spark, sf_dir), "turbine_id")
     udf = model_udf(rule_model(_faulty, "sensor_A", "ok"), METRICS_SIGNATURE, "string")
     return score_table(inputs, udf, METRICS_SIGNATURE).select(
@@ -255,7 +260,7 @@ def _describe_sql(column: str, source: str) -> str:
 def describe_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    summary = describe_numeric(lines, columns, accuracy=1_000_000)
+    summary = describe_numeric(lines, columns, exact=True)
     return summary.withColumns({"mean": rounded("mean"), "stddev": rounded("stddev")})
 
 
