@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 WARN, DROP, FAIL = "warn", "drop", "fail"
 
 
+RULE_COUNTS = (
+    "array<struct<name:string, action:string, passed_records:bigint, failed_records:bigint>>"
+)
+
+
 class ExpectationFailed(ValueError):
     """A fail rule found violating rows."""
 
@@ -124,7 +129,7 @@ class RuleSet:
             F.lit(self.dataset).alias("dataset"),
             "output_records",
             (F.col("input_records") - F.col("output_records")).alias("dropped_records"),
-            F.explode(F.array(*entries)).alias("rule"),
+            F.explode(F.array(*entries).cast(RULE_COUNTS)).alias("rule"),
         ).select(*by, "dataset", "rule.*", "dropped_records", "output_records")
 
     def metrics(self, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
