@@ -36,7 +36,7 @@ def named_aggregates(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, st
 
 def first_by(value: str | Column, *order: str | Column) -> Column:
     """The value of the earliest row: a repeatable ``first``."""
-    return F.min_by(value, F.struct(*order))
+    return F.min_by(value, order[0] if len(order) == 1 else F.struct(*order))
 
 
 def sensor_columns(df: DataFrame, pattern: str = "sensor") -> list[str]:

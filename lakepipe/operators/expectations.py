@@ -55,6 +55,10 @@ def expect_all(rules: Mapping[str, str], action: str = WARN) -> list[Rule]:
     return [Rule(name, predicate, action) for name, predicate in rules.items()]
 
 
+def _every(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
 @dataclass(frozen=True)
 class RuleSet:
     dataset: str
@@ -65,22 +69,24 @@ class RuleSet:
 
     def kept(self) -> Column:
         """True for rows that no drop rule removes."""
-        return reduce(lambda a, b: a & b, [r.passes for r in self._with(DROP)], F.lit(True))
+        return _every([r.passes for r in self._with(DROP)])
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Rows that survive the drop rules; a violated fail rule ends the job.
 
-        Fail rules look at every input row, also at rows that a drop rule
-        removes, so with a fail rule both sit in one expression that Spark cannot
-        split and push below the check.
+        Drop rules alone are a plain filter that can reach the file reader. Fail
+        rules look at every row of ``df``, also at rows that a drop rule removes,
+        but at no row that ``df`` itself leaves out (in a join, say): the check is
+        one expression and is not deterministic for Spark, so it is neither
+        split nor moved.
         """
-        fails = self._with(FAIL)
+        fails, drops = self._with(FAIL), self._with(DROP)
         if not fails:
-            return df.filter(self.kept()) if self._with(DROP) else df
-        guarded = F.when(fails[0].passes, F.lit(True)).otherwise(self._raise(fails[0]))
-        for rule in fails[1:]:
-            guarded = F.when(~rule.passes, self._raise(rule)).otherwise(guarded)
-        return df.filter(F.when(guarded, self.kept()))
+            return df.filter(_every([F.expr(r.predicate) for r in drops])) if drops else df
+        checked = F.spark_partition_id() >= 0  # always true, but differs by task
+        for rule in fails:
+            checked = F.when(rule.passes, checked).otherwise(self._raise(rule))
+        return df.filter(F.when(checked, self.kept()))
 
     def _raise(self, rule: Rule) -> Column:
         message = f"expectation {rule.name!r} of {self.dataset!r} failed"

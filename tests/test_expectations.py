@@ -103,3 +103,18 @@ def test_expect_all_and_unknown_action():
     assert [r.name for r in expect_all({"a": "true", "b": "true"}, "drop")] == ["a", "b"]
     with pytest.raises(ValueError):
         Rule("x", "true", "explode")
+
+
+def test_fail_rule_ignores_rows_the_input_leaves_out(spark, txs):
+    known = spark.createDataFrame([(1,), (2,), (3,), (4,)], "known_id int")
+    joined = txs.join(known, txs.id == known.known_id)
+    rules = RuleSet("txs", [expect_or_fail("center given", "center IS NOT NULL"), expect_or_drop("late", "id > 1")])
+    assert rows(rules.apply(joined), "id") == [(2,), (3,), (4,)]
+    assert rows(rules.apply(txs.filter("id < 5")), "id") == [(2,), (3,), (4,)]
+
+
+def test_drop_rules_reach_the_file_reader(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kept = RuleSet("lines", [expect_or_drop("many", "l_quantity > 49")]).apply(lines).select("l_orderkey")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(l_quantity,49.0)" in plan
