@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakepipe.operators.joins import enrich
+from lakepipe.operators.ranges import shuffle_width
 from lakepipe.plans.change_data import (
     HIDDEN,
     IS_DELETE,
@@ -20,8 +21,10 @@ from lakepipe.plans.quality import CDC_RULES
 from lakepipe.plans.registry import plain_time, query, rounded, table
 from lakepipe.plans.views import cdc_feed_of, with_views
 from lakepipe.session import scratch_path
-from lakepipe.sources.files import stream_files
+from lakepipe.sinks.tables import compact, rewrite_without, write_files
+from lakepipe.sources.files import read_files, stream_files
 from lakepipe.streaming.changes import read_scd1, read_scd2, start_scd1, start_scd2
+from lakepipe.streaming.ingest import ingest_folder
 from lakepipe.streaming.quality import read_metrics, start_checked
 from lakepipe.streaming.sinks import append_stream, drain
 from lakepipe.streaming.statistics import read_windowed, start_windowed, windowed_statistics
@@ -45,6 +48,83 @@ def src_stream_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
+def _landed(spark: SparkSession, df: DataFrame, fmt: str) -> str:
+    """The rows of a table as files of a landing folder."""
+    path = scratch_path(spark, f"landing-{fmt}")
+    write_files(df, path, fmt)
+    return path
+
+
+EVENT_COLUMNS = "SELECT event_id, user_id, event_type, value FROM events"
+
+
+@query("src_stream_json", EVENT_COLUMNS)
+def src_stream_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON folder as a stream, column types inferred and remembered."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    folder, root = _landed(spark, events, "json"), scratch_path(spark, "stream-json")
+    drain(ingest_folder(spark, folder, "json", f"{root}/raw", f"{root}/state"))
+    return spark.read.parquet(f"{root}/raw").filter("_rescued_data IS NULL").select(*events.columns)
+
+
+@query("src_stream_csv", EVENT_COLUMNS)
+def src_stream_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV folder as a stream, read as text and cast later."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    folder, root = _landed(spark, events, "csv"), scratch_path(spark, "stream-csv")
+    drain(ingest_folder(spark, folder, "csv", f"{root}/raw", f"{root}/state", infer_types=False))
+    return spark.read.parquet(f"{root}/raw").select(
+        F.col("event_id").try_cast("long").alias("event_id"),
+        F.col("user_id").try_cast("long").alias("user_id"),
+        "event_type",
+        F.col("value").try_cast("double").alias("value"),
+    )
+
+
+@query(
+    "rescued_data",
+    """SELECT event_id, CASE WHEN event_type <> 'error' THEN user_id END AS user_id,
+              CASE WHEN event_type = 'error' THEN '{"user_id":"user ' || user_id || '"}'
+                   WHEN event_type = 'view' THEN '{"extra":"' || event_id || '"}' END AS _rescued_data FROM events""",
+)
+def rescued_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value of the wrong type and an unknown field are kept as text; the rest of the row arrives."""
+    event_type = F.col("event_type")
+    lines = table(spark, sf_dir, "events").select(
+        F.when(event_type == "error", F.to_json(F.struct("event_id", F.concat(F.lit("user "), "user_id").alias("user_id"))))
+        .when(event_type == "view", F.to_json(F.struct("event_id", "user_id", F.col("event_id").alias("extra"))))
+        .otherwise(F.to_json(F.struct("event_id", "user_id")))
+        .alias("value")
+    )
+    path = scratch_path(spark, "rescued")
+    lines.write.text(path)
+    return read_files(spark, path, "json", "event_id long, user_id long", rescue="fields")
+
+
+@query("sink_stream_append", "SELECT o_orderkey, o_orderstatus FROM orders")
+def sink_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run on the same checkpoint finds nothing new and adds no row."""
+    root = scratch_path(spark, "stream-append")
+    for _ in range(2):
+        orders = table_stream(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+        drain(append_stream(orders, f"{root}/table", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/table")
+
+
+@query(
+    "compact_and_delete",
+    "SELECT o_orderkey, o_orderdate FROM orders WHERE NOT coalesce(o_orderdate < TIMESTAMP '1996-01-01', false)",
+)
+def compact_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small files are merged, then the table is rewritten without the erased rows."""
+    root = scratch_path(spark, "compact")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    write_files(orders, f"{root}/small", files=2 * shuffle_width(spark))
+    compact(spark, f"{root}/small", f"{root}/large", rows_per_file=1_000_000)
+    rewrite_without(spark, f"{root}/large", f"{root}/kept", "o_orderdate < timestamp_ntz'1996-01-01 00:00:00'")
+    return spark.read.parquet(f"{root}/kept")
+
+
 @query(
     "stream_silver",
     """SELECT event_id, user_id, upper(event_type) AS action, round(value * 2, 4) AS doubled,

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 RESCUED = "_rescued_data"
+RECORD, FIELDS = "record", "fields"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -71,19 +71,29 @@ def infer_schema(
     return apply_hints(reader.load(sample or path).schema, hints)
 
 
-def remembered_schema(spark: SparkSession, location: str, make) -> T.StructType:
-    """Schema kept below ``location``; ``make()`` is called only the first time.
+def widen(schema: T.StructType, seen: T.StructType) -> T.StructType:
+    """The schema plus the fields that only ``seen`` has; known fields keep their type."""
+    return T.StructType([*schema.fields, *[f for f in seen.fields if f.name not in schema.names]])
 
-    A restarted stream therefore reads with the schema it started with.
+
+def remembered_schema(
+    spark: SparkSession, location: str, make: Callable[[], T.StructType], evolve: bool = False
+) -> T.StructType:
+    """Schema kept below ``location``, so that a restarted stream reads as it did before.
+
+    ``make()`` runs the first time only, or with ``evolve`` also to find new fields.
     """
-    try:
+    stored = None
+    if path_exists(spark, location):
         text = spark.read.text(location, wholetext=True).first()["value"]
-        return T.StructType.fromJson(json.loads(text))
-    except AnalysisException:
-        schema = make()
+        stored = T.StructType.fromJson(json.loads(text))
+        if not evolve:
+            return stored
+    schema = make() if stored is None else widen(stored, make())
+    if schema != stored:
         row = spark.createDataFrame([(schema.json(),)], "value string")
         row.coalesce(1).write.mode("overwrite").text(location)
-        return schema
+    return schema
 
 
 def _reader_options(fmt: str, multi_line: bool, options: Mapping[str, str] | None) -> dict[str, str]:
@@ -95,10 +105,21 @@ def _reader_options(fmt: str, multi_line: bool, options: Mapping[str, str] | Non
     return chosen
 
 
-def _with_rescue(schema: T.StructType, fmt: str, rescue: bool) -> T.StructType:
-    if not rescue or fmt not in ("json", "csv") or RESCUED in schema.names:
-        return schema
-    return T.StructType([*schema.fields, T.StructField(RESCUED, T.StringType())])
+def _load(
+    reader, path: str, fmt: str, schema: T.StructType, rescue: str | None, options: Mapping[str, str]
+) -> DataFrame:
+    """Load by a batch or stream reader, with the wanted way to rescue what does not fit."""
+    if rescue not in (None, RECORD, FIELDS):
+        raise ValueError(f"unknown way to rescue: {rescue!r}")
+    if rescue == FIELDS:
+        if fmt != "json" or options.get("multiLine") == "true":
+            raise ValueError("single fields can be rescued from JSON lines only")
+        kept = {k: v for k, v in options.items() if k == "maxFilesPerTrigger"}
+        return rescue_fields(reader.format("text").options(**kept).load(path), schema)
+    if rescue == RECORD and RESCUED not in schema.names:
+        schema = T.StructType([*schema.fields, T.StructField(RESCUED, T.StringType())])
+        options = {**options, "columnNameOfCorruptRecord": RESCUED}
+    return reader.format(fmt).options(**options).schema(schema).load(path)
 
 
 def read_files(
@@ -107,10 +128,10 @@ def read_files(
     fmt: str,
     schema: T.StructType | str | None = None,
     multi_line: bool = False,
-    rescue: bool = False,
+    rescue: str | None = None,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Batch read. With ``rescue`` a record that does not fit keeps its text in ``_rescued_data``."""
+    """Batch read; see ``stream_files`` for ``rescue``."""
     chosen = _reader_options(fmt, multi_line, options)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
@@ -118,9 +139,7 @@ def read_files(
         if fmt == "parquet":
             return spark.read.options(**chosen).parquet(path)
         schema = infer_schema(spark, path, fmt, options=chosen)
-    if rescue:
-        chosen["columnNameOfCorruptRecord"] = RESCUED
-    return spark.read.format(fmt).options(**chosen).schema(_with_rescue(schema, fmt, rescue)).load(path)
+    return _load(spark.read, path, fmt, schema, rescue, chosen)
 
 
 def stream_files(
@@ -132,15 +151,19 @@ def stream_files(
     infer_types: bool = True,
     hints: str | None = None,
     sample_files: int | None = 10,
+    evolve: bool = False,
     multi_line: bool = False,
-    rescue: bool = False,
+    rescue: str | None = None,
     max_files_per_trigger: int | None = None,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Incremental read of a folder: each file is delivered once per checkpoint.
 
     Without ``schema`` the schema is inferred from a few files and remembered at
-    ``schema_location``.
+    ``schema_location``; with ``evolve`` all files are looked at and new fields added.
+    ``rescue`` adds the column ``_rescued_data``: ``record`` keeps the text of a
+    record that does not fit, ``fields`` (JSON lines) keeps just the fields that
+    do not fit or are not in the schema, so that nothing gets lost.
     """
     chosen = _reader_options(fmt, multi_line, options)
     if isinstance(schema, str):
@@ -148,19 +171,15 @@ def stream_files(
     if schema is None:
 
         def infer() -> T.StructType:
-            return infer_schema(spark, path, fmt, infer_types, hints, sample_files, chosen)
+            sample = None if evolve else sample_files
+            return infer_schema(spark, path, fmt, infer_types, hints, sample, chosen)
 
-        schema = remembered_schema(spark, schema_location, infer) if schema_location else infer()
-    if rescue:
-        chosen["columnNameOfCorruptRecord"] = RESCUED
+        schema = (
+            remembered_schema(spark, schema_location, infer, evolve) if schema_location else infer()
+        )
     if max_files_per_trigger:
         chosen["maxFilesPerTrigger"] = str(max_files_per_trigger)
-    return (
-        spark.readStream.format(fmt)
-        .options(**chosen)
-        .schema(_with_rescue(schema, fmt, rescue))
-        .load(path)
-    )
+    return _load(spark.readStream, path, fmt, schema, rescue, chosen)
 
 
 def rescue_fields(

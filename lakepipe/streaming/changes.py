@@ -9,7 +9,7 @@ changes need no special case because order comes from the sequence alone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakepipe.operators.changes import apply_changes_scd2, reduce_changes
 from lakepipe.sources.files import list_folders, path_exists
-from lakepipe.streaming.sinks import BATCH, each_batch, read_batches, write_batch
+from lakepipe.streaming.sinks import BATCH, drain, each_batch, read_batches, write_batch, written_batches
 
 
 def start_scd1(
@@ -52,13 +52,19 @@ def _folded_upto(spark: SparkSession, target: str) -> int | None:
 
 
 def _reduced_log(
-    spark: SparkSession, target: str, keys: str | Sequence[str], sequence_by: str | Sequence[str]
+    spark: SparkSession,
+    target: str,
+    keys: str | Sequence[str],
+    sequence_by: str | Sequence[str],
+    upto: int | None = None,
 ) -> DataFrame:
     log = read_batches(spark, f"{target}/changes")
-    upto = _folded_upto(spark, target)
     if upto is not None:
-        newer = log.filter(F.col(BATCH) > upto).drop(BATCH)
-        log = spark.read.parquet(f"{target}/base/upto={upto}").unionByName(newer)
+        log = log.filter(F.col(BATCH) <= upto)
+    folded = _folded_upto(spark, target)
+    if folded is not None:
+        newer = log.filter(F.col(BATCH) > folded).drop(BATCH)
+        log = spark.read.parquet(f"{target}/base/upto={folded}").unionByName(newer)
     else:
         log = log.drop(BATCH)
     return reduce_changes(log, keys, sequence_by)
@@ -83,13 +89,38 @@ def fold_changes(
     spark: SparkSession, target: str, keys: str | Sequence[str], sequence_by: str | Sequence[str]
 ) -> int:
     """Fold all logged batches into one base table (tombstones kept); returns the last batch folded."""
-    batches = [int(n.split("=")[1]) for n in list_folders(spark, f"{target}/changes")]
-    upto = max(batches)
-    reduced = _reduced_log(spark, target, keys, sequence_by)
+    upto = max(written_batches(spark, f"{target}/changes"))
+    reduced = _reduced_log(spark, target, keys, sequence_by, upto)
     reduced.write.mode("overwrite").parquet(f"{target}/base/upto={upto}")
     return upto
 
 
+def apply_folders(
+    spark: SparkSession,
+    raw: Mapping[str, str],
+    clean: Callable[[DataFrame], DataFrame],
+    target: str,
+    state: str,
+    keys: str | Sequence[str],
+    sequence_by: str | Sequence[str],
+    apply_as_deletes: str | Column | None = None,
+) -> dict[str, str]:
+    """The same clean-and-apply flow for every ``{name: raw table}``, run side by side."""
+    queries = [
+        start_scd1(
+            clean(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)),
+            f"{target}/{name}",
+            f"{state}/{name}",
+            keys,
+            sequence_by,
+            apply_as_deletes,
+        )
+        for name, path in raw.items()
+    ]
+    drain(queries)
+    return {name: f"{target}/{name}" for name in raw}
+
+
 def start_scd2(
     stream: DataFrame, target: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:

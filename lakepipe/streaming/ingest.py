@@ -7,10 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lakepipe.sources.files import stream_files
+from lakepipe.sources.files import list_folders, stream_files
 from lakepipe.streaming.sinks import append_stream, drain
 
 
+# how each format keeps what does not fit its schema
+RESCUE = {"json": "fields", "csv": "record"}
+
+
 def ingest_folder(
     spark: SparkSession,
     folder: str,
@@ -18,13 +22,11 @@ def ingest_folder(
     target: str,
     state: str,
     every: str | None = None,
-    rescue: bool = True,
     **options,
 ) -> StreamingQuery:
     """Start reading a folder into a table; schema and progress live below ``state``."""
-    stream = stream_files(
-        spark, folder, fmt, schema_location=f"{state}/schema", rescue=rescue, **options
-    )
+    options.setdefault("rescue", None if options.get("multi_line") else RESCUE.get(fmt))
+    stream = stream_files(spark, folder, fmt, schema_location=f"{state}/schema", **options)
     return append_stream(stream, target, f"{state}/checkpoint", every=every)
 
 
@@ -38,3 +40,11 @@ def ingest_folders(
     ]
     drain(queries)
     return {name: f"{target}/{name}" for name in folders}
+
+
+def ingest_all(
+    spark: SparkSession, root: str, fmt: str, target: str, state: str, **options
+) -> dict[str, str]:
+    """One raw table per sub-folder found below ``root``."""
+    folders = {name: fmt for name in list_folders(spark, root)}
+    return ingest_folders(spark, folders, root, target, state, **options)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from lakepipe.sources.files import list_folders, path_exists
+
 BATCH = "batch_id"
 
 
@@ -51,9 +54,17 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
+def written_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose write was completed."""
+    names = [n for n in list_folders(spark, path) if path_exists(spark, f"{path}/{n}/_SUCCESS")]
+    return sorted(int(n.split("=")[1]) for n in names)
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All batches written by ``write_batch``, with their ``batch_id``."""
-    return spark.read.option("mergeSchema", True).option("basePath", path).parquet(f"{path}/{BATCH}=*")
+    """All completed batches, with their ``batch_id``; a batch being written is left out."""
+    last = max(written_batches(spark, path))
+    log = spark.read.option("mergeSchema", True).option("basePath", path).parquet(f"{path}/{BATCH}=*")
+    return log.filter(F.col(BATCH) <= last)
 
 
 def drain(queries: StreamingQuery | Iterable[StreamingQuery]) -> None:

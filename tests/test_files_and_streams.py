@@ -58,7 +58,7 @@ def test_schema_is_remembered(spark, landing, tmp_path):
 def test_rescue_keeps_whole_records(spark, tmp_path):
     folder = tmp_path / "bad"
     write_lines(folder, "x.json", [{"id": 1}, {"id": "abc"}, "no json"])
-    found = files.read_files(spark, str(folder), "json", "id int", rescue=True).cache()
+    found = files.read_files(spark, str(folder), "json", "id int", rescue="record").cache()
     assert found.count() == 3
     assert found.filter("_rescued_data IS NULL").count() == 1
     assert found.filter("_rescued_data LIKE '%no json%'").count() == 1
@@ -328,3 +328,48 @@ def test_batch_history_of_streamed_log(spark, tmp_path):
     )
     wanted = apply_changes_scd2(df, "id", "seq", DELETE, ["op", "seq"], track_history_on=["city"])
     assert rows(found, *wanted.columns) == rows(wanted) and len(history(df)) >= wanted.count()
+
+
+def test_new_fields_are_rescued_then_added(spark, landing, tmp_path):
+    target, state = str(tmp_path / "raw"), str(tmp_path / "state")
+
+    def run(**options):
+        sinks.drain(ingest.ingest_folder(spark, str(landing), "json", target, state, **options))
+        return tables.read_evolved(spark, target)
+
+    assert "color" not in run().columns
+    write_lines(landing, "d.json", [{"id": 8, "v": 1.0, "color": "red"}])
+    assert rows(run().filter("id = 8"), "_rescued_data") == [('{"color":"red"}',)]
+    write_lines(landing, "e.json", [{"id": 9, "v": 1.0, "color": "blue"}])
+    found = run(evolve=True)
+    assert rows(found.filter("color IS NOT NULL"), "id", "color", "_rescued_data") == [(9, "blue", None)]
+    assert found.count() == 5
+
+
+def test_rescue_arguments_are_checked(spark, landing):
+    with pytest.raises(ValueError, match="JSON lines"):
+        files.read_files(spark, str(landing), "csv", "id int", rescue="fields")
+    with pytest.raises(ValueError, match="unknown"):
+        files.read_files(spark, str(landing), "json", "id int", rescue="all")
+
+
+def test_one_flow_per_folder(spark, tmp_path):
+    for name, n in {"customers": 1, "transactions": 2}.items():
+        change_files(tmp_path / "zone" / name, feed_of(n), 2)
+    raw = ingest.ingest_all(spark, str(tmp_path / "zone"), "json", str(tmp_path / "raw"), str(tmp_path / "s1"))
+    made = changes.apply_folders(
+        spark, raw, lambda df: df.filter("_rescued_data IS NULL"), str(tmp_path / "t"), str(tmp_path / "s2"), "id", "seq", DELETE
+    )
+    for name, n in {"customers": 1, "transactions": 2}.items():
+        state = changes.read_scd1(spark, made[name], "id", "seq")
+        found = sorted((tuple(r) for r in state.select("id", "seq", "name", "city").collect()), key=key)
+        assert found == sorted(expected_state(feed_of(n)), key=key)
+
+
+def test_unfinished_batch_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "log")
+    sinks.write_batch(spark.range(5), path, 0)
+    sinks.write_batch(spark.range(5), path, 1)
+    os.remove(f"{path}/batch_id=1/_SUCCESS")
+    assert sinks.written_batches(spark, path) == [0]
+    assert sinks.read_batches(spark, path).count() == 5
