@@ -49,11 +49,16 @@ def padded_id(prefix: str, value: str | Column, width: int = 12) -> Column:
     return F.concat(F.lit(prefix), F.lpad(_col(value).cast("string"), width, "0"))
 
 
+# What is replaced, in this order, to turn quoted JSON back into JSON.
+UNESCAPE = [(r"\\", ""), (r'""', '"'), (r'"\{', "{"), (r'\}"', "}")]
+
+
 def unescape_json(value: str | Column) -> Column:
     """Turn a JSON document that was quoted as text back into JSON text."""
-    no_slashes = F.regexp_replace(_col(value), r"\\", "")
-    single_quotes = F.regexp_replace(no_slashes, '""', '"')
-    return F.regexp_replace(F.regexp_replace(single_quotes, r'"\{', "{"), r'\}"', "}")
+    text = _col(value)
+    for pattern, replacement in UNESCAPE:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 def map_values(value: str | Column, mapping: Mapping[str, int]) -> Column:

@@ -235,7 +235,7 @@ def sensor_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["turbine"] = """
-SELECT s_suppkey AS turbine_id, 'EpicWind' AS model, s_name AS location, n_name AS state
+SELECT s_suppkey AS turbine_id, 'standard' AS model, s_name AS location, n_name AS state
 FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
 
@@ -243,7 +243,7 @@ def turbine(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
         F.col("s_suppkey").alias("turbine_id"),
-        F.lit("EpicWind").alias("model"),
+        F.lit("standard").alias("model"),
         F.col("s_name").alias("location"),
         F.col("n_name").alias("state"),
     )

@@ -53,5 +53,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
-    shared_root(df.sparkSession)
+    root, context = shared_root(df.sparkSession), df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
     return df.checkpoint(eager=True)

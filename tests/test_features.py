@@ -200,3 +200,15 @@ def test_training_learns_a_simple_rule(spark):
     assert predict(model, unseen, ["id"]).count() == 2
     best = search(df, "label", ["x"], {"maxDepth": [1, 2], "maxIter": [2]}).bestModel
     assert predict(best, df, ["id", "label"]).filter("label = prediction").count() == 200
+
+
+def test_churn_chance_counts_rules(spark):
+    from lakepipe.plans.retail import with_churn_chance
+
+    columns = (
+        "order_count int, total_item int, event_count int, days_since_creation int, "
+        "platform string, country string, gender int, age_group int"
+    )
+    data = [(4, 5, 1, 10, "web", "FR", 0, 3), (5, 12, 4, 90, "ios", "USA", 0, 7), (2, 1, None, None, "android", None, 1, 2)]
+    found = with_churn_chance(spark.createDataFrame(data, columns))
+    assert [(r["matched_rules"], r["churn_chance"]) for r in found.collect()] == [(0, 25), (6, 85), (3, 85)]
