@@ -14,8 +14,8 @@ MAX_CATEGORIES = 1_000
 
 def learn_categories(
     df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES
-) -> dict[str, list]:
-    """Sorted distinct values of each column.
+) -> dict[str, list[str]]:
+    """Sorted distinct values of each column, as text.
 
     Indicator columns only make sense for few values: a column with clearly more
     than ``limit`` is refused before anything is collected.
@@ -24,13 +24,19 @@ def learn_categories(
     wide = {c: sizes[c] for c in columns if sizes[c] > limit}
     if wide:
         raise ValueError(f"too many categories for indicator columns: {wide}")
-    found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
-    return {c: list(found[c]) for c in columns}
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]
+    )
+    distinct = df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for row in distinct.filter(F.col("value").isNotNull()).orderBy("name", "value").collect():
+        found[row["name"]].append(row["value"])
+    return found
 
 
 def one_hot(
     df: DataFrame,
-    categories: Mapping[str, Sequence],
+    categories: Mapping[str, Sequence[str]],
     drop_first: bool = False,
     unknown: str | None = None,
 ) -> DataFrame:
@@ -41,10 +47,10 @@ def one_hot(
     indicators = []
     for column, values in categories.items():
         for value in values[1:] if drop_first else values:
-            hit = F.coalesce(F.col(column) == F.lit(value), F.lit(False))
+            hit = F.coalesce(F.col(column).cast("string") == F.lit(value), F.lit(False))
             indicators.append(hit.cast("long").alias(f"{column}_{value}"))
         if unknown:
-            known = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
+            known = F.coalesce(F.col(column).cast("string").isin(list(values)), F.lit(False))
             indicators.append((~known).cast("long").alias(f"{column}_{unknown}"))
     return df.select(*[c for c in df.columns if c not in categories], *indicators)
 

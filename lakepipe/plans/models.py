@@ -24,6 +24,7 @@ from lakepipe.functions.scalars import map_values
 from lakepipe.plans.registry import query, rounded, table
 from lakepipe.plans.retail import churn_features_of
 from lakepipe.plans.views import scored, telco, with_views
+from lakepipe.session import cut_lineage
 
 CATEGORICAL = ["contract", "gender", "internet_service", "payment_method"]
 # Fixed value: the label mapping.
@@ -303,7 +304,9 @@ NUMERIC = ["order_count", "total_amount", "event_count", "session_count", "age_g
 
 
 def _split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_split(churn_features_of(spark, sf_dir), "user_id")
+    """Checkpointed: the learners pass over the features many times."""
+    features = churn_features_of(spark, sf_dir).select("user_id", "churn", *NUMERIC, "country", "platform")
+    return cut_lineage(assign_split(features, "user_id"))
 
 
 @query("train_score_gbt")

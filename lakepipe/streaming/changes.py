@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakepipe.operators.changes import apply_changes_scd2, reduce_changes
 from lakepipe.sources.files import list_folders, path_exists
-from lakepipe.streaming.sinks import BATCH, drain, each_batch, read_batches, write_batch, written_batches
+from lakepipe.streaming.sinks import BATCH, drain, each_batch, last_batch, read_batches, write_batch
 
 
 def start_scd1(
@@ -89,7 +89,7 @@ def fold_changes(
     spark: SparkSession, target: str, keys: str | Sequence[str], sequence_by: str | Sequence[str]
 ) -> int:
     """Fold all logged batches into one base table (tombstones kept); returns the last batch folded."""
-    upto = max(written_batches(spark, f"{target}/changes"))
+    upto = last_batch(spark, f"{target}/changes")
     reduced = _reduced_log(spark, target, keys, sequence_by, upto)
     reduced.write.mode("overwrite").parquet(f"{target}/base/upto={upto}")
     return upto

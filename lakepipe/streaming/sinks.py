@@ -54,17 +54,22 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
-def written_batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batches whose write was completed."""
-    names = [n for n in list_folders(spark, path) if path_exists(spark, f"{path}/{n}/_SUCCESS")]
-    return sorted(int(n.split("=")[1]) for n in names)
-
-
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All completed batches, with their ``batch_id``; a batch being written is left out."""
-    last = max(written_batches(spark, path))
-    log = spark.read.option("mergeSchema", True).option("basePath", path).parquet(f"{path}/{BATCH}=*")
-    return log.filter(F.col(BATCH) <= last)
+def last_batch(spark: SparkSession, path: str) -> int:
+    """Number of the newest batch whose write was completed; batches are written one after another."""
+    numbers = sorted((int(n.split("=")[1]) for n in list_folders(spark, path)), reverse=True)
+    for number in numbers:
+        if path_exists(spark, f"{path}/{BATCH}={number}/_SUCCESS"):
+            return number
+    raise FileNotFoundError(f"no completed batch below {path}")
+
+
+def read_batches(spark: SparkSession, path: str, evolved: bool = False) -> DataFrame:
+    """All completed batches, with their ``batch_id``; a batch being written is left out.
+
+    ``evolved`` merges the schemas of all files, for logs that gained columns.
+    """
+    log = spark.read.option("mergeSchema", evolved).option("basePath", path).parquet(f"{path}/{BATCH}=*")
+    return log.filter(F.col(BATCH) <= last_batch(spark, path))
 
 
 def drain(queries: StreamingQuery | Iterable[StreamingQuery]) -> None:

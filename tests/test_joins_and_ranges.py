@@ -95,7 +95,7 @@ def test_running_totals_against_brute_force(spark, descending):
 
 def test_ranges_are_filled_evenly_and_ordered(spark):
     df = spark.range(10_000).withColumn("v", (F.col("id") % 997).cast("double"))
-    bounds = range_bounds(df, F.col("v"), 8)
+    bounds = range_bounds(df, F.col("v"), 8, 10_000)
     sizes = with_range(df, F.col("v"), bounds, "part").groupBy("part").agg(
         F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
