@@ -46,10 +46,17 @@ def rule_results(log: DataFrame, *keep: str) -> DataFrame:
         EXPECTATION_SCHEMA,
     )
     dropped = F.get_json_object("details", "$.flow_progress.data_quality.dropped_records")
+    written = F.get_json_object("details", "$.flow_progress.metrics.num_output_rows")
     return (
         log.filter(F.get_json_object("details", "$.flow_progress.metrics").isNotNull())
-        .select(*keep, dropped.cast("bigint").alias("dropped_records"), F.explode(results).alias("e"))
-        .select(*keep, "dropped_records", "e.*")
+        .select(
+            *keep,
+            F.get_json_object("details", "$.flow_progress.status").alias("status_update"),
+            written.cast("bigint").alias("output_records"),
+            dropped.cast("bigint").alias("dropped_records"),
+            F.explode(results).alias("e"),
+        )
+        .select(*keep, "status_update", "output_records", "dropped_records", "e.*")
     )
 
 

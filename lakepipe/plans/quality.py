@@ -111,7 +111,8 @@ def feed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dq_results",
-    with_views("SELECT day, dataset, name, passed_records, failed_records, dropped_records FROM daily_metrics", *DAILY_VIEWS),
+    with_views("SELECT day, dataset, name, passed_records, failed_records, dropped_records, output_records, "
+        "'COMPLETED' AS status_update FROM daily_metrics", *DAILY_VIEWS),
 )
 def dq_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule results read back from the JSON of the log."""

@@ -23,7 +23,14 @@ from lakepipe.plans.views import cdc_feed_of, with_views
 from lakepipe.session import scratch_path
 from lakepipe.sinks.tables import compact, rewrite_without, write_files
 from lakepipe.sources.files import read_files, stream_files
-from lakepipe.streaming.changes import read_scd1, read_scd2, start_scd1, start_scd2
+from lakepipe.streaming.changes import (
+    read_scd1,
+    read_scd2,
+    read_versions,
+    refresh_scd2,
+    start_scd1,
+    start_scd2,
+)
 from lakepipe.streaming.ingest import ingest_folder
 from lakepipe.streaming.quality import read_metrics, start_checked
 from lakepipe.streaming.sinks import append_stream, drain
@@ -180,16 +187,24 @@ def stream_scd1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "stream-scd2")
     feed = changes_of(cdc_feed_of(table_stream(spark, sf_dir, "events")))
-    drain(start_scd2(feed, f"{root}/target", f"{root}/checkpoint"))
-    history = read_scd2(
-        spark,
-        f"{root}/target",
-        KEYS,
-        SEQUENCE,
-        apply_as_deletes=IS_DELETE,
-        except_columns=[*HIDDEN, "operation_date"],
+    target = f"{root}/target"
+    drain(start_scd2(feed, target, f"{root}/checkpoint", KEYS))
+    hidden = [*HIDDEN, "operation_date"]
+    return plain_versions(
+        read_scd2(spark, target, KEYS, SEQUENCE, apply_as_deletes=IS_DELETE, except_columns=hidden)
     )
-    return plain_versions(history)
+
+
+@query("stream_scd2_stored", SCD2_SQL)
+def stream_scd2_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as a stored table that is refreshed bucket by bucket."""
+    root = scratch_path(spark, "stream-scd2-stored")
+    feed = changes_of(cdc_feed_of(table_stream(spark, sf_dir, "events")))
+    target = f"{root}/target"
+    drain(start_scd2(feed, target, f"{root}/checkpoint", KEYS, buckets=4 * shuffle_width(spark)))
+    hidden = [*HIDDEN, "operation_date"]
+    refresh_scd2(spark, target, KEYS, SEQUENCE, apply_as_deletes=IS_DELETE, except_columns=hidden)
+    return plain_versions(read_versions(spark, target))
 
 
 @query(

@@ -23,6 +23,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def list_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the sub-folders: one dataset each in a landing zone."""
     fs, p = _file_system(spark, path)

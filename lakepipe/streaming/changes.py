@@ -4,7 +4,8 @@ Every micro-batch appends its changes as a folder of the target's change log; st
 is a reduction over that log when it is read. A micro-batch costs what its own rows
 cost, never a rewrite of the target; a replayed batch replaces its own folder; late
 changes need no special case because order comes from the sequence alone.
-``fold_changes`` compresses the log from time to time.
+``fold_changes`` (current state) and ``refresh_scd2`` (history) are batch jobs that
+store what the log adds up to, so that readers need not derive it each time.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakepipe.operators.changes import apply_changes_scd2, reduce_changes
-from lakepipe.sources.files import list_folders, path_exists
+from lakepipe.sources.files import delete_folder, list_folders, path_exists
 from lakepipe.streaming.sinks import BATCH, drain, each_batch, last_batch, read_batches, write_batch
 
+BUCKET = "__bucket"
+BUCKETS = 256
+
 
 def start_scd1(
     stream: DataFrame,
@@ -122,12 +126,20 @@ def apply_folders(
 
 
 def start_scd2(
-    stream: DataFrame, target: str, checkpoint: str, every: str | None = None
+    stream: DataFrame,
+    target: str,
+    checkpoint: str,
+    keys: str | Sequence[str],
+    buckets: int = BUCKETS,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Log every change of the stream; versions are derived when read."""
+    """Log every change of the stream, foldered by a hash bucket of the key."""
+    names = [keys] if isinstance(keys, str) else list(keys)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{target}/changes", batch_id)
+        placed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
+        # rows of a bucket go together, adaptive execution merges small ones and splits a hot one
+        write_batch(placed.hint("rebalance", BUCKET), f"{target}/changes", batch_id, [BUCKET])
 
     return each_batch(stream, handle, checkpoint, every=every)
 
@@ -139,6 +151,51 @@ def read_scd2(
     sequence_by: str | Sequence[str],
     **options,
 ) -> DataFrame:
-    """History of a target fed by ``start_scd2``; late changes split the version they fall into."""
-    feed = read_batches(spark, f"{target}/changes").drop(BATCH)
+    """History derived from the whole log; late changes split the version they fall into."""
+    feed = read_batches(spark, f"{target}/changes").drop(BATCH, BUCKET)
     return apply_changes_scd2(feed, keys, sequence_by, **options)
+
+
+def refresh_scd2(
+    spark: SparkSession,
+    target: str,
+    keys: str | Sequence[str],
+    sequence_by: str | Sequence[str],
+    **options,
+) -> int:
+    """Bring the stored versions up to the newest batch; only buckets with new changes are redone.
+
+    Their versions are derived again from the full log of these buckets, so late
+    changes are handled, and replace the old folders of the same buckets. A
+    refresh that was cut short is simply run again. Returns the last batch seen.
+    """
+    versions, marks = f"{target}/versions", f"{target}/refreshed"
+    log = read_batches(spark, f"{target}/changes")
+    upto = last_batch(spark, f"{target}/changes")
+    done = last_batch(spark, marks) if path_exists(spark, marks) else -1
+    if done >= upto:
+        return upto
+    # at most one row per bucket
+    new = log.filter((F.col(BATCH) > done) & (F.col(BATCH) <= upto)).select(BUCKET).distinct()
+    touched = sorted(r[0] for r in new.collect())
+    feed = log.filter(F.col(BUCKET).isin(touched) & (F.col(BATCH) <= upto)).drop(BATCH)
+    names = [BUCKET, *([keys] if isinstance(keys, str) else keys)]
+    redone = apply_changes_scd2(feed, names, sequence_by, **options).withColumn("__upto", F.lit(upto))
+    (
+        redone.hint("rebalance", BUCKET)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(BUCKET)
+        .parquet(versions)
+    )
+    left = spark.read.parquet(versions).filter(F.col(BUCKET).isin(touched) & (F.col("__upto") < upto))
+    for row in left.select(BUCKET).distinct().collect():
+        # every version of the bucket is gone, so nothing was written over the old ones
+        delete_folder(spark, f"{versions}/{BUCKET}={row[0]}")
+    write_batch(new, marks, upto)
+    return upto
+
+
+def read_versions(spark: SparkSession, target: str) -> DataFrame:
+    """The versions stored by the last ``refresh_scd2``."""
+    return spark.read.parquet(f"{target}/versions").drop(BUCKET, "__upto")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +49,9 @@ def each_batch(
     return with_trigger(writer, every).start()
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
     """Write one micro-batch to its own folder; a replayed batch replaces itself."""
-    df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/{BATCH}={batch_id}")
 
 
 def last_batch(spark: SparkSession, path: str) -> int:

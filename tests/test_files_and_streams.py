@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from test_changes import DELETE, SCHEMA, expected_history, expected_state, feed_of, history, key
+from test_changes import DELETE, SCHEMA, expected_history, expected_state, feed_of, key
 
 from lakepipe import session
 from lakepipe.operators.changes import apply_changes_scd2
@@ -234,7 +234,7 @@ def test_streamed_changes_equal_brute_force(spark, tmp_path, parts):
     assert state() == wanted
 
     target = str(tmp_path / "scd2")
-    sinks.drain(changes.start_scd2(stream, target, str(tmp_path / "cp2")))
+    sinks.drain(changes.start_scd2(stream, target, str(tmp_path / "cp2"), "id"))
     found = changes.read_scd2(spark, target, "id", "seq", apply_as_deletes=DELETE, except_columns=["op", "seq"])
     got = sorted((tuple(r) for r in found.select("id", "name", "city", "start_at", "end_at").collect()), key=key)
     assert got == sorted(expected_history(feed), key=key)
@@ -318,16 +318,42 @@ def test_hourly_stream_updates_windows_and_drops_late_rows(spark, tmp_path):
     assert arrive(3, (1, 100.0)) == [(1, 1.0), (2, 6.0)]
 
 
-def test_batch_history_of_streamed_log(spark, tmp_path):
+def test_stored_history_is_refreshed_by_bucket(spark, tmp_path):
+    folder, target = tmp_path / "in", str(tmp_path / "t")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    options = {"apply_as_deletes": DELETE, "except_columns": ["op", "seq"], "tie_breaker": "name"}
+    seen = []
+
+    def arrive(n, feed):
+        seen.extend(feed)
+        write_lines(folder, f"{n}.json", [dict(zip(names, c)) for c in feed])
+        stream = files.stream_files(spark, str(folder), "json", SCHEMA)
+        sinks.drain(changes.start_scd2(stream, target, str(tmp_path / "cp"), "id", buckets=4))
+        assert changes.refresh_scd2(spark, target, "id", "seq", **options) == n
+        assert changes.refresh_scd2(spark, target, "id", "seq", **options) == n
+        stored = changes.read_versions(spark, target)
+        derived = apply_changes_scd2(spark.createDataFrame(seen, SCHEMA), "id", "seq", **options)
+        assert rows(stored, *derived.columns) == rows(derived)
+        return {r["__bucket"]: r["__upto"] for r in spark.read.parquet(f"{target}/versions").collect()}
+
     feed = feed_of(40)
-    df = spark.createDataFrame(feed, SCHEMA)
-    sinks.write_batch(df.filter("seq % 2 = 0"), str(tmp_path / "t" / "changes"), 0)
-    sinks.write_batch(df.filter("seq % 2 = 1"), str(tmp_path / "t" / "changes"), 1)
-    found = changes.read_scd2(
-        spark, str(tmp_path / "t"), "id", "seq", apply_as_deletes=DELETE, except_columns=["op", "seq"], track_history_on=["city"]
-    )
-    wanted = apply_changes_scd2(df, "id", "seq", DELETE, ["op", "seq"], track_history_on=["city"])
-    assert rows(found, *wanted.columns) == rows(wanted) and len(history(df)) >= wanted.count()
+    assert set(arrive(0, feed[::2]).values()) == {0}
+    assert set(arrive(1, feed[1::2]).values()) == {1}
+    # one key only: the other buckets keep their folders
+    assert sorted(set(arrive(2, [(3, "UPDATE", 5000, "n", "p")]).values())) == [1, 2]
+
+
+def test_bucket_whose_versions_all_vanish(spark, tmp_path):
+    target = str(tmp_path / "t")
+    columns = SCHEMA + ", __bucket int"
+    options = {"apply_as_deletes": DELETE, "tie_breaker": "name"}
+    sinks.write_batch(spark.createDataFrame([(1, "UPDATE", 1, "a", "p", 0), (2, "UPDATE", 1, "a", "p", 1)], columns), f"{target}/changes", 0, ["__bucket"])
+    changes.refresh_scd2(spark, target, "id", "seq", **options)
+    assert changes.read_versions(spark, target).count() == 2
+    # a delete at the same sequence wins the tie
+    sinks.write_batch(spark.createDataFrame([(1, "DELETE", 1, "z", "p", 0)], columns), f"{target}/changes", 1, ["__bucket"])
+    changes.refresh_scd2(spark, target, "id", "seq", **options)
+    assert rows(changes.read_versions(spark, target), "id") == [(2,)]
 
 
 def test_new_fields_are_rescued_then_added(spark, landing, tmp_path):
