@@ -212,3 +212,23 @@ def test_churn_chance_counts_rules(spark):
     data = [(4, 5, 1, 10, "web", "FR", 0, 3), (5, 12, 4, 90, "ios", "USA", 0, 7), (2, 1, None, None, "android", None, 1, 2)]
     found = with_churn_chance(spark.createDataFrame(data, columns))
     assert [(r["matched_rules"], r["churn_chance"]) for r in found.collect()] == [(0, 25), (6, 85), (3, 85)]
+
+
+def test_models_run_where_the_package_is_not_installed(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from lakepipe.plans.turbines import _faulty
+
+    packed = tmp_path / "model.pkl"
+    packed.write_bytes(cloudpickle.dumps(rule_model(_faulty, "bad", "ok")))
+    code = (
+        "import pickle, sys, pandas as pd; f = pickle.load(open(sys.argv[1], 'rb'));"
+        "print(list(f(pd.DataFrame({'avg_energy': [1.0], 'std_sensor_A': [1.0], 'state': ['x']}))))"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", code, str(packed)], capture_output=True, text=True, cwd=tmp_path, timeout=60
+    )
+    assert done.stdout.strip() == "['bad']", done.stderr
