@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,30 +12,28 @@ from pyspark.sql import types as T
 from lakepipe.functions.scalars import unescape_json, wrap_json
 
 
+_TYPE_PARTS = re.compile(
+    r"(?P<name>`(?:[^`]|``)*`|\w+(?=:))|DECIMAL\((?P<digits>\d+),(?P<scale>\d+)\)|(?P<word>OBJECT<>|\w+)"
+)
+_TYPE_WORDS = {"OBJECT<>": "STRING", "OBJECT": "STRUCT", "VARIANT": "STRING", "VOID": "STRING"}
+
+
 def _readable(variant_type: str) -> str:
-    """A variant schema as a type that ``from_json`` accepts; mixed values stay text."""
-    out, i = [], 0
-    words = {"OBJECT": "STRUCT", "VARIANT": "STRING", "VOID": "STRING"}
-    while i < len(variant_type):
-        ch = variant_type[i]
-        if ch == "`":
-            end = i + 1
-            while variant_type[end] != "`" or variant_type[end + 1 : end + 2] == "`":
-                end += 2 if variant_type[end] == "`" else 1
-            out.append(variant_type[i : end + 1])
-            i = end + 1
-        elif ch.isalnum() or ch == "_":
-            end = i
-            while end < len(variant_type) and (variant_type[end].isalnum() or variant_type[end] == "_"):
-                end += 1
-            word = variant_type[i:end]
-            is_name = variant_type[end : end + 1] == ":"
-            out.append(f"`{word}`" if is_name else words.get(word, word))
-            i = end
-        else:
-            out.append(ch)
-            i += 1
-    return "".join(out).replace("STRUCT<>", "STRING")
+    """A variant schema as a type that ``from_json`` accepts.
+
+    Mixed values stay text; fractions become doubles, as in Spark's own JSON
+    inference, and only whole numbers too long for a bigint stay decimals.
+    """
+
+    def part(found: re.Match) -> str:
+        if found["name"]:
+            return found["name"] if found["name"].startswith("`") else f"`{found['name']}`"
+        if found["digits"]:
+            whole = found["scale"] == "0" and int(found["digits"]) > 18
+            return found[0] if whole else "DOUBLE"
+        return _TYPE_WORDS.get(found["word"], found["word"])
+
+    return _TYPE_PARTS.sub(part, variant_type)
 
 
 def infer_json_type(df: DataFrame, column: str | Column) -> str | None:

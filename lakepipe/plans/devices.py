@@ -105,8 +105,7 @@ def device_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payload_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payload table of the feed: JSON text inside JSON text, both types inferred."""
     payload = package(spark, sf_dir).drop("PackageTrace")
-    parsed = parse_two_levels(payload, "SerializedJsonObject", "SerializedJsonData")
-    return parsed.withColumn("Quantity", F.col("Quantity").cast("double"))
+    return parse_two_levels(payload, "SerializedJsonObject", "SerializedJsonData")
 
 
 @query(
@@ -117,8 +116,7 @@ def json_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.to_json(F.struct("user_id", "value"))
     document = F.to_json(F.struct(F.col("event_type").alias("kind"), inner.alias("inner")))
     events = table(spark, sf_dir, "events").select("event_id", document.alias("document"))
-    parsed = parse_two_levels(events, "document", "inner")
-    return parsed.withColumn("value", F.col("value").cast("double"))
+    return parse_two_levels(events, "document", "inner")
 
 
 @query(

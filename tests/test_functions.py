@@ -137,9 +137,17 @@ def test_json_names_with_blanks_and_type_words(spark):
     assert parsed["a b"] == 1 and parsed["OBJECT"]["x`y"] is True and parsed["OBJECT"]["VOID"] is None
 
 
+def test_numbers_are_typed_like_spark_types_json(spark):
+    docs = ['{"a": 1, "b": 1.5, "c": 23.0, "d": 12345678901234567890123, "e": {}}', '{"a": 2.25, "b": 7}']
+    df = spark.createDataFrame([(d,) for d in docs], "o string")
+    parsed = nested.parse_json_columns(df, "o").select("o.*")
+    assert dict(parsed.dtypes) == {"a": "double", "b": "double", "c": "double", "d": "decimal(23,0)", "e": "string"}
+    assert [(r["a"], r["b"], r["c"]) for r in parsed.collect()] == [(1.0, 1.5, 23.0), (2.25, 7.0, None)]
+
+
 def test_infer_json_type(spark):
     df = spark.createDataFrame([('{"a": 1}',), ('{"b": [1.5]}',)], "o string")
-    assert nested.infer_json_type(df, "o") == "STRUCT<`a`: BIGINT, `b`: ARRAY<DECIMAL(2,1)>>"
+    assert nested.infer_json_type(df, "o") == "STRUCT<`a`: BIGINT, `b`: ARRAY<DOUBLE>>"
     assert nested.infer_json_type(df.limit(0), "o") is None
 
 
