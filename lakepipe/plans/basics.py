@@ -105,7 +105,8 @@ def filter_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "dropna_any",
     with_views(
-        "SELECT id, balance, arrears_balance FROM txs WHERE id IS NOT NULL AND balance IS NOT NULL AND arrears_balance IS NOT NULL",
+        """SELECT id, balance, arrears_balance FROM txs
+           WHERE id IS NOT NULL AND balance IS NOT NULL AND arrears_balance IS NOT NULL""",
         "txs",
     ),
 )
@@ -148,7 +149,7 @@ def limit_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview(table(spark, sf_dir, "events").select("event_id", "value").orderBy("event_id"))
 
 
-@query("shuffle_rows")
+@query("shuffle_rows", "SELECT o_orderkey FROM orders")
 def shuffle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled(table(spark, sf_dir, "orders").select("o_orderkey"), seed=3)
 
@@ -215,7 +216,8 @@ def layout_clustered_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "concat_pad",
-    "SELECT c_custkey, 'DEV' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS device, '{\"data\": ' || c_custkey || '}' AS wrapped FROM customer",
+    """SELECT c_custkey, 'DEV' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS device,
+              '{"data": ' || c_custkey || '}' AS wrapped FROM customer""",
 )
 def concat_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
@@ -227,7 +229,8 @@ def concat_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "arith_round",
-    "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * 2 + 1, 0) AS doubled, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem",
+    """SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * 2 + 1, 0) AS doubled,
+              round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem""",
 )
 def arith_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
@@ -288,11 +291,37 @@ def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ids(table(spark, sf_dir, "orders").select("o_orderkey"))
 
 
+@query(
+    "unique_ids_check",
+    "SELECT count(*) AS n_rows, count(*) AS uuids, count(*) AS numbers FROM orders",
+)
+def unique_ids_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No generated id occurs twice."""
+    return unique_ids(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("uuid").alias("uuids"),
+        F.count_distinct("row_number").alias("numbers"),
+    )
+
+
 @query("uniform_random")
 def uniform_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(uniform(9) * 1000).alias("amount"))
 
 
+@query(
+    "uniform_random_check",
+    "SELECT count(*) AS n_rows, count(*) AS in_range, true AS centered FROM orders",
+)
+def uniform_random_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw lies in the range, and their mean in its middle."""
+    return uniform_random(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("amount").between(0, 1000)).alias("in_range"),
+        F.avg("amount").between(450, 550).alias("centered"),
+    )
+
+
 @query(
     "replicate_rows",
     """SELECT c_custkey, CAST(n AS INTEGER) AS copy FROM customer,

@@ -74,35 +74,40 @@ def expect_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.metrics(table(spark, sf_dir, "events")).select("name", "passed_records", "failed_records")
 
 
-@query("cdc_clean", with_views("SELECT id, operation, operation_date, event_id, value, props FROM cdc_feed WHERE id IS NOT NULL AND operation IN ('APPEND', 'DELETE', 'UPDATE') AND _rescued_data IS NULL", "cdc_feed"))
+@query(
+    "cdc_clean",
+    with_views(
+        """SELECT id, operation, operation_date, event_id, value, props FROM cdc_feed
+           WHERE id IS NOT NULL AND operation IN ('APPEND', 'DELETE', 'UPDATE') AND _rescued_data IS NULL""",
+        "cdc_feed",
+    ),
+)
 def cdc_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CDC_RULES.apply(cdc_feed(spark, sf_dir)).drop("_rescued_data")
 
 
-SQL["feed_counts"] = """
-SELECT count(*) AS total, count(*) FILTER (id IS NOT NULL) AS ok_id,
+_COUNTED = """count(*) AS total, count(*) FILTER (id IS NOT NULL) AS ok_id,
        count(*) FILTER (operation IN ('APPEND', 'DELETE', 'UPDATE')) AS ok_operation,
        count(*) FILTER (_rescued_data IS NULL) AS ok_json,
        count(*) FILTER (id IS NOT NULL AND operation IN ('APPEND', 'DELETE', 'UPDATE')
-                        AND _rescued_data IS NULL) AS kept
-FROM cdc_feed"""
-SQL["feed_metrics"] = """
-SELECT 'customers_cdc_clean' AS dataset, name, 'drop' AS action, passed AS passed_records,
-       total - passed AS failed_records, total - kept AS dropped_records, kept AS output_records
-FROM feed_counts, LATERAL (VALUES ('valid_id', ok_id), ('valid_operation', ok_operation),
+                        AND _rescued_data IS NULL) AS kept"""
+_PER_RULE = """'customers_cdc_clean' AS dataset, name, 'drop' AS action, passed AS passed_records,
+       total - passed AS failed_records, total - kept AS dropped_records, kept AS output_records"""
+_RULE_VALUES = """LATERAL (VALUES ('valid_id', ok_id), ('valid_operation', ok_operation),
                                   ('valid_json_schema', ok_json)) r(name, passed)"""
 
+SQL["feed_counts"] = f"SELECT {_COUNTED} FROM cdc_feed"
+SQL["feed_metrics"] = f"SELECT {_PER_RULE} FROM feed_counts, {_RULE_VALUES}"
+SQL["daily_counts"] = f"SELECT substr(operation_date, 1, 10) AS day, {_COUNTED} FROM cdc_feed GROUP BY day"
+SQL["daily_metrics"] = f"SELECT day, {_PER_RULE} FROM daily_counts, {_RULE_VALUES}"
+DAILY_VIEWS = ("cdc_feed", "daily_counts", "daily_metrics")
+
 
 @query("dq_metrics", with_views("SELECT * FROM feed_metrics", "cdc_feed", "feed_counts", "feed_metrics"))
 def dq_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CDC_RULES.metrics(cdc_feed(spark, sf_dir))
 
 
-SQL["daily_counts"] = SQL["feed_counts"].replace("SELECT count(*)", "SELECT substr(operation_date, 1, 10) AS day, count(*)", 1) + "\nGROUP BY day"
-SQL["daily_metrics"] = SQL["feed_metrics"].replace("SELECT 'cus", "SELECT day, 'cus", 1).replace("feed_counts", "daily_counts")
-DAILY_VIEWS = ("cdc_feed", "daily_counts", "daily_metrics")
-
-
 def feed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log with one progress event per day of the feed."""
     feed = cdc_feed(spark, sf_dir).withColumn("day", F.substring("operation_date", 1, 10))

@@ -93,7 +93,12 @@ def sensor_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("epoch_to_ts", with_views('SELECT turbine_id, make_timestamp("timestamp" * 1000000) AS at FROM sensor_bronze', "sensor_bronze"))
+@query(
+    "epoch_to_ts",
+    with_views(
+        'SELECT turbine_id, make_timestamp("timestamp" * 1000000) AS at FROM sensor_bronze', "sensor_bronze"
+    ),
+)
 def epoch_to_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     readings = sensor_bronze(spark, sf_dir)
     return readings.select("turbine_id", plain_time(epoch_to_timestamp("timestamp")).alias("at"))
@@ -144,7 +149,8 @@ def turbine_training_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "star_except",
     with_views(
-        "SELECT m.* EXCLUDE (avg_energy), t.* EXCLUDE (turbine_id, model) FROM sensor_daily m JOIN turbine t ON m.turbine_id = t.turbine_id",
+        """SELECT m.* EXCLUDE (avg_energy), t.* EXCLUDE (turbine_id, model)
+           FROM sensor_daily m JOIN turbine t ON m.turbine_id = t.turbine_id""",
         "sensor_bronze",
         "sensor_daily",
         "turbine",
