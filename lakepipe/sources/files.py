@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,25 +187,43 @@ def stream_files(
     return _load(spark.readStream, path, fmt, schema, rescue, chosen)
 
 
+def _does_not_fit(raw: Column, typed: Column, kind: T.DataType) -> Column:
+    """True when the JSON text ``raw`` holds something that ``typed`` has lost, at any depth."""
+    lost = typed.isNull()
+    if isinstance(kind, T.StructType):
+        fields = F.from_json(raw, "map<string,string>")
+        unknown = F.map_filter(fields, lambda k, v: v.isNotNull() & ~k.isin(kind.names))
+        lost = lost | (F.size(unknown) > 0)
+        for f in kind.fields:
+            lost = lost | _does_not_fit(fields[f.name], typed.getField(f.name), f.dataType)
+    elif isinstance(kind, T.ArrayType):
+        items = F.from_json(raw, "array<string>")
+        pairs = F.zip_with(items, typed, lambda r, t: _does_not_fit(r, t, kind.elementType))
+        lost = lost | F.exists(pairs, lambda p: p)
+    return raw.isNotNull() & F.coalesce(lost, F.lit(False))
+
+
 def rescue_fields(
     lines: DataFrame, schema: T.StructType | str, text: str = "value", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Parse JSON lines and rescue single fields instead of whole records.
 
     ``_rescued_data`` holds, as JSON, the fields that the schema does not name
-    and those whose value does not fit their type; a line that is no JSON object
-    is kept whole. The other fields are delivered as usual.
+    and those that do not fit their type, also somewhere inside; a line that is
+    no JSON object is kept whole. The other fields are delivered as usual.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     parsed = lines.withColumns(
         {"__raw": F.from_json(text, "map<string,string>"), "__typed": F.from_json(text, schema)}
     )
-    def unfit(key, value):
-        fails = F.lit(False)
-        for name in schema.names:
-            fails = fails | ((key == name) & F.col("__typed").getField(name).isNull())
-        return value.isNotNull() & (~key.isin(schema.names) | fails)
+
+    def unfit(key: Column, value: Column) -> Column:
+        fails = ~key.isin(schema.names)
+        for f in schema.fields:
+            typed = F.col("__typed").getField(f.name)
+            fails = fails | ((key == f.name) & _does_not_fit(value, typed, f.dataType))
+        return value.isNotNull() & fails
 
     leftover = F.map_filter("__raw", unfit)
     rescued = F.when(F.col("__raw").isNull(), F.col(text)).when(

@@ -66,9 +66,9 @@ def test_rescue_keeps_whole_records(spark, tmp_path):
 
 def test_rescue_of_single_fields(spark):
     lines = ['{"id": 1, "v": 2.5}', '{"id": "abc", "v": 1.0}', '{"id": 3, "new": {"x": 1}}', "no json", '{"id": null}']
-    df = spark.createDataFrame([(x,) for x in lines], "value string")
-    found = {r["n"]: r for r in files.rescue_fields(df.withColumn("n", F.monotonically_increasing_id()), "id int, v double", keep=["n"]).collect()}
-    result = [(r["id"], r["v"], r["_rescued_data"]) for _, r in sorted(found.items())]
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+    found = files.rescue_fields(df, "id int, v double", keep=["n"]).orderBy("n").collect()
+    result = [(r["id"], r["v"], r["_rescued_data"]) for r in found]
     assert result[0] == (1, 2.5, None)
     assert result[1] == (None, 1.0, '{"id":"abc"}')
     assert result[2][0] == 3 and json.loads(result[2][2]) == {"new": '{"x":1}'}
@@ -76,6 +76,22 @@ def test_rescue_of_single_fields(spark):
     assert result[4] == (None, None, None)
 
 
+def test_rescue_inside_nested_fields(spark):
+    lines = [
+        '{"id": 1, "a": {"b": 2, "c": "x"}, "l": [{"n": 1}, {"n": null}]}',
+        '{"id": 2, "a": {"b": "bad", "c": "x"}}',
+        '{"id": 3, "a": {"b": 2, "new": true}}',
+        '{"id": 4, "l": [{"n": 1}, {"n": "bad"}]}',
+        '{"id": 5, "l": [{"n": 1, "m": 2}], "a": null}',
+        '{"id": 6, "l": "no list", "a": {}}',
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    schema = "id int, a struct<b: int, c: string>, l array<struct<n: int>>"
+    found = {r["id"]: r["_rescued_data"] for r in files.rescue_fields(df, schema).collect()}
+    kept = {i: sorted(json.loads(text)) if text else None for i, text in found.items()}
+    assert kept == {1: None, 2: ["a"], 3: ["a"], 4: ["l"], 5: ["l"], 6: ["l"]}
+
+
 def test_delimited_table(spark):
     df = spark.createDataFrame([(" a , 1,x",), ("b,n/a,",)], "value string")
     assert rows(files.delimited_table(df, "k string, n int, t string")) == [("a", 1, "x"), ("b", None, None)]
