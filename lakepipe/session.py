@@ -16,6 +16,20 @@ SESSION_CONF = {
     "spark.ui.enabled": "false",
 }
 
+# For large inputs, on top: pass to ``build_session(conf=...)`` or to spark-submit.
+CLUSTER_CONF = {
+    # start wide, adaptive execution merges what turns out small
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    # fewer, larger input splits
+    "spark.sql.files.maxPartitionBytes": "512m",
+    # stream state on disk instead of in executor memory
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
 
 def build_session(
     app: str = "lakepipe", master: str | None = None, conf: dict[str, str] | None = None

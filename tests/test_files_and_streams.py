@@ -415,3 +415,8 @@ def test_unfinished_batch_is_not_read(spark, tmp_path):
     os.remove(f"{path}/batch_id=1/_SUCCESS")
     assert sinks.last_batch(spark, path) == 0
     assert sinks.read_batches(spark, path).count() == 5
+
+
+def test_cluster_settings_are_known_to_spark(spark):
+    for name in session.CLUSTER_CONF:
+        spark.conf.get(name)
