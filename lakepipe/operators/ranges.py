@@ -196,7 +196,11 @@ def running_totals(
     number = order_number(df, order_by)
     if descending:
         number = -number
-    bounds = range_bounds(df, number, ranges or shuffle_width(df.sparkSession), df.count())
+    rows = df.count()
+    if ranges is None:
+        needed = math.ceil(rows / MAX_ROWS_PER_GROUP)
+        ranges = min(MAX_RANGES, max(shuffle_width(df.sparkSession), needed))
+    bounds = range_bounds(df, number, ranges, rows)
     ranged = with_range(df, number, bounds, "__part")
     order = F.col(order_by).desc() if descending else F.col(order_by).asc()
     inside = Window.partitionBy(*within, "__part").orderBy(order)
