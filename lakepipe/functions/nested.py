@@ -46,6 +46,24 @@ def infer_json_type(df: DataFrame, column: str | Column) -> str | None:
     return None if found in (None, "VOID", "VARIANT") else _readable(found)
 
 
+def _wrapped_types(df: DataFrame, texts: Sequence[Column]) -> list[str]:
+    """Types of the wrapped documents of several text columns, from one pass over the rows."""
+    found = df.agg(
+        *[
+            F.schema_of_variant_agg(F.try_parse_json(wrap_json(text))).alias(f"k{i}")
+            for i, text in enumerate(texts)
+        ]
+    ).first()
+    return [
+        _readable(kind) if kind and kind.startswith("OBJECT") else "STRUCT<`data`: STRING>"
+        for kind in found
+    ]
+
+
+def _unwrapped(text: Column, wrapped_type: str) -> Column:
+    return F.from_json(wrap_json(text), wrapped_type)["data"]
+
+
 def parse_json_columns(df: DataFrame, *columns: str) -> DataFrame:
     """Replace JSON text columns by typed columns of an inferred type.
 
@@ -55,18 +73,8 @@ def parse_json_columns(df: DataFrame, *columns: str) -> DataFrame:
     """
     if not columns:
         return df
-    kinds = df.agg(
-        *[
-            F.schema_of_variant_agg(F.try_parse_json(wrap_json(c))).alias(f"k{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
-    parsed = {}
-    for i, c in enumerate(columns):
-        kind = kinds[f"k{i}"]
-        wrapped = _readable(kind) if kind and kind.startswith("OBJECT") else "STRUCT<`data`: STRING>"
-        parsed[c] = F.from_json(wrap_json(c), wrapped)["data"]
-    return df.withColumns(parsed)
+    types = _wrapped_types(df, [F.col(c) for c in columns])
+    return df.withColumns({c: _unwrapped(F.col(c), t) for c, t in zip(columns, types)})
 
 
 def parse_with(column: str, schema: str | T.DataType) -> Column:
@@ -115,9 +123,15 @@ def explode_rows(df: DataFrame, column: str, out: str | None = None, keep_empty:
 
 
 def parse_two_levels(df: DataFrame, outer: str, inner: str) -> DataFrame:
-    """Parse a JSON column, expand it, parse the JSON text found inside, expand that too."""
-    first = expand(parse_json_columns(df, outer), outer)
-    return expand(parse_json_columns(first, inner), inner)
+    """Parse a JSON column, expand it, parse the JSON text found inside, expand that too.
+
+    Both types come from the same pass: the inner text is read out of the parsed document.
+    """
+    document = F.try_parse_json(F.col(outer))
+    inner_text = F.try_variant_get(document, f'$["{inner}"]', "string")
+    outer_type, inner_type = _wrapped_types(df, [F.col(outer), inner_text])
+    first = expand(df.withColumn(outer, _unwrapped(F.col(outer), outer_type)), outer)
+    return expand(first.withColumn(inner, _unwrapped(F.col(inner), inner_type)), inner)
 
 
 def join_arrays(columns: Sequence[str]) -> Column:
