@@ -51,3 +51,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     """Join condition on (_id, _h) that also meets null ids."""
     return left["_id"].eqNullSafe(right["_id"]) & (left["_h"] == right["_h"])
+
+
+def join_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on (_id, _h), null ids included; the right side's key columns go."""
+    other = right.withColumnsRenamed({"_id": "_gid", "_h": "_gh"})
+    on = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_h") == F.col("_gh"))
+    joined = left.join(other, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop("_gid", "_gh")

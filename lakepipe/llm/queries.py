@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakepipe.llm import exact_dedup, licenses, oracle, url_filter
+from lakepipe.llm import decontaminate, exact_dedup, language, licenses, minhash, oracle, sentence_spans, url_filter
 from lakepipe.llm.common import read
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +17,31 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(read(spark, sf_dir, "documents"), size=3, percent=85).drop("_h")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).drop("items")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out()))
+    unseen = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.identify(unseen, model, carry=["held_out"])
+
+
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = sentence_spans.remove_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -27,6 +49,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: name -> (run, SQL twin or None)
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op1_license_scan": (op1_license_scan, None),
+    "op2_minhash_near_dedup": (op2_minhash_near_dedup, oracle.NEAR_DEDUP),
+    "op4_decontaminate": (op4_decontaminate, oracle.DECONTAMINATE),
     "op6_url_filter": (op6_url_filter, oracle.URL_FILTER),
+    "op7_language_id": (op7_language_id, None),
+    "op8_sentence_spans": (op8_sentence_spans, None),
     "op9_exact_dedup": (op9_exact_dedup, oracle.EXACT_DEDUP),
 }
