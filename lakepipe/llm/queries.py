@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakepipe.llm import decontaminate, exact_dedup, language, licenses, minhash, oracle, sentence_spans, url_filter
+from lakepipe.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    licenses,
+    minhash,
+    oracle,
+    sentence_spans,
+    suffix_buckets,
+    url_filter,
+)
 from lakepipe.llm.common import read
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +56,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_buckets.remove_repeated_bytes(read(spark, sf_dir, "documents"))
+
+
 #: name -> (run, SQL twin or None)
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op1_license_scan": (op1_license_scan, None),
@@ -55,4 +69,5 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "op7_language_id": (op7_language_id, None),
     "op8_sentence_spans": (op8_sentence_spans, None),
     "op9_exact_dedup": (op9_exact_dedup, oracle.EXACT_DEDUP),
+    "op10_suffix_dedup": (op10_suffix_dedup, None),
 }
