@@ -15,6 +15,7 @@ from lakepipe.llm import (
     minhash,
     oracle,
     sentence_spans,
+    site_quality,
     suffix_buckets,
     url_filter,
 )
@@ -31,6 +32,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(read(spark, sf_dir, "documents"), size=3, percent=85).drop("_h")
 
 
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).drop("items")
@@ -64,6 +69,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op1_license_scan": (op1_license_scan, None),
     "op2_minhash_near_dedup": (op2_minhash_near_dedup, oracle.NEAR_DEDUP),
+    "op3_site_quality": (op3_site_quality, None),
     "op4_decontaminate": (op4_decontaminate, oracle.DECONTAMINATE),
     "op6_url_filter": (op6_url_filter, oracle.URL_FILTER),
     "op7_language_id": (op7_language_id, None),
