@@ -12,6 +12,7 @@ from lakepipe.session import scratch_path
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters, digits and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
 
 
+def count_words(text: Column) -> Column:
+    """The number of ``words_of``, without making them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over a value that is worked out once, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
@@ -50,11 +56,6 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """Join condition on (_id, _h) that also meets null ids."""
-    return left["_id"].eqNullSafe(right["_id"]) & (left["_h"] == right["_h"])
-
-
 def join_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join on (_id, _h), null ids included; the right side's key columns go."""
     other = right.withColumnsRenamed({"_id": "_gid", "_h": "_gh"})
@@ -63,6 +64,18 @@ def join_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return joined if how in ("left_semi", "left_anti") else joined.drop("_gid", "_gh")
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose (_id, _h) is in ``gone``; columns as given, whatever their names."""
+    names = docs.columns
+    inner = docs.select(
+        *[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)],
+        F.col(f"`{id_col}`").alias("_id"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("_h"),
+    )
+    left = join_rows(inner, gone, "left_anti")
+    return left.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage is cut and survives lost executors.
 

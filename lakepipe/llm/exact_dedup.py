@@ -10,12 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import keyed, same_row
+from lakepipe.llm.common import join_rows, keyed, without_rows
 from lakepipe.session import cut_lineage
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def _name() -> Column:
+    """A bucket is named after its least row; null ids come last."""
+    return F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_h"))
+
+
 def normalized(text: Column) -> Column:
     """Each run of white space becomes one space; null becomes empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
@@ -38,7 +43,7 @@ def _split(rows: DataFrame) -> DataFrame:
     """
     named = (
         rows.groupBy("_bucket", "_next", "_end")
-        .agg(F.min(F.struct("_id", "_h")).alias("_name"), F.min("_id").alias("_first"), F.count("*").alias("_n"))
+        .agg(F.min(_name()).alias("_name"), F.min("_id").alias("_first"), F.count("*").alias("_n"))
         .where("_n > 1")
     )
     on = ["_bucket", "_next", "_end"]
@@ -54,7 +59,11 @@ def equal_texts(
     number of bytes of the first level; each later one takes ``growth`` times more. Null text counts as empty.
     """
     rows = keyed(docs, id_col, text_col).withColumn("_body", F.encode(normalized(F.col("_text")), "UTF-8"))
-    start = F.struct(F.lit(None).cast(docs.schema[id_col].dataType).alias("_id"), F.lit(0).cast("long").alias("_h"))
+    start = F.struct(
+        F.lit(True).alias("none"),
+        F.lit(None).cast(docs.schema[id_col].dataType).alias("_id"),
+        F.lit(0).cast("long").alias("_h"),
+    )
     level = _split(rows.select("_id", "_h", start.alias("_bucket"), *_slice(0, width)))
     level = cut_lineage(level)
     ended = "_end >= 0"
@@ -64,18 +73,15 @@ def equal_texts(
         return _together(found)
     # only documents that share their start with another one are needed from here on
     open_rows = going.select("_id", "_h").distinct()
-    bodies = rows.join(open_rows, same_row(rows, open_rows), "left_semi").select("_id", "_h", "_body")
+    bodies = join_rows(rows, open_rows, "left_semi").select("_id", "_h", "_body")
     bodies = cut_lineage(bodies)
     offset = width
     while not going.isEmpty():
         width *= growth
         # a row given twice is in both frames twice: names are made unique, bodies keep the count
         names = going.dropDuplicates(["_id", "_h"]).withColumnRenamed("_name", "_bucket")
-        part = bodies.select("_id", "_h", *_slice(offset, width))
-        rows_now = part.join(names, same_row(part, names)).select(
-            part["_id"], part["_h"], "_bucket", "_next", "_end"
-        )
-        level = cut_lineage(_split(rows_now))
+        part = join_rows(bodies.select("_id", "_h", *_slice(offset, width)), names)
+        level = cut_lineage(_split(part.select("_id", "_h", "_bucket", "_next", "_end")))
         found.append(level.where(ended))
         going = level.where(f"NOT {ended}").drop("_first", "_n", "_end")
         offset += width
@@ -98,10 +104,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = keyed(docs, id_col, text_col).select(
         "_id", "_h", F.sha2(F.encode(normalized(F.col("_text")), "UTF-8"), 256).alias("text_sha256")
     )
-    groups = equal_texts(docs, id_col, text_col).withColumnsRenamed({"_id": "_gid", "_h": "_gh"})
-    on = rows["_id"].eqNullSafe(groups["_gid"]) & (rows["_h"] == groups["_gh"])
     keep = F.when(F.col("_n").isNotNull(), F.col("_first")).otherwise(F.col("_id"))
-    return rows.join(groups, on, "left").select(
+    return join_rows(rows, equal_texts(docs, id_col, text_col), "left").select(
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
@@ -111,14 +115,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without later copies; one row stays where a row is repeated. Columns as given."""
-    names = docs.columns
-    rows = docs.select("*", F.xxhash64(F.col(text_col)).alias("_h"))
-    groups = equal_texts(docs, id_col, text_col).withColumnsRenamed({"_id": "_gid", "_h": "_gh"})
-    on = rows[id_col].eqNullSafe(groups["_gid"]) & (rows["_h"] == groups["_gh"])
-    joined = rows.join(groups, on, "left").where(
-        F.col("_n").isNull() | F.col(id_col).eqNullSafe(F.col("_first"))
-    )
-    # rows that share the kept id: one of them stays
-    one = F.coalesce("_name", F.struct(F.col(id_col).alias("_id"), F.col("_h")))
-    return joined.withColumn("_one", one).dropDuplicates([id_col, "_one"]).select(*names)
+    """The documents without later copies, columns as given: of each group the row of the smallest id stays.
+
+    Of rows that repeat an id with an equal text one stays.
+    """
+    groups = equal_texts(docs, id_col, text_col)
+    left = without_rows(docs, groups.where(_name() != F.col("_name")), id_col, text_col)
+    rows = keyed(left, id_col, text_col).select("_id", "_h")
+    twins = cut_lineage(rows.groupBy("_id", "_h").count().where("count > 1").select("_id", "_h"))
+    if twins.isEmpty():
+        return left
+    single = without_rows(left, twins, id_col, text_col)
+    named = left.select("*", F.xxhash64(F.col(text_col)).alias("_twin"))
+    again = twins.select(F.col("_id").alias("_tid"), F.col("_h").alias("_th"))
+    on = named[id_col].eqNullSafe(again["_tid"]) & (named["_twin"] == again["_th"])
+    one = named.join(again, on, "left_semi").dropDuplicates([id_col, "_twin"])
+    return single.unionByName(one.select(*docs.columns))

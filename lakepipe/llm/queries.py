@@ -14,6 +14,7 @@ from lakepipe.llm import (
     licenses,
     minhash,
     oracle,
+    pieces,
     sentence_spans,
     site_quality,
     suffix_buckets,
@@ -29,7 +30,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_groups(read(spark, sf_dir, "documents"), size=3, percent=85).drop("_h")
+    return minhash.near_groups(read(spark, sf_dir, "documents"), size=3, percent=85).drop("_h", "root")
 
 
 def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).drop("items")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "op2_minhash_near_dedup": (op2_minhash_near_dedup, oracle.NEAR_DEDUP),
     "op3_site_quality": (op3_site_quality, None),
     "op4_decontaminate": (op4_decontaminate, oracle.DECONTAMINATE),
+    "op5_sentencepiece": (op5_sentencepiece, None),
     "op6_url_filter": (op6_url_filter, oracle.URL_FILTER),
     "op7_language_id": (op7_language_id, None),
     "op8_sentence_spans": (op8_sentence_spans, None),
