@@ -10,54 +10,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import join_rows, keyed, let, positions, words_of
+from lakepipe.llm.common import count_words, join_rows, keyed, let, positions, without_rows, words_of
 
 #: Benchmark windows that may be sent to every executor; beyond it the joins shuffle instead.
 BROADCAST_ROWS = 200_000
 
 
-def _struct(length: Column | int, start: Column, mark: Column) -> Column:
-    size = F.lit(length) if isinstance(length, int) else length
-    return F.struct(size.cast("int").alias("len"), start.cast("int").alias("start"), mark.alias("print"))
-
-
-def windows(words: Column, window: int, gram: int, short: list[int]) -> Column:
-    """Windows as (len, start from 1, fingerprint): the full ones, and those of each length in ``short``."""
+def window_prints(words: Column, window: int, gram: int) -> Column:
+    """Fingerprint of each full window, in order: the least hash of the k-grams in it."""
     count = F.size(words)
     hashes = F.transform(positions(count - (gram - 1)), lambda i: F.xxhash64(F.slice(words, i, gram)))
-    full = let(
+    return let(
         hashes,
         lambda h: F.transform(
-            positions(count - (window - 1)),
-            lambda i: _struct(window, i, F.array_min(F.slice(h, i, window - gram + 1))),
+            positions(count - (window - 1)), lambda i: F.array_min(F.slice(h, i, window - gram + 1))
         ),
     )
-    parts = [
-        F.transform(positions(count - (n - 1)), lambda i, n=n: _struct(n, i, F.xxhash64(F.slice(words, i, n))))
-        for n in short
-    ]
-    return F.concat(full, *parts) if parts else full
+
+
+def run_prints(words: Column, size: int) -> Column:
+    """Hash of each run of ``size`` words: the fingerprint of an item too short for a window."""
+    return F.transform(positions(F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
 
 
 def _prints(words: Column, window: int, gram: int, short: list[int]) -> Column:
-    """Distinct (len, fingerprint) of a text. Neighbouring windows mostly share theirs, so few are left."""
+    """Distinct fingerprints of a text. Neighbouring windows mostly share theirs, so few are left."""
     return let(
         words,
         lambda ws: F.array_distinct(
-            F.transform(windows(ws, window, gram, short), lambda w: F.struct(w["len"], w["print"]))
+            F.concat(window_prints(ws, window, gram), *[run_prints(ws, size) for size in short])
         ),
     )
 
 
+def _found_windows(words: Column, found: Column, window: int, gram: int, short: list[int]) -> Column:
+    """(len, start from 1, body) of the windows whose fingerprint is among ``found``."""
+
+    def among(prints: Column, size: int) -> Column:
+        spots = F.filter(
+            F.transform(prints, lambda p, i: F.when(F.array_contains(found, p), i + 1)), lambda i: i.isNotNull()
+        )
+        return F.transform(
+            spots,
+            lambda i: F.struct(
+                F.lit(size).alias("len"), i.alias("start"), F.concat_ws(" ", F.slice(words, i, size)).alias("body")
+            ),
+        )
+
+    return F.concat(
+        among(window_prints(words, window, gram), window), *[among(run_prints(words, size), size) for size in short]
+    )
+
+
 def _benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
     """(item_id, len, print, body): a full item has all its windows, a shorter one is one window."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words"))
-    count = F.size("words")
-    whole = F.array(_struct(count, F.lit(1), F.xxhash64("words")))
-    each = F.when(count >= window, windows(F.col("words"), window, gram, [])).when(count > 0, whole)
+    size = F.least(F.size("words"), F.lit(window))
+    prints = F.when(F.size("words") >= window, window_prints(F.col("words"), window, gram)).when(
+        F.size("words") > 0, F.array(F.xxhash64("words"))
+    )
     return (
-        items.select("item_id", "words", F.explode(each).alias("w"))
-        .select("item_id", "w.len", "w.print", F.concat_ws(" ", F.slice("words", F.col("w.start"), F.col("w.len"))).alias("body"))
+        items.select("item_id", "words", size.alias("len"), F.posexplode(prints).alias("at", "print"))
+        .select("item_id", "len", "print", F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.col("len"))).alias("body"))
         .distinct()
     )
 
@@ -80,8 +94,7 @@ def contaminated(
     id and text get the same answer each.
     """
     hits = find_hits(docs, benchmark, id_col, text_col, item_col, item_text_col, window, gram)
-    n_words = F.size(words_of(F.col("_text"))).cast("long")
-    rows = keyed(docs, id_col, text_col).select("_id", "_h", n_words.alias("n_words"))
+    rows = keyed(docs, id_col, text_col).select("_id", "_h", count_words(F.col("_text")).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return join_rows(rows, hit_words(hits), "left").select(
         F.col("_id").alias(id_col),
@@ -112,27 +125,17 @@ def find_hits(
 
     rows = keyed(docs, id_col, text_col)
     prints = rows.select(
-        "_id", "_h", F.explode(_prints(words_of(F.col("_text")), window, gram, short)).alias("p")
-    ).select("_id", "_h", "p.len", "p.print")
-    known = marks.select("len", "print").distinct()
+        "_id", "_h", F.explode(_prints(words_of(F.col("_text")), window, gram, short)).alias("print")
+    )
     found = (
-        prints.join(sent(known), ["len", "print"], "left_semi")
+        prints.join(sent(marks.select("print").distinct()), "print", "left_semi")
         .groupBy("_id", "_h")
-        .agg(F.collect_set(F.struct("len", "print")).alias("found"))
+        .agg(F.collect_set("print").alias("found"))
     )
     # the documents that hit, once each: their windows with a known fingerprint, compared as text
     joined = join_rows(rows, found).dropDuplicates(["_id", "_h"])
     hit = let(
-        words_of(F.col("_text")),
-        lambda words: F.transform(
-            F.filter(
-                windows(words, window, gram, short),
-                lambda w: F.array_contains(F.col("found"), F.struct(w["len"], w["print"])),
-            ),
-            lambda w: F.struct(
-                w["len"], w["start"], F.concat_ws(" ", F.slice(words, w["start"], w["len"])).alias("body")
-            ),
-        ),
+        words_of(F.col("_text")), lambda words: _found_windows(words, F.col("found"), window, gram, short)
     )
     spans = joined.select("_id", "_h", F.explode(hit).alias("w")).select("_id", "_h", "w.len", "w.start", "w.body")
     return spans.join(sent(marks.select("len", "body", "item_id")), ["len", "body"]).select(
@@ -161,9 +164,7 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 20
 ) -> DataFrame:
     """The documents without the contaminated ones; columns as given."""
-    bad = hit_words(find_hits(docs, benchmark, id_col, text_col)).select("_id", "_h", "n_hit")
-    rows = docs.withColumns(
-        {"_gid": F.col(id_col), "_gh": F.xxhash64(F.col(text_col)), "_n": F.size(words_of(F.col(text_col)))}
-    )
-    on = F.col("_gid").eqNullSafe(F.col("_id")) & (F.col("_gh") == F.col("_h")) & (one_in * F.col("n_hit") >= F.col("_n"))
-    return rows.join(bad, on, "left_anti").select(*docs.columns)
+    hits = hit_words(find_hits(docs, benchmark, id_col, text_col))
+    sizes = keyed(docs, id_col, text_col).select("_id", "_h", count_words(F.col("_text")).alias("n_words"))
+    bad = join_rows(sizes, hits).where(one_in * F.col("n_hit") >= F.col("n_words")).select("_id", "_h").distinct()
+    return without_rows(docs, bad, id_col, text_col)
