@@ -1,13 +1,14 @@
 """Near-dedup with b-bit MinHash.
 
 A document is its set of distinct word shingles. For each of ``bands * rows`` hash functions the smallest value over the
-set is taken; bands of whole minima make candidates, then only the low ``BITS`` bits of each minimum stay, packed into
-longs. Counting equal fields of two packed signatures, corrected for chance agreement, estimates the similarity and
-drops poor candidates; every link is then confirmed on the full shingle sets.
-
-Documents with equal sets are one class and enter once. In a first round each class is compared with one other class of
-its buckets (the least one), which settles nearly everything with one link per class. In a second round the classes that
-share a bucket but are still in different components are compared pair by pair, so no link is lost.
+set is taken; bands of whole minima make candidates. For the estimate a second signature takes the minima of one hash in
+each of ``BINS`` bins and keeps their low bits, packed into longs. Counting equal fields of two such signatures by bit
+counts, corrected for chance agreement, estimates the similarity and drops poor candidates; every link is then confirmed
+on the full shingle sets.
+
+Documents with equal sets are one class and enter once. In each of a few rounds every class tries the most alike of the
+centres of its buckets, one link per class, which settles nearly everything. At last the classes that share a bucket but
+are still in different components are compared pair by pair, so no link is lost.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import join_rows, keyed
+from lakepipe.llm.common import join_rows, keyed, without_rows
 from lakepipe.llm.components import connected_components
 from lakepipe.session import cut_lineage
 
-#: Bits kept of each minimum: sixteen fields in a long.
+#: Bits kept of each bin's minimum.
 BITS = 4
-FIELDS = 64 // BITS
-#: A candidate goes on if its estimate is not further than this below the threshold: over six standard errors at 128.
-SLACK = 0.2
+BINS = 512
+#: A candidate goes on if its estimate is not further than this below the threshold: over four standard errors for the
+#: largest sets, more for sets that leave bins empty.
+SLACK = 0.07
+#: Rounds in which each class tries one other class.
+ROUNDS = 3
 _SEED = 20_011
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,10 +72,18 @@ def minima(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray], block: i
     return low
 
 
-def pack(low: np.ndarray) -> np.ndarray:
-    """The low ``BITS`` bits of the minima, ``FIELDS`` to a long."""
-    kept = (low & np.uint64(2**BITS - 1)).reshape(-1, FIELDS)
-    return np.bitwise_or.reduce(kept << (np.arange(FIELDS, dtype=np.uint64) * np.uint64(BITS)), axis=1)
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Low bits of the least hash in each bin as bit planes, a bit per bin; the last plane marks filled bins."""
+    mixed = shingles * _ODD
+    mixed ^= mixed >> np.uint64(32)
+    mixed = np.sort(mixed * _ODD)
+    bins = (mixed >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.concatenate([[True], bins[1:] != bins[:-1]])
+    planes = np.zeros((BITS + 1, BINS), dtype=np.uint8)
+    planes[BITS, bins[first]] = 1
+    for bit in range(BITS):
+        planes[bit, bins[first]] = (mixed[first] >> np.uint64(bit)) & np.uint64(1)
+    return np.packbits(planes, axis=1).reshape(-1).view(np.uint64)
 
 
 def band_keys(low: np.ndarray, rows: int) -> np.ndarray:
@@ -98,7 +110,7 @@ def signatures(
                     low = minima(found, family)
                     digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     keys.append(band_keys(low, rows).view(np.int64))
-                    packed.append(pack(low).view(np.int64))
+                    packed.append(sketch(found).view(np.int64))
                 else:
                     digests.append(None)
                     keys.append(None)
@@ -113,20 +125,27 @@ def signatures(
     return keyed(docs, id_col, text_col).mapInArrow(sign, schema)
 
 
-def estimate(left: Column, right: Column, count: int) -> Column:
-    """Similarity from packed signatures: equal fields by bit counts, less those that agree by chance."""
-    ones = F.lit(sum(1 << (BITS * i) for i in range(FIELDS)))
+def estimate(left: Column, right: Column) -> Column:
+    """Similarity from two packed signatures.
+
+    Exclusive or shows the bins that differ; bit counts give these and the bins filled on either and on both sides. Of
+    filled bins with different minima one in ``2 ** BITS`` looks equal and is taken off.
+    """
+    step = BINS // 64
+
+    def total(part) -> Column:
+        return sum((F.bit_count(part(i)) for i in range(1, step)), F.bit_count(part(0)))
 
-    def differing(x: Column) -> Column:
-        folded = x
-        for shift in range(1, BITS):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(x, shift))
-        return F.bit_count(folded.bitwiseAND(ones))
+    def unlike(i: int) -> Column:
+        found = left[BITS * step + i].bitwiseXOR(right[BITS * step + i])
+        for plane in range(BITS):
+            found = found.bitwiseOR(left[plane * step + i].bitwiseXOR(right[plane * step + i]))
+        return found
 
-    longs = count // FIELDS
-    unequal = sum((differing(left[i].bitwiseXOR(right[i])) for i in range(1, longs)), differing(left[0].bitwiseXOR(right[0])))
-    chance = 2.0**-BITS
-    return ((count - unequal) / F.lit(float(count)) - chance) / (1 - chance)
+    either = total(lambda i: left[BITS * step + i].bitwiseOR(right[BITS * step + i]))
+    both = total(lambda i: left[BITS * step + i].bitwiseAND(right[BITS * step + i]))
+    equal = either - total(unlike)
+    return (equal - (both - equal) / F.lit(2.0**BITS - 1)) / either
 
 
 def confirm(
@@ -158,18 +177,69 @@ def confirm(
     return both.mapInArrow(check, "a binary, b binary")
 
 
-def _alike(percent: int, count: int) -> Column:
+def _alike(percent: int) -> Column:
     """Whether sizes allow the threshold and the estimate comes near it."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return (100 * small >= percent * large) & (estimate(F.col("packed_a"), F.col("packed_b"), count) >= percent / 100 - SLACK)
+    near = estimate(F.col("packed_a"), F.col("packed_b")) >= percent / 100 - SLACK
+    return (100 * small >= percent * large) & near
 
 
-def _sides(nodes: DataFrame, side: str) -> DataFrame:
+def _sides(nodes: DataFrame, side: str, *more: str) -> DataFrame:
     return nodes.select(
-        F.col("node").alias(side), F.col("packed").alias(f"packed_{side}"), F.col("n").alias(f"n_{side}")
+        F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("packed", "n", *more))
     )
 
 
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    known = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return pairs.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+
+
+def _best_centres(placed: DataFrame, tried: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): for each class b the most alike centre a of its buckets that is in another component.
+
+    The centre of a bucket is one of its classes by a hash that changes with ``turn``. It comes from an aggregate with a
+    map side and is joined back, so that Spark's skew join can cut up a bucket of very many classes.
+    """
+    entries = placed.select(F.explode("keys").alias("key"), "node", "root")
+    centres = (
+        entries.groupBy("key")
+        .agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("by"), F.col("node"), F.col("root"))).alias("c"),
+             F.min("root").alias("lo"), F.max("root").alias("hi"))
+        .where("lo != hi")
+        .select("key", F.col("c.node").alias("a"), F.col("c.root").alias("root_a"))
+    )
+    pairs = entries.join(centres, "key").where("root != root_a").select("a", F.col("node").alias("b")).distinct()
+    scored = (
+        _untried(pairs, tried)
+        .join(_sides(placed, "a"), "a")
+        .join(_sides(placed, "b"), "b")
+        .where(_alike(percent))
+        .withColumn("score", estimate(F.col("packed_a"), F.col("packed_b")))
+    )
+    return scored.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")).select("a", "b")
+
+
+def _apart(placed: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of classes that share a bucket, are in different components, look alike and were not tried.
+
+    A pair comes from the first band that both share only.
+    """
+    entries = placed.select(F.posexplode("keys").alias("band", "key"), "node", "root")
+    mixed = entries.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    spots = entries.join(mixed.select("key"), "key").select("key", "band", "node")
+    sides = placed.withColumn("short", F.transform("keys", lambda k: k.bitwiseAND(F.lit(2**31 - 1)).cast("int")))
+    left = spots.withColumnRenamed("node", "a").join(_sides(sides, "a", "root", "short"), "a")
+    right = (
+        spots.withColumnRenamed("node", "b").join(_sides(sides, "b", "root", "short"), "b").drop("band")
+        .withColumnRenamed("key", "key_b")
+    )
+    before = F.zip_with(F.slice("short_a", 1, F.col("band")), F.slice("short_b", 1, F.col("band")), lambda x, y: x == y)
+    first = ~F.exists(before, lambda same: same)
+    on = (F.col("key") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & _alike(percent) & first
+    return _untried(left.join(right, on).select("a", "b").distinct(), tried)
+
+
 def near_groups(
     docs: DataFrame,
     size: int = 5,
@@ -179,13 +249,12 @@ def near_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable over links, itself included), kept.
+    """One row per input row: id, _h, n_shingles, component_id (smallest id reachable over links, itself included), kept.
 
     With 32 bands of 4 a pair at 0.80 is missed with a chance of 5e-8, at 0.85 of 6e-11. Null or blank text has an empty
     set, is linked with nothing and is its own component. Rows with equal sets, repeated rows among them, are in one
     component. A null id never leads a component with other ids.
     """
-    count = bands * rows
     signed = cut_lineage(signatures(docs, size, bands, rows, id_col, text_col))
     filled = signed.where("digest IS NOT NULL")
     # one class per distinct set, represented by its least row
@@ -198,53 +267,44 @@ def near_groups(
         .dropDuplicates(["digest"])
         .select(F.col("digest").alias("node"), "_id", "_h", F.col("n_shingles").alias("n"), "keys", "packed", "least_id")
     )
-    entries = classes.select(F.explode("keys").alias("key"), "node")
-
-    # round 1: of the least classes of its buckets, each class tries the one that looks most alike
-    centres = entries.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    stars = (
-        entries.join(centres.select("key", "centre"), "key").where("node != centre").select("node", "centre").distinct()
-    )
-    scored = (
-        stars.select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        .join(_sides(classes, "a"), "a")
-        .join(_sides(classes, "b"), "b")
-        .where(_alike(percent, count))
-        .withColumn("score", estimate(F.col("packed_a"), F.col("packed_b"), count))
-    )
-    first = scored.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")).select("a", "b")
-    first = cut_lineage(first)
-    links = cut_lineage(confirm(first, classes, docs, size, percent, id_col, text_col))
-    roots = cut_lineage(connected_components(links))
-
-    # round 2: what shares a bucket across components and was not tried yet
-    placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spots = placed.select(F.explode("keys").alias("key"), "node", "root")
-    mixed = spots.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    spots = spots.join(mixed.select("key"), "key")
-    # a class meets another one in many buckets: only the sides are kept apart, not the pairs
-    rest = placed.select("node", "root", "packed", "n").join(spots.select("key", "node"), "node")
-    left = rest.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("packed").alias("packed_a"), F.col("n").alias("n_a"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("packed").alias("packed_b"), F.col("n").alias("n_b"))
-    apart = F.col("root_a") < F.col("root_b")
-    later = left.join(right, (left["key"] == right["key"]) & apart & _alike(percent, count)).select("a", "b").distinct()
-    tried = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    later = later.join(tried, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    later = cut_lineage(later)
-    if not later.isEmpty():
-        more = confirm(later, classes, docs, size, percent, id_col, text_col)
-        links = cut_lineage(links.unionByName(more))
+    placed = classes.withColumn("root", F.col("node"))
+    tried = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    links, roots = tried, classes.select("node", F.col("node").alias("root")).limit(0)
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        found = _apart(placed, tried, percent) if last else _best_centres(placed, tried, percent, turn)
+        found = cut_lineage(found)
+        if found.isEmpty():
+            continue
+        tried = tried.unionByName(found)
+        links = cut_lineage(links.unionByName(confirm(found, classes, docs, size, percent, id_col, text_col)))
         roots = cut_lineage(connected_components(links))
+        placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     named = classes.join(roots, "node", "left").select(
         F.col("node").alias("digest"), "least_id", F.coalesce("root", "node").alias("root")
     )
     leaders = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    answer = named.join(leaders, "root").select("digest", "component_id")
+    answer = named.join(leaders, "root").select("digest", "component_id", F.hex("root").alias("root"))
     kept = F.col("_id").eqNullSafe(F.col("component_id"))
     return (
         signed.select("_id", "_h", "n_shingles", "digest")
         .join(answer, "digest", "left")
         .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("_id")).otherwise(F.col("component_id")))
-        .select(F.col("_id").alias(id_col), "_h", "n_shingles", "component_id", kept.alias("kept"))
+        .select(F.col("_id").alias(id_col), "_h", "n_shingles", "component_id", kept.alias("kept"), "root")
     )
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
+) -> DataFrame:
+    """One document of each component, that of the smallest id; columns as given.
+
+    Documents without words stay. A row repeated with the same id and text stays repeated.
+    """
+    found = near_groups(docs, size, percent, id_col=id_col, text_col=text_col).where("root IS NOT NULL")
+    found = found.select(F.col(id_col).alias("_id"), "_h", "root")
+    name = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_h"))
+    first = found.groupBy("root").agg(F.min(name).alias("first"))
+    gone = found.join(first, "root").where(name != F.col("first")).select("_id", "_h").distinct()
+    return without_rows(docs, gone, id_col, text_col)
