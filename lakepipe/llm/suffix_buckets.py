@@ -5,13 +5,14 @@ Every string of ``length`` bytes has one anchor near its start, the same whereve
 ``q = length - reach`` bytes of the string behind it.
 
 * First buckets: anchors are grouped by the q-gram at the anchor. Single ones are settled and leave.
-* Refinement: all strings that share an anchor lie in one stretch of text, which the bucket identifiers at its start and
-  at later offsets name. Stretches that occur again are covered whole, and each bucket keeps one of them.
-* The same rule again, one step finer, for stretches that are still alone in a bucket of several: each of their strings
-  is named by the bucket identifiers at its start and at the later offset ``length - q``, and grouped.
+* Refinement: the strings that share an anchor lie in one stretch of text, named by the bucket identifiers at its start
+  and at later offsets. In a bucket of several stretches, those whose name occurs again are covered whole; one stretch of
+  each name stays open.
+* The same rule again on what is open, with finer stretches (``BLOCK`` strings next to one another), whose bucket is
+  what all their strings have in common; and a last time on single strings, where bucket and name are the same.
 
 A bucket identifier is a hash of its q bytes, so it can be worked out at any offset where the text is; what is compared
-is always two or more of them. Each round handles only what the one before has left open.
+is always several of them. Each round handles only what the one before has left open.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import join_rows, keyed
-from lakepipe.session import cut_lineage
+from lakepipe.llm.common import join_rows, keyed, stored
 
 GRAM = 16
+BLOCK = 8
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
@@ -90,70 +91,142 @@ def anchors(hasher: Hasher, size: int, length: int, reach: int) -> tuple[np.ndar
     return spot[first], first, last
 
 
-def stretch_names(hasher: Hasher, anchor, first, last, length: int, q: int) -> np.ndarray:
-    """One name for the bytes first .. last + length and the anchor's place in them, from identifiers every q bytes."""
-    size = (last - first) + length
-    name = hasher.spans(first, q) + np.uint64(1) * (anchor - first).astype(np.uint64)
-    offset = q
-    while True:
-        inner = np.minimum(offset, size - q)
-        name = _mixed(name * np.uint64(_BASE) + hasher.spans(first + inner, q))
-        if (offset >= size - q).all():
-            break
+def names(hasher: Hasher, starts: np.ndarray, sizes: np.ndarray, q: int) -> np.ndarray:
+    """Names of the spans (start, size): their size and the bucket identifiers at the start and every q bytes on."""
+    name = hasher.spans(starts, q)
+    last = sizes - q
+    offset = 0
+    while offset < last.max(initial=0):
         offset += q
-    return _mixed(name * np.uint64(_BASE) + size.astype(np.uint64))
+        name = _mixed(name * np.uint64(_BASE) + hasher.spans(starts + np.minimum(offset, last), q))
+    return _mixed(name * np.uint64(_BASE) + sizes.astype(np.uint64))
 
 
 def _bytes(text) -> bytes:
     return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-def _anchor_rows(rows: DataFrame, kind: str, length: int, reach: int) -> DataFrame:
-    """(bucket, name, _id, _h, first, last) of every anchor of every text of at least ``length`` bytes."""
-    q = length - reach
+SPOT = "first int, last int, anchor int"
+STRETCH = "struct<first:int,last:int,anchor:int>"
+
+
+def _rows_of(rows: DataFrame, kind: str, made, schema: str, extra: str | None = None) -> DataFrame:
+    """Arrays that ``made(hasher, body, extra value)`` gives for each text, as rows with the text's key.
+
+    ``schema`` names the arrays; ``extra`` is a column of ``rows`` handed to ``made``, texts without it are passed over.
+    """
+    fields = [f.split() for f in schema.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            parts, owner = [], []
+            extras = batch.column(extra).to_pylist() if extra else [()] * len(batch)
             for i, text in enumerate(batch.column("_text")):
-                body = _bytes(text)
-                if len(body) < length:
+                arrays = made(hasher, _bytes(text), extras[i])
+                if arrays is None:
                     continue
-                hasher.load(body)
-                anchor, first, last = anchors(hasher, len(body), length, reach)
-                name = stretch_names(hasher, anchor, first, last, length, q)
-                parts.append((hasher.spans(anchor, q).view(np.int64), name.view(np.int64), first, last))
-                owner.append(np.full(len(anchor), i))
-            if parts:
-                bucket, name, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
-                at = pa.array(np.concatenate(owner))
-                columns = [pa.array(bucket), pa.array(name), batch.column("_id").take(at), batch.column("_h").take(at),
-                           pa.array(first, pa.int64()), pa.array(last, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "name", "_id", "_h", "first", "last"])
-
-    return rows.mapInArrow(find, f"bucket long, name long, _id {kind}, _h long, first long, last long")
-
-
-def _window_rows(cand: DataFrame, kind: str, length: int, reach: int) -> DataFrame:
-    """(one, two, _id, _h, place): the identifiers of each string of the open stretches."""
+                at = pa.array(np.full(len(arrays[0]), i))
+                columns = [pa.array(a.view(np.int64) if a.dtype == np.uint64 else a).cast(types[t])
+                           for a, (_, t) in zip(arrays, fields, strict=True)]
+                columns += [batch.column("_id").take(at), batch.column("_h").take(at)]
+                yield pa.RecordBatch.from_arrays(columns, [*(n for n, _ in fields), "_id", "_h"])
+
+    return rows.mapInArrow(find, f"{schema}, _id {kind}, _h long")
+
+
+def _anchor_rows(rows: DataFrame, kind: str, length: int, reach: int) -> DataFrame:
+    """First round: (bucket, name, first, last, anchor) of every anchor of the texts of at least ``length`` bytes."""
     q = length - reach
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            for i, (text, spans) in enumerate(zip(batch.column("_text"), batch.column("open"), strict=True)):
-                if not spans.is_valid or not len(spans):
-                    continue
-                hasher.load(_bytes(text))
-                places = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans.as_py()])
-                one, two = hasher.spans(places, q).view(np.int64), hasher.spans(places + (length - q), q).view(np.int64)
-                at = pa.array(np.full(len(places), i))
-                columns = [pa.array(one), pa.array(two), batch.column("_id").take(at), batch.column("_h").take(at),
-                           pa.array(places, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["one", "two", "_id", "_h", "place"])
+    def made(hasher: Hasher, body: bytes, _):
+        if len(body) < length:
+            return None
+        hasher.load(body)
+        anchor, first, last = anchors(hasher, len(body), length, reach)
+        name = names(hasher, first, last - first + length, q)
+        name = _mixed(name * np.uint64(_BASE) + (anchor - first).astype(np.uint64))
+        return hasher.spans(anchor, q), name, first, last, anchor
+
+    return _rows_of(rows, kind, made, f"bucket long, name long, {SPOT}")
+
+
+def _block_rows(cand: DataFrame, kind: str, length: int, reach: int) -> DataFrame:
+    """Second round: the same of each block of ``BLOCK`` strings, counted back from the anchor.
+
+    Blocks start at the same distance from the anchor wherever they occur. A block that sticks out of its text has a name
+    of its own.
+    """
+    q = length - reach
+
+    def made(hasher: Hasher, body: bytes, spans):
+        if not spans:
+            return None
+        hasher.load(body)
+        low, high, anchor = (np.array([s[c] for s in spans], dtype=np.int64) for c in ("first", "last", "anchor"))
+        near, far = (anchor - high) // BLOCK, (anchor - low) // BLOCK
+        count = far - near + 1
+        own = np.repeat(np.arange(len(spans)), count)
+        step = near[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        stop = anchor[own] - step * BLOCK  # start of the block's last string
+        start = stop - (BLOCK - 1)
+        bucket = names(hasher, stop, np.full(len(stop), length - BLOCK + 1), q)
+        inside = (start >= 0) & (stop + length <= len(body))
+        name = _mixed(bucket + np.uint64(_BASE) * (start + 1).astype(np.uint64) + hasher.sums[-1:])
+        name[inside] = names(hasher, start[inside], np.full(inside.sum(), length + BLOCK - 1), q)
+        return bucket, name, np.maximum(start, low[own]), np.minimum(stop, high[own]), anchor[own]
+
+    return _rows_of(cand, kind, made, f"bucket long, name long, {SPOT}", "open")
+
+
+def _string_rows(cand: DataFrame, kind: str, length: int, reach: int) -> DataFrame:
+    """Last round: (one, two, first) of each single string."""
+    q = length - reach
+
+    def made(hasher: Hasher, body: bytes, spans):
+        if not spans:
+            return None
+        hasher.load(body)
+        place = np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans]))
+        return hasher.spans(place, q), hasher.spans(place + (length - q), q), place
+
+    return _rows_of(cand, kind, made, "one long, two long, first int", "open")
+
+
+def _refine(found: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(covered, open) of a round's rows: stretches whose name occurs again, and one of each name in a mixed bucket.
+
+    Buckets and names are counted by aggregates with a map side and joined back, so that Spark's skew join can cut up a
+    bucket which holds very many rows.
+    """
+    shared = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    live = stored(found.join(shared, "bucket"), label)
+    kinds = live.groupBy("bucket").agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
+    mixed = kinds.where("lo != hi").select("bucket")
+    even = live.join(kinds.where("lo = hi").select("bucket"), "bucket")
+    uneven = live.join(mixed, "bucket")
+    here = F.struct("_id", "_h", "first", "last", "anchor")
+    names_in = uneven.groupBy("bucket", "name").agg(F.count("*").alias("n"), F.min(here).alias("chosen"))
+    stretch = F.struct("first", "last", "anchor").alias("stretch")
+    covered = even.select("_id", "_h", stretch).unionByName(
+        uneven.join(names_in.where("n > 1").select("bucket", "name"), ["bucket", "name"]).select("_id", "_h", stretch)
+    )
+    left = names_in.select(
+        F.col("chosen._id").alias("_id"),
+        F.col("chosen._h").alias("_h"),
+        F.struct("chosen.first", "chosen.last", "chosen.anchor").alias("stretch"),
+    )
+    return covered, left
+
+
+def _per_text(covered: DataFrame, left: DataFrame) -> DataFrame:
+    """(_id, _h, full, open): the stretches of each text."""
+    both = covered.select("_id", "_h", F.col("stretch").alias("f"), F.lit(None).cast(STRETCH).alias("o")).unionByName(
+        left.select("_id", "_h", F.lit(None).cast(STRETCH).alias("f"), F.col("stretch").alias("o"))
+    )
+    return both.groupBy("_id", "_h").agg(F.collect_set("f").alias("full"), F.collect_set("o").alias("open"))
+
 
-    return cand.mapInArrow(find, f"one long, two long, _id {kind}, _h long, place long")
 
 
 def removed_runs(full, places, length: int) -> list[tuple[int, int]]:
@@ -169,7 +242,7 @@ def removed_runs(full, places, length: int) -> list[tuple[int, int]]:
 
 
 def repeated_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int = 128
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int = 200
 ) -> DataFrame:
     """(_id, _h, runs, kept) of the texts with a string of ``length`` bytes that starts anywhere else too.
 
@@ -180,43 +253,24 @@ def repeated_bytes(
         raise ValueError("reach must be at least a gram and at most half of the length")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = keyed(docs, id_col, text_col)
-    found = _anchor_rows(rows, kind, length, reach)
-
-    # first buckets
-    shared = (
-        found.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi"))
-        .where("n > 1")
-        .select("bucket", (F.col("lo") != F.col("hi")).alias("mixed"))
-    )
-    live = cut_lineage(found.join(shared, "bucket"))
-
-    # stretches that occur again, and one of each kind where a bucket holds several kinds
-    here = F.struct("_id", "_h", "first")
-    kinds = live.groupBy("bucket", "name").agg(F.count("*").alias("n"), F.min(here).alias("chosen"))
-    judged = live.join(kinds, ["bucket", "name"]).select(
-        "_id", "_h", "first", "last",
-        (F.col("n") > 1).alias("again"),
-        (F.col("mixed") & here.eqNullSafe(F.col("chosen"))).alias("open"),
-    ).where("again OR open")
-    stretch = F.struct("first", "last")
-    per_doc = judged.groupBy("_id", "_h").agg(
-        F.collect_set(F.when(F.col("again"), stretch)).alias("full"),
-        F.collect_set(F.when(F.col("open"), stretch)).alias("open"),
-    )
-    cand = cut_lineage(join_rows(rows, per_doc).dropDuplicates(["_id", "_h"]))
+    covered, left = _refine(_anchor_rows(rows, kind, length, reach), "anchors")
+    cand = stored(join_rows(rows, _per_text(covered, left)).dropDuplicates(["_id", "_h"]), "texts")
+
+    covered, left = _refine(_block_rows(cand.where(F.size("open") > 0), kind, length, reach), "blocks")
+    finer = stored(_per_text(covered, left).withColumnsRenamed({"full": "blocks", "open": "still"}), "finer")
 
-    # single strings of the open stretches
-    strings = _window_rows(cand.where(F.size("open") > 0), kind, length, reach)
-    strings = cut_lineage(strings)
+    still = join_rows(cand.select("_id", "_h", "_text"), finer.where(F.size("still") > 0).select("_id", "_h", "still"))
+    strings = _string_rows(still.withColumnRenamed("still", "open"), kind, length, reach)
     twice = strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    places = strings.join(twice, ["one", "two"]).groupBy("_id", "_h").agg(F.collect_set("place").alias("places"))
+    places = strings.join(twice, ["one", "two"]).groupBy("_id", "_h").agg(F.collect_set("first").alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs, left = [], []
-            for text, full, spots in zip(*(batch.column(c) for c in ("_text", "full", "places")), strict=True):
-                gone = removed_runs(full.as_py() or (), spots.as_py() or (), length)
+            given = ("_text", "full", "blocks", "places")
+            for text, full, blocks, spots in zip(*(batch.column(c) for c in given), strict=True):
+                whole = [*(full.as_py() or ()), *(blocks.as_py() or ())]
+                gone = removed_runs(whole, spots.as_py() or (), length)
                 body, at, parts = _bytes(text), 0, []
                 for start, stop in gone:
                     parts.append(body[at:start])
@@ -227,13 +281,14 @@ def repeated_bytes(
             columns = [batch.column("_id"), batch.column("_h"), pa.array(runs, spans), pa.array(left, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "_h", "runs", "kept"])
 
-    done = join_rows(cand.select("_id", "_h", "_text", "full"), places, "left")
+    done = join_rows(cand.select("_id", "_h", "_text", "full"), finer.select("_id", "_h", "blocks"), "left")
+    done = join_rows(done, places, "left")
     schema = f"_id {kind}, _h long, runs array<struct<start:long,stop:long>>, kept binary"
     return done.mapInArrow(cut, schema).where(F.size("runs") > 0)
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int = 128
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int = 200
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256.
 
