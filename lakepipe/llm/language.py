@@ -27,8 +27,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 40_000  # known words per language at most: the most frequent ones
-    grams: int = 20_000  # n-grams per language and length at most
+    words: int = 25_000  # known words per language at most: the most frequent ones
+    grams: int = 10_000  # n-grams per language and length at most
     longest: int = 4  # characters of the longest n-gram
     smooth: float = 0.5  # added to each count
     step: float = 0.4  # factor for each step to a shorter n-gram
@@ -102,7 +102,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", setti
     counts = cut_lineage(word_counts(docs, text_col, lang_col, settings.flush))
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     languages = tuple(sorted(totals))
-    known = _most_frequent(counts, ["lang"], settings.words).collect()
+    known = _most_frequent(counts, ["lang"], settings.words)
 
     padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
     runs = F.flatten(
@@ -120,14 +120,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", setti
         .agg(F.sum("n").alias("n"))
         .withColumn("size", F.length("gram"))
     )
-    kept = _most_frequent(cut_lineage(grams), ["lang", "size"], settings.grams).collect()
-    words = _table([(r["word"], r["lang"], r["n"]) for r in known], languages, settings, lambda _: 0)
-    found = _table([(r["gram"], r["lang"], r["n"]) for r in kept], languages, settings, len)
+    kept = _most_frequent(cut_lineage(grams), ["lang", "size"], settings.grams)
+    words = _table(known.select("word", "lang", "n"), languages, settings, lambda _: 0)
+    found = _table(kept.select("gram", "lang", "n"), languages, settings, len)
     return Model(languages, *words, *found, settings)
 
 
-def _table(rows, languages, settings, kind) -> tuple[dict[str, int], np.ndarray]:
-    """Index and log frequencies; counts are set against those of the same kind (n-gram length)."""
+def _table(kept: DataFrame, languages, settings, kind) -> tuple[dict[str, int], np.ndarray]:
+    """Index and log frequencies of (text, lang, n); counts are set against those of the same kind (n-gram length)."""
+    rows = list(zip(*(c.to_pylist() for c in kept.toArrow().columns), strict=True))
     column = {lang: i for i, lang in enumerate(languages)}
     index: dict[str, int] = {}
     for text, _, _ in sorted(rows):
@@ -144,44 +145,50 @@ def _table(rows, languages, settings, kind) -> tuple[dict[str, int], np.ndarray]
     return index, logs
 
 
-def unseen_word(word: str, model: Model) -> np.ndarray:
-    """Mean log score of the longest known n-grams along the word; zeros if no character is known."""
+def unseen_word(word: str, grams: dict[str, int], longest: int) -> tuple[list[int], int]:
+    """Rows of the longest known n-grams along the word, and the steps down to them."""
     padded = f"_{word}_"
-    total, places = np.zeros(len(model.languages)), 0
-    top = model.settings.longest
-    penalty = math.log(model.settings.step)
+    rows, steps = [], 0
     for at in range(len(padded) - 1):
-        for size in range(min(top, len(padded) - at), 0, -1):
-            row = model.grams.get(padded[at : at + size])
-            if row is not None:
-                total += model.gram_logs[row] + penalty * (top - size)
-                places += 1
-                break
-    return total / places if places else total
+        size = min(longest, len(padded) - at)
+        row = grams.get(padded[at : at + size])
+        while row is None and size > 1:
+            size -= 1
+            row = grams.get(padded[at : at + size])
+        if row is not None:
+            rows.append(row)
+            steps += longest - size
+    return rows, steps
 
 
-def predict_text(text: str | None, model: Model, memory: dict[str, np.ndarray]) -> tuple[str, float]:
-    """(language, its share of the likelihood). Without a letter or a model: unknown, 0."""
+def predict_text(text: str | None, model: Model) -> tuple[str, float]:
+    """(language, its share of the likelihood). Without a letter or a model: unknown, 0.
+
+    An unseen word counts the mean over its places; one without a known character counts nothing.
+    """
     found = Counter(find_words(text))
     if not found or not model.languages:
         return UNKNOWN, 0.0
-    total = np.zeros(len(model.languages))
-    rows, counts = [], []
+    rows, counts, parts, weights = [], [], [], []
+    penalty = 0.0
+    words, grams, longest = model.words, model.grams, model.settings.longest
     for word, n in found.items():
-        row = model.words.get(word)
+        row = words.get(word)
         if row is not None:
             rows.append(row)
             counts.append(n)
             continue
-        logs = memory.get(word)
-        if logs is None:
-            logs = unseen_word(word, model)
-            if len(memory) > 200_000:
-                memory.clear()
-            memory[word] = logs
-        total = total + n * logs
+        places, steps = unseen_word(word, grams, longest)
+        if places:
+            share = n / len(places)
+            parts += places
+            weights += [share] * len(places)
+            penalty += share * steps
+    total = np.full(len(model.languages), penalty * math.log(model.settings.step))
     if rows:
-        total = total + np.asarray(counts, dtype=float) @ model.word_logs[rows]
+        total += np.asarray(counts, dtype=float) @ model.word_logs[rows]
+    if parts:
+        total += np.asarray(weights) @ model.gram_logs[parts]
     best = int(np.argmax(total))
     share = 1.0 / np.exp(total - total[best]).sum()
     return model.languages[best], float(min(1.0, share))
@@ -211,10 +218,9 @@ def _apply(rows: DataFrame, model: Model, kept: list[tuple[str, str]]) -> DataFr
     settings = model.settings
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, np.ndarray] = {}
         known = Model(*shared.value, settings)
         for batch in batches:
-            out = [predict_text(t.as_py(), known, memory) for t in batch.column("_text")]
+            out = [predict_text(t.as_py(), known) for t in batch.column("_text")]
             columns = [batch.column(n) for n in names]
             columns += [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
