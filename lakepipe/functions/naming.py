@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
 
 def snake_case(name: str, parentheses: str = "") -> str:
-    """CamelCase to snake_case; brackets become ``parentheses``, blanks and dashes ``_``."""
-    split = re.sub(r"(?<=.)([A-Z])", r"_\1", name).lower().replace("__", "_")
-    return re.sub(r"[ -]", "_", re.sub(r"[()]", parentheses, split))
+    """Words joined by ``_`` in lower case: a word ends before each capital and at each underscore.
+
+    Blanks and dashes stay in their word as ``_``, so ``Part Type`` becomes ``part__type``. Brackets become ``parentheses``.
+    """
+    inside = {" ": "_", "-": "_", "(": parentheses, ")": parentheses}
+    words = [""]
+    for char in name:
+        ends = char == "_" or char.isupper()
+        if ends and (words[-1] or (char == "_" and len(words) == 1)):
+            words.append("")
+        if char != "_":
+            words[-1] += inside.get(char, char.lower())
+    return "_".join(words)
 
 
 def normalize_columns(df: DataFrame, renames: Mapping[str, str] | None = None) -> DataFrame:
@@ -25,5 +34,6 @@ def normalize_columns(df: DataFrame, renames: Mapping[str, str] | None = None) -
 
 
 def clean_dummy_names(df: DataFrame) -> DataFrame:
-    """The feature-table variant: brackets turn into ``_`` like blanks and dashes."""
-    return df.toDF(*[re.sub(r"[() -]", "_", c).lower() for c in df.columns])
+    """The feature-table variant: lower case, whatever separates words or values becomes ``_``."""
+    separators = str.maketrans(dict.fromkeys("() -", "_"))
+    return df.toDF(*[c.lower().translate(separators) for c in df.columns])

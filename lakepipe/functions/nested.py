@@ -46,6 +46,18 @@ def infer_json_type(df: DataFrame, column: str | Column) -> str | None:
     return None if found in (None, "VOID", "VARIANT") else _readable(found)
 
 
+def one_document(text: Column) -> Column:
+    """The text if it is one JSON document, else null.
+
+    Inside an array it must be the only item, inside an object the only member: so neither ``1, 2`` nor ``1, "b": 2``
+    passes, nor text that closes the wrapping itself.
+    """
+    item = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"))
+    member = F.size(F.from_json(wrap_json(text), "map<string,string>"))
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    return F.when(parsed & (item == 1) & (member == 1), text)
+
+
 def _wrapped_types(df: DataFrame, texts: Sequence[Column]) -> list[str]:
     """Types of the wrapped documents of several text columns, from one pass over the rows."""
     found = df.agg(
@@ -73,8 +85,9 @@ def parse_json_columns(df: DataFrame, *columns: str) -> DataFrame:
     """
     if not columns:
         return df
-    types = _wrapped_types(df, [F.col(c) for c in columns])
-    return df.withColumns({c: _unwrapped(F.col(c), t) for c, t in zip(columns, types)})
+    texts = [one_document(F.col(c)) for c in columns]
+    types = _wrapped_types(df, texts)
+    return df.withColumns({c: _unwrapped(x, t) for c, x, t in zip(columns, texts, types)})
 
 
 def parse_with(column: str, schema: str | T.DataType) -> Column:
@@ -129,9 +142,10 @@ def parse_two_levels(df: DataFrame, outer: str, inner: str) -> DataFrame:
     """
     document = F.try_parse_json(F.col(outer))
     inner_text = F.try_variant_get(document, f'$["{inner}"]', "string")
-    outer_type, inner_type = _wrapped_types(df, [F.col(outer), inner_text])
-    first = expand(df.withColumn(outer, _unwrapped(F.col(outer), outer_type)), outer)
-    return expand(first.withColumn(inner, _unwrapped(F.col(inner), inner_type)), inner)
+    outer_text = one_document(F.col(outer))
+    outer_type, inner_type = _wrapped_types(df, [outer_text, one_document(inner_text)])
+    first = expand(df.withColumn(outer, _unwrapped(outer_text, outer_type)), outer)
+    return expand(first.withColumn(inner, _unwrapped(one_document(F.col(inner)), inner_type)), inner)
 
 
 def join_arrays(columns: Sequence[str]) -> Column:

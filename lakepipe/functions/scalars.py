@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,16 +49,32 @@ def padded_id(prefix: str, value: str | Column, width: int = 12) -> Column:
     return F.concat(F.lit(prefix), F.lpad(_col(value).cast("string"), width, "0"))
 
 
-# What is replaced, in this order, to turn quoted JSON back into JSON.
-UNESCAPE = [(r"\\", ""), (r'""', '"'), (r'"\{', "{"), (r'\}"', "}")]
+def _document_in(value: Column) -> Column:
+    """The text of a variant that is text and holds a JSON object or array, else null."""
+    text = F.try_variant_get(value, "$", "string")
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    holds = (F.schema_of_variant(value) == "STRING") & (kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+    return F.when(holds, text)
 
 
 def unescape_json(value: str | Column) -> Column:
-    """Turn a JSON document that was quoted as text back into JSON text."""
-    text = _col(value)
-    for pattern, replacement in UNESCAPE:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    """JSON text in which a document that was quoted as text is a document again.
+
+    That may be the whole text or members of its outermost object. The text is read by a JSON parser, so empty strings,
+    escapes and quotes inside stay what they are, and the quoted documents come out as they were written. Members come
+    out in the order of their names. Text that is not JSON gives null.
+    """
+    whole = F.try_parse_json(_col(value))
+    members = F.map_entries(F.try_variant_get(whole, "$", "map<string,variant>"))
+
+    def written(member: Column) -> Column:
+        name = F.to_json(F.array(member["key"]))
+        content = F.coalesce(_document_in(member["value"]), F.to_json(member["value"]))
+        return F.concat(name.substr(F.lit(2), F.length(name) - 2), F.lit(":"), content)
+
+    opened = F.concat(F.lit("{"), F.array_join(F.transform(members, written), ","), F.lit("}"))
+    is_object = F.schema_of_variant(whole).startswith("OBJECT")
+    return F.when(is_object, opened).otherwise(F.coalesce(_document_in(whole), F.to_json(whole)))
 
 
 def map_values(value: str | Column, mapping: Mapping[str, int]) -> Column:
@@ -70,5 +86,10 @@ def map_values(value: str | Column, mapping: Mapping[str, int]) -> Column:
     return cases
 
 
+def rules_met(rules: Sequence[str]) -> Column:
+    """How many of the predicates (SQL text) hold in a row; a predicate that is null does not."""
+    return sum((F.coalesce(F.expr(rule), F.lit(False)).cast("int") for rule in rules), F.lit(0))
+
+
 def matches(a: str | Column, b: str | Column) -> Column:
     return F.coalesce(_col(a) == _col(b), F.lit(False)).cast("int")

@@ -202,16 +202,17 @@ def test_training_learns_a_simple_rule(spark):
     assert predict(best, df, ["id", "label"]).filter("label = prediction").count() == 200
 
 
-def test_churn_chance_counts_rules(spark):
-    from lakepipe.plans.retail import with_churn_chance
+def test_churn_chance_counts_signs(spark):
+    from lakepipe.plans.retail import CHANCE_PER_SIGN, LEAST_CHANCE, with_churn_chance
 
     columns = (
-        "order_count int, total_item int, event_count int, days_since_creation int, "
-        "platform string, country string, gender int, age_group int"
+        "days_since_last_activity int, total_amount double, event_count int, session_count int, order_count int, "
+        "total_item int"
     )
-    data = [(4, 5, 1, 10, "web", "FR", 0, 3), (5, 12, 4, 90, "ios", "USA", 0, 7), (2, 1, None, None, "android", None, 1, 2)]
+    data = [(10, 9e6, 40, 4, 20, 90), (900, 10.0, 1, 4, 2, 2), (None, 10.0, None, 4, 20, 90)]
     found = with_churn_chance(spark.createDataFrame(data, columns))
-    assert [(r["matched_rules"], r["churn_chance"]) for r in found.collect()] == [(0, 25), (6, 85), (3, 85)]
+    chances = [(n, LEAST_CHANCE + CHANCE_PER_SIGN * n) for n in (0, 5, 1)]
+    assert [(r["matched_rules"], r["churn_chance"]) for r in found.collect()] == chances
 
 
 def test_models_run_where_the_package_is_not_installed(tmp_path):

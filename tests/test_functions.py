@@ -52,11 +52,30 @@ def test_scalars(single):
     assert one(single, scalars.epoch_to_timestamp(F.lit(3600)).cast("timestamp_ntz")) == dt.datetime(1970, 1, 1, 1)
 
 
-def test_unescape_json(single):
-    quoted = F.lit('"{\\"a\\": \\"x\\", \\"b\\": {\\"c\\": 1}}"')
-    cleaned = scalars.unescape_json(quoted)
-    assert one(single, F.get_json_object(cleaned, "$.b.c")) == "1"
-    assert one(single, F.get_json_object(cleaned, "$.a")) == "x"
+@pytest.mark.parametrize(
+    "quoted,expected",
+    [
+        (r'"{\"a\": \"x\", \"b\": {\"c\": 1}}"', '{"a": "x", "b": {"c": 1}}'),
+        (r'{"payload":"{\"a\":\"\",\"b\":1}"}', '{"payload":{"a":"","b":1}}'),
+        (r'{"note":"line\nbreak","q":"say \"hi\""}', r'{"note":"line\nbreak","q":"say \"hi\""}'),
+        ('{"n":1,"t":"1","z":null}', '{"n":1,"t":"1","z":null}'),
+        ("[1,2]", "[1,2]"),
+        ("no json", None),
+        (None, None),
+    ],
+)
+def test_unescape_json(single, quoted, expected):
+    assert one(single, scalars.unescape_json(F.lit(quoted).cast("string"))) == expected
+
+
+@pytest.mark.parametrize(
+    "text,passes",
+    [("1", True), ('1, "b": 2', False), ("1, 2", False), ("1], [2", False), ('1}, {"data": 2', False),
+     ('{"a": 1}', True), ("[1, 2]", True), ("null", True), ("", False), (None, False)],
+)
+def test_one_document(single, text, passes):
+    found = one(single, nested.one_document(F.lit(text).cast("string")))
+    assert found == (text if passes else None)
 
 
 @pytest.mark.parametrize(
@@ -66,6 +85,9 @@ def test_unescape_json(single):
         ("StreamingTV", "streaming_t_v"),
         ("MonthlyCharges", "monthly_charges"),
         ("Bank transfer (automatic)", "bank_transfer_automatic"),
+        ("Part Type", "part__type"),
+        ("user_ID", "user_i_d"),
+        ("_hidden-part", "_hidden_part"),
     ],
 )
 def test_snake_case(name, expected):
