@@ -71,7 +71,7 @@ def src_stream_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     folder, root = _landed(spark, events, "json"), scratch_path(spark, "stream-json")
     drain(ingest_folder(spark, folder, "json", f"{root}/raw", f"{root}/state"))
-    return spark.read.parquet(f"{root}/raw").filter("_rescued_data IS NULL").select(*events.columns)
+    return spark.read.parquet(f"{root}/raw").select(*events.columns)
 
 
 @query("src_stream_csv", EVENT_COLUMNS)

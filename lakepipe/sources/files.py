@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ def list_folders(spark: SparkSession, path: str) -> list[str]:
 def list_files(spark: SparkSession, path: str, limit: int | None = None) -> list[str]:
     """Data files directly below a folder, by name; ``limit`` ends the listing early."""
     fs, p = _file_system(spark, path)
+    if not fs.getFileStatus(p).isDirectory():
+        return [path]
     found, entries = [], fs.listStatusIterator(p)
     while entries.hasNext():
         status = entries.next()
@@ -48,6 +52,212 @@ def list_files(spark: SparkSession, path: str, limit: int | None = None) -> list
     return sorted(found)
 
 
+def read_small_text(spark: SparkSession, path: str) -> str | None:
+    """Content of a small file, None where it is missing."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small new file; False if it is there already."""
+    fs, p = _file_system(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Exception as error:  # noqa: BLE001
+        if "FileAlreadyExists" in str(error) or fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return True
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        jvm = spark._jvm
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        return reader.readLine() or ""
+    finally:
+        stream.close()
+
+
+def csv_headers(
+    spark: SparkSession, files: Sequence[str], options: Mapping[str, str] | None = None
+) -> dict[tuple[str, ...], list[str]]:
+    """Files by the column names of their first line; files without a line are left out.
+
+    Only first lines are read, many at a time. A name given twice gets a number.
+    """
+    options = options or {}
+
+    def header(path: str) -> tuple[str, ...]:
+        line = first_line(spark, path).removeprefix("\ufeff")
+        if not line:
+            return ()
+        found = next(csv.reader([line], delimiter=options.get("sep", ","), quotechar=options.get("quote", '"')))
+        names = [name.strip() for name in found]
+        return tuple(n if names.index(n) == i else f"{n}#{names[: i + 1].count(n)}" for i, n in enumerate(names))
+
+    groups: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for path, names in zip(files, pool.map(header, files), strict=True):
+            if names:
+                groups.setdefault(names, []).append(path)
+    return groups
+
+
+def _text_schema(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _cast(value: Column, kind: T.DataType, options: Mapping[str, str]) -> Column:
+    """Text as a type; null where it does not fit."""
+    if isinstance(kind, T.StringType):
+        return value
+    pattern = options.get("timestampFormat") if isinstance(kind, T.TimestampType) else options.get("dateFormat")
+    if pattern and isinstance(kind, (T.TimestampType, T.DateType)):
+        return F.try_to_timestamp(value, F.lit(pattern)).cast(kind)
+    return F.trim(value).try_cast(kind)
+
+
+def _as_json(parts: Mapping[str, Column]) -> Column:
+    """The entries with a value as a JSON object; null when there is none."""
+    names = F.array(*[F.lit(n) for n in parts])
+    filled = F.map_filter(F.map_from_arrays(names, F.array(*parts.values())), lambda _, v: v.isNotNull())
+    return F.when(F.size(filled) > 0, F.to_json(filled))
+
+
+def _empty(spark: SparkSession, schema: T.StructType, rescue: str | None) -> DataFrame:
+    fields = [*schema.fields, *([T.StructField(RESCUED, T.StringType())] if rescue else [])]
+    return spark.createDataFrame([], T.StructType(fields))
+
+
+def read_csv_by_header(
+    spark: SparkSession,
+    files: Sequence[str],
+    schema: T.StructType,
+    rescue: str | None = None,
+    options: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """CSV files whose columns are found by the names in each file's own header.
+
+    A column that a file does not have is null. ``rescue``: ``fields`` keeps, as JSON in ``_rescued_data``, the values of
+    columns the schema does not name, values that do not fit their type, and the whole text of a row with more or fewer
+    values than the header (as ``_record``); ``record`` keeps that row's text in any of these cases.
+    """
+    options = {k: v for k, v in (options or {}).items() if k not in ("header", "maxFilesPerTrigger")}
+    wanted = T.StructType([f for f in schema.fields if f.name != RESCUED])
+    out = None
+    for names, paths in csv_headers(spark, files, options).items():
+        record = "__record"
+        reader = spark.read.options(**options).option("header", True).option("columnNameOfCorruptRecord", record)
+        texts = T.StructType([*_text_schema(names).fields, T.StructField(record, T.StringType())])
+        rows = reader.schema(texts).csv(list(paths))
+        rows = rows.toDF(*[f"__{i}" for i in range(len(names))], record)
+        place = {n: F.col(f"__{i}") for i, n in enumerate(names)}
+        typed = {
+            f.name: _cast(place[f.name], f.dataType, options) if f.name in place else F.lit(None).cast(f.dataType)
+            for f in wanted.fields
+        }
+        columns = [c.alias(n) for n, c in typed.items()]
+        if rescue:
+            left = {n: c for n, c in place.items() if n not in typed}
+            for f in wanted.fields:
+                if f.name in place and not isinstance(f.dataType, T.StringType):
+                    left[f.name] = F.when(typed[f.name].isNull(), place[f.name])
+            left["_record"] = F.col(record)
+            lost = _as_json(left)
+            if rescue == RECORD:
+                text = F.to_csv(F.struct(*[c.alias(n) for n, c in place.items()]), {"sep": options.get("sep", ",")})
+                lost = F.when(lost.isNotNull(), F.coalesce(F.col(record), text))
+            columns.append(lost.alias(RESCUED))
+        part = rows.select(*columns)
+        out = part if out is None else out.unionByName(part)
+    return _empty(spark, wanted, rescue) if out is None else out
+
+
+def read_parquet_by_name(
+    spark: SparkSession, files: Sequence[str], schema: T.StructType, rescue: str | None = None
+) -> DataFrame:
+    """Parquet files with differing columns and types, as ``schema``.
+
+    With ``rescue`` the columns that the schema does not name and the values that cannot be cast are kept as JSON.
+    """
+    wanted = T.StructType([f for f in schema.fields if f.name != RESCUED])
+    out = None
+    for part in _parquet_parts(spark, list(files)):
+        have = {f.name: f.dataType for f in part.schema.fields}
+        typed = {
+            f.name: (part[f"`{f.name}`"] if have[f.name] == f.dataType else part[f"`{f.name}`"].try_cast(f.dataType))
+            if f.name in have
+            else F.lit(None).cast(f.dataType)
+            for f in wanted.fields
+        }
+        columns = [c.alias(n) for n, c in typed.items()]
+        if rescue:
+            left = {}
+            for name, kind in have.items():
+                text = part[f"`{name}`"].cast("string")
+                if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+                    text = F.to_json(part[f"`{name}`"])
+                if name not in typed:
+                    left[name] = text
+                elif kind != wanted[name].dataType:
+                    left[name] = F.when(typed[name].isNull(), text)
+            columns.append((_as_json(left) if left else F.lit(None).cast("string")).alias(RESCUED))
+        rows = part.select(*columns)
+        out = rows if out is None else out.unionByName(rows)
+    return _empty(spark, wanted, rescue) if out is None else out
+
+
+def _parquet_parts(spark: SparkSession, files: list[str]) -> list[DataFrame]:
+    """One frame over all files where their schemas merge, else one per schema."""
+    if not files:
+        return []
+    try:
+        return [spark.read.option("mergeSchema", True).parquet(*files)]
+    except Exception as error:  # noqa: BLE001
+        if "CANNOT_MERGE_SCHEMA" not in str(error) and "merge" not in str(error).lower():
+            raise
+    groups: dict[str, list[str]] = {}
+    for path in files:
+        groups.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+    return [spark.read.parquet(*paths) for paths in groups.values()]
+
+
+def read_bound(
+    spark: SparkSession,
+    files: Sequence[str],
+    fmt: str,
+    schema: T.StructType,
+    rescue: str | None = None,
+    options: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Given files as ``schema``, with columns found by name in each file and the rest rescued."""
+    options = dict(options or {})
+    if fmt == "csv":
+        return read_csv_by_header(spark, files, schema, rescue, options)
+    if fmt == "parquet":
+        return read_parquet_by_name(spark, files, schema, rescue)
+    if not files:
+        return _empty(spark, schema, rescue)
+    if fmt == "json" and options.get("multiLine") == "true" and rescue == FIELDS:
+        documents = spark.read.text(list(files), wholetext=True)
+        # a file holds one document or an array of them; a file that is neither is kept whole
+        many = F.from_json("value", "array<string>")
+        lines = documents.select(F.explode(F.coalesce(many, F.array("value"))).alias("value"))
+        return rescue_fields(lines, schema)
+    return _load(spark.read, list(files), fmt, schema, rescue, options)
+
+
 def apply_hints(schema: T.StructType, hints: str | None) -> T.StructType:
     """Replace or add the fields named in a DDL string."""
     if not hints:
@@ -66,14 +276,46 @@ def infer_schema(
     sample_files: int | None = None,
     options: Mapping[str, str] | None = None,
 ) -> T.StructType:
-    """Schema of a folder or sample file; without ``infer_types`` every leaf is text."""
+    """Schema of all files of a folder, or of a sample file; without ``infer_types`` every leaf is text.
+
+    ``sample_files`` looks at that many files only: what the others have besides is then left to rescuing.
+    """
+    files = list_files(spark, path, sample_files) if sample_files or fmt == "csv" else []
+    if fmt == "csv":
+        found = _csv_schema(spark, files or [path], infer_types, options or {})
+        return apply_hints(found, hints)
     reader = spark.read.format(fmt).options(**(options or {}))
     if fmt == "json" and not infer_types:
         reader = reader.option("primitivesAsString", True)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", infer_types)
-    sample = list_files(spark, path, sample_files) if sample_files else []
-    return apply_hints(reader.load(sample or path).schema, hints)
+    if fmt == "parquet":
+        reader = reader.option("mergeSchema", True)
+    return apply_hints(reader.load(files or path).schema, hints)
+
+
+def _csv_schema(
+    spark: SparkSession, files: Sequence[str], infer_types: bool, options: Mapping[str, str]
+) -> T.StructType:
+    """All columns of all headers; a column that the files type differently is text, numbers the wider number."""
+    kinds: dict[str, T.DataType] = {}
+    for names, paths in csv_headers(spark, files, options).items():
+        if infer_types:
+            reader = spark.read.options(**options).option("header", True).option("inferSchema", True)
+            found = [f.dataType for f in reader.csv(paths).schema.fields]
+        else:
+            found = [T.StringType()] * len(names)
+        for name, kind in zip(names, found, strict=False):
+            kinds[name] = kind if name not in kinds else _wider(kinds[name], kind)
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+
+_NUMBERS = (T.IntegerType, T.LongType, T.DoubleType)
+
+
+def _wider(one: T.DataType, two: T.DataType) -> T.DataType:
+    if one == two:
+        return one
+    ranks = [next((i for i, n in enumerate(_NUMBERS) if isinstance(k, n)), None) for k in (one, two)]
+    return T.StringType() if None in ranks else _NUMBERS[max(ranks)]()
 
 
 def widen(schema: T.StructType, seen: T.StructType) -> T.StructType:
@@ -142,8 +384,13 @@ def read_files(
         schema = T.StructType.fromDDL(schema)
     if schema is None:
         if fmt == "parquet":
-            return spark.read.options(**chosen).parquet(path)
+            return spark.read.options(**{"mergeSchema": "true", **chosen}).parquet(path)
         schema = infer_schema(spark, path, fmt, options=chosen)
+    if rescue not in (None, RECORD, FIELDS):
+        raise ValueError(f"unknown way to rescue: {rescue!r}")
+    headed = fmt == "csv" and chosen["header"].lower() == "true"
+    if headed or (rescue and fmt == "parquet"):
+        return read_bound(spark, list_files(spark, path), fmt, schema, rescue, chosen)
     return _load(spark.read, path, fmt, schema, rescue, chosen)
 
 
@@ -155,7 +402,7 @@ def stream_files(
     schema_location: str | None = None,
     infer_types: bool = True,
     hints: str | None = None,
-    sample_files: int | None = 10,
+    sample_files: int | None = None,
     evolve: bool = False,
     multi_line: bool = False,
     rescue: str | None = None,
@@ -164,8 +411,10 @@ def stream_files(
 ) -> DataFrame:
     """Incremental read of a folder: each file is delivered once per checkpoint.
 
-    Without ``schema`` the schema is inferred from a few files and remembered at
-    ``schema_location``; with ``evolve`` all files are looked at and new fields added.
+    Without ``schema`` the schema is inferred from all files (or ``sample_files`` of
+    them) and remembered at ``schema_location``; with ``evolve`` all files are looked
+    at again and new fields added. CSV columns are taken by position here, and a file
+    whose header differs is refused; ``ingest_folder`` takes them by name.
     ``rescue`` adds the column ``_rescued_data``: ``record`` keeps the text of a
     record that does not fit, ``fields`` (JSON lines) keeps just the fields that
     do not fit or are not in the schema, so that nothing gets lost.
@@ -182,6 +431,8 @@ def stream_files(
         schema = (
             remembered_schema(spark, schema_location, infer, evolve) if schema_location else infer()
         )
+    if fmt == "csv":
+        chosen.setdefault("enforceSchema", "false")
     if max_files_per_trigger:
         chosen["maxFilesPerTrigger"] = str(max_files_per_trigger)
     return _load(spark.readStream, path, fmt, schema, rescue, chosen)
@@ -218,14 +469,16 @@ def rescue_fields(
         {"__raw": F.from_json(text, "map<string,string>"), "__typed": F.from_json(text, schema)}
     )
 
-    def unfit(key: Column, value: Column) -> Column:
-        fails = ~key.isin(schema.names)
-        for f in schema.fields:
-            typed = F.col("__typed").getField(f.name)
-            fails = fails | ((key == f.name) & _does_not_fit(value, typed, f.dataType))
-        return value.isNotNull() & fails
-
-    leftover = F.map_filter("__raw", unfit)
+    # one check per field of the schema; all other keys are unknown
+    unknown = F.map_filter("__raw", lambda k, v: v.isNotNull() & ~F.array_contains(F.array(*map(F.lit, schema.names)), k))
+    raw, typed = F.col("__raw"), F.col("__typed")
+    unfit = [
+        F.when(_does_not_fit(F.element_at(raw, f.name), typed.getField(f.name), f.dataType), F.lit(f.name))
+        for f in schema.fields
+    ]
+    lost = F.array_compact(F.array(*unfit)) if unfit else F.array().cast("array<string>")
+    misfits = F.map_from_arrays(lost, F.transform(lost, lambda k: F.element_at(raw, k)))
+    leftover = F.map_concat(unknown, misfits)
     rescued = F.when(F.col("__raw").isNull(), F.col(text)).when(
         F.size(leftover) > 0, F.to_json(leftover)
     )

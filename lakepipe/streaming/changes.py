@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakepipe.operators.changes import apply_changes_scd2, reduce_changes
-from lakepipe.sources.files import delete_folder, list_folders, path_exists
+from lakepipe.sources.files import create_file, delete_folder, list_folders, path_exists, read_small_text
 from lakepipe.streaming.sinks import BATCH, drain, each_batch, last_batch, read_batches, write_batch
 
 BUCKET = "__bucket"
@@ -40,7 +40,7 @@ def start_scd1(
         latest = reduce_changes(batch, keys, sequence_by, apply_as_deletes, tie_breaker)
         write_batch(latest, f"{target}/changes", batch_id)
 
-    return each_batch(stream, handle, checkpoint, every=every)
+    return each_batch(stream, handle, checkpoint, every=every, target=target)
 
 
 def _folded_upto(spark: SparkSession, target: str) -> int | None:
@@ -68,7 +68,7 @@ def _reduced_log(
     folded = _folded_upto(spark, target)
     if folded is not None:
         newer = log.filter(F.col(BATCH) > folded).drop(BATCH)
-        log = spark.read.parquet(f"{target}/base/upto={folded}").unionByName(newer)
+        log = spark.read.parquet(f"{target}/base/upto={folded}").unionByName(newer, allowMissingColumns=True)
     else:
         log = log.drop(BATCH)
     return reduce_changes(log, keys, sequence_by)
@@ -125,23 +125,36 @@ def apply_folders(
     return {name: f"{target}/{name}" for name in raw}
 
 
+def _bucket_count(spark: SparkSession, target: str, wanted: int | None) -> int:
+    kept = f"{target}/_buckets"
+    create_file(spark, kept, str(wanted or BUCKETS))
+    found = int(read_small_text(spark, kept))
+    if wanted not in (None, found):
+        raise ValueError(f"{target} has {found} buckets, not {wanted}")
+    return found
+
+
 def start_scd2(
     stream: DataFrame,
     target: str,
     checkpoint: str,
     keys: str | Sequence[str],
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Log every change of the stream, foldered by a hash bucket of the key."""
+    """Log every change of the stream, foldered by a hash bucket of the key.
+
+    The number of buckets is kept with the target (``BUCKETS`` at first, unless given); another one is refused later.
+    """
     names = [keys] if isinstance(keys, str) else list(keys)
+    buckets = _bucket_count(stream.sparkSession, target, buckets)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         placed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
         # rows of a bucket go together, adaptive execution merges small ones and splits a hot one
         write_batch(placed.hint("rebalance", BUCKET), f"{target}/changes", batch_id, [BUCKET])
 
-    return each_batch(stream, handle, checkpoint, every=every)
+    return each_batch(stream, handle, checkpoint, every=every, target=target)
 
 
 def read_scd2(

@@ -25,7 +25,7 @@ def start_checked(
         metrics = rules.observed_metrics(batch, counts.get)
         write_batch(metrics.coalesce(1), f"{target}/metrics", batch_id)
 
-    return each_batch(stream, handle, checkpoint, every=every)
+    return each_batch(stream, handle, checkpoint, every=every, target=target)
 
 
 def read_clean(spark: SparkSession, target: str) -> DataFrame:

@@ -47,7 +47,7 @@ def start_windowed(
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, target, batch_id)
 
-    return each_batch(statistics_stream, handle, checkpoint, mode="update", every=every)
+    return each_batch(statistics_stream, handle, checkpoint, mode="update", every=every, target=target)
 
 
 def read_windowed(spark: SparkSession, target: str, key: str) -> DataFrame:

@@ -390,7 +390,7 @@ def test_new_fields_are_rescued_then_added(spark, landing, tmp_path):
 
 def test_rescue_arguments_are_checked(spark, landing):
     with pytest.raises(ValueError, match="JSON lines"):
-        files.read_files(spark, str(landing), "csv", "id int", rescue="fields")
+        files.read_files(spark, str(landing), "json", "id int", multi_line=True, rescue="fields")
     with pytest.raises(ValueError, match="unknown"):
         files.read_files(spark, str(landing), "json", "id int", rescue="all")
 
