@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakepipe.operators.joins import enrich
 from lakepipe.operators.ranges import shuffle_width
@@ -24,6 +25,7 @@ from lakepipe.session import scratch_path
 from lakepipe.sinks.tables import compact, rewrite_without, write_files
 from lakepipe.sources.files import read_files, stream_files
 from lakepipe.streaming.changes import (
+    fold_changes,
     read_scd1,
     read_scd2,
     read_versions,
@@ -43,6 +45,14 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return stream_files(spark, f"{sf_dir}/{name}.parque[t]", "parquet", schema)
 
 
+def landed_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 5) -> DataFrame:
+    """A table as a folder of files in no order, delivered one file per micro-batch."""
+    whole = table(spark, sf_dir, name)
+    folder = scratch_path(spark, f"landing-{name}")
+    whole.repartition(files, F.xxhash64(*whole.columns)).write.parquet(folder)
+    return stream_files(spark, folder, "parquet", whole.schema, max_files_per_trigger=1)
+
+
 def _worked_off(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
     root = scratch_path(spark, label)
     drain(append_stream(stream, f"{root}/table", f"{root}/checkpoint"))
@@ -108,6 +118,77 @@ def rescued_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(spark, path, "json", "event_id long, user_id long", rescue="fields")
 
 
+_PLAIN_EVENTS = "event_id long, user_id long, event_type string, value double"
+
+
+@query(
+    "src_csv_by_header",
+    """SELECT event_id, CASE WHEN event_id % 3 <> 2 OR event_type <> 'error' THEN user_id END AS user_id, event_type, value,
+              CASE WHEN event_id % 3 = 2 AND event_type = 'error'
+                   THEN '{"extra":"' || event_id || '","user_id":"user ' || user_id || '"}'
+                   WHEN event_id % 3 = 2 THEN '{"extra":"' || event_id || '"}' END AS _rescued_data FROM events""",
+)
+def src_csv_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with the columns in different orders, an unknown column, and values of the wrong type."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    odd = F.when(F.col("event_type") == "error", F.concat(F.lit("user "), "user_id")).otherwise(
+        F.col("user_id").cast("string")
+    )
+    folder, root = scratch_path(spark, "landing-headers"), scratch_path(spark, "csv-headers")
+    orders = (
+        ["event_id", "user_id", "event_type", "value"],
+        ["value", "event_type", "user_id", "event_id"],
+        ["event_type", F.col("event_id").alias("extra"), "event_id", "value", odd.alias("user_id")],
+    )
+    for i, columns in enumerate(orders):
+        part = events.where(F.col("event_id") % 3 == i).select(*columns)
+        part.repartition(4, F.xxhash64("event_id")).write.mode("append").option("header", True).csv(folder)
+    drain(ingest_folder(spark, folder, "csv", f"{root}/raw", f"{root}/state", schema=StructType.fromDDL(_PLAIN_EVENTS)))
+    return spark.read.parquet(f"{root}/raw").drop("batch_id")
+
+
+@query(
+    "src_parquet_late_column",
+    """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN event_type END AS event_type,
+              CASE WHEN event_id % 13 = 1 THEN '{"note":"' || user_id || '"}' END AS _rescued_data FROM events""",
+)
+def src_parquet_late_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that one file in many has arrives; one that comes after the schema was fixed is rescued."""
+    events = table(spark, sf_dir, "events")
+    folder, root = scratch_path(spark, "landing-late"), scratch_path(spark, "parquet-late")
+    rest = F.col("event_id") % 13
+    events.where(rest > 1).select("event_id").repartition(12, F.xxhash64("event_id")).write.parquet(folder)
+    events.where(rest == 0).select("event_id", "event_type").write.mode("append").parquet(folder)
+
+    def land() -> None:
+        drain(ingest_folder(spark, folder, "parquet", f"{root}/raw", f"{root}/state"))
+
+    land()
+    events.where(rest == 1).select("event_id", F.col("user_id").alias("note")).write.mode("append").parquet(folder)
+    land()
+    return spark.read.parquet(f"{root}/raw").drop("batch_id")
+
+
+@query(
+    "src_multiline_json",
+    """SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_regionkey <> 2 THEN n_regionkey::BIGINT END AS n_regionkey,
+              CASE WHEN n_regionkey = 2 THEN '{"n_name":"' || n_name || '","n_regionkey":"region 2"}'
+                   ELSE '{"n_name":"' || n_name || '"}' END AS _rescued_data FROM nation""",
+)
+def src_multiline_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over several lines, a file each with a list of them: unknown and mistyped fields are rescued."""
+    nations = table(spark, sf_dir, "nation")
+    folder, root = scratch_path(spark, "landing-multiline"), scratch_path(spark, "json-multiline")
+    for part in range(5):
+        region = F.lit("region 2") if part == 2 else F.col("n_regionkey")
+        rows = F.collect_list(F.struct("n_nationkey", "n_name", region.alias("n_regionkey")))
+        lists = nations.where(F.col("n_regionkey") == part).agg(F.to_json(rows, {"pretty": "true"}).alias("value"))
+        lists.coalesce(1).write.mode("append").text(folder)
+    schema = StructType.fromDDL("n_nationkey long, n_regionkey long")
+    drain(ingest_folder(spark, folder, "json", f"{root}/raw", f"{root}/state", schema=schema, multi_line=True))
+    return spark.read.parquet(f"{root}/raw").drop("batch_id")
+
+
 @query("sink_stream_append", "SELECT o_orderkey, o_orderstatus FROM orders")
 def sink_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second run on the same checkpoint finds nothing new and adds no row."""
@@ -169,7 +250,7 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_expect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts observed while the stream writes its clean rows."""
     root = scratch_path(spark, "stream-expect")
-    feed = cdc_feed_of(table_stream(spark, sf_dir, "events"))
+    feed = cdc_feed_of(landed_stream(spark, sf_dir, "events"))
     drain(start_checked(feed, CDC_RULES, f"{root}/target", f"{root}/checkpoint"))
     return read_metrics(spark, f"{root}/target")
 
@@ -177,16 +258,46 @@ def stream_expect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_scd1", SCD1_SQL)
 def stream_scd1(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "stream-scd1")
-    feed = changes_of(cdc_feed_of(table_stream(spark, sf_dir, "events")))
+    feed = changes_of(cdc_feed_of(landed_stream(spark, sf_dir, "events")))
     drain(start_scd1(feed, f"{root}/target", f"{root}/checkpoint", KEYS, SEQUENCE, IS_DELETE))
     state = read_scd1(spark, f"{root}/target", KEYS, SEQUENCE, HIDDEN)
     return state.withColumn("operation_date", plain_time("operation_date"))
 
 
+@query("stream_scd1_restart", SCD1_SQL)
+def stream_scd1_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the feed, a fold, then the rest from a new checkpoint on the same target."""
+    root = scratch_path(spark, "stream-scd1-restart")
+    target = f"{root}/target"
+    for half in range(2):
+        events = landed_stream(spark, sf_dir, "events", 3).where(F.col("event_id") % 2 == half)
+        feed = changes_of(cdc_feed_of(events))
+        drain(start_scd1(feed, target, f"{root}/checkpoint-{half}", KEYS, SEQUENCE, IS_DELETE))
+        if half == 0:
+            fold_changes(spark, target, KEYS, SEQUENCE)
+    state = read_scd1(spark, target, KEYS, SEQUENCE, HIDDEN)
+    return state.withColumn("operation_date", plain_time("operation_date"))
+
+
+@query(
+    "stream_scd1_new_column",
+    """SELECT o_custkey, max(o_orderkey) AS o_orderkey,
+              CASE WHEN max(o_orderkey) % 2 = 1 THEN arg_max(o_orderstatus, o_orderkey) END AS status
+       FROM orders GROUP BY o_custkey""",
+)
+def stream_scd1_new_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that only later batches have is part of the state."""
+    root = scratch_path(spark, "stream-scd1-column")
+    for half, columns in enumerate((["o_custkey", "o_orderkey"], ["o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status")])):
+        orders = landed_stream(spark, sf_dir, "orders", 2).where(F.col("o_orderkey") % 2 == half).select(*columns)
+        drain(start_scd1(orders, f"{root}/target", f"{root}/checkpoint-{half}", "o_custkey", "o_orderkey"))
+    return read_scd1(spark, f"{root}/target", "o_custkey", "o_orderkey")
+
+
 @query("stream_scd2", SCD2_SQL)
 def stream_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "stream-scd2")
-    feed = changes_of(cdc_feed_of(table_stream(spark, sf_dir, "events")))
+    feed = changes_of(cdc_feed_of(landed_stream(spark, sf_dir, "events")))
     target = f"{root}/target"
     drain(start_scd2(feed, target, f"{root}/checkpoint", KEYS))
     hidden = [*HIDDEN, "operation_date"]
@@ -199,7 +310,7 @@ def stream_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_scd2_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history as a stored table that is refreshed bucket by bucket."""
     root = scratch_path(spark, "stream-scd2-stored")
-    feed = changes_of(cdc_feed_of(table_stream(spark, sf_dir, "events")))
+    feed = changes_of(cdc_feed_of(landed_stream(spark, sf_dir, "events")))
     target = f"{root}/target"
     drain(start_scd2(feed, target, f"{root}/checkpoint", KEYS, buckets=4 * shuffle_width(spark)))
     hidden = [*HIDDEN, "operation_date"]

@@ -420,3 +420,41 @@ def test_unfinished_batch_is_not_read(spark, tmp_path):
 def test_cluster_settings_are_known_to_spark(spark):
     for name in session.CLUSTER_CONF:
         spark.conf.get(name)
+
+
+def test_csv_is_bound_by_header(spark, tmp_path):
+    folder = tmp_path / "csv"
+    write_lines(folder, "a.csv", ["x,y", "1,one"])
+    write_lines(folder, "b.csv", ["y,x", "two,2", "three,many"])
+    write_lines(folder, "c.csv", ["z,x", "left,4", "too,5,long"])
+    found = files.read_files(spark, str(folder), "csv", "x int, y string", rescue="fields")
+    assert rows(found.where("x < 5"), "x", "y", "_rescued_data") == [
+        (1, "one", None), (2, "two", None), (4, None, '{"z":"left"}')
+    ]
+    assert rows(found.where("x IS NULL"), "y", "_rescued_data") == [("three", '{"x":"many"}')]
+    long = found.where("x = 5").first()["_rescued_data"]
+    assert json.loads(long)["_record"] == "too,5,long"
+    inferred = files.infer_schema(spark, str(folder), "csv")
+    assert set(inferred.names) == {"x", "y", "z"}
+
+
+def test_foreign_and_former_writers_are_refused(spark, landing, tmp_path):
+    def start(target, checkpoint, **options):
+        stream = files.stream_files(spark, str(landing), "json", "id int, v double")
+        sinks.drain(changes.start_scd2(stream, str(tmp_path / target), str(tmp_path / checkpoint), "id", **options))
+
+    start("t", "one", buckets=4)
+    with pytest.raises(ValueError, match="another target"):
+        start("u", "one")
+    with pytest.raises(ValueError, match="4 buckets"):
+        start("t", "two", buckets=7)
+    start("t", "two")
+    assert changes.read_scd2(spark, str(tmp_path / "t"), "id", "v").where("end_at IS NULL").count() == 3
+    with pytest.raises(ValueError, match="later checkpoint"):
+        start("t", "one")
+
+
+def test_arrival_stamp(spark, landing, tmp_path):
+    target = str(tmp_path / "raw")
+    sinks.drain(ingest.ingest_folder(spark, str(landing), "json", target, str(tmp_path / "s"), stamp="arrived"))
+    assert spark.read.parquet(target).where("arrived IS NOT NULL").count() == 3
