@@ -200,7 +200,7 @@ def identify(
     """(id, columns ``carry``, lang_pred, score) of every row, told from its text alone.
 
     Of equally likely languages the first by name wins. Null text and text without a letter: ``und`` with score 0. A text
-    whose letters the model has never seen is given the same share for each language.
+    whose letters the model has never seen is given nearly the same share for each language.
     """
     names = [id_col, *carry]
     rows = docs.select(
