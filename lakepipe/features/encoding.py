@@ -9,27 +9,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CATEGORIES = 1_000
-
 
 def learn_categories(
-    df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES
+    df: DataFrame, columns: Sequence[str], limit: int | None = None
 ) -> dict[str, list[str]]:
-    """Sorted distinct values of each column, as text.
+    """Sorted distinct values of each column, as text: each becomes a column later.
 
-    Indicator columns only make sense for few values: a column with clearly more
-    than ``limit`` is refused before anything is collected.
+    With a ``limit`` a column of more values is refused, by an exact count and
+    before its values are collected. Known values need not be learned: hand them
+    to ``one_hot``.
     """
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    wide = {c: sizes[c] for c in columns if sizes[c] > limit}
-    if wide:
-        raise ValueError(f"too many categories for indicator columns: {wide}")
     pairs = F.array(
         *[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]
     )
-    distinct = df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    distinct = df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("value").isNotNull()).distinct()
+    if limit is not None:
+        sizes = {r["name"]: r["count"] for r in distinct.groupBy("name").count().collect()}
+        wide = {c: n for c, n in sizes.items() if n > limit}
+        if wide:
+            raise ValueError(f"too many categories for indicator columns: {wide}")
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for row in distinct.filter(F.col("value").isNotNull()).orderBy("name", "value").collect():
+    for row in distinct.orderBy("name", "value").collect():
         found[row["name"]].append(row["value"])
     return found
 

@@ -6,6 +6,7 @@ size, and otherwise shuffles and lets adaptive execution split skewed partitions
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 
 from lakepipe.operators.windows import with_row_index
 
-DIRECT_LIMIT = 64
-
 
 def enrich(
     facts: DataFrame,
@@ -47,55 +46,38 @@ def interval_join(
     at: str,
     start: str,
     end: str,
-    method: str = "auto",
+    method: str = "binned",
 ) -> DataFrame:
     """Inner join on equal keys and ``start < at < end`` (both borders excluded).
 
     ``at``, ``start`` and ``end`` are whole numbers (epoch seconds, for example).
-    ``direct`` joins on the keys and filters: right while each key has few
-    intervals. ``binned`` also joins on a time bin, so a key with very many
-    points and intervals is spread over many tasks and pairs that cannot meet
-    are never formed. Both give the same rows; ``auto`` counts the intervals of
-    the fullest key and chooses.
+    The line is cut into bins as wide as the mean interval: a point lies in one
+    bin, an interval in each that it touches, in all at most three times as many
+    as there are intervals, whatever their lengths. A key with very many points
+    and intervals is so spread over many tasks, and pairs that cannot meet are
+    never formed. ``direct`` joins on the keys and filters: the same rows, for
+    keys that are known to have few intervals.
     """
     right = intervals.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in intervals.columns if c not in keys])
     same_key = [F.col(k) == F.col(f"__{k}") for k in keys]
     inside = (F.col(start) < F.col(at)) & (F.col(at) < F.col(end))
     output = [*points.columns, *[c for c in intervals.columns if c not in keys]]
-
-    if method == "auto":
-        fullest = intervals.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        method = "direct" if fullest <= DIRECT_LIMIT else "binned"
     if method == "direct":
         return points.join(right, [*same_key, inside]).select(*output)
     if method != "binned":
         raise ValueError(f"unknown method {method!r}")
 
-    # An interval of length n goes to the level whose bin width is the next power
-    # of two >= n, so it covers at most two bins there; a point looks up one bin
-    # on each level that occurs (at most one per bit of the length).
-    length = F.greatest(F.col(end) - F.col(start), F.lit(1)).cast("double")
-    level = F.ceil(F.log2(length)).cast("int")
-    leveled = right.filter(F.col(start) < F.col(end)).withColumn("__level", level)
-    levels = sorted(r[0] for r in leveled.select("__level").distinct().collect())
-    if not levels:
-        return points.join(right, [*same_key, inside]).select(*output)
+    real = right.filter(F.col(start) < F.col(end))
+    mean = intervals.filter(F.col(start) < F.col(end)).agg(F.avg(F.col(end) - F.col(start))).first()[0]
+    width = max(1, math.ceil(mean or 1))
 
-    def bin_of(value: str, width_level: str) -> Column:
-        # shift right keeps the order for negative numbers too
-        return F.expr(f"shiftright(CAST(`{value}` AS BIGINT), {width_level})")
+    def bin_of(value: str) -> Column:
+        # dividing whole numbers keeps the order, for negative numbers too
+        return F.expr(f"CAST(`{value}` AS BIGINT) DIV {width}")
 
-    binned = leveled.withColumn(
-        "__bin", F.explode(F.sequence(bin_of(start, "__level"), bin_of(end, "__level")))
-    ).withColumnRenamed("__level", "__right_level").withColumnRenamed("__bin", "__right_bin")
-    looked = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn(
-        "__bin", bin_of(at, "__level")
-    )
-    same_bin = [
-        F.col("__level") == F.col("__right_level"),
-        F.col("__bin") == F.col("__right_bin"),
-    ]
-    return looked.join(binned, [*same_key, *same_bin, inside]).select(*output)
+    binned = real.withColumn("__right_bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    looked = points.withColumn("__bin", bin_of(at))
+    return looked.join(binned, [*same_key, F.col("__bin") == F.col("__right_bin"), inside]).select(*output)
 
 
 def zip_join(

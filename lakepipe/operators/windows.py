@@ -39,12 +39,13 @@ def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:
 def with_row_index(df: DataFrame, order: Sequence[str | Column], out: str = "row_index") -> DataFrame:
     """Gap-free positions 0..n-1 of a total order, without a one-task window.
 
-    The range-sorted frame is checkpointed so that its partitions stay fixed;
-    only one row per partition is needed to turn local positions into global ones.
+    A hash of the row ranks below ``order``, so that rows which are equal in it
+    are spread over partitions too. The range-sorted frame is checkpointed so
+    that its partitions stay fixed; only one row per partition is needed to turn local positions into global ones.
     """
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = cut_lineage(
-        df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__local": local})
+        df.orderBy(*order, F.xxhash64(*df.columns)).withColumns({"__part": F.spark_partition_id(), "__local": local})
     )
     # both frames below have one row per partition, so the window and the broadcast stay small
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

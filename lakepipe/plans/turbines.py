@@ -137,7 +137,7 @@ _TRAINING_SQL = with_views(
 
 @query("turbine_training", _TRAINING_SQL)
 def turbine_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _training(spark, sf_dir, "auto")
+    return _training(spark, sf_dir, "direct")
 
 
 @query("turbine_training_binned", _TRAINING_SQL)

@@ -61,8 +61,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/lakepipe/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder. All paths of a session are deleted when it ends."""
+    root = f"{shared_root(spark)}/lakepipe/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

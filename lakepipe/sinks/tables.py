@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakepipe.operators.changes import keep_unless
-from lakepipe.operators.ranges import shuffle_width
+from lakepipe.sources.files import list_folders
+
+FILE_BYTES = 256 * 2**20
+#: Bound against estimates that Spark cannot make (a join of unknown size).
+MAX_FILES = 1_000_000
 
 
 def write_files(
@@ -41,16 +45,22 @@ def insert_rows(spark: SparkSession, name: str, values: str) -> None:
     spark.sql(f"INSERT INTO {name} VALUES {values}")
 
 
+def file_count(df: DataFrame, bytes_per_file: int = FILE_BYTES) -> int:
+    """Files of about the wanted size, from Spark's estimate of the frame; no job is run."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, min(MAX_FILES, math.ceil(size / bytes_per_file)))
+
+
 def clustered(df: DataFrame, columns: Sequence[str], files: int | None = None) -> DataFrame:
     """Rows laid out so that file statistics can skip files for filters on ``columns``.
 
-    A hash of the row ranks below the layout columns, so one frequent value is
+    Without ``files`` their number follows from the size of the data. A hash of the row ranks below the layout columns, so one frequent value is
     spread over several neighbouring files instead of ending in a single task.
     """
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"layout columns not in the table: {missing}")
-    files = files or shuffle_width(df.sparkSession)
+    files = files or file_count(df)
     spread = df.withColumn("__spread", F.xxhash64(*df.columns))
     return (
         spread.repartitionByRange(files, *columns, "__spread")
@@ -65,9 +75,31 @@ def write_clustered(
     clustered(df, columns, files).write.mode(mode).parquet(path)
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Names of a table's folder levels (``name=value``), outermost first."""
+    names: list[str] = []
+    while folders := [f for f in list_folders(spark, path) if "=" in f]:
+        names.append(folders[0].split("=")[0])
+        path = f"{path}/{folders[0]}"
+    return names
+
+
 def compact(spark: SparkSession, path: str, target: str, rows_per_file: int) -> int:
-    """Copy a table of many small files into evenly filled files; returns the file count."""
+    """Copy a table of many small files into evenly filled files; returns the file count.
+
+    Folder levels are kept: rows of a folder go together, and a large folder gets several files.
+    """
     df = spark.read.parquet(path)
+    levels = partition_columns(spark, path)
+    if levels:
+        sizes = df.groupBy(*levels).agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("__files"))
+        named = sizes.select(*[F.col(c).alias(f"__{c}") for c in levels], "__files")
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in levels]
+        spots = df.join(named, same).withColumn("__spot", F.pmod(F.xxhash64(*df.columns), F.col("__files")))
+        files = sizes.agg(F.sum("__files")).first()[0] or 0
+        placed = spots.repartition(max(1, files), *levels, "__spot").select(*df.columns)
+        placed.write.mode("overwrite").partitionBy(*levels).parquet(target)
+        return files
     files = max(1, math.ceil(df.count() / rows_per_file))
     df.repartition(files).write.mode("overwrite").parquet(target)
     return files
@@ -76,8 +108,9 @@ def compact(spark: SparkSession, path: str, target: str, rows_per_file: int) ->
 def rewrite_without(
     spark: SparkSession, path: str, target: str, predicate: str | Column
 ) -> None:
-    """New snapshot of a table without the rows that match ``predicate``."""
-    keep_unless(spark.read.parquet(path), predicate).write.mode("overwrite").parquet(target)
+    """New snapshot of a table without the rows that match ``predicate``; folder levels are kept."""
+    kept = keep_unless(spark.read.parquet(path), predicate)
+    kept.write.mode("overwrite").partitionBy(*partition_columns(spark, path)).parquet(target)
 
 
 def read_evolved(spark: SparkSession, path: str) -> DataFrame:

@@ -36,7 +36,7 @@ def test_enrich_with_equal_column_names(spark):
     assert rows(enrich(a, b, {"id": "id"}, {"other_name": "name"})) == [(1, "x", "y")]
 
 
-@pytest.mark.parametrize("method", ["direct", "binned", "auto"])
+@pytest.mark.parametrize("method", ["direct", "binned"])
 def test_interval_join_excludes_borders(spark, method):
     points = spark.createDataFrame([("a", 10), ("a", 15), ("a", 20), ("b", 15), (None, 15)], "k string, at long")
     intervals = spark.createDataFrame(
@@ -57,7 +57,7 @@ def test_interval_join_methods_against_brute_force(spark):
     expected = sorted((p[0], s[3]) for p in points for s in spans if p[1] == s[0] and s[1] < p[2] < s[2])
     left = spark.createDataFrame(points, "id int, k string, at long")
     right = spark.createDataFrame(spans, "k string, lo long, hi long, n int")
-    for method in ("direct", "binned", "auto"):
+    for method in ("direct", "binned"):
         found = interval_join(left, right, ["k"], "at", "lo", "hi", method)
         assert rows(found, "id", "n") == expected
     assert interval_join(left, right.limit(0), ["k"], "at", "lo", "hi", "binned").count() == 0
