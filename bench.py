@@ -51,6 +51,12 @@ HEADLINE = [
     "stream_silver",
     "stream_scd1",
     "stream_hourly",
+    "rescued_data",
+    "src_csv_by_header",
+    "stream_expect",
+    "stream_scd1_restart",
+    "stream_scd2_stored",
+    "cdc_factory_folders",
 ]
 
 

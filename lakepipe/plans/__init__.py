@@ -4,6 +4,7 @@ from lakepipe.plans import (
     basics,
     change_data,
     devices,
+    landing,
     loans,
     models,
     quality,
@@ -18,6 +19,7 @@ __all__ = [
     "basics",
     "change_data",
     "devices",
+    "landing",
     "loans",
     "models",
     "quality",
