@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import join_rows, keyed, without_rows
+from lakepipe.llm.common import join_rows, keyed, stored, without_rows
 from lakepipe.llm.components import connected_components
 from lakepipe.session import cut_lineage
 
@@ -148,17 +148,17 @@ def estimate(left: Column, right: Column) -> Column:
     return (equal - (both - equal) / F.lit(2.0**BITS - 1)) / either
 
 
-def confirm(
-    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
+def class_texts(
+    nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str
 ) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
-
-    Texts are fetched for the classes in ``pairs`` only, one document of each.
-    """
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = wanted.join(nodes.select("node", "_id", "_h"), "node")
+    """(node, _text) of the given classes, the text of one document of each."""
+    chosen = classes.select("node", "_id", "_h").join(nodes, "node")
     texts = join_rows(keyed(docs, id_col, text_col), chosen).select("node", "_text").dropDuplicates(["node"])
-    texts = cut_lineage(texts)
+    return stored(texts, "texts")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     both = (
         pairs.select("a", "b")
         .join(texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a")
@@ -195,13 +195,22 @@ def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     return pairs.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
 
 
-def _best_centres(placed: DataFrame, tried: DataFrame, percent: int, turn: int) -> DataFrame:
+def _shared_entries(classes: DataFrame) -> DataFrame:
+    """(key, band, node) of the buckets that hold several classes: all later steps need no others."""
+    entries = classes.select(F.posexplode("keys").alias("band", "key"), "node")
+    several = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return stored(entries.join(several, "key"), "buckets")
+
+
+def _best_centres(
+    shared: DataFrame, placed: DataFrame, tried: DataFrame, percent: int, turn: int
+) -> DataFrame:
     """(a, b): for each class b the most alike centre a of its buckets that is in another component.
 
     The centre of a bucket is one of its classes by a hash that changes with ``turn``. It comes from an aggregate with a
     map side and is joined back, so that Spark's skew join can cut up a bucket of very many classes.
     """
-    entries = placed.select(F.explode("keys").alias("key"), "node", "root")
+    entries = shared.select("key", "node").join(placed.select("node", "root"), "node")
     centres = (
         entries.groupBy("key")
         .agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("by"), F.col("node"), F.col("root"))).alias("c"),
@@ -220,23 +229,23 @@ def _best_centres(placed: DataFrame, tried: DataFrame, percent: int, turn: int)
     return scored.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")).select("a", "b")
 
 
-def _apart(placed: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+def _apart(shared: DataFrame, placed: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of classes that share a bucket, are in different components, look alike and were not tried.
 
     A pair comes from the first band that both share only.
     """
-    entries = placed.select(F.posexplode("keys").alias("band", "key"), "node", "root")
+    entries = shared.join(placed.select("node", "root"), "node")
     mixed = entries.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
     spots = entries.join(mixed.select("key"), "key").select("key", "band", "node")
     sides = placed.withColumn("short", F.transform("keys", lambda k: k.bitwiseAND(F.lit(2**31 - 1)).cast("int")))
-    left = spots.withColumnRenamed("node", "a").join(_sides(sides, "a", "root", "short"), "a")
-    right = (
-        spots.withColumnRenamed("node", "b").join(_sides(sides, "b", "root", "short"), "b").drop("band")
-        .withColumnRenamed("key", "key_b")
-    )
-    before = F.zip_with(F.slice("short_a", 1, F.col("band")), F.slice("short_b", 1, F.col("band")), lambda x, y: x == y)
-    first = ~F.exists(before, lambda same: same)
-    on = (F.col("key") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & _alike(percent) & first
+    side = spots.join(sides.select("node", "root", "packed", "n", "short"), "node")
+    # both sides have the same columns, so that they share one shuffle
+    names = ["node", "key", "band", "root", "packed", "n", "short"]
+    left, right = (side.select(*[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
+    left, right = left.withColumnRenamed("node_a", "a"), right.withColumnRenamed("node_b", "b")
+    earlier = [F.slice(f"short_{x}", 1, F.col("band_a")) for x in "ab"]
+    first = ~F.exists(F.zip_with(*earlier, lambda x, y: x == y), lambda same: same)
+    on = (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & _alike(percent) & first
     return _untried(left.join(right, on).select("a", "b").distinct(), tried)
 
 
@@ -270,14 +279,18 @@ def near_groups(
     placed = classes.withColumn("root", F.col("node"))
     tried = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     links, roots = tried, classes.select("node", F.col("node").alias("root")).limit(0)
+    shared = _shared_entries(classes)
+    texts = class_texts(shared.select("node").distinct(), classes, docs, id_col, text_col)
     for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        found = _apart(placed, tried, percent) if last else _best_centres(placed, tried, percent, turn)
-        found = cut_lineage(found)
+        if turn < ROUNDS:
+            found = _best_centres(shared, placed, tried, percent, turn)
+        else:
+            found = _apart(shared, placed, tried, percent)
+        found = stored(found, "pairs")
         if found.isEmpty():
             continue
         tried = tried.unionByName(found)
-        links = cut_lineage(links.unionByName(confirm(found, classes, docs, size, percent, id_col, text_col)))
+        links = cut_lineage(links.unionByName(confirm(found, texts, size, percent)))
         roots = cut_lineage(connected_components(links))
         placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
