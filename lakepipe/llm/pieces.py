@@ -30,7 +30,9 @@ SPACE = "▁"
 SPELT = -1e10
 #: Largest piece table that is sent to every executor.
 MAX_PIECES = 1_000_000
-CHUNK_CHARS = 12_000_000
+#: Characters of a chunk: one task's share. The edges of its distinct words are sorted in that task's memory, some 50 bytes
+#: for each character; with more memory for a task larger chunks repeat fewer words.
+CHUNK_CHARS = 2_000_000
 
 #: Letters, roughly: nothing of ASCII or of the general punctuation block but A-Z and a-z.
 _WORDY = "A-Za-z\u00c0-\u1fff\u2070-\U0010ffff"
@@ -180,7 +182,7 @@ def encode(
     chars = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
     chunks = max(1, math.ceil(chars / chunk_chars))
     dealt = rows.select(F.pmod(F.xxhash64("_id", "_h"), F.lit(chunks)).alias("chunk"), "_id", "_h", "_text")
-    dealt = dealt.repartition("chunk")
+    dealt = dealt.repartition(chunks, "chunk")
 
     text = F.concat(F.lit(" "), F.col("_text"))
     # the hash makes this branch read all columns, so that both branches share one shuffle
