@@ -1,8 +1,11 @@
-"""Substring dedup over sliding runs of consecutive sentences.
+"""Substring dedup over sliding runs of consecutive sentences and over windows of words.
 
 Every run of ``span`` consecutive sentences is hashed and joined globally. Sentences that lie in a run which is not the
-first of its kind are removed. A sentence of over ``longest`` words counts as several, cut every ``longest`` words, so a
-repeated passage without stops is found too.
+first of its kind are removed. A sentence of over ``longest`` words counts as several, cut every ``longest`` words.
+
+Every window of ``window`` words is treated alike, so a repeated passage of that many words goes wherever it starts and
+ends, with stops or without. Windows are hashed only around shingles that repeat: of the shingles of a window the one
+with the least hash is sampled, which is the same one in each copy, so no repeated window is missed.
 """
 
 from __future__ import annotations
@@ -10,16 +13,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import join_rows, keyed
-from lakepipe.session import cut_lineage
+from lakepipe.llm.common import join_rows, keyed, stored
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 TOKEN = re.compile(r"\S+\s*")
+PLAIN = re.compile(r"\S+")
+KEPT = re.compile(rb"\0+")
+#: Words of a sampled shingle.
+SHINGLE = 16
 
 
 def sentences(text: str | None, longest: int = 20) -> list[str]:
@@ -43,60 +50,184 @@ def run_hashes(units: list[str], span: int) -> list[bytes]:
     return [xxhash.xxh3_128_digest(b"".join(marks[i : i + span])) for i in range(len(marks) - span + 1)]
 
 
+def word_marks(words: list[str], known: dict[str, bytes]) -> bytes:
+    """128-bit hashes of the words, one after the other; ``known`` keeps those of words met before."""
+    for word in set(words).difference(known):
+        known[word] = xxhash.xxh3_128_digest(word.encode("utf-8"))
+    return b"".join([known[w] for w in words])
+
+
+def blocks(marks: bytes, window: int, shingle: int) -> list[tuple[int, int, int]]:
+    """(shingle's first word, first and last start of the windows it is sampled from), from the text's start to its end.
+
+    The shingle of a window is the one whose first words hash least, the first of equals.
+    """
+    first = np.frombuffer(marks, dtype=np.uint64)[::2]
+    size = len(first) - shingle + 1
+    if len(first) < window:
+        return []
+    order = np.zeros(size, dtype=np.uint64)
+    for i in range(min(3, shingle)):
+        order = order * np.uint64(0x9E3779B97F4A7C15) + first[i : i + size]
+    order = (order ^ (order >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    # upper half: the hash, lower half: the place, so that the least value tells its place
+    least = (order & np.uint64(0xFFFFFFFF00000000)) | np.arange(size, dtype=np.uint64)
+    reach, wide = 1, window - shingle + 1
+    while reach < wide:
+        step = min(reach, wide - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(place, prepend=-1))
+    end = np.append(begin[1:], len(place)) - 1
+    return list(zip(place[begin].tolist(), begin.tolist(), end.tolist(), strict=True))
+
+
+def _hash(marks: bytes, start: int, stop: int) -> bytes:
+    return xxhash.xxh3_128_digest(marks[16 * start : 16 * stop])
+
+
+def _later(again: DataFrame, run: str, *more: str) -> DataFrame:
+    """(_id, _h, place, columns ``more``) of runs that stand somewhere else before: by id (null before all), then by
+    place."""
+    here = F.struct("_id", "_h", "place")
+    first = again.groupBy(run).agg(F.min(here).alias("first"))
+    return again.join(first, run).where(~here.eqNullSafe(F.col("first"))).select("_id", "_h", "place", *more)
+
+
+def _placed(batch: pa.RecordBatch, found: list[tuple], names: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    """Rows (row of the batch, values of ``names``) with the ids of their documents."""
+    rows, *values = zip(*found, strict=True) if found else ((), *((),) * len(names))
+    spots = pa.array(rows, pa.int32())
+    columns = [pa.array(v, kind) for v, (_, kind) in zip(values, names, strict=True)]
+    ids = [batch.column(n).take(spots) for n in ("_id", "_h")]
+    return pa.RecordBatch.from_arrays([*ids, *columns], ["_id", "_h", *(n for n, _ in names)])
+
+
 def repeated_runs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, longest: int = 20
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    span: int = 3,
+    longest: int = 20,
+    window: int = 50,
 ) -> DataFrame:
-    """(_id, _h, place): the first sentence of every run that stands somewhere else before.
+    """(_id, _h, places, begins, ends): first sentences of the runs, and first words and ends of the passages, that stand
+    somewhere else before.
 
     First is the least by id (null before all), then by place. The count and the first place of each run come from
     aggregates with a map side; the joins back are cut up by Spark where a run is very common.
+
+    The windows that share a sampled shingle are one block of words. A block that stands before as a whole is a passage;
+    where a shingle has several different blocks, the first of each is taken apart into its windows. The first place of
+    a window always lies in the first of its blocks, so none is missed.
     """
+    shingle = min(SHINGLE, window)
+    names = [("place", pa.int32()), ("stop", pa.int32()), ("run", pa.binary()), ("block", pa.binary())]
 
+    # sentences have no block; for words, place and stop are the first and the last start of the block's windows
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, places, runs = [], [], []
+            found, known = [], {}
             for i, text in enumerate(batch.column("_text")):
-                found = run_hashes(sentences(text.as_py(), longest), span)
-                rows += [i] * len(found)
-                places += range(len(found))
-                runs += found
-            spots = pa.array(rows, pa.int32())
-            columns = [batch.column("_id").take(spots), batch.column("_h").take(spots),
-                       pa.array(places, pa.int32()), pa.array(runs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "_h", "place", "run"])
+                value = text.as_py()
+                found += [(i, k, None, run, None) for k, run in enumerate(run_hashes(sentences(value, longest), span))]
+                marks = word_marks((value or "").split(), known)
+                for at, begin, end in blocks(marks, window, shingle):
+                    run, block = _hash(marks, at, at + shingle), _hash(marks, begin, end + window)
+                    found.append((i, begin, end, run, block))
+            yield _placed(batch, found, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = keyed(docs, id_col, text_col)
-    runs = rows.mapInArrow(hashed, f"_id {kind}, _h long, place int, run binary")
+    runs = rows.mapInArrow(hashed, f"_id {kind}, _h long, place int, stop int, run binary, block binary")
     common = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    again = cut_lineage(runs.join(common, "run"))
-    first = again.groupBy("run").agg(F.min(F.struct("_id", "_h", "place")).alias("first"))
+    again = stored(runs.join(common, "run"), "runs")
+
+    near = again.where("block IS NOT NULL")
+    ranged = near.groupBy("block").agg(
+        F.min(F.struct("_id", "_h", "place", "stop")).alias("first"), F.first("run").alias("run")
+    )
+    ranged = stored(ranged, "blocks")
+    mixed = ranged.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    apart = ranged.join(mixed, "run").select("first.*").groupBy("_id", "_h")
+    apart = apart.agg(F.collect_list(F.struct("place", "stop")).alias("ranges"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, known = [], {}
+            for i, (text, ranges) in enumerate(zip(batch.column("_text"), batch.column("ranges"), strict=True)):
+                marks = word_marks(text.as_py().split(), known)
+                starts = [k for r in ranges.as_py() for k in range(r["place"], r["stop"] + 1)]
+                found += [(i, k, _hash(marks, k, k + window)) for k in starts]
+            yield _placed(batch, found, [names[0], names[2]])
+
+    # rows repeated with the same id and text give equal (_id, _h, place): one place
+    parts = join_rows(rows, apart).mapInArrow(windows, f"_id {kind}, _h long, place int, run binary")
+    parts = stored(parts, "windows")
     here = F.struct("_id", "_h", "place")
-    return again.join(first, "run").where(~here.eqNullSafe(F.col("first"))).select("_id", "_h", "place").distinct()
+    known = ranged.select("block", F.struct("first._id", "first._h", "first.place").alias("first"))
+    whole = near.join(known, "block").where(~here.eqNullSafe(F.col("first")))
+    passages = whole.select("_id", "_h", "place", "stop").unionByName(
+        _later(parts, "run").withColumn("stop", F.col("place"))
+    )
+    by_word = passages.select("_id", "_h", F.lit(None).cast("int").alias("sentence"), F.struct("place", "stop").alias("p"))
+    by_sentence = _later(again.where("block IS NULL"), "run").select("_id", "_h", F.col("place").alias("sentence"))
+    found = by_word.unionByName(by_sentence, allowMissingColumns=True).groupBy("_id", "_h")
+    found = found.agg(F.collect_set("sentence").alias("places"), F.collect_set("p").alias("p"))
+    return found.select("_id", "_h", "places", F.col("p.place").alias("begins"), (F.col("p.stop")).alias("ends"))
+
+
+def cut_text(
+    text: str, places: list[int], begins: list[int], ends: list[int], span: int, longest: int, window: int
+) -> tuple[int, int, str]:
+    """(sentences, sentences of which no word is left, what is left)."""
+    units = sentences(text, longest)
+    if not places and not begins:
+        return len(units), 0, text
+    runs = {i + k for i in places for k in range(span)}
+    gone = bytearray(len(text))
+    edges = np.cumsum([0, *map(len, units)]).tolist()
+    for i in runs:
+        gone[edges[i] : edges[i + 1]] = b"\1" * len(units[i])
+    if begins:
+        at = [*(m.start() for m in PLAIN.finditer(text)), len(text)]
+        for i, last in zip(begins, ends, strict=True):
+            gone[at[i] : at[last + window]] = b"\1" * (at[last + window] - at[i])
+    left = "".join([text[m.start() : m.end()] for m in KEPT.finditer(gone)])
+    removed = 0
+    for i, unit in enumerate(units):
+        here = gone[edges[i] : edges[i + 1]]
+        removed += i in runs or (any(here) and all(g or c.isspace() for c, g in zip(unit, here, strict=True)))
+    return len(units), removed, left
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, longest: int = 20
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    span: int = 3,
+    longest: int = 20,
+    window: int = 50,
 ) -> DataFrame:
     """One row per input row: id, n_sentences, n_removed, kept_text.
 
-    Null text has no sentences and stays null; a text of fewer than ``span`` sentences is left as it is. Runs are judged
-    on the input, within a document too. Rows repeated with the same id and text are one document.
+    Null text has no sentences and stays null; a text of fewer than ``span`` sentences and ``window`` words is left as it
+    is. A sentence of which a window takes a part stays with its other words and does not count as removed. Runs and
+    windows are judged on the input, within a document too. Rows repeated with the same id and text are one document.
     """
-    places = repeated_runs(docs, id_col, text_col, span, longest).groupBy("_id", "_h")
-    found = places.agg(F.collect_set("place").alias("places"))
+    found = repeated_runs(docs, id_col, text_col, span, longest, window)
     rows = join_rows(keyed(docs, id_col, text_col), found, "left")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, texts = [], [], []
-            for text, starts in zip(batch.column("_text"), batch.column("places"), strict=True):
-                units = sentences(text.as_py(), longest)
-                gone = {i + k for i in starts.as_py() or () for k in range(span)}
-                sizes.append(len(units))
-                removed.append(len(gone))
-                texts.append("".join(u for i, u in enumerate(units) if i not in gone) if text.is_valid else None)
+            for text, *spots in zip(*(batch.column(n) for n in ("_text", "places", "begins", "ends")), strict=True):
+                n, gone, left = cut_text(text.as_py() or "", *(s.as_py() or [] for s in spots), span, longest, window)
+                sizes.append(n)
+                removed.append(gone)
+                texts.append(left if text.is_valid else None)
             columns = [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
                        pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "n_sentences", "n_removed", "kept_text"])

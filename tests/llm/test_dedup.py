@@ -228,6 +228,34 @@ def test_sentence_spans_by_brute_force(make):
     assert sentence_spans.remove_repeats(make({})).count() == 0
 
 
+def test_passages_inside_sentences_by_window_search(make):
+    rng = random.Random(12)
+
+    def host():
+        return "".join(f"{prose(rng.randint(3, 30), rng)}. " for _ in range(6))
+
+    passages = [prose(n, rng) for n in (50, 51, 60, 75, 83, 120)]
+    passages += [f"{prose(19, rng)}. {prose(18, rng)}? {prose(17, rng)}"]
+    texts = {100: prose(49, rng), 101: None, 102: "", 103: "z " * 70}
+    for i, passage in enumerate(passages):
+        texts |= {10 * i + k: f"{host()}{prose(2 + 5 * k, rng)} {passage} {prose(9 - k, rng)}. {host()}" for k in range(3)}
+    texts[104] = f"{prose(3, rng)} {texts[100]} {prose(3, rng)}"
+    found = {r.doc_id: r for r in sentence_spans.remove_repeats(make(texts)).collect()}
+    seen, left = set(), {}
+    for i in sorted(texts):
+        words = (texts[i] or "").split()
+        gone = set()
+        for k in range(len(words) - 49):
+            body = tuple(words[k : k + 50])
+            if body in seen:
+                gone |= set(range(k, k + 50))
+            seen.add(body)
+        left[i] = [w for k, w in enumerate(words) if k not in gone]
+    assert {i: (r.kept_text or "").split() for i, r in found.items()} == left
+    assert all(found[10 * i].kept_text == texts[10 * i] for i in range(len(passages)))
+    assert found[104].kept_text == texts[104] and found[103].kept_text.split() == ["z"]
+
+
 def best_path(text, vocabulary, table):
     ids = []
     for word in re.findall(vocabulary.pattern, f" {text}") if text else []:
