@@ -3,6 +3,8 @@
 The text is cut into words at places no piece crosses, so the best segmentation of a text is that of its words. The
 distinct words of a chunk of documents are exploded into their substrings of bounded length and equi-joined to the piece
 table; the edges that are left are grouped by word, and a Viterbi pass over them is folded with Spark's ``aggregate``.
+Words of over ``LATTICE_CHARS`` characters (text without spaces, rules of dashes) are not cut: the same pass runs over
+them where the documents are put together, in time and memory that grow with their length only.
 The score of a segmentation is the sum of its pieces' scores. A character without a piece becomes its bytes.
 
 Documents are shuffled once, by chunk; all later steps keep that partitioning.
@@ -33,6 +35,8 @@ MAX_PIECES = 1_000_000
 #: Characters of a chunk: one task's share. The edges of its distinct words are sorted in that task's memory, some 50 bytes
 #: for each character; with more memory for a task larger chunks repeat fewer words.
 CHUNK_CHARS = 2_000_000
+#: Longest word whose edges become rows. It decides where a word is segmented, never how.
+LATTICE_CHARS = 64
 
 #: Letters, roughly: nothing of ASCII or of the general punctuation block but A-Z and a-z.
 _WORDY = "A-Za-z\u00c0-\u1fff\u2070-\U0010ffff"
@@ -40,13 +44,13 @@ _JAVA_WORDY = r"A-Za-z\x{C0}-\x{1FFF}\x{2070}-\x{10FFFF}"
 
 
 def _fine(wordy: str) -> str:
-    return rf" {{0,16}}[{wordy}]{{1,64}}| {{0,16}}[^ \n{wordy}]{{1,64}}|\n| {{1,16}}"
+    return rf" *[{wordy}]+| *[^ \n{wordy}]+|\n| +"
 
 
-#: Words with the spaces before them; a longer run of spaces or characters is cut. The first form also cuts between
-#: letters and the rest and around line ends: allowed where no piece crosses such a place.
+#: Words with the spaces before them, however long. The first form also cuts between letters and the rest and around
+#: line ends: allowed where no piece crosses such a place.
 FINE = (_fine(_WORDY), _fine(_JAVA_WORDY))
-COARSE = (r" {0,16}[^ ]{1,64}| {1,16}",) * 2
+COARSE = (r" *[^ ]+| +",) * 2
 
 
 @dataclass(frozen=True)
@@ -164,6 +168,30 @@ def segment(words: DataFrame, vocabulary: Vocabulary, by: list[str]) -> DataFram
     return edges.select(*by, "word", _best_path(F.col("edges")).alias("ids"))
 
 
+def segment_long(word: str, table: dict[str, tuple[int, float]], longest: int) -> list[int]:
+    """Ids of the best segmentation of one word, as ``segment`` gives them."""
+    scores, starts, ids = array.array("d", [0.0]), array.array("q", [-1]), array.array("q", [0])
+    for stop in range(1, len(word) + 1):
+        best = None
+        for start in range(max(0, stop - longest), stop):
+            piece = table.get(word[start:stop])
+            if piece is None:
+                if stop - start > 1:
+                    continue
+                piece = -ord(word[start]) - 1, SPELT
+            score = scores[start] + piece[1]
+            if best is None or score > best[0]:
+                best = score, start, piece[0]
+        scores.append(best[0])
+        starts.append(best[1])
+        ids.append(best[2])
+    path, at = [], len(word)
+    while at:
+        path.append(ids[at])
+        at = starts[at]
+    return path[::-1]
+
+
 def encode(
     docs: DataFrame,
     vocabulary: Vocabulary | None = None,
@@ -174,7 +202,7 @@ def encode(
     """One row per input row: id, ids, n_pieces, round_trip (the ids decode to the very text).
 
     A space is put before the text, as the model does. Null and empty text have no pieces. A literal U+2581 is spelt in
-    bytes, so that it comes back. Words of over 64 characters are cut. Repeated rows are encoded each for itself.
+    bytes, so that it comes back. Repeated rows are encoded each for itself.
     """
     vocabulary = vocabulary or load_vocabulary()
     rows = keyed(docs, id_col, text_col)
@@ -188,22 +216,32 @@ def encode(
     # the hash makes this branch read all columns, so that both branches share one shuffle
     given = (F.col("_text") != "") & (F.xxhash64("_id", "_h") >= F.lit(-(2**63)))
     found = F.regexp_extract_all(F.when(given, text), F.lit(f"({vocabulary.java_pattern})"), F.lit(1))
-    words = dealt.select("chunk", F.explode(F.array_distinct(found)).alias("word")).distinct()
+    short = F.filter(F.array_distinct(found), lambda word: F.length(word) <= LATTICE_CHARS)
+    words = dealt.select("chunk", F.explode(short).alias("word")).distinct()
     known = segment(words, vocabulary, ["chunk"]).withColumnRenamed("chunk", "part")
     pattern, spelt, texts = vocabulary.pattern, vocabulary.spelt, piece_bytes(vocabulary)
+    scored, longest = vocabulary.pieces, vocabulary.longest
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         cut = re.compile(pattern)
+
+        def spell(ids: list[int]) -> list[int]:
+            return [x for i in ids for x in ([i] if i >= 0 else [spelt[b] for b in chr(-i - 1).encode("utf-8")])]
+
         table = {
-            word: [x for i in ids for x in ([i] if i >= 0 else [spelt[b] for b in chr(-i - 1).encode("utf-8")])]
+            word: spell(ids)
             for word, ids in zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True)
         }
+        lattice: dict[str, tuple[int, float]] = {}  # made when the first long word comes
         flat, ends, same = array.array("i"), [0], []
         for value in left.column("_text"):
             body = value.as_py() or ""
             ids: list[int] = []
             if body:
                 for word in cut.findall(f" {body}"):
+                    if len(word) > LATTICE_CHARS and word not in table:
+                        lattice = lattice or {text: (i, score) for text, i, score in scored}
+                        table[word] = spell(segment_long(word, lattice, longest))
                     ids += table[word]
             flat.extend(ids)
             ends.append(len(flat))

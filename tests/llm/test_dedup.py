@@ -294,3 +294,20 @@ def test_pieces_by_brute_force_and_round_trip(make, spark, sf_dir):
     back = {r.doc_id: r.text for r in pieces.decode(encoded, vocabulary).collect()}
     assert back == {i: t or "" for i, t in texts.items()}
     assert pieces.encode(make({}), vocabulary).count() == 0
+
+
+def test_pieces_cross_places_in_long_runs(make):
+    """Against a pass over the whole text, cut nowhere."""
+    rng = random.Random(4)
+    vocabulary = pieces.load_vocabulary()
+    table = {p: (i, s) for p, i, s in vocabulary.pieces}
+    texts = {
+        1: "a " + "-" * 79, 2: "international" * 8, 3: "x" + " " * 70 + "y", 4: "=" * 64, 5: " " * 200,
+        6: "".join(rng.choice("日本語中文学生大国人") for _ in range(400)), 7: "ab漢" * 30 + "!" * 90 + "\n" + "z" * 65,
+        8: "".join(prose(40, rng).split()), 9: "𠮷" * 66, 10: "a" * 63 + " " + "b" * 63,
+    }
+    texts |= {100 + i: "".join(rng.choice(["the", "tion", "er", "q", "in", "ing"]) for _ in range(40)) for i in range(60)}
+    whole = pieces.Vocabulary(vocabulary.pieces, vocabulary.spelt, r"(?s).+", "")
+    found = {r.doc_id: r for r in pieces.encode(make(texts), vocabulary).collect()}
+    assert {i: list(r.ids) for i, r in found.items()} == {i: best_path(t, whole, table) for i, t in texts.items()}
+    assert all(r.round_trip for r in found.values())
