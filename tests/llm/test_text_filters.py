@@ -73,6 +73,27 @@ def test_with_binds_closest_then_and():
     assert ways == {frozenset({"a"}), frozenset({"b", "c"})}
 
 
+def test_expressions_of_any_length(make):
+    tag = "SPDX-License-Identifier: "
+    many = [f"lic-{i}" for i in range(300)]
+    chain = " OR ".join(["gpl-2.0 WITH classpath-exception-2.0", *many])
+    texts = {
+        1: tag + chain, 2: tag + "a or b", 3: tag + "a and b", 4: tag + "mit and isc OR\nword", 5: tag + "a with (b or c) or d",
+        6: f"{tag}mit {tag}isc", 7: tag + "(a or b", 8: tag + "(a or", 9: tag + "mit and (isc or",
+        10: tag + " and ".join(f"(x{i} or y{i})" for i in range(40)),
+    }
+    found = {r.doc_id: r for r in licenses.scan_licenses(make(texts)).collect()}
+    assert found[1].labels == ",".join(sorted(["gpl-2.0", *many]))
+    assert (found[2].expressions, found[3].expressions) == ("a b or", "a b and")
+    assert licenses.evaluate(found[3].expressions.split()) == {frozenset("ab")}
+    assert [found[i].labels for i in (4, 5, 6, 7, 8, 9)] == ["isc,mit", "a,d", "isc,mit", "a,b", "", "mit"]
+    assert len(found[10].labels.split(",")) == 80
+    for i in range(1, 8):  # both ways of naming agree
+        text = " or ".join(["a with e", "(b and c) with f", *many[:i]])
+        ways = licenses.evaluate(licenses.parse_expression(text))
+        assert licenses.expression_labels(text) == {n.split(" with ")[0] for way in ways for n in way}
+
+
 def test_license_scan_of_an_empty_table(make):
     assert licenses.scan_licenses(make({})).count() == 0
 
