@@ -1,8 +1,9 @@
 """Language identification, words first.
 
 A word known to the model is scored by its frequency in each language. An unseen word falls back to character n-grams:
-at each place the longest known one counts, each step down costs a fixed factor. Counts cover every training document;
-what the model keeps of them is bounded by ``Settings``.
+at each place the longest known one counts, each step down costs a fixed factor. Counts cover every training document.
+Which entries the model keeps is bounded by ``Settings``; an entry kept for one language has its true count in all, and
+frequencies are taken from all entries, kept or not.
 """
 
 from __future__ import annotations
@@ -97,7 +98,8 @@ def _most_frequent(counts: DataFrame, group: list[str], limit: int) -> DataFrame
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
     """Fit on every row of ``docs`` with a text and a language.
 
-    Only the kept entries reach the driver: languages times ``words + longest * grams`` at most.
+    Only the kept entries reach the driver: languages times ``words + longest * grams`` at most, each with its count in
+    every language.
     """
     counts = cut_lineage(word_counts(docs, text_col, lang_col, settings.flush))
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
@@ -120,28 +122,39 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", setti
         .agg(F.sum("n").alias("n"))
         .withColumn("size", F.length("gram"))
     )
-    kept = _most_frequent(cut_lineage(grams), ["lang", "size"], settings.grams)
-    words = _table(known.select("word", "lang", "n"), languages, settings, lambda _: 0)
-    found = _table(kept.select("gram", "lang", "n"), languages, settings, len)
+    grams = cut_lineage(grams)
+    kept = _most_frequent(grams, ["lang", "size"], settings.grams)
+    words = _table(known, counts.withColumn("size", F.lit(0)), "word", languages, settings)
+    found = _table(kept, grams, "gram", languages, settings)
     return Model(languages, *words, *found, settings)
 
 
-def _table(kept: DataFrame, languages, settings, kind) -> tuple[dict[str, int], np.ndarray]:
-    """Index and log frequencies of (text, lang, n); counts are set against those of the same kind (n-gram length)."""
-    rows = list(zip(*(c.to_pylist() for c in kept.toArrow().columns), strict=True))
+def _table(
+    kept: DataFrame, counts: DataFrame, entry: str, languages: tuple[str, ...], settings: Settings
+) -> tuple[dict[str, int], np.ndarray]:
+    """Index and log frequencies of the entries ``kept`` for any language.
+
+    ``counts`` are all (entry, size, lang, n); a count is set against those of the same size, all entries included.
+    """
     column = {lang: i for i, lang in enumerate(languages)}
+    totals: dict[int, np.ndarray] = {}
+    for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("total")).collect():
+        totals.setdefault(r["size"], np.zeros(len(languages)))[column[r["lang"]]] = r["total"]
+    distinct = counts.select("size", entry).distinct().groupBy("size").agg(F.count("*").alias("entries"))
+    for r in distinct.collect():
+        totals[r["size"]] += settings.smooth * (r["entries"] + 1)
+
+    found = counts.join(kept.select(entry).distinct(), entry).select(entry, "size", "lang", "n")
+    rows = list(zip(*(c.to_pylist() for c in found.toArrow().columns), strict=True))
     index: dict[str, int] = {}
-    for text, _, _ in sorted(rows):
+    for text, *_ in sorted(rows):
         index.setdefault(text, len(index))
-    counts = np.zeros((len(index), len(languages)))
-    for text, lang, n in rows:
-        counts[index[text], column[lang]] = n
-    kinds = np.array([kind(t) for t in index], dtype=np.int64)
+    seen = np.full((len(index), len(languages)), settings.smooth)
     logs = np.zeros((len(index) + 1, len(languages)))
-    for k in set(kinds.tolist()):
-        part = kinds == k
-        total = counts[part].sum(axis=0) + settings.smooth * (part.sum() + 1)
-        logs[:-1][part] = np.log((counts[part] + settings.smooth) / total)
+    for text, size, lang, n in rows:
+        seen[index[text], column[lang]] += n
+        logs[index[text]] = -np.log(totals[size])
+    logs[:-1] += np.log(seen)
     return index, logs
 
 

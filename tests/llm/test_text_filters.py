@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
@@ -150,6 +151,19 @@ def test_language_words_first_then_grams(make):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_language_counts_are_whole(make):
+    """A word kept for one language has its true count in the other; totals hold words that are not kept."""
+    texts = {1: "aa aa aa aa bb bb bb cc", 2: "dd dd dd dd bb bb ee ee ff"}
+    settings = language.Settings(words=2)
+    model = language.train(make(texts, {1: "en", 2: "fr"}), settings=settings)
+    assert {"aa", "bb", "dd"} <= set(model.words)
+    for word in model.words:
+        for i, text in ((0, texts[1]), (1, texts[2])):
+            words = text.split()
+            share = (words.count(word) + settings.smooth) / (len(words) + settings.smooth * 7)
+            assert model.word_logs[model.words[word], i] == pytest.approx(math.log(share))
+
+
 def test_language_filter_keeps_columns(make, spark):
     model = language.train(make({1: EN, 2: FR}, {1: "en", 2: "fr"}))
     docs = make({1: EN, 2: "", 3: None, 4: FR}).withColumn("_text", F.lit("clash")).withColumn("score", F.lit(1))
