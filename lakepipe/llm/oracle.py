@@ -84,3 +84,44 @@ links AS MATERIALIZED (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM best LEFT JOIN n USING (doc_id)
 """
+
+FILTER_AUDIT = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), m AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END ||
+         CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END ||
+         CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END ||
+         CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END ||
+         CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM t LEFT JOIN m ON m.doc_id = t.doc_id
+), sets AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x <> b.x AND a.x <> c.x AND a.x <> d.x
+    AND a.x <> e.x AND b.x <> c.x AND b.x <> d.x AND b.x <> e.x AND c.x <> d.x AND c.x <> e.x AND d.x <> e.x
+), gone AS (
+  SELECT part, fails, n, good, toxic, o,
+         coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda i: contains(fails, substr(o, i, 1)))), 6) AS gone_at
+  FROM sets, orders
+), steps AS (
+  SELECT part, o, step, substr(o, step, 1) AS x,
+         sum(CASE WHEN gone_at > step THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN gone_at = step THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN gone_at < step AND contains(fails, substr(o, step, 1)) THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails = substr(o, step, 1) THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN gone_at = step THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN gone_at = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM gone, range(1, 6) AS s(step) GROUP BY part, o, step
+)
+SELECT part, o AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley
+FROM steps
+"""
