@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakepipe.functions.scalars import matches
 from lakepipe.operators.ranges import running_totals
-from lakepipe.session import cut_lineage
+from lakepipe.session import written
 
 # Fixed value: every slice must be more accurate than this.
 SLICE_THRESHOLD = 0.55
@@ -41,54 +42,63 @@ def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
-def _cumulative(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives at or above each distinct score, and the totals.
+def _cumulative(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives at or above each distinct score, and the totals, of the table or of each group.
 
-    Rows are first added up per score (checkpointed, as it is read several
-    times); the running sums are then built range by range, so no task sees the
-    whole score axis. Only the two totals pass through the driver.
+    Rows are first added up per group and score (stored, as they are read several times); the running sums are then built
+    range by range, so no task sees the whole score axis or a whole group.
     """
-    per_score = cut_lineage(
+    by = list(by)
+    per_score = written(
         df.filter(F.col(score).isNotNull())
-        .groupBy(score)
+        .groupBy(*by, score)
         .agg(
             F.count_if(F.col(label) == 1).alias("positives"),
             F.count_if(F.col(label) == 0).alias("negatives"),
         )
     )
-    summed = running_totals(
-        per_score, score, {"tp": "positives", "fp": "negatives"}, descending=True
-    )
-    totals = per_score.agg(F.sum("positives").alias("p"), F.sum("negatives").alias("n")).first()
-    return summed.withColumns(
-        {"all_positives": F.lit(totals["p"] or 0), "all_negatives": F.lit(totals["n"] or 0)}
+    summed = running_totals(per_score, score, {"tp": "positives", "fp": "negatives"}, within=by, descending=True)
+    totals = per_score.groupBy(*[F.col(c).alias(f"__of_{c}") for c in by]).agg(
+        F.sum("positives").alias("all_positives"), F.sum("negatives").alias("all_negatives")
     )
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__of_{c}")), by, F.lit(True))
+    # one row per group: without groups a single one
+    totals = totals if by else F.broadcast(totals)
+    return summed.join(totals, same).drop(*[f"__of_{c}" for c in by])
 
 
-def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
-    """False and true positive rate at every threshold."""
-    return _cumulative(df, label, score).select(
+def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """False and true positive rate at every threshold; with ``by`` a curve for each group."""
+    return _cumulative(df, label, score, by).select(
+        *by,
         F.col(score).alias("threshold"),
         F.try_divide("fp", "all_negatives").alias("fpr"),
         F.try_divide("tp", "all_positives").alias("tpr"),
     )
 
 
-def pr_points(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Precision and recall at every threshold."""
-    return _cumulative(df, label, score).select(
+def pr_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Precision and recall at every threshold; with ``by`` a curve for each group."""
+    return _cumulative(df, label, score, by).select(
+        *by,
         F.col(score).alias("threshold"),
         F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         F.try_divide("tp", "all_positives").alias("recall"),
     )
 
 
-def area_under_roc(df: DataFrame, label: str, score: str) -> DataFrame:
+def area_under_roc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Share of (positive, negative) pairs that the score orders rightly; ties count half."""
-    summed = _cumulative(df, label, score)
+    summed = _cumulative(df, label, score, by)
     pairs = F.col("negatives") * (F.col("tp") - F.col("positives") + F.col("positives") / 2)
     all_pairs = F.max(F.col("all_positives") * F.col("all_negatives"))
-    return summed.agg(F.try_divide(F.sum(pairs), all_pairs).alias("area_under_roc"))
+    return summed.groupBy(*by).agg(F.try_divide(F.sum(pairs), all_pairs).alias("area_under_roc"))
+
+
+def log_loss(df: DataFrame, label: str, probabilities: str) -> DataFrame:
+    """Mean negative log of the probability given to the true class, from an array of class probabilities."""
+    given = F.greatest(F.get(F.col(probabilities), F.col(label)), F.lit(1e-15))
+    return df.filter(F.col(label).isNotNull()).agg(F.avg(-F.log(given)).alias("log_loss"))
 
 
 def slice_accuracy(

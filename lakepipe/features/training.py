@@ -12,6 +12,8 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakepipe.features.encoding import check_categories
+
 
 def preparation(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:
     """Mean imputation and scaling of numbers; indicators with an unknown bucket for categories."""
@@ -37,8 +39,8 @@ def preparation(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
 
 
-def learner(classes: int, label: str, trees: int = 10, depth: int = 4, seed: int = 42):
-    """Boosted trees for two classes, a forest for more."""
+def learner(classes: int, label: str, trees: int = 20, depth: int = 5, seed: int = 42):
+    """Boosted trees for two classes, a forest for more; ``boosting.boost`` has boosted trees for any number."""
     if classes <= 2:
         return GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)
     return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
@@ -52,6 +54,9 @@ def train(
     classes: int = 2,
     **options,
 ) -> PipelineModel:
+    """Fit preparation and learner. Categories of more than ``MAX_INDICATORS`` values are refused."""
+    if categorical:
+        check_categories(df, categorical)
     stages = [*preparation(numeric, categorical), learner(classes, label, **options)]
     return Pipeline(stages=stages).fit(df)
 
@@ -67,6 +72,8 @@ def search(
     seed: int = 42,
 ) -> TrainValidationSplitModel:
     """Try every combination of ``{learner parameter: values}`` and keep the best by F1."""
+    if categorical:
+        check_categories(df, categorical)
     estimator = learner(classes, label, seed=seed)
     builder = ParamGridBuilder()
     for name, values in grid.items():

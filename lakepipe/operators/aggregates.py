@@ -95,8 +95,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     upto = running_totals(counted, "value", {"upto": "count"}, within=["column_name"])
     size = counted.groupBy("column_name").agg(F.sum("count").alias("size"))
     reached = [F.min(F.when(F.col("upto") >= F.col("size") * p, F.col("value"))) for p in probabilities]
-    # one row per column name
-    return upto.join(F.broadcast(size), "column_name").groupBy("column_name").agg(
+    return upto.join(size, "column_name").groupBy("column_name").agg(
         F.array(*reached).alias("quantiles")
     )
 

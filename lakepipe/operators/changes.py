@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.operators.ranges import KeySplit, plan_split, with_neighbours
-from lakepipe.session import cut_lineage
+from lakepipe.operators.ranges import ranges_needed, with_neighbours
+from lakepipe.session import written
 
 
 def _names(value: str | Sequence[str]) -> list[str]:
@@ -120,7 +120,7 @@ def apply_changes_scd2(
     tie_breaker: str | None = None,
     start_column: str = "start_at",
     end_column: str = "end_at",
-    split: KeySplit | str | None = "auto",
+    ranges: int | str | None = "auto",
 ) -> DataFrame:
     """History: each accepted change opens a version, the next change or delete closes it.
 
@@ -129,9 +129,10 @@ def apply_changes_scd2(
     show their newest value. Changes of a key that share one sequence value count
     as one: the greatest tie breaker (by default a hash of the row) wins.
 
-    A window sorts each key in one task. Keys with a very large number of changes
-    are therefore found first (``split="auto"``) and versioned apart from the
-    others, cut into sequence ranges; ``split=None`` skips the search.
+    With ``ranges=None`` a task sorts each key. With a number the changes are reduced to one per key and sequence value,
+    on the map side first, written to the shared folder, and compared inside that many ranges of (key, sequence) of about
+    equal size, so that one key may hold any share of the feed. ``auto`` counts the changes per key first, and cuts ranges
+    (twice the shuffle width) if any key has more than one task should sort. The result is the same.
     """
     keys, sequence = _names(keys), _names(sequence_by)
     hidden = set(except_columns)
@@ -148,51 +149,50 @@ def apply_changes_scd2(
         tracked = list(track_history_on)
     elif track_history_except is not None:
         tracked = [c for c in shown if c not in track_history_except and c not in sequence]
-
-    def versions(part: DataFrame, bounds: Sequence[float]) -> DataFrame:
-        if tracked is None:
-            found = _versions(part, keys, sequence, bounds)
-        else:
-            found = _tracked_versions(part, keys, sequence, tracked, shown, bounds)
-        return found.select(
-            *keys, *shown, F.col("__start").alias(start_column), F.col("__end").alias(end_column)
-        )
-
-    if split == "auto":
-        split = plan_split(marked, keys, sequence[0])
-    if split is None:
-        return versions(marked, ())
-    return versions(marked.filter(~split.is_hot()), ()).unionByName(
-        versions(marked.filter(split.is_hot()), split.bounds)
-    )
+    if ranges == "auto":
+        ranges = ranges_needed(feed, keys)
+    needed = [*dict.fromkeys([*keys, *sequence, *shown, *(tracked or [])]), "__tie", "__deleted", "__here"]
+    marked = marked.select(*needed)
+    if tracked is None:
+        found = _versions(marked, keys, sequence, ranges)
+    else:
+        found = _tracked_versions(marked, keys, sequence, tracked, shown, ranges)
+    return found.select(*keys, *shown, F.col("__start").alias(start_column), F.col("__end").alias(end_column))
 
 
 def _versions(
-    marked: DataFrame, keys: Sequence[str], sequence: Sequence[str], bounds: Sequence[float]
+    marked: DataFrame, keys: Sequence[str], sequence: Sequence[str], ranges: int | None
 ) -> DataFrame:
     """Every change but the last of its sequence value is dropped; deletes only close."""
+    changes = _one_per_sequence(marked, keys, sequence, ranges)
+    if ranges is not None:
+        changes = with_neighbours(changes, keys, sequence, lead={"__close": sequence[0]}, ranges=ranges)
     return (
-        _one_per_sequence(marked, keys, sequence, bounds)
-        .filter(~F.col("__deleted"))
+        changes.filter(~F.col("__deleted"))
         .withColumn("__start", F.col(sequence[0]))
-        .withColumn("__end", F.col(f"__next_{sequence[0]}"))
+        .withColumnRenamed("__close", "__end")
     )
 
 
 def _one_per_sequence(
-    marked: DataFrame, keys: Sequence[str], sequence: Sequence[str], bounds: Sequence[float]
+    marked: DataFrame, keys: Sequence[str], sequence: Sequence[str], ranges: int | None
 ) -> DataFrame:
+    """The change that counts of each key and sequence value; without ranges with ``__close``, the next sequence value."""
+    if ranges is not None:
+        rest = [c for c in marked.columns if c not in keys and c not in sequence]
+        latest = F.max_by(F.struct(*rest), F.struct("__tie")).alias("__row")
+        return written(marked.groupBy(*keys, *sequence).agg(latest).select(*keys, *sequence, "__row.*"))
     following = with_neighbours(
         marked,
         keys,
         [*sequence, "__tie"],
         lead={"__next_here": "__here", **{f"__next_{c}": c for c in sequence}},
-        bounds=bounds,
     )
     superseded = F.coalesce(F.col("__next_here"), F.lit(False)) & _all(
         F.col(f"__next_{c}").eqNullSafe(F.col(c)) for c in sequence
     )
-    return following.filter(~superseded)
+    kept = following.filter(~superseded).withColumnRenamed(f"__next_{sequence[0]}", "__close")
+    return kept.drop("__next_here", *[f"__next_{c}" for c in sequence[1:]])
 
 
 def _tracked_versions(
@@ -201,44 +201,51 @@ def _tracked_versions(
     sequence: Sequence[str],
     tracked: Sequence[str],
     shown: Sequence[str],
-    bounds: Sequence[float],
+    ranges: int | None,
 ) -> DataFrame:
     """Runs of changes that agree in the tracked columns become one version.
 
-    All steps sort the same way, so without ``bounds`` they share one shuffle and
-    sort. With them each step reads its input twice and starts from a checkpoint.
+    All steps sort the same way, so without ``ranges`` they share one shuffle and sort. With them ranges are cut anew for
+    the first and last changes of the versions, which are written to the shared folder before.
     """
-    order = [*sequence, "__tie"]
+    order = [*sequence, "__tie"] if ranges is None else list(sequence)
     untracked = [c for c in shown if c not in tracked and c not in sequence]
 
     def step(df: DataFrame, **columns) -> DataFrame:
-        return with_neighbours(cut_lineage(df) if bounds else df, keys, order, bounds=bounds, **columns)
+        return with_neighbours(df, keys, order, ranges=ranges, **columns)
 
-    changes = _one_per_sequence(marked, keys, sequence, bounds)
     compared = step(
-        changes.drop("__next_here", *[f"__next_{c}" for c in sequence]),
+        _one_per_sequence(marked, keys, sequence, ranges).drop("__close"),
         lag={
             "__prev_here": "__here",
             "__prev_deleted": "__deleted",
             **{f"__prev_{c}": c for c in tracked},
         },
+        lead={
+            "__next_here": "__here",
+            "__next_deleted": "__deleted",
+            "__close": sequence[0],
+            **{f"__next_{c}": c for c in tracked},
+        },
     )
-    opens = (
-        F.col("__prev_here").isNull()
-        | F.col("__deleted")
-        | F.col("__prev_deleted")
-        | _any(~F.col(f"__prev_{c}").eqNullSafe(F.col(c)) for c in tracked)
-    )
-    flagged = compared.withColumn("__opens", opens).drop(
-        "__prev_here", "__prev_deleted", *[f"__prev_{c}" for c in tracked]
-    )
-    closed = step(flagged, lead={"__next_opens": "__opens", "__close": sequence[0]}).withColumn(
-        "__ends", F.coalesce(F.col("__next_opens"), F.lit(True))
-    )
+
+    def breaks(side: str) -> Column:
+        return (
+            F.col(f"__{side}_here").isNull()
+            | F.col("__deleted")
+            | F.col(f"__{side}_deleted")
+            | _any(~F.col(f"__{side}_{c}").eqNullSafe(F.col(c)) for c in tracked)
+        )
+
     # of the changes inside a version only the first and the last are needed from here on
-    borders = closed.filter(F.col("__opens") | F.col("__ends")).drop("__next_opens")
+    borders = (
+        compared.withColumns({"__opens": breaks("prev"), "__ends": breaks("next")})
+        .filter(F.col("__opens") | F.col("__ends"))
+        .drop(*[f"__{side}_{c}" for side in ("prev", "next") for c in ("here", "deleted", *tracked)])
+    )
     paired = step(
-        borders, lead={"__end_close": "__close", **{f"__end_{c}": c for c in untracked}}
+        borders if ranges is None else written(borders),
+        lead={"__end_close": "__close", **{f"__end_{c}": c for c in untracked}},
     ).filter(F.col("__opens") & ~F.col("__deleted"))
 
     def at_end(own: str, end: str) -> Column:
@@ -253,6 +260,46 @@ def _tracked_versions(
     )
 
 
+def splice_changes(
+    known: DataFrame | None,
+    new: DataFrame,
+    keys: str | Sequence[str],
+    sequence_by: str | Sequence[str],
+    apply_as_deletes: str | Column | None = None,
+    tie_breaker: str | None = None,
+    ranges: int | str | None = "auto",
+) -> DataFrame:
+    """What new changes alter in a stored history: the entries that are new, and those whose end they move.
+
+    An entry is a change with ``__end``, the next sequence value of its key, and its tie breaker and delete mark (a delete
+    is an entry too, which readers leave out). ``known`` holds the entries stored so far (None: none yet). Of a key only
+    what reaches beyond its earliest new change is compared, cut into ranges as in ``apply_changes_scd2``. A change that is known already alters nothing; of several
+    with one key and sequence value the greatest tie breaker wins, whenever it came.
+    """
+    keys, sequence = _names(keys), _names(sequence_by)
+    first = sequence[0]
+    marked = new.withColumns({"__tie": _tie_breaker(new, tie_breaker), "__deleted": _condition(apply_as_deletes)})
+    both = marked.withColumns({"__stored": F.lit(False), "__was": F.lit(None).cast(new.schema[first].dataType)})
+    if known is not None:
+        since = new.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(F.min(F.struct(first)).alias("__since"))
+        since = since.withColumn("__since", F.col(f"__since.{first}"))
+        reaches = F.col("__since").isNull() | F.col("__end").isNull() | (F.col("__end") >= F.col("__since"))
+        same = _all(F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys)
+        near = known.join(since, same & reaches).drop(*[f"__of_{k}" for k in keys], "__since")
+        near = near.withColumn("__stored", F.lit(True)).withColumnRenamed("__end", "__was")
+        both = both.unionByName(near, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in keys and c not in sequence]
+    latest = F.max_by(F.struct(*rest), F.struct("__tie", "__stored")).alias("__row")
+    merged = both.groupBy(*keys, *sequence).agg(latest).select(*keys, *sequence, "__row.*")
+    if ranges is not None:
+        merged = written(merged)
+    if ranges == "auto":
+        ranges = ranges_needed(merged, keys)
+    placed = with_neighbours(merged, keys, sequence, lead={"__end": first}, ranges=ranges)
+    moved = ~F.col("__stored") | ~F.col("__was").eqNullSafe(F.col("__end"))
+    return placed.filter(moved).drop("__stored", "__was")
+
+
 def snapshot_diff(
     old: DataFrame, new: DataFrame, keys: str | Sequence[str], label: str = "change_type"
 ) -> DataFrame:

@@ -1,128 +1,119 @@
-"""Ordered work split by value range, so that no single task owns a whole key or table.
+"""Ordered work split by ranges of rows, so that no single task owns a whole key or table.
 
-Windows hand every row of a key to one task. For keys that may hold a large
-share of the table the helpers here cut the key into ranges of its order column:
-the cut points are approximate quantiles (a bounded list on the driver), every
-(key, range) group is its own window partition, and only the rows at the range
-borders travel between neighbouring ranges.
+A window hands every row of a key to one task. Here rows are cut into ranges of (key, order columns), whatever their
+types: the cut points are rows of the table itself, picked from a sample that is a scalar subquery of the same plan, and a
+row finds its range by a binary search in generated code. As a cut point is the first row of its range, a copy of it also
+closes the range before: neighbours are then found inside ranges, with one shuffle and no second pass over the rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_ROWS_PER_GROUP = 5_000_000
-MAX_HOT_KEYS = 5_000
-MAX_RANGES = 10_000
-PROBE_FRACTION = 0.01
-SAMPLE_PER_RANGE = 200
+#: Rows looked at for each cut point: ranges then differ by about a fifth of their size.
+SAMPLE_PER_RANGE = 30
+_SHARE = 1 << 40
+
+#: Rows of a key that one task sorts without trouble.
+MAX_ROWS_PER_KEY = 5_000_000
+
+PART, HEAD, EDGE = "__part", "__head", "__edge"
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def order_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases when the column increases; null sorts first."""
-    kind = df.schema[name].dataType
-    column = F.col(name)
-    if isinstance(kind, T.TimestampNTZType):
-        number = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', `{name}`)")
-    elif isinstance(kind, T.TimestampType):
-        number = F.unix_micros(column)
-    elif isinstance(kind, T.DateType):
-        number = F.unix_date(column)
-    elif isinstance(kind, T.StringType):
-        # the first six bytes, read as one number: strings compare byte by byte
-        number = F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10)
-    elif isinstance(kind, T.NumericType):
-        number = column
-    else:
-        raise TypeError(f"cannot split {name}: no ordered number for {kind.simpleString()}")
-    return F.coalesce(number.cast("double"), F.lit(-math.inf))
+def default_ranges(spark: SparkSession) -> int:
+    """Twice the shuffle width: ranges of a hot key spread over the tasks evenly enough."""
+    return max(2, 2 * shuffle_width(spark))
+
 
+def ranges_needed(df: DataFrame, keys: Sequence[str]) -> int | None:
+    """How many ranges to cut ``df`` into, None where no key has more than ``MAX_ROWS_PER_KEY`` rows (an exact count)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    large = not sizes.where(F.col("__rows") > MAX_ROWS_PER_KEY).isEmpty()
+    return default_ranges(df.sparkSession) if large else None
 
-def range_bounds(df: DataFrame, number: Column, ranges: int, rows: float) -> list[float]:
-    """Inner cut points of about equally full ranges (at most ``ranges - 1`` numbers).
 
-    They come from a sample of some hundred rows per range out of about ``rows``,
-    so the one task that merges the quantiles gets little to do.
+def _sample(df: DataFrame, point: Column, ranges: int) -> DataFrame:
+    """Distinct values ``at`` of about ``SAMPLE_PER_RANGE`` rows for each range.
+
+    They are chosen by a hash of their values: whenever the plan is run again, the same ones.
     """
-    if ranges < 2:
-        return []
-    fraction = min(1.0, SAMPLE_PER_RANGE * ranges / max(rows, 1.0))
-    sample = df.sample(fraction, seed=29) if fraction < 1.0 else df
-    probabilities = [i / ranges for i in range(1, ranges)]
-    cuts = sample.select(
-        F.percentile_approx(number, probabilities, max(10_000, 10 * ranges)).alias("cuts")
-    ).first()["cuts"]
-    return sorted({c for c in cuts or [] if math.isfinite(c)})
-
-
-def with_range(df: DataFrame, number: Column, bounds: Sequence[float], out: str) -> DataFrame:
-    """Add the range index of ``number``; the search over ``bounds`` runs in the JVM."""
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
-    staged = df.withColumn("__number", number)
-    cut = Bucketizer(
-        splits=[-math.inf, *bounds, math.inf],
-        inputCol="__number",
-        outputCol="__range",
-        handleInvalid="keep",
-    ).transform(staged)
-    return cut.withColumn(out, F.col("__range").cast("int")).drop("__number", "__range")
-
-
-@dataclass(frozen=True)
-class KeySplit:
-    """Hot keys (by hash) and the cut points of their order column."""
-
-    keys: tuple[str, ...]
-    hot: tuple[int, ...]
-    bounds: tuple[float, ...]
-
-    def is_hot(self) -> Column:
-        return F.xxhash64(*self.keys).isin(list(self.hot))
-
-
-def plan_split(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: str,
-    max_rows: int = MAX_ROWS_PER_GROUP,
-    probe_fraction: float = PROBE_FRACTION,
-) -> KeySplit | None:
-    """Find keys with more than ``max_rows`` rows from a sample of the key column.
+    rows = df.select(F.lit(1).alias("one")).agg(F.count("one").alias("n")).scalar()
+    wanted = float(_SHARE * ranges * SAMPLE_PER_RANGE)
+    chosen = F.pmod(F.xxhash64("at"), F.lit(_SHARE)) * rows.cast("double") <= wanted
+    return df.select(point.alias("at")).where(chosen).distinct()
+
+
+def _cuts(held: Column, ranges: int) -> Column:
+    """Inner cut points of a sorted array: every so many values, each once."""
+    return F.array_distinct(
+        F.filter(
+            F.transform(
+                F.sequence(F.lit(1), F.lit(ranges - 1)),
+                lambda i: F.get(held, F.floor(i * F.size(held) / ranges).cast("int")),
+            ),
+            lambda x: x.isNotNull(),
+        )
+    )
+
+
+def _search(df: DataFrame, cuts: str, point: Column, out: str, ranges: int) -> DataFrame:
+    """Add how many of the sorted values of column ``cuts`` are at or below ``point``: a binary search, one step a projection."""
+    df = df.withColumn(out, F.lit(0))
+    step = 1 << ((ranges - 1).bit_length() - 1)
+    while step:
+        next_cut = F.get(F.col(cuts), F.col(out) + (step - 1))
+        reached = next_cut.isNotNull() & (next_cut <= point)
+        df = df.withColumn(out, F.when(reached, F.col(out) + step).otherwise(F.col(out)))
+        step >>= 1
+    return df
 
-    The sample only decides which keys are split, never the result. The driver
-    receives at most ``MAX_HOT_KEYS`` hashes and ``MAX_RANGES`` cut points.
+
+def sorted_ranges(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Add the range of each row by ``columns`` (``PART``, from 0) and whether it is the first one of it (``HEAD``).
+
+    Columns may have any types that sort; nulls come first. Equal values are always in one range. ``df`` is read three
+    times: counted, sampled, cut.
     """
-    probe = df.select(*keys, order_by)
-    if probe_fraction < 1.0:
-        probe = probe.sample(probe_fraction, seed=17)
-    hot_rows = (
-        probe.groupBy(F.xxhash64(*keys).alias("h"))
-        .count()
-        .filter(F.col("count") > max_rows * probe_fraction)
-        .orderBy(F.desc("count"), "h")
-        .limit(MAX_HOT_KEYS)
-        .collect()
+    ranges = ranges or default_ranges(df.sparkSession)
+    point = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    held = _sample(df, point, ranges).agg(F.sort_array(F.collect_list("at")).alias("held"))
+    # a column of its own: the subquery stands in the plan once, the search reads its value
+    cut = df.withColumn("__cuts", held.select(_cuts(F.col("held"), ranges).alias("cuts")).scalar())
+    found = _search(cut, "__cuts", point, PART, ranges)
+    head = F.coalesce(F.get("__cuts", F.col(PART) - 1) == point, F.lit(False))
+    return found.withColumn(HEAD, head).drop("__cuts")
+
+
+def interleaved_rank(df: DataFrame, columns: Sequence[str], out: str, bits: int = 10) -> DataFrame:
+    """Add a number whose bits are those of each column's quantile rank in turn: rows near in it are near in every column.
+
+    Each column is cut into up to ``2 ** bits`` ranges of about equally many rows, whatever its type; nulls rank lowest.
+    All cut points come from one sample. ``df`` is read three times.
+    """
+    if not 1 <= len(columns) * bits <= 62:
+        raise ValueError(f"{len(columns)} columns of {bits} bits do not fit in a number")
+    ranges = 1 << bits
+    point = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    held = _sample(df, point, ranges).agg(
+        *[F.sort_array(F.collect_list(f"at.c{i}")).alias(f"c{i}") for i in range(len(columns))]
     )
-    if not hot_rows:
-        return None
-    hot = tuple(r["h"] for r in hot_rows)
-    rows = sum(r["count"] for r in hot_rows) / probe_fraction
-    ranges = min(MAX_RANGES, max(2, math.ceil(rows / max_rows)))
-    hot_probe = probe.filter(F.xxhash64(*keys).isin(list(hot)))
-    bounds = range_bounds(hot_probe, order_number(probe, order_by), ranges, rows * probe_fraction)
-    return KeySplit(tuple(keys), hot, tuple(bounds))
+    cuts = held.select(F.struct(*[_cuts(F.col(f"c{i}"), ranges).alias(f"c{i}") for i in range(len(columns))]).alias("cuts"))
+    found = df.withColumn("__cuts", cuts.scalar())
+    rank = F.lit(0).cast("long")
+    for i, c in enumerate(columns):
+        found = _search(found.withColumn("__own", F.col(f"__cuts.c{i}")), "__own", F.col(c), f"__rank{i}", ranges)
+        for bit in range(bits):
+            place = bit * len(columns) + len(columns) - 1 - i
+            one = F.shiftright(F.col(f"__rank{i}"), bit).bitwiseAND(F.lit(1)).cast("long")
+            rank = rank.bitwiseOR(F.shiftleft(one, place))
+    return found.withColumn(out, rank).drop("__cuts", "__own", *[f"__rank{i}" for i in range(len(columns))])
 
 
 def with_neighbours(
@@ -131,14 +122,12 @@ def with_neighbours(
     order: Sequence[str],
     lead: Mapping[str, str] | None = None,
     lag: Mapping[str, str] | None = None,
-    bounds: Sequence[float] = (),
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``{new column: column of the next / previous row}`` within each key.
 
-    Without ``bounds`` this is the plain window. With them every key is cut into
-    ranges of its first order column; the first (last) row of each range is
-    copied into the previous (next) non-empty range of the same key as an edge
-    row and removed afterwards.
+    Without ``ranges`` this is the plain window, a task for each key. With them no task gets more than a range of rows,
+    whatever the keys; ``order`` must then tell the rows of a key apart. Null keys are keys like any other.
     """
     lead, lag = dict(lead or {}), dict(lag or {})
 
@@ -148,33 +137,32 @@ def with_neighbours(
         added |= {out: F.lag(src).over(window) for out, src in lag.items()}
         return frame.withColumns(added)
 
-    if not bounds:
+    if ranges is None:
         return shifted(df, keys)
 
     names = df.columns
-    ranged = with_range(df, order_number(df, order[0]), bounds, "__part")
-
-    def edges(columns: Sequence[str], first: bool) -> DataFrame:
-        needed = sorted({*order, *columns} - set(keys))
-        pick = F.min_by if first else F.max_by
-        per_range = ranged.groupBy(*keys, "__part").agg(
-            pick(F.struct(*needed), F.struct(*order)).alias("__row")
-        )
-        # one row per range of a key
-        window = Window.partitionBy(*keys).orderBy("__part")
-        target = F.lag("__part").over(window) if first else F.lead("__part").over(window)
-        return (
-            per_range.withColumn("__part", target)
-            .filter(F.col("__part").isNotNull())
-            .select(*keys, "__part", "__row.*", F.lit(True).alias("__edge"))
+    ranged = sorted_ranges(df, [*keys, *order], ranges)
+    places = F.when(F.col(HEAD), F.array(F.col(PART), F.col(PART) - 1)).otherwise(F.array(F.col(PART)))
+    copied = ranged.withColumn("__at", F.explode(places)).withColumn(EDGE, F.col("__at") != F.col(PART))
+    done = shifted(copied, [*keys, "__at"])
+    # the first row of a range sees what follows it there, its copy in the range before what goes before it
+    if not lag:
+        done = done.filter(~F.col(EDGE))
+    elif not lead:
+        done = done.filter(F.col(EDGE) | ~F.col(HEAD))
+    else:
+        shown = [n for n in names if n not in {*keys, *order}]
+        both = (
+            done.filter(HEAD)
+            .groupBy(*keys, *order)
+            .agg(
+                F.first(F.struct(*shown)).alias("__row") if shown else F.lit(None).alias("__row"),
+                F.first(F.when(~F.col(EDGE), F.struct(*lead)), True).alias("__next"),
+                F.first(F.when(F.col(EDGE), F.struct(*lag)), True).alias("__last"),
+            )
         )
-
-    staged = ranged.withColumn("__edge", F.lit(False))
-    if lead:
-        staged = staged.unionByName(edges(list(lead.values()), True), allowMissingColumns=True)
-    if lag:
-        staged = staged.unionByName(edges(list(lag.values()), False), allowMissingColumns=True)
-    done = shifted(staged, [*keys, "__part"]).filter(~F.col("__edge"))
+        parts = [*keys, *order, *[f"__row.{n}" for n in shown], *[f"__next.{n}" for n in lead], *[f"__last.{n}" for n in lag]]
+        done = done.filter(~F.col(HEAD)).select(*names, *lead, *lag).unionByName(both.select(*parts))
     return done.select(*names, *lead, *lag)
 
 
@@ -186,40 +174,32 @@ def running_totals(
     descending: bool = False,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Running sums ``{new column: measure}`` over a whole table or over few large groups.
+    """Running sums ``{new column: measure}`` over a whole table or inside each group, however many and large they are.
 
-    Rows are cut into value ranges, summed up inside each range, and shifted by
-    the totals of the earlier ranges, so that no task sees a whole group.
-    ``within`` must have few groups and ``order_by`` must be unique in each.
-    ``df`` is read several times: hand in a stored or checkpointed frame.
+    Rows are cut into ranges of (group, order), summed up inside each range, and shifted by the totals of the group's
+    earlier ranges. ``order_by`` must be unique in each group; add up ties before. ``df`` is read four times: hand in a
+    stored frame. Null groups are groups like any other.
     """
-    number = order_number(df, order_by)
-    if descending:
-        number = -number
-    rows = df.count()
-    if ranges is None:
-        needed = math.ceil(rows / MAX_ROWS_PER_GROUP)
-        ranges = min(MAX_RANGES, max(shuffle_width(df.sparkSession), needed))
-    bounds = range_bounds(df, number, ranges, rows)
-    ranged = with_range(df, number, bounds, "__part")
-    order = F.col(order_by).desc() if descending else F.col(order_by).asc()
-    inside = Window.partitionBy(*within, "__part").orderBy(order)
+    within = list(within)
+    ranged = sorted_ranges(df, [*within, order_by], ranges).drop(HEAD)
+
+    def direction(column: str) -> Column:
+        return F.col(column).desc() if descending else F.col(column).asc()
+
+    inside = Window.partitionBy(*within, PART).orderBy(direction(order_by))
     local = ranged.withColumns({out: F.sum(src).over(inside) for out, src in measures.items()})
 
-    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(*within, "__part").agg(
-        *[F.sum(src).alias(f"__total_{out}") for out, src in measures.items()]
-    )
+    # one row for each range that a group reaches into
+    totals = ranged.groupBy(*within, PART).agg(*[F.sum(src).alias(f"__total_{out}") for out, src in measures.items()])
+    before = Window.partitionBy(*within).orderBy(direction(PART)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *within,
-        "__part",
-        *[
-            F.coalesce(F.sum(f"__total_{out}").over(before), F.lit(0)).alias(f"__before_{out}")
-            for out in measures
-        ],
+        *[F.col(c).alias(f"__in_{c}") for c in [*within, PART]],
+        *[F.coalesce(F.sum(f"__total_{out}").over(before), F.lit(0)).alias(f"__before_{out}") for out in measures],
+    )
+    same = F.col(PART) == F.col(f"__in_{PART}")
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"__in_{c}"))
+    joined = local.join(offsets, same)
+    return joined.withColumns({out: F.col(out) + F.col(f"__before_{out}") for out in measures}).select(
+        *df.columns, *measures
     )
-    # at most one row per range and group: small whatever the table holds
-    joined = local.join(F.broadcast(offsets), [*within, "__part"])
-    return joined.withColumns(
-        {out: F.col(out) + F.col(f"__before_{out}") for out in measures}
-    ).select(*df.columns, *measures)

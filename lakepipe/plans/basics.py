@@ -15,10 +15,16 @@ from lakepipe.operators.windows import shuffled, top_rows
 from lakepipe.plans.registry import query, rounded, table
 from lakepipe.plans.views import txs, with_views
 from lakepipe.session import scratch_path
-from lakepipe.sinks.tables import read_evolved, write_clustered, write_files
+from lakepipe.operators.ranges import shuffle_width
+from lakepipe.sinks.tables import delete_rows, read_evolved, write_clustered, write_files
 from lakepipe.sources.files import preview, read_files, table_on_path
 
 
+@query("src_parquet_full_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def src_parquet_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 @query(
     "src_parquet_scan",
     "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'",
@@ -214,6 +220,28 @@ def layout_clustered_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query("layout_interleaved_write", "SELECT l_suppkey, l_orderkey, l_linenumber, l_shipdate FROM lineitem")
+def layout_interleaved_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table laid out for filters on any of two columns."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate")
+    path = scratch_path(spark, "interleaved")
+    write_clustered(lines, path, ["l_suppkey", "l_shipdate"], interleave=True)
+    return spark.read.parquet(path)
+
+
+@query(
+    "delete_in_files",
+    "SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders WHERE NOT coalesce(o_orderdate < TIMESTAMP '1993-01-01', false)",
+)
+def delete_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are deleted from a stored table; files without such rows stay as they are."""
+    path = scratch_path(spark, "delete-in-files")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    write_clustered(orders, path, ["o_orderdate"], files=2 * shuffle_width(spark))
+    delete_rows(spark, path, "o_orderdate < timestamp_ntz'1993-01-01 00:00:00'")
+    return spark.read.parquet(path)
+
+
 @query(
     "concat_pad",
     """SELECT c_custkey, 'DEV' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS device,

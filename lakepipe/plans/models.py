@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakepipe.features.encoding import Scaler, learn_categories, one_hot
+from lakepipe.features.boosting import Settings as Boosting
+from lakepipe.features.boosting import boost
+from lakepipe.features.encoding import CategoryIndex, Scaler, learn_categories, one_hot
+from lakepipe.features.ensembles import Ensemble, of_pipeline, quoted
 from lakepipe.features.evaluation import (
     area_under_roc,
     binary_metrics,
@@ -22,11 +28,17 @@ from lakepipe.features.training import predict, search, train
 from lakepipe.functions.naming import clean_dummy_names
 from lakepipe.functions.scalars import map_values
 from lakepipe.plans.registry import query, rounded, table
-from lakepipe.plans.retail import churn_features_of
-from lakepipe.plans.views import scored, telco, with_views
-from lakepipe.session import cut_lineage
-
-CATEGORICAL = ["contract", "gender", "internet_service", "payment_method"]
+from lakepipe.plans.retail import CHURN_VIEWS, churn_features_of
+from lakepipe.plans.views import TELCO_FLAGS, scored, telco, with_views
+from lakepipe.session import scratch_path, written
+
+CATEGORICAL = [
+    "contract",
+    "gender",
+    "internet_service",
+    "payment_method",
+    *[column for column, *_ in TELCO_FLAGS],
+]
 # Fixed value: the label mapping.
 YES_NO = {"Yes": 1, "No": 0}
 
@@ -57,6 +69,7 @@ _DUMMIES = {
         "Electronic check",
         "Mailed check",
     ],
+    **{column: list(values) for column, values, _ in TELCO_FLAGS},
 }
 
 
@@ -304,44 +317,185 @@ NUMERIC = ["order_count", "total_amount", "event_count", "session_count", "age_g
 
 
 def _split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checkpointed: the learners pass over the features many times."""
+    """Stored: the learners pass over the features many times."""
     features = churn_features_of(spark, sf_dir).select("user_id", "churn", *NUMERIC, "country", "platform")
-    return cut_lineage(assign_split(features, "user_id"))
+    return written(assign_split(features, "user_id"), "features")
 
 
 @query("train_score_gbt")
 def train_score_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on the churn features; every user is scored with the fitted model."""
     features = _split_features(spark, sf_dir)
-    model = train(
-        features.filter("split = 'train'"), "churn", NUMERIC, ["country", "platform"], trees=5, depth=3
-    )
+    model = train(features.filter("split = 'train'"), "churn", NUMERIC, ["country", "platform"])
     return predict(model, features, ["user_id", "split", "churn"])
 
 
-@query("train_score_multiclass")
-def train_score_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forest that tells which kind of event a reading belongs to."""
-    kinds = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
+_EVENT_KINDS = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
+
+
+def _kind_model(spark: SparkSession, sf_dir: str) -> tuple[Ensemble, DataFrame]:
+    """Boosted trees that tell which kind of event a reading belongs to, and the readings with their split."""
     events = table(spark, sf_dir, "events").select(
         "event_id",
         "value",
         F.hour("ts").alias("hour"),
-        map_values("event_type", kinds).alias("kind"),
+        F.dayofweek("ts").alias("weekday"),
+        map_values("event_type", _EVENT_KINDS).alias("kind"),
+    )
+    split = written(assign_split(events, "event_id"), "kinds")
+    inputs = ["value", "hour", "weekday"]
+    return boost(split.filter("split = 'train'"), "kind", inputs, len(_EVENT_KINDS), Boosting(rounds=10)), split
+
+
+@query("train_score_multiclass")
+def train_score_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading with the kind that the boosted trees give it; the model is a column expression."""
+    model, events = _kind_model(spark, sf_dir)
+    return model.score(events).select("event_id", "split", "kind", "prediction", "probability")
+
+
+@query(
+    "multiclass_recount",
+    """SELECT split, kind, count(*) AS rows, true AS sums_to_one, true AS known_class, true AS as_good_as_shares
+       FROM (SELECT CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2
+                                    WHEN 'signup' THEN 3 ELSE 4 END AS kind,
+                    CASE WHEN p < 60 THEN 'train' WHEN p < 80 THEN 'validate' ELSE 'test' END AS split
+             FROM (SELECT *, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS p FROM events))
+       GROUP BY split, kind""",
+)
+def multiclass_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored readings counted again: none is lost, probabilities add up, training lowers the loss of the class shares."""
+    model, events = _kind_model(spark, sf_dir)
+    scored_events = events.withColumn("p", model.probability_column())
+    shares = F.array(*[F.lit(share) for share in _softmax_of(model.bases)])
+    loss = F.avg(F.when(F.col("split") == "train", -F.log(F.get("p", F.col("kind")))))
+    plain = F.avg(F.when(F.col("split") == "train", -F.log(F.get(shares, F.col("kind")))))
+    better = scored_events.agg((loss <= plain).alias("better")).first()["better"]
+    total = F.aggregate("p", F.lit(0.0), lambda a, b: a + b)
+    return scored_events.groupBy("split", "kind").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.every(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        F.every(F.array_position("p", F.array_max("p")).between(1, len(_EVENT_KINDS))).alias("known_class"),
+        F.lit(better).alias("as_good_as_shares"),
+    )
+
+
+def _softmax_of(margins: tuple[float, ...]) -> list[float]:
+    raised = [math.exp(m) for m in margins]
+    return [r / sum(raised) for r in raised]
+
+
+@query(
+    "score_fitted_model",
+    with_views(
+        """SELECT user_id, CASE WHEN p < 60 THEN 'train' WHEN p < 80 THEN 'validate' ELSE 'test' END AS split,
+                  true AS same_class, true AS same_probability, true AS same_by_name
+           FROM (SELECT user_id, CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS p FROM churn)""",
+        *CHURN_VIEWS,
+    ),
+)
+def score_fitted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted model compiled to a column expression, called by name from SQL, its scores saved, against the model itself."""
+    features = _split_features(spark, sf_dir)
+    fitted = train(features.filter("split = 'train'"), "churn", NUMERIC, ["country", "platform"], trees=10, depth=4)
+    model = of_pipeline(fitted)
+    kinds = {f.name: f.dataType.simpleString() for f in features.schema.fields}
+    model.register(spark, "churn_probability", kinds)
+    called = ", ".join(quoted(c) for c in model.columns)
+    by_name = features.selectExpr("*", f"churn_probability({called}) AS by_name")
+    path = scratch_path(spark, "scored")
+    model.score(by_name, "own_class", "own_probability").write.parquet(path)
+    judged = fitted.transform(spark.read.parquet(path))
+    chance = vector_to_array("probability")
+    return judged.select(
+        "user_id",
+        "split",
+        (F.col("own_class") == F.col("prediction").cast("int")).alias("same_class"),
+        (F.abs(F.col("own_probability") - F.array_max(chance)) < 1e-9).alias("same_probability"),
+        (F.abs(F.col("by_name")[1] - chance[1]) < 1e-9).alias("same_by_name"),
+    )
+
+
+_LINEAR_SQL = """, t AS (
+  SELECT o_orderkey, o_totalprice AS x, CAST(o_orderstatus = 'F' AS INTEGER) AS label,
+         CASE WHEN p < 60 THEN 'train' WHEN p < 80 THEN 'validate' ELSE 'test' END AS split
+  FROM (SELECT *, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS p FROM orders)),
+m AS (SELECT avg(label) AS ml, avg(x) AS mx, covar_pop(label, x) / var_pop(x) AS slope FROM t WHERE split = 'train'),
+g AS (SELECT split, label, round(ml + slope * (x - mx), 4) AS score FROM t, m),
+s AS (SELECT split, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM g GROUP BY ALL),
+c AS (SELECT split, score AS threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+             sum(pos) OVER (PARTITION BY split) AS p, sum(neg) OVER (PARTITION BY split) AS n
+      FROM s WINDOW w AS (PARTITION BY split ORDER BY score DESC))
+"""
+
+
+def _linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders scored by a line that is fitted to the training part."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("x"), (F.col("o_orderstatus") == "F").cast("int").alias("label")
     )
-    split = assign_split(events, "event_id")
-    model = train(split.filter("split = 'train'"), "kind", ["value", "hour"], classes=5, trees=5, depth=3)
-    return predict(model, split, ["event_id", "split", "kind"])
+    split = written(assign_split(orders, "o_orderkey"), "orders")
+    fit = split.filter("split = 'train'").agg(
+        F.avg("label").alias("ml"), F.avg("x").alias("mx"), (F.covar_pop("label", "x") / F.var_pop("x")).alias("slope")
+    ).first()
+    score = F.lit(fit["ml"]) + F.lit(fit["slope"]) * (F.col("x") - F.lit(fit["mx"]))
+    return split.select("split", "label", rounded(score, 4).alias("score"))
+
+
+@query(
+    "roc_by_split",
+    "WITH one AS (SELECT 1)"
+    + _LINEAR_SQL
+    + "SELECT split, threshold, round(fp::DOUBLE / n, 6) AS fpr, round(tp::DOUBLE / p, 6) AS tpr FROM c",
+)
+def roc_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curve each for training, validation and test part of a fitted model's scores."""
+    points = roc_points(_linear_scores(spark, sf_dir), "label", "score", by=["split"])
+    return points.withColumns({c: rounded(c) for c in ("fpr", "tpr")})
+
+
+@query(
+    "pr_by_split",
+    "WITH one AS (SELECT 1)"
+    + _LINEAR_SQL
+    + "SELECT split, threshold, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / p, 6) AS recall FROM c",
+)
+def pr_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = pr_points(_linear_scores(spark, sf_dir), "label", "score", by=["split"])
+    return points.withColumns({c: rounded(c) for c in ("precision", "recall")})
 
 
 @query("param_search")
 def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tree depths, the better one by F1 on a validation part scores the table."""
+    """A grid of depths and numbers of trees; the best by F1 on a validation part scores the table."""
     features = _split_features(spark, sf_dir)
-    best = search(features, "churn", NUMERIC, {"maxDepth": [2, 3], "maxIter": [3]}).bestModel
+    best = search(features, "churn", NUMERIC, {"maxDepth": [3, 5], "maxIter": [5, 10]}).bestModel
     return predict(best, features, ["user_id", "churn"])
 
 
+@query(
+    "category_index",
+    """SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS c_name_index,
+              CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS c_mktsegment_index,
+              (SELECT count(DISTINCT c_name) + count(DISTINCT c_mktsegment) + 2 FROM customer)::INTEGER AS size,
+              2 AS ones
+       FROM customer""",
+)
+def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns as indicators in sparse vectors, one of them with a value for every customer."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    index = CategoryIndex.fit(customers, ["c_name", "c_mktsegment"])
+    vectors = index.transform(index.index(customers), "features")
+    described = F.unwrap_udt("features")
+    return vectors.select(
+        "c_custkey",
+        "c_name_index",
+        "c_mktsegment_index",
+        described["size"].alias("size"),
+        F.size(described["indices"]).alias("ones"),
+    )
+
+
 @query(
     "one_hot_unknown",
     """SELECT c_custkey, CAST(c_mktsegment = 'BUILDING' AS BIGINT) AS c_mktsegment_BUILDING,

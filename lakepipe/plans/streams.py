@@ -29,9 +29,9 @@ from lakepipe.streaming.changes import (
     read_scd1,
     read_scd2,
     read_versions,
-    refresh_scd2,
     start_scd1,
     start_scd2,
+    start_scd2_stored,
 )
 from lakepipe.streaming.ingest import ingest_folder
 from lakepipe.streaming.quality import read_metrics, start_checked
@@ -308,13 +308,16 @@ def stream_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_scd2_stored", SCD2_SQL)
 def stream_scd2_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The history as a stored table that is refreshed bucket by bucket."""
+    """The history as a stored table: each of five micro-batches, in no order, splices its changes in."""
     root = scratch_path(spark, "stream-scd2-stored")
     feed = changes_of(cdc_feed_of(landed_stream(spark, sf_dir, "events")))
     target = f"{root}/target"
-    drain(start_scd2(feed, target, f"{root}/checkpoint", KEYS, buckets=4 * shuffle_width(spark)))
     hidden = [*HIDDEN, "operation_date"]
-    refresh_scd2(spark, target, KEYS, SEQUENCE, apply_as_deletes=IS_DELETE, except_columns=hidden)
+    drain(
+        start_scd2_stored(
+            feed, target, f"{root}/checkpoint", KEYS, SEQUENCE, IS_DELETE, hidden, buckets=shuffle_width(spark)
+        )
+    )
     return plain_versions(read_versions(spark, target))
 
 

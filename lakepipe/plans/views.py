@@ -356,12 +356,37 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- telco-like customers ----------------------------------------------------
 
-SQL["telco"] = """
+# Feed columns: (column, values, after how many customers the value changes).
+_YES_NO = ("No", "Yes")
+_WITH_PHONE = ("No", "No phone service", "Yes")
+_WITH_NET = ("No", "No internet service", "Yes")
+TELCO_FLAGS = (
+    ("partner", _YES_NO, 2),
+    ("dependents", _YES_NO, 3),
+    ("phone_service", _YES_NO, 5),
+    ("multiple_lines", _WITH_PHONE, 1),
+    ("online_security", _WITH_NET, 2),
+    ("online_backup", _WITH_NET, 3),
+    ("device_protection", _WITH_NET, 4),
+    ("tech_support", _WITH_NET, 5),
+    ("streaming_tv", _WITH_NET, 6),
+    ("streaming_movies", _WITH_NET, 7),
+    ("paperless_billing", _YES_NO, 7),
+)
+
+
+def _flag_sql(column: str, values: tuple[str, ...], every: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE (c_custkey // {every}) % {len(values)} {cases} END AS {column}"
+
+
+SQL["telco"] = f"""
 SELECT c_custkey AS customer_id, c_mktsegment AS contract,
        CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
        CASE c_nationkey % 3 WHEN 0 THEN 'DSL' WHEN 1 THEN 'Fiber optic' ELSE 'No' END AS internet_service,
        CASE c_custkey % 4 WHEN 0 THEN 'Bank transfer (automatic)' WHEN 1 THEN 'Mailed check'
                           WHEN 2 THEN 'Credit card (automatic)' ELSE 'Electronic check' END AS payment_method,
+       {", ".join(_flag_sql(*flag) for flag in TELCO_FLAGS)},
        CAST(c_custkey % 72 AS INTEGER) AS tenure,
        CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal END AS monthly_charges,
        CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_acctbal < 2000 THEN 'Yes' ELSE 'No' END AS churn
@@ -381,6 +406,10 @@ def telco(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 4 == 2, "Credit card (automatic)")
         .otherwise("Electronic check")
         .alias("payment_method"),
+        *[
+            F.element_at(F.array(*map(F.lit, values)), (F.floor(key / every) % len(values) + 1).cast("int")).alias(column)
+            for column, values, every in TELCO_FLAGS
+        ],
         (key % 72).cast("int").alias("tenure"),
         F.when(key % 17 != 0, F.col("c_acctbal")).alias("monthly_charges"),
         F.when(key % 29 == 0, null)

@@ -77,3 +77,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str = "cut") -> DataFrame:
+    """The rows, written as a table of the shared folder and read back; the table goes when the session ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,11 +32,42 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def delete_file(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, False)
+
+
+def move_file(spark: SparkSession, path: str, target: str) -> None:
+    """Move a file into a folder that is made where it is missing; a file of that name stays as it is."""
+    fs, p = _file_system(spark, path)
+    to = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(p, to):
+        raise OSError(f"cannot move {path} to {target}")
+
+
+def list_tree(spark: SparkSession, path: str) -> list[str]:
+    """All data files below a folder, as full paths."""
+    fs, p = _file_system(spark, path)
+    found, entries = [], fs.listFiles(p, True)
+    while entries.hasNext():
+        file = entries.next().getPath()
+        if not file.getName().startswith(("_", ".")):
+            found.append(file.toString())
+    return sorted(found)
+
+
+def list_hidden(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Full paths of the sub-folders that Spark's readers pass over, by the start of their names."""
+    fs, p = _file_system(spark, path)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith(prefix))
+
+
 def list_folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the sub-folders: one dataset each in a landing zone."""
+    """Names of the sub-folders: one dataset each in a landing zone, one value each below a partitioned table."""
     fs, p = _file_system(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return sorted(n for n in names if not n.startswith(("_", ".")))
+    return sorted(n for n in names if "=" in n or not n.startswith(("_", ".")))
 
 
 def list_files(spark: SparkSession, path: str, limit: int | None = None) -> list[str]:
@@ -78,40 +111,55 @@ def create_file(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    fs, p = _file_system(spark, path)
-    stream = fs.open(p)
-    try:
-        jvm = spark._jvm
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine() or ""
-    finally:
-        stream.close()
+def _one_file_a_task(spark: SparkSession) -> SparkSession:
+    """A session beside this one in which a read gives each file its own task, and a task reads row by row."""
+    side = spark.newSession()
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        side.conf.set(name, str(1 << 40))
+    side.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    return side
 
 
 def csv_headers(
     spark: SparkSession, files: Sequence[str], options: Mapping[str, str] | None = None
 ) -> dict[tuple[str, ...], list[str]]:
-    """Files by the column names of their first line; files without a line are left out.
+    """Files by the column names of their first record; files without one are left out.
 
-    Only first lines are read, many at a time. A name given twice gets a number.
+    Executors open the files with Spark's own reader: compressed files, other encodings and names with a line break in
+    quotes are read as they are later. A task stops after the first record of its file. A name given twice gets a number.
     """
-    options = options or {}
+    if not files:
+        return {}
+    options = {k: v for k, v in (options or {}).items() if k not in ("header", "inferSchema", "maxFilesPerTrigger")}
+    # of a record with more than one value the reader keeps the text
+    kept = {"header": "false", "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__record"}
+    reader = _one_file_a_task(spark).read.options(**{**options, **kept})
+    records = reader.schema("__value string, __record string").csv(list(files))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    texts = records.select(F.col("_metadata.file_path").alias("file"), F.coalesce("__record", "__value").alias("header"))
+    found = texts.mapInArrow(first, "file string, header string").groupBy("header").agg(F.collect_list("file").alias("files"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in found.collect():
+        text = (row["header"] or "").removeprefix("\ufeff")
+        if not text:
+            continue
+        parsed = csv.reader(io.StringIO(text), delimiter=options.get("sep", ","), quotechar=options.get("quote", '"'))
+        names = [name.strip() for name in next(parsed)]
+        numbered = tuple(n if names.index(n) == i else f"{n}#{names[: i + 1].count(n)}" for i, n in enumerate(names))
+        groups.setdefault(numbered, []).extend(unquote(f) for f in row["files"])
+    return {names: sorted(paths) for names, paths in sorted(groups.items())}
 
-    def header(path: str) -> tuple[str, ...]:
-        line = first_line(spark, path).removeprefix("\ufeff")
-        if not line:
-            return ()
-        found = next(csv.reader([line], delimiter=options.get("sep", ","), quotechar=options.get("quote", '"')))
-        names = [name.strip() for name in found]
-        return tuple(n if names.index(n) == i else f"{n}#{names[: i + 1].count(n)}" for i, n in enumerate(names))
 
-    groups: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(16) as pool:
-        for path, names in zip(files, pool.map(header, files), strict=True):
-            if names:
-                groups.setdefault(names, []).append(path)
-    return groups
+def _for_header(names: Sequence[str], options: Mapping[str, str]) -> dict[str, str]:
+    """Options that skip the whole header: one over several lines needs a reader that knows quotes before lines."""
+    over_lines = any("\n" in n or "\r" in n for n in names)
+    return {**options, "header": "true", **({"multiLine": "true"} if over_lines else {})}
 
 
 def _text_schema(names: Sequence[str]) -> T.StructType:
@@ -158,7 +206,7 @@ def read_csv_by_header(
     out = None
     for names, paths in csv_headers(spark, files, options).items():
         record = "__record"
-        reader = spark.read.options(**options).option("header", True).option("columnNameOfCorruptRecord", record)
+        reader = spark.read.options(**_for_header(names, options)).option("columnNameOfCorruptRecord", record)
         texts = T.StructType([*_text_schema(names).fields, T.StructField(record, T.StringType())])
         rows = reader.schema(texts).csv(list(paths))
         rows = rows.toDF(*[f"__{i}" for i in range(len(names))], record)
@@ -299,7 +347,7 @@ def _csv_schema(
     kinds: dict[str, T.DataType] = {}
     for names, paths in csv_headers(spark, files, options).items():
         if infer_types:
-            reader = spark.read.options(**options).option("header", True).option("inferSchema", True)
+            reader = spark.read.options(**_for_header(names, options)).option("inferSchema", True)
             found = [f.dataType for f in reader.csv(paths).schema.fields]
         else:
             found = [T.StringType()] * len(names)

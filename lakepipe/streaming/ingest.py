@@ -16,6 +16,10 @@ from lakepipe.streaming.sinks import append_stream, drain, each_batch, write_bat
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
+#: Files of a batch, where nothing else is asked for.
+FILES_PER_BATCH = 10_000
+
+
 def stamped(df: DataFrame, column: str = "processing_time") -> DataFrame:
     """With the time at which a row arrived: that of its batch."""
     return df.withColumn(column, F.current_timestamp())
@@ -70,7 +74,8 @@ def _ingest_by_name(
             lambda: infer_schema(spark, folder, fmt, infer_types, hints, sample_files, chosen),
             evolve,
         )
-    limit = {"maxFilesPerTrigger": str(max_files_per_trigger)} if max_files_per_trigger else {}
+    # the names of a batch pass through the driver
+    limit = {"maxFilesPerTrigger": str(max_files_per_trigger or FILES_PER_BATCH)}
     # only the names are asked for, so the files' content is not read here
     names = spark.readStream.format("binaryFile").schema(FILE).options(**limit).load(folder).select("path")
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from lakepipe.operators.changes import (
     apply_changes_scd1,
@@ -12,7 +13,8 @@ from lakepipe.operators.changes import (
     reduce_changes,
     snapshot_diff,
 )
-from lakepipe.operators.ranges import plan_split
+from lakepipe.operators import ranges
+from lakepipe.operators.ranges import PART, sorted_ranges
 
 SCHEMA = "id int, op string, seq int, name string, city string"
 DELETE = "op = 'DELETE'"
@@ -112,17 +114,53 @@ def test_track_except_is_the_complement(spark):
 
 
 @pytest.mark.parametrize("options", [{}, {"track_history_on": ["city"]}])
-def test_split_keys_give_the_same_history(spark, options):
-    df = frame(spark, feed_of(7, n=300))
-    split = plan_split(df, ["id"], "seq", max_rows=20, probe_fraction=1.0)
-    assert len(split.hot) >= 1 and len(split.bounds) >= 3
-    assert history(df, split=split, **options) == history(df, split=None, **options)
+@pytest.mark.parametrize("count", [2, 64])
+def test_ranges_give_the_same_history(spark, options, count):
+    feed = feed_of(7, n=300)
+    # repeated changes and several changes of one sequence value
+    feed += feed[:40] + [(r[0], r[1], r[2], "tied", r[4]) for r in feed[50:60]]
+    df = frame(spark, feed)
+    for tie in (None, "name"):
+        assert history(df, ranges=count, tie_breaker=tie, **options) == history(df, ranges=None, tie_breaker=tie, **options)
+
+
+def text_feed(spark, n):
+    """A third of the changes on one key, ISO text that agrees in its first 19 characters as sequence."""
+    return spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(500)) + 1).cast("int").alias("id"),
+        F.lit("UPDATE").alias("op"),
+        F.format_string("2024-01-01T00:00:00.%09d", "id").alias("seq"),
+        F.col("id").cast("string").alias("name"),
+        F.lit("p").alias("city"),
+    )
+
 
+def test_no_range_of_a_hot_key_holds_more_than_its_share(spark):
+    n, count = 60_000, 24
+    feed = text_feed(spark, n)
+    parts = sorted_ranges(feed, ["id", "seq"], count)
+    sizes = [r["count"] for r in parts.groupBy(PART, "id").count().where("id = 0").collect()]
+    assert sum(sizes) == n // 3 and max(sizes) < 2 * n / count
+    widest = max(r["count"] for r in parts.groupBy(PART).count().collect())
+    assert widest < 2 * n / count
+    ends = apply_changes_scd2(feed, "id", "seq", except_columns=["op", "seq"], ranges=count).where("id = 0")
+    found = {r["name"]: r["end_at"] for r in ends.select("name", "end_at").collect()}
+    expected = [f"2024-01-01T00:00:00.{i:09d}" for i in range(3, n, 3)]
+    assert [found[str(i)] for i in range(0, n, 3)] == [*expected, None]
 
-def test_plan_split_finds_only_large_keys(spark):
+
+@pytest.mark.parametrize("options", [{}, {"track_history_on": ["city"]}])
+def test_ranges_are_cut_where_a_key_is_too_large_for_a_task(spark, monkeypatch, options):
     df = frame(spark, feed_of(8, n=300))
-    assert plan_split(df, ["id"], "seq", max_rows=1000, probe_fraction=1.0) is None
-    assert len(plan_split(df, ["id"], "seq", max_rows=80, probe_fraction=1.0).hot) == 1
+    cut = []
+    plain = ranges.sorted_ranges
+    monkeypatch.setattr(ranges, "sorted_ranges", lambda *a: cut.append(a[-1]) or plain(*a))
+    wanted = history(df, **options)
+    assert not cut
+    # one key has some hundred changes, the others sixty at most
+    monkeypatch.setattr(ranges, "MAX_ROWS_PER_KEY", 80)
+    assert history(df, **options) == wanted
+    assert cut and set(cut) == {ranges.default_ranges(spark)}
 
 
 def test_current_versions_equal_scd1(spark):

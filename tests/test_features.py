@@ -7,13 +7,19 @@ import random
 import pandas as pd
 import pytest
 from conftest import rows
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
-from lakepipe.features.encoding import Scaler, learn_categories, one_hot
+from lakepipe.features.boosting import Settings as Boosting
+from lakepipe.features.boosting import boost
+from lakepipe.features.encoding import CategoryIndex, Scaler, learn_categories, one_hot
+from lakepipe.features.ensembles import Ensemble, of_pipeline, quoted
 from lakepipe.features.evaluation import (
     area_under_roc,
     binary_metrics,
     confusion_matrix,
+    log_loss,
     pr_points,
     roc_points,
     slice_accuracy,
@@ -233,3 +239,141 @@ def test_models_run_where_the_package_is_not_installed(tmp_path):
         [sys.executable, "-c", code, str(packed)], capture_output=True, text=True, cwd=tmp_path, timeout=60
     )
     assert done.stdout.strip() == "['bad']", done.stderr
+
+
+# --- ensembles as expressions, boosting, category index ----------------------------
+
+
+def messy(spark, n=600):
+    draw = random.Random(4)
+    data = []
+    for i in range(n):
+        x, y = draw.uniform(-3, 3), draw.choice([None, float("nan"), *range(5)])
+        c = draw.choice(["u", "it's", "back\\slash", None, "w"])
+        kind = (0 if x < -1 else 1 if x * x < 0.5 else 2) if draw.random() < 0.9 else draw.randrange(3)
+        data.append((i, x, None if y is None else float(y), 7.0, c, int((x > 0) != (c == "u")), kind))
+    return spark.createDataFrame(data, "id int, x double, `y y` double, same double, c string, label int, kind int")
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_compiled_ensemble_equals_the_model(spark, tmp_path, classes):
+    df = messy(spark)
+    label = "label" if classes == 2 else "kind"
+    fitted = train(df, label, ["x", "y y", "same"], ["c"], classes=classes, trees=6, depth=4)
+    model = of_pipeline(fitted)
+    model.save(spark, str(tmp_path / "model"))
+    again = Ensemble.load(spark, str(tmp_path / "model"))
+    assert again == model
+    unseen = spark.createDataFrame([(9999, None, float("inf"), 8.0, "new", 0, 0), (9998, -0.0, -1e300, None, None, 1, 1)], df.schema)
+    both = df.unionByName(unseen)
+    theirs = fitted.transform(both.withColumn("p", again.probability_column()))
+    chance = vector_to_array("probability")
+    far = F.exists(F.zip_with("p", chance, lambda a, b: F.abs(a - b)), lambda d: d > 1e-9)
+    assert theirs.where(far | far.isNull()).count() == 0
+    ours = again.score(both).select("id", F.col("prediction").alias("own"), F.col("probability").alias("own_p"))
+    joined = ours.join(theirs, "id")
+    assert joined.where("own != prediction").where(F.abs(F.array_max(chance) - F.array_sort(chance)[classes - 2]) > 1e-9).count() == 0
+    model.register(spark, f"own_model_{classes}", {f.name: f.dataType.simpleString() for f in df.schema.fields})
+    both.createOrReplaceTempView("both_rows")
+    called = ", ".join(quoted(c) for c in model.columns)
+    by_name = spark.sql(f"SELECT id, own_model_{classes}({called}) AS q FROM both_rows").join(theirs.select("id", "p"), "id")
+    assert by_name.where("q != p OR q IS NULL").count() == 0
+
+
+def test_boosting_beats_the_forest_on_held_out_rows(spark):
+    df = assign_split(messy(spark, 1500), "id")
+    learned, held = df.where("split = 'train'"), df.where("split != 'train'")
+    model = boost(learned, "kind", ["x", "y y", "same"], 3, Boosting(rounds=12, depth=3))
+    forest = train(learned, "kind", ["x", "y y", "same"], classes=3, trees=12, depth=3)
+    scored = held.withColumn("p", model.probability_column())
+    total = F.aggregate("p", F.lit(0.0), lambda a, b: a + b)
+    assert scored.where(F.abs(total - 1) > 1e-12).count() == 0
+    ours = log_loss(scored, "kind", "p").first()[0]
+    theirs = log_loss(forest.transform(held).withColumn("p", vector_to_array("probability")), "kind", "p").first()[0]
+    assert ours < theirs < math.log(3)
+
+
+def own_boost(data, classes, rounds, rate, ridge, edges):
+    """One split a tree, by trying every edge."""
+    labels, xs = [r[1] for r in data], [r[0] for r in data]
+    margins = [[math.log(labels.count(k) / len(labels)) for k in range(classes)] for _ in data]
+    for _ in range(rounds):
+        chances = [[math.exp(m - max(row)) for m in row] for row in margins]
+        chances = [[c / sum(row) for c in row] for row in chances]
+        steps = []
+        for k in range(classes):
+            g = [p[k] - (y == k) for p, y in zip(chances, labels)]
+            h = [p[k] * (1 - p[k]) for p in chances]
+
+            def gain(on):
+                return sum(g[i] for i in on) ** 2 / (sum(h[i] for i in on) + ridge)
+
+            def leaf(on):
+                return -rate * (classes - 1) / classes * sum(g[i] for i in on) / (sum(h[i] for i in on) + ridge)
+
+            every = range(len(data))
+            sides = [([i for i in every if xs[i] <= e], [i for i in every if not xs[i] <= e]) for e in edges]
+            low, high = max((s for s in sides if s[0] and s[1]), key=lambda s: gain(s[0]) + gain(s[1]))
+            steps.append({i: leaf(on) for on in (low, high) for i in on})
+        margins = [[m + steps[k][i] for k, m in enumerate(row)] for i, row in enumerate(margins)]
+    return [[math.exp(m) / sum(map(math.exp, row)) for m in row] for row in margins]
+
+
+def test_boosting_by_hand(spark):
+    draw = random.Random(6)
+    data = [(float(draw.randrange(12)), draw.choices([0, 1, 2], [i % 3 + 1, 2, 1])[0]) for i in range(90)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id int, x double, label int")
+    settings = Boosting(rounds=4, depth=1, bins=64, rate=0.5, ridge=0.7, keep_every=2)
+    noise = spark.createDataFrame([(1000, 3.0, None), (1001, 3.0, 7)], df.schema)
+    model = boost(df.unionByName(noise), "label", ["x"], 3, settings)
+    found = {r["id"]: r["p"] for r in df.select("id", model.probability_column().alias("p")).collect()}
+    expected = own_boost(data, 3, 4, 0.5, 0.7, sorted({r[0] for r in data}))
+    for i, row in enumerate(expected):
+        assert found[i] == pytest.approx(row, abs=1e-9)
+    with pytest.raises(ValueError, match="no row"):
+        boost(df.limit(0), "label", ["x"], 3, settings)
+
+
+def test_category_index_equals_the_collecting_encoder(spark):
+    df = messy(spark)
+    index = CategoryIndex.fit(df.where("c != 'w' OR c IS NULL"), ["c", "label"])
+    assert index.sizes == {"c": 3, "label": 2}
+    # w was not learned: the place behind c's values
+    numbers = {r["c"]: r["c_index"] for r in index.index(df).collect()}
+    assert numbers == {"back\\slash": 0, "it's": 1, "u": 2, "w": 3, None: None}
+    vectors = index.transform(df).select("c", "label", "features").collect()
+    assert len(vectors) == df.count()
+    for r in vectors:
+        wanted = ([] if r["c"] is None else [numbers[r["c"]]]) + [4 + r["label"]]
+        assert isinstance(r["features"], SparseVector) and r["features"].size == 7
+        assert list(r["features"].indices) == wanted and set(r["features"].values) == {1.0}
+    empty = CategoryIndex.fit(df.limit(0), ["c"])
+    assert empty.sizes == {"c": 0} and empty.index(df).where("c IS NOT NULL AND c_index != 0").count() == 0
+
+
+def test_a_million_categories_stay_on_the_executors(spark, monkeypatch):
+    n = 1_000_000
+    df = spark.range(n, numPartitions=4).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("c"))
+    rows_taken = []
+    plain = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: rows_taken.append(plain(self)) or rows_taken[-1])
+    index = CategoryIndex.fit(df, ["c"])
+    encoded = index.index(df).agg(F.count_distinct("c_index").alias("n"), F.max("c_index").alias("top"))
+    first = encoded.first()
+    assert (first["n"], first["top"]) == (n, n - 1)
+    assert max(map(len, rows_taken)) < 10
+    with pytest.raises(ValueError, match="too many categories"):
+        learn_categories(df, ["c"])
+    with pytest.raises(ValueError, match="too many categories"):
+        train(df.withColumns({"x": F.lit(1.0), "label": F.lit(1)}), "label", ["x"], ["c"])
+
+
+def test_curves_by_group_equal_curves_of_the_group(spark):
+    draw = random.Random(9)
+    data = [(draw.choice(["a", "b", None]), draw.randrange(2), draw.randrange(20) / 20) for _ in range(400)]
+    df = spark.createDataFrame(data, "part string, label int, score double")
+    for curve in (roc_points, pr_points, area_under_roc):
+        whole = curve(df, "label", "score", by=["part"])
+        for part in ("a", "b", None):
+            own = curve(df.where(F.col("part").eqNullSafe(F.lit(part))), "label", "score")
+            assert rows(whole.where(F.col("part").eqNullSafe(F.lit(part))).drop("part")) == rows(own)

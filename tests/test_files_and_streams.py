@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import bz2
+import glob
+import gzip
 import json
 import os
+import shutil
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -145,6 +150,84 @@ def test_clustered_layout(spark, tmp_path):
         tables.clustered(df, ["gone"])
 
 
+def footers(path, column):
+    """(least, greatest) value of a column in each file, from its statistics."""
+    found = []
+    for file in sorted(glob.glob(f"{path}/*.parquet")):
+        groups = pq.ParquetFile(file).metadata
+        at = groups.schema.to_arrow_schema().names.index(column)
+        stats = [groups.row_group(i).column(at).statistics for i in range(groups.num_row_groups)]
+        found.append((min(s.min for s in stats), max(s.max for s in stats)))
+    return found
+
+
+def test_interleaved_layout_skips_files_on_every_column(spark, tmp_path):
+    df = spark.range(40_000).select(
+        "id",
+        F.pmod(F.xxhash64("id"), F.lit(1000)).alias("a"),
+        F.format_string("%05d", F.pmod(F.xxhash64(F.col("id") + 1), F.lit(5000))).alias("b"),
+        F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pmod(F.xxhash64(F.col("id") + 2), F.lit(1000)).cast("double")).alias("c"),
+    )
+    paths = {way: str(tmp_path / way) for way in ("sorted", "interleaved", "three")}
+    tables.write_clustered(df, paths["sorted"], ["a", "b"], files=16)
+    tables.write_clustered(df, paths["interleaved"], ["a", "b"], files=16, interleave=True)
+    tables.write_clustered(df, paths["three"], ["a", "b", "c"], files=16, interleave=True)
+
+    def share_read(way, column, values):
+        files_ = footers(paths[way], column)
+        return sum(low <= v <= high for low, high in files_ for v in values) / len(files_) / len(values)
+
+    a, b = list(range(25, 1000, 50)), [f"{v:05d}" for v in range(125, 5000, 250)]
+    assert share_read("sorted", "a", a) < 0.15 and share_read("sorted", "b", b) == 1
+    assert share_read("interleaved", "a", a) < 0.5 and share_read("interleaved", "b", b) < 0.5
+    for column, values in (("a", a), ("b", b), ("c", [float(v) for v in a])):
+        assert share_read("three", column, values) < 0.85
+    for path in paths.values():
+        stored = spark.read.parquet(path)
+        assert rows(stored.select("id")) == [(i,) for i in range(40_000)]
+        sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 2 * 40_000 / 16
+    assert tables.clustered(df.limit(0), ["a", "b"], interleave=True).count() == 0
+    nulls = df.limit(100).withColumn("a", F.lit(None).cast("int"))
+    assert tables.clustered(nulls, ["a", "b"], 2, interleave=True).count() == 100
+
+
+@pytest.mark.parametrize("levels", [[], ["p"]])
+def test_delete_touches_only_files_with_hits(spark, tmp_path, levels):
+    path = str(tmp_path / "a table")
+    df = spark.range(1000).select("id", (F.col("id") % 2).cast("int").alias("p"), F.when(F.col("id") > 5, F.col("id")).alias("v"))
+    df.repartitionByRange(8, "id").write.partitionBy(*levels).parquet(path)
+
+    def state():
+        return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
+
+    before = state()
+    assert tables.delete_rows(spark, path, "v BETWEEN 10 AND 20") == 1 + len(levels)
+    after = state()
+    assert len(before.items() - after.items()) == 1 + len(levels) == len(after.items() - before.items())
+    expected = [(i,) for i in range(1000) if not 10 <= i <= 20]
+    assert rows(spark.read.parquet(path), "id") == expected and spark.read.parquet(path).columns == (df.columns if not levels else ["id", "v", "p"])
+    # no hit: nothing is written; whole files: they go
+    assert tables.delete_rows(spark, path, "v < 0") == 0 and state() == after
+    tables.delete_rows(spark, path, F.col("id") < 700)
+    assert rows(spark.read.parquet(path), "id") == [(i,) for i in range(700, 1000)]
+    with pytest.raises(ValueError, match="rewrite"):
+        tables.delete_rows(spark, path, "id >= 700", max_files=1)
+
+
+def test_a_delete_that_was_cut_short_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(100).repartitionByRange(4, "id").write.parquet(path)
+    with monkeypatch.context() as m:
+        m.setattr(tables, "finish_delete", lambda *_: None)
+        tables.delete_rows(spark, path, "id < 10")
+    assert spark.read.parquet(path).count() == 100
+    os.makedirs(f"{path}/_delete-without-mark/rows")
+    tables.finish_delete(spark, path)
+    assert rows(spark.read.parquet(path), "id") == [(i,) for i in range(10, 100)]
+    assert not glob.glob(f"{path}/_delete-*")
+
+
 def test_compact_delete_and_evolve(spark, tmp_path):
     many, few, kept = (str(tmp_path / n) for n in ("many", "few", "kept"))
     tables.write_files(spark.range(100), many, files=20)
@@ -334,9 +417,9 @@ def test_hourly_stream_updates_windows_and_drops_late_rows(spark, tmp_path):
     assert arrive(3, (1, 100.0)) == [(1, 1.0), (2, 6.0)]
 
 
-def test_stored_history_is_refreshed_by_bucket(spark, tmp_path):
-    folder, target = tmp_path / "in", str(tmp_path / "t")
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+@pytest.mark.parametrize("logged", [False, True])
+def test_stored_versions_grow_by_what_changes(spark, tmp_path, logged):
+    names, folder, target = [c.split()[0] for c in SCHEMA.split(", ")], tmp_path / "in", str(tmp_path / "t")
     options = {"apply_as_deletes": DELETE, "except_columns": ["op", "seq"], "tie_breaker": "name"}
     seen = []
 
@@ -344,31 +427,45 @@ def test_stored_history_is_refreshed_by_bucket(spark, tmp_path):
         seen.extend(feed)
         write_lines(folder, f"{n}.json", [dict(zip(names, c)) for c in feed])
         stream = files.stream_files(spark, str(folder), "json", SCHEMA)
-        sinks.drain(changes.start_scd2(stream, target, str(tmp_path / "cp"), "id", buckets=4))
-        assert changes.refresh_scd2(spark, target, "id", "seq", **options) == n
-        assert changes.refresh_scd2(spark, target, "id", "seq", **options) == n
+        cp = str(tmp_path / "cp")
+        if logged:
+            sinks.drain(changes.start_scd2(stream, target, cp, "id", buckets=4))
+            assert changes.refresh_scd2(spark, target, "id", "seq", **options) == n
+            assert changes.refresh_scd2(spark, target, "id", "seq", **options) == n
+        else:
+            sinks.drain(changes.start_scd2_stored(stream, target, cp, "id", "seq", **options, buckets=4))
         stored = changes.read_versions(spark, target)
         derived = apply_changes_scd2(spark.createDataFrame(seen, SCHEMA), "id", "seq", **options)
         assert rows(stored, *derived.columns) == rows(derived)
-        return {r["__bucket"]: r["__upto"] for r in spark.read.parquet(f"{target}/versions").collect()}
+        return rows(sinks.read_batches(spark, f"{target}/versions").filter(F.col("batch_id") == n), "id", "seq")
 
     feed = feed_of(40)
-    assert set(arrive(0, feed[::2]).values()) == {0}
-    assert set(arrive(1, feed[1::2]).values()) == {1}
-    # one key only: the other buckets keep their folders
-    assert sorted(set(arrive(2, [(3, "UPDATE", 5000, "n", "p")]).values())) == [1, 2]
-
-
-def test_bucket_whose_versions_all_vanish(spark, tmp_path):
+    assert len(arrive(0, feed[::2])) == len(feed[::2])
+    assert len(feed[1::2]) <= len(arrive(1, feed[1::2])) < len(feed)
+    # one key only: its new entry, and the one whose end moves
+    newest = max(c[2] for c in feed if c[0] == 3)
+    assert arrive(2, [(3, "UPDATE", 5000, "n", "p")]) == [(3, newest), (3, 5000)]
+    assert changes.fold_versions(spark, target) == 2
+    # late: splits one version; known already: nothing; a greater tie breaker: one entry
+    assert arrive(3, [(3, "UPDATE", 4000, "l", "p")]) == [(3, newest), (3, 4000)]
+    assert arrive(4, [(3, "UPDATE", 4000, "l", "p"), (3, "UPDATE", 4000, "k", "p")]) == []
+    assert arrive(5, [(3, "DELETE", 4000, "z", "p"), (9, "APPEND", 1, None, "q")]) == [(3, 4000), (9, 1)]
+    with pytest.raises(ValueError, match="was begun with"):
+        changes.refresh_scd2(spark, target, "id", "name", **options)
+
+
+def test_a_cut_short_batch_is_not_read(spark, tmp_path):
     target = str(tmp_path / "t")
-    columns = SCHEMA + ", __bucket int"
-    options = {"apply_as_deletes": DELETE, "tie_breaker": "name"}
-    sinks.write_batch(spark.createDataFrame([(1, "UPDATE", 1, "a", "p", 0), (2, "UPDATE", 1, "a", "p", 1)], columns), f"{target}/changes", 0, ["__bucket"])
-    changes.refresh_scd2(spark, target, "id", "seq", **options)
+    feed = spark.createDataFrame([(1, "UPDATE", 1, "a", "p"), (2, "UPDATE", 1, "a", "p")], SCHEMA)
+    sinks.write_batch(feed.withColumn("__bucket", F.col("id") % 2), f"{target}/changes", 0, ["__bucket"])
+    changes.refresh_scd2(spark, target, "id", "seq", DELETE, tie_breaker="name")
+    half = f"{target}/versions/batch_id=1/__bucket=0"
+    shutil.copytree(glob.glob(f"{target}/versions/batch_id=0/__bucket=*")[0], half)
     assert changes.read_versions(spark, target).count() == 2
-    # a delete at the same sequence wins the tie
-    sinks.write_batch(spark.createDataFrame([(1, "DELETE", 1, "z", "p", 0)], columns), f"{target}/changes", 1, ["__bucket"])
-    changes.refresh_scd2(spark, target, "id", "seq", **options)
+    # a delete at the same sequence wins the tie, and all versions of its bucket are gone
+    late = spark.createDataFrame([(1, "DELETE", 1, "z", "p", 1)], SCHEMA + ", __bucket int")
+    sinks.write_batch(late, f"{target}/changes", 1, ["__bucket"])
+    changes.refresh_scd2(spark, target, "id", "seq", DELETE, tie_breaker="name")
     assert rows(changes.read_versions(spark, target), "id") == [(2,)]
 
 
@@ -422,6 +519,50 @@ def test_cluster_settings_are_known_to_spark(spark):
         spark.conf.get(name)
 
 
+def test_csv_headers_of_compressed_encoded_and_quoted_files(spark, tmp_path):
+    folder = tmp_path / "csv"
+    os.makedirs(folder)
+    (folder / "a.csv.gz").write_bytes(gzip.compress(b"x,y\n1,2\n3,4\n"))
+    (folder / "b.csv.bz2").write_bytes(bz2.compress(b"y,x\n20,10\n"))
+    (folder / "c d%20e.csv").write_text('"extra\nover, lines",x,y\nlost,100,200\nand,300,400\n')
+    (folder / "empty.csv").write_text("")
+    (folder / "only header.csv").write_text("y,x\n")
+    for rescue in ("fields", None):
+        found = files.read_files(spark, str(folder), "csv", "x int, y int", rescue=rescue)
+        assert rows(found, "x", "y") == [(1, 2), (3, 4), (10, 20), (100, 200), (300, 400)]
+    lost = files.read_files(spark, str(folder), "csv", "x int, y int", rescue="fields").where("x >= 100")
+    assert [json.loads(r[0]) for r in rows(lost, "_rescued_data")] == [{"extra\nover, lines": v} for v in ("and", "lost")]
+    inferred = files.infer_schema(spark, str(folder), "csv")
+    assert {f.name: f.dataType for f in inferred.fields} == {
+        "x": T.IntegerType(), "y": T.IntegerType(), "extra\nover, lines": T.StringType(),
+    }
+    target, state = str(tmp_path / "raw"), str(tmp_path / "state")
+    sinks.drain(ingest.ingest_folder(spark, str(folder), "csv", target, state, schema=T.StructType.fromDDL("x int, y int")))
+    assert rows(spark.read.parquet(target), "x", "y") == [(1, 2), (3, 4), (10, 20), (100, 200), (300, 400)]
+
+
+def test_csv_headers_in_another_encoding(spark, tmp_path):
+    folder = tmp_path / "wide"
+    os.makedirs(folder)
+    (folder / "a.csv").write_bytes("größe;y\n1;2\n".encode("iso-8859-1"))
+    (folder / "b.csv").write_bytes("y;größe\n4;3\n".encode("iso-8859-1"))
+    options = {"encoding": "iso-8859-1", "sep": ";"}
+    found = files.read_files(spark, str(folder), "csv", "`größe` int, y int", rescue="fields", options=options)
+    assert rows(found) == [(1, 2, None), (3, 4, None)]
+
+
+def test_headers_of_many_files_are_read_by_tasks(spark, tmp_path):
+    folder = tmp_path / "many"
+    os.makedirs(folder)
+    paths = []
+    for i in range(300):
+        paths.append(str(folder / f"{i}.csv"))
+        (folder / f"{i}.csv").write_text(("x,y" if i % 3 else "y,x") + "\n1,2" * (i % 2) + "\n")
+    groups = files.csv_headers(spark, paths)
+    assert {names: len(found) for names, found in groups.items()} == {("x", "y"): 200, ("y", "x"): 100}
+    assert files.csv_headers(spark, []) == {}
+
+
 def test_csv_is_bound_by_header(spark, tmp_path):
     folder = tmp_path / "csv"
     write_lines(folder, "a.csv", ["x,y", "1,one"])

@@ -16,7 +16,7 @@ from lakepipe.operators.aggregates import (
     sensor_columns,
 )
 from lakepipe.operators.joins import enrich, interval_join, zip_join
-from lakepipe.operators.ranges import order_number, range_bounds, running_totals, with_neighbours, with_range
+from lakepipe.operators.ranges import HEAD, PART, running_totals, sorted_ranges, with_neighbours
 from lakepipe.operators.relational import castable, drop_columns, hash_sample, merge_shapes, union_many
 from lakepipe.operators.windows import latest_per_key, shuffled, top_rows, with_row_index
 
@@ -93,41 +93,55 @@ def test_running_totals_against_brute_force(spark, descending):
     assert rows(found, "g", "v", "upto") == sorted(expected)
 
 
+def test_running_totals_of_many_groups_with_null_ones(spark):
+    data = [(g, v, 1) for g in (None, *range(40)) for v in range(5)]
+    df = spark.createDataFrame(data, "g int, v int, n int")
+    found = running_totals(df, "v", {"upto": "n"}, within=["g"], ranges=7)
+    assert rows(found) == rows(spark.createDataFrame([(*r, r[1] + 1) for r in data], "g int, v int, n int, upto int"))
+    assert running_totals(df.limit(0), "v", {"upto": "n"}, within=["g"]).collect() == []
+
+
 def test_ranges_are_filled_evenly_and_ordered(spark):
-    df = spark.range(10_000).withColumn("v", (F.col("id") % 997).cast("double"))
-    bounds = range_bounds(df, F.col("v"), 8, 10_000)
-    sizes = with_range(df, F.col("v"), bounds, "part").groupBy("part").agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    df = spark.range(10_000).withColumn("v", (F.col("id") % 4999).cast("double"))
+    sizes = sorted_ranges(df, ["v"], 8).groupBy(PART).agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.min_by(HEAD, "v").alias("head")
     )
-    found = sorted(sizes.collect(), key=lambda r: r["part"])
+    found = sorted(sizes.collect(), key=lambda r: r[PART])
     assert len(found) == 8 and max(r["n"] for r in found) < 2 * 10_000 / 8
     assert all(a["hi"] < b["lo"] for a, b in zip(found, found[1:]))
+    assert [r["head"] for r in found] == [False] + [True] * 7
 
 
-def test_order_number_keeps_the_order_of_every_type(spark):
+@pytest.mark.parametrize("ranges", [2, 3, 8, 9, 16])
+def test_ranges_of_every_type(spark, ranges):
     stamp = dt.datetime(2024, 1, 1)
     data = [
-        (-1.5, "a", stamp, stamp.date()),
-        (0.0, "ab", stamp + dt.timedelta(microseconds=1), stamp.date() + dt.timedelta(days=1)),
-        (2.0, "b", stamp + dt.timedelta(days=400), stamp.date() + dt.timedelta(days=400)),
-        (3.0, "é", stamp + dt.timedelta(days=4000), stamp.date() + dt.timedelta(days=4000)),
+        (float("nan") if i == 39 else i - 20.5, f"2024 {i:03d}", stamp + dt.timedelta(microseconds=i), i % 2 == 0, i % 5 or None)
+        for i in range(40)
     ]
-    df = spark.createDataFrame(data, "n double, s string, t timestamp, d date").withColumn(
-        "z", F.col("t").cast("timestamp_ntz")
+    df = spark.createDataFrame(data, "n double, s string, t timestamp, b boolean, k int").withColumns(
+        {"z": F.col("t").cast("timestamp_ntz"), "d": F.col("t").cast("date"), "x": F.col("s").cast("binary")}
     )
-    for column in ("n", "s", "t", "d", "z"):
-        numbers = [r[0] for r in df.orderBy("n").select(order_number(df, column)).collect()]
-        assert numbers == sorted(numbers) and len(set(numbers)) == 4
-    with pytest.raises(TypeError):
-        order_number(spark.createDataFrame([(True,)], "b boolean"), "b")
-
-
-def test_neighbours_across_ranges_with_nulls(spark):
-    data = [("k", v) for v in (None, 1, 2, 5, 9, 9, 12)] + [("m", 3)]
-    df = spark.createDataFrame(data, "k string, v int").withColumn("t", F.monotonically_increasing_id())
-    plain = with_neighbours(df, ["k"], ["v", "t"], lead={"nxt": "v"}, lag={"prv": "v"})
-    cut = with_neighbours(df, ["k"], ["v", "t"], lead={"nxt": "v"}, lag={"prv": "v"}, bounds=[2.0, 6.0, 9.0])
-    assert rows(cut) == rows(plain)
+    for columns in (["n"], ["s"], ["t"], ["z"], ["d"], ["b"], ["x"], ["k", "s"]):
+        parted = sorted_ranges(df, columns, ranges).orderBy(*columns).select(PART, HEAD, *columns).collect()
+        numbers = [r[0] for r in parted]
+        assert numbers == sorted(numbers) and max(numbers) < ranges
+        # one value never stands in two ranges, and the first rows of a range are marked
+        values = [tuple(map(str, r[2:])) for r in parted]
+        assert len(set(zip(numbers, values))) == len(set(values))
+        first_of = {}
+        for n, v in zip(numbers, values):
+            first_of.setdefault(n, v)
+        assert [bool(r[1]) for r in parted] == [n > 0 and first_of[n] == v for n, v in zip(numbers, values)]
+
+
+@pytest.mark.parametrize("ranges", [2, 5, 50])
+def test_neighbours_across_ranges_with_nulls(spark, ranges):
+    data = [(k, v) for k in ("k", None, "m") for v in (None, 1, 2, 5, 9, 9, 12)] + [("n", 3), ("o", None)]
+    df = spark.createDataFrame([(*r, i, -i) for i, r in enumerate(data)], "k string, v int, t int, w int")
+    for sides in ({"lead": {"nxt": "v", "wn": "w"}}, {"lag": {"prv": "v"}}, {"lead": {"nxt": "w"}, "lag": {"prv": "v"}}):
+        plain = with_neighbours(df, ["k"], ["v", "t"], **sides)
+        assert rows(with_neighbours(df, ["k"], ["v", "t"], **sides, ranges=ranges)) == rows(plain)
 
 
 def test_latest_per_key_and_all_null_order(spark):
