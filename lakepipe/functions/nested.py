@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,30 +46,38 @@ def infer_json_type(df: DataFrame, column: str | Column) -> str | None:
     return None if found in (None, "VOID", "VARIANT") else _readable(found)
 
 
-def one_document(text: Column) -> Column:
-    """The text if it is one JSON document, else null.
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is worked out once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def document_of(text: Column) -> Column:
+    """The text as a variant if it is one JSON document, else null; parsed once.
 
-    Inside an array it must be the only item, inside an object the only member: so neither ``1, 2`` nor ``1, "b": 2``
-    passes, nor text that closes the wrapping itself.
+    It is read as the only item of a list, followed by a hash of the text. Neither ``1, 2`` nor ``1, "b": 2`` passes, nor
+    text that closes the list itself: it would have to hold its own hash.
     """
-    item = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"))
-    member = F.size(F.from_json(wrap_json(text), "map<string,string>"))
-    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-    return F.when(parsed & (item == 1) & (member == 1), text)
-
-
-def _wrapped_types(df: DataFrame, texts: Sequence[Column]) -> list[str]:
-    """Types of the wrapped documents of several text columns, from one pass over the rows."""
-    found = df.agg(
-        *[
-            F.schema_of_variant_agg(F.try_parse_json(wrap_json(text))).alias(f"k{i}")
-            for i, text in enumerate(texts)
-        ]
-    ).first()
-    return [
-        _readable(kind) if kind and kind.startswith("OBJECT") else "STRUCT<`data`: STRING>"
-        for kind in found
-    ]
+    mark = F.xxhash64(text)
+    listed = F.try_parse_json(F.concat(F.lit("[["), text, F.lit("],"), mark.cast("string"), F.lit("]")))
+
+    def only_item(found: Column) -> Column:
+        closed = F.coalesce(F.try_variant_get(found, "$[1]", "bigint") == mark, F.lit(False))
+        alone = F.try_variant_get(found, "$[0][1]", "variant").isNull()
+        return F.when(closed & alone, F.try_variant_get(found, "$[0][0]", "variant"))
+
+    return _once(listed, only_item)
+
+
+def one_document(text: Column) -> Column:
+    """The text if it is one JSON document, else null."""
+    return F.when(document_of(text).isNotNull(), text)
+
+
+def _wrapped_types(df: DataFrame, documents: Sequence[Column]) -> list[str]:
+    """Types of wrapped documents (variants), from one pass over the rows."""
+    found = df.agg(*[F.schema_of_variant_agg(d).alias(f"k{i}") for i, d in enumerate(documents)]).first()
+    kinds = [_readable(kind) if kind not in (None, "VOID") else "STRING" for kind in found]
+    return [f"STRUCT<`data`: {kind}>" for kind in kinds]
 
 
 def _unwrapped(text: Column, wrapped_type: str) -> Column:
@@ -86,7 +94,7 @@ def parse_json_columns(df: DataFrame, *columns: str) -> DataFrame:
     if not columns:
         return df
     texts = [one_document(F.col(c)) for c in columns]
-    types = _wrapped_types(df, texts)
+    types = _wrapped_types(df, [document_of(F.col(c)) for c in columns])
     return df.withColumns({c: _unwrapped(x, t) for c, x, t in zip(columns, texts, types)})
 
 
@@ -140,11 +148,10 @@ def parse_two_levels(df: DataFrame, outer: str, inner: str) -> DataFrame:
 
     Both types come from the same pass: the inner text is read out of the parsed document.
     """
-    document = F.try_parse_json(F.col(outer))
+    document = document_of(F.col(outer))
     inner_text = F.try_variant_get(document, f'$["{inner}"]', "string")
-    outer_text = one_document(F.col(outer))
-    outer_type, inner_type = _wrapped_types(df, [outer_text, one_document(inner_text)])
-    first = expand(df.withColumn(outer, _unwrapped(outer_text, outer_type)), outer)
+    outer_type, inner_type = _wrapped_types(df, [document, document_of(inner_text)])
+    first = expand(df.withColumn(outer, _unwrapped(one_document(F.col(outer)), outer_type)), outer)
     return expand(first.withColumn(inner, _unwrapped(one_document(F.col(inner)), inner_type)), inner)
 
 

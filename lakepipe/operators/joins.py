@@ -39,6 +39,10 @@ def enrich(
     )
 
 
+#: Bins of an interval that are made at a time.
+BINS_PER_BLOCK = 4096
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -75,7 +79,11 @@ def interval_join(
         # dividing whole numbers keeps the order, for negative numbers too
         return F.expr(f"CAST(`{value}` AS BIGINT) DIV {width}")
 
-    binned = real.withColumn("__right_bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    # two steps, so that no row holds more than a block of bins, or a list of blocks, of a very long interval
+    blocks = F.sequence(bin_of(start), bin_of(end), F.lit(BINS_PER_BLOCK).cast("bigint"))
+    blocked = real.withColumn("__block", F.explode(blocks))
+    last = F.least(F.col("__block") + (BINS_PER_BLOCK - 1), bin_of(end))
+    binned = blocked.withColumn("__right_bin", F.explode(F.sequence(F.col("__block"), last))).drop("__block")
     looked = points.withColumn("__bin", bin_of(at))
     return looked.join(binned, [*same_key, F.col("__bin") == F.col("__right_bin"), inside]).select(*output)
 

@@ -157,7 +157,11 @@ _CYCLES_SQL = ", ".join(
         _circle_sql("day", "hour(ts) / 24.0::DOUBLE"),
         _circle_sql("week", "((isodow(ts) - 1) * 24 + hour(ts)) / 168.0::DOUBLE"),
         _circle_sql("month", "((day(ts) - 1) * 24 + hour(ts)) / (day(last_day(ts)) * 24.0::DOUBLE)"),
-        _circle_sql("year", "((dayofyear(ts) - 1) * 24 + hour(ts)) / (366 * 24.0::DOUBLE)"),
+        _circle_sql(
+            "year",
+            "((dayofyear(ts) - 1) * 24 + hour(ts)) / (24.0::DOUBLE * "
+            "date_diff('day', date_trunc('year', ts), date_trunc('year', ts) + INTERVAL 1 YEAR))",
+        ),
     ]
 )
 

@@ -15,6 +15,7 @@ from lakepipe.operators.aggregates import (
     named_aggregates,
     sensor_columns,
 )
+from lakepipe.operators import joins
 from lakepipe.operators.joins import enrich, interval_join, zip_join
 from lakepipe.operators.ranges import HEAD, PART, running_totals, sorted_ranges, with_neighbours
 from lakepipe.operators.relational import castable, drop_columns, hash_sample, merge_shapes, union_many
@@ -72,6 +73,18 @@ def test_row_index_is_gap_free_and_ordered(spark):
     assert rows(with_row_index(df, ["v"]), "v", "row_index") == [(v, v) for v in range(500)]
 
 
+def test_one_interval_over_the_whole_line_among_short_ones(spark):
+    n = 1_000_000
+    short = spark.range(0, n, 10).select(F.lit("k").alias("k"), (F.col("id") - 1).alias("a"), (F.col("id") + 1).alias("b"), F.lit("s").alias("w"))
+    wide = spark.createDataFrame([("k", -10, n + 10, "w"), ("k", 4096, 8192, "m")], "k string, a long, b long, w string")
+    points = spark.range(0, n, 1000).select(F.lit("k").alias("k"), F.col("id").alias("t"))
+    found = interval_join(points, short.unionByName(wide), ["k"], "t", "a", "b")
+    longest = joins.BINS_PER_BLOCK
+    assert rows(found.groupBy("w").count()) == [("m", 4), ("s", 1000), ("w", 1000)]
+    blocks = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("explode(") if "sequence" in x]
+    assert len(blocks) >= 2 and longest == 4096
+
+
 def test_zip_join_pairs_by_position_and_drops_the_rest(spark):
     left = spark.createDataFrame([(i,) for i in (30, 10, 20)], "a int").repartition(3)
     right = spark.createDataFrame([("x",), ("z",), ("y",), ("w",)], "b string").repartition(2)
@@ -112,7 +125,7 @@ def test_ranges_are_filled_evenly_and_ordered(spark):
     assert [r["head"] for r in found] == [False] + [True] * 7
 
 
-@pytest.mark.parametrize("ranges", [2, 3, 8, 9, 16])
+@pytest.mark.parametrize("ranges", [2, 9])
 def test_ranges_of_every_type(spark, ranges):
     stamp = dt.datetime(2024, 1, 1)
     data = [
@@ -135,7 +148,7 @@ def test_ranges_of_every_type(spark, ranges):
         assert [bool(r[1]) for r in parted] == [n > 0 and first_of[n] == v for n, v in zip(numbers, values)]
 
 
-@pytest.mark.parametrize("ranges", [2, 5, 50])
+@pytest.mark.parametrize("ranges", [2, 50])
 def test_neighbours_across_ranges_with_nulls(spark, ranges):
     data = [(k, v) for k in ("k", None, "m") for v in (None, 1, 2, 5, 9, 9, 12)] + [("n", 3), ("o", None)]
     df = spark.createDataFrame([(*r, i, -i) for i, r in enumerate(data)], "k string, v int, t int, w int")
