@@ -1,13 +1,13 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 The text is cut into words at places no piece crosses, so the best segmentation of a text is that of its words. The
-distinct words of a chunk of documents are exploded into their substrings of bounded length and equi-joined to the piece
-table; the edges that are left are grouped by word, and a Viterbi pass over them is folded with Spark's ``aggregate``.
+distinct words of the whole table are exploded into their substrings of bounded length and equi-joined to the piece
+table; the edges that are left are grouped by word, and a Viterbi pass over them is folded with Spark's ``aggregate``: once
+for each word, however many documents hold it. Documents travel in compressed chunks; each chunk asks for the ids of its
+distinct words, and is put together where they arrive.
 Words of over ``LATTICE_CHARS`` characters (text without spaces, rules of dashes) are not cut: the same pass runs over
 them where the documents are put together, in time and memory that grow with their length only.
 The score of a segmentation is the sum of its pieces' scores. A character without a piece becomes its bytes.
-
-Documents are shuffled once, by chunk; all later steps keep that partitioning.
 """
 
 from __future__ import annotations
@@ -20,21 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import keyed
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Score of a character that is spelt in bytes: below any piece's.
 SPELT = -1e10
 #: Largest piece table that is sent to every executor.
 MAX_PIECES = 1_000_000
-#: Characters of a chunk: one task's share. The edges of its distinct words are sorted in that task's memory, some 50 bytes
-#: for each character; with more memory for a task larger chunks repeat fewer words.
-CHUNK_CHARS = 2_000_000
+#: Bytes of a chunk of documents, put together in one go; its distinct words, some 15 bytes for each 100 of text, are held in
+#: memory then. Larger chunks ask for fewer words in all. A longer document is a chunk of its own.
+CHUNK_BYTES = 16_000_000
 #: Longest word whose edges become rows. It decides where a word is segmented, never how.
 LATTICE_CHARS = 64
 
@@ -149,14 +149,14 @@ def _best_path(edges: Column) -> Column:
     return F.transform(F.array(path), back)[0]
 
 
-def segment(words: DataFrame, vocabulary: Vocabulary, by: list[str]) -> DataFrame:
-    """(by, word, ids) of distinct non-empty words; a negative id -c - 1 stands for the bytes of the code point c.
+def segment(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, ids) of distinct non-empty words; a negative id -c - 1 stands for the bytes of the code point c.
 
-    Columns ``by`` go first in all groupings: where ``words`` is partitioned by them, nothing is shuffled.
+    Where ``words`` is partitioned by word, nothing is shuffled.
     """
     table = F.broadcast(piece_table(words.sparkSession, vocabulary))
-    cut = words.select(*by, "word", F.explode(_substrings(F.col("word"), vocabulary.longest)).alias("s"))
-    cut = cut.select(*by, "word", "s.start", "s.stop", F.col("s.piece").alias("_piece"))
+    cut = words.select("word", F.explode(_substrings(F.col("word"), vocabulary.longest)).alias("s"))
+    cut = cut.select("word", "s.start", "s.stop", F.col("s.piece").alias("_piece"))
     met = cut.join(table, F.col("_piece") == F.col("piece"), "left").where("id IS NOT NULL OR stop = start + 1")
     edge = F.struct(
         "stop",
@@ -164,8 +164,8 @@ def segment(words: DataFrame, vocabulary: Vocabulary, by: list[str]) -> DataFram
         F.coalesce("score", F.lit(SPELT)).alias("score"),
         F.coalesce("id", -F.ascii("_piece") - 1).alias("id"),
     )
-    edges = met.groupBy(*by, "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    return edges.select(*by, "word", _best_path(F.col("edges")).alias("ids"))
+    edges = met.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return edges.select("word", _best_path(F.col("edges")).alias("ids"))
 
 
 def segment_long(word: str, table: dict[str, tuple[int, float]], longest: int) -> list[int]:
@@ -192,62 +192,137 @@ def segment_long(word: str, table: dict[str, tuple[int, float]], longest: int) -
     return path[::-1]
 
 
+def _packed(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, block): rows of about ``chunk_bytes`` of text together, as compressed Arrow data."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        size = number = 0
+
+        def block() -> pa.RecordBatch:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(pa.Table.from_batches(held).combine_chunks())
+            columns = [pa.array([task << 32 | number], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "block"])
+
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                before = int(sizes[at - 1]) if at else 0
+                # rows that still fit, and one at least
+                stop = int(np.searchsorted(sizes, before + chunk_bytes - size, "right"))
+                stop = max(stop, at + 1 if not size else at)
+                if stop > at:
+                    held.append(batch.slice(at, stop - at))
+                    size += int(sizes[stop - 1]) - before
+                    at = stop
+                if at < batch.num_rows:
+                    yield block()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield block()
+
+    return rows.mapInArrow(pack, "chunk long, block binary")
+
+
+def _unpacked(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
 def encode(
     docs: DataFrame,
     vocabulary: Vocabulary | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_chars: int = CHUNK_CHARS,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """One row per input row: id, ids, n_pieces, round_trip (the ids decode to the very text).
 
     A space is put before the text, as the model does. Null and empty text have no pieces. A literal U+2581 is spelt in
-    bytes, so that it comes back. Repeated rows are encoded each for itself.
+    bytes, so that it comes back. Repeated rows and rows with null ids are encoded each for itself.
     """
     vocabulary = vocabulary or load_vocabulary()
-    rows = keyed(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    chars = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
-    chunks = max(1, math.ceil(chars / chunk_chars))
-    dealt = rows.select(F.pmod(F.xxhash64("_id", "_h"), F.lit(chunks)).alias("chunk"), "_id", "_h", "_text")
-    dealt = dealt.repartition(chunks, "chunk")
-
-    text = F.concat(F.lit(" "), F.col("_text"))
-    # the hash makes this branch read all columns, so that both branches share one shuffle
-    given = (F.col("_text") != "") & (F.xxhash64("_id", "_h") >= F.lit(-(2**63)))
-    found = F.regexp_extract_all(F.when(given, text), F.lit(f"({vocabulary.java_pattern})"), F.lit(1))
-    short = F.filter(F.array_distinct(found), lambda word: F.length(word) <= LATTICE_CHARS)
-    words = dealt.select("chunk", F.explode(short).alias("word")).distinct()
-    known = segment(words, vocabulary, ["chunk"]).withColumnRenamed("chunk", "part")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.make_valid_utf8(F.col(f"`{text_col}`").cast("string")).alias("_text"))
+    size = docs.select(F.octet_length(F.col(f"`{text_col}`").cast("string")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, 2 * math.ceil(size / chunk_bytes))
+    dealt = _packed(rows, chunk_bytes).repartition(tasks, "chunk")
     pattern, spelt, texts = vocabulary.pattern, vocabulary.spelt, piece_bytes(vocabulary)
     scored, longest = vocabulary.pieces, vocabulary.longest
 
+    def words_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        for batch in batches:
+            for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found: set[str] = set()
+                for text in _unpacked(block.as_py()).column("_text").to_pylist():
+                    if text:
+                        found.update(find(f" {text}"))
+                words = [w for w in found if len(w) <= LATTICE_CHARS]
+                for at in range(0, len(words), 100_000):
+                    part = pa.array(words[at : at + 100_000], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk, pa.int64()), len(part)), part], names=["part", "word"])
+
+    asked = dealt.mapInArrow(words_of_block, "part long, word string")
+    known = asked.join(segment(asked.select("word").distinct(), vocabulary), "word").select("part", "word", "ids")
+
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        cut = re.compile(pattern)
-
-        def spell(ids: list[int]) -> list[int]:
-            return [x for i in ids for x in ([i] if i >= 0 else [spelt[b] for b in chr(-i - 1).encode("utf-8")])]
-
-        table = {
-            word: spell(ids)
-            for word, ids in zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True)
-        }
-        lattice: dict[str, tuple[int, float]] = {}  # made when the first long word comes
-        flat, ends, same = array.array("i"), [0], []
-        for value in left.column("_text"):
-            body = value.as_py() or ""
-            ids: list[int] = []
-            if body:
-                for word in cut.findall(f" {body}"):
-                    if len(word) > LATTICE_CHARS and word not in table:
-                        lattice = lattice or {text: (i, score) for text, i, score in scored}
-                        table[word] = spell(segment_long(word, lattice, longest))
-                    ids += table[word]
-            flat.extend(ids)
-            ends.append(len(flat))
-            same.append(decode_ids(ids, texts) == body)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
-        return pa.table({"_id": left.column("_id"), "ids": lists, "round_trip": pa.array(same, pa.bool_())})
+        find = re.compile(pattern).findall
+        flat = right.column("ids").combine_chunks()
+        starts, ids = flat.offsets.to_numpy().astype(np.int64), flat.values.to_numpy().astype(np.int64)
+        index = {word: i for i, word in enumerate(right.column("word").to_pylist())}
+        later: list[list[int]] = []  # words that the lattice did not see: long ones
+        lattice: dict[str, tuple[int, float]] = {}
+
+        def number(word: str) -> int:
+            i = index.get(word)
+            if i is None:
+                if not lattice:
+                    lattice.update({text: (i, score) for text, i, score in scored})
+                i = index[word] = len(starts) - 1 + len(later)
+                later.append(segment_long(word, lattice, longest))
+            return i
+
+        tables = [_unpacked(block.as_py()) for block in left.column("block")]
+        places, sizes, bodies, owners = [], [], [], []
+        for table in tables:
+            owners.append(table.column("_id"))
+            for text in table.column("_text").to_pylist():
+                words = find(f" {text}") if text else []
+                places.append(np.fromiter(map(number, words), np.int64, len(words)))
+                sizes.append(len(words))
+                bodies.append(sum(map(len, words)) - 1 == len(text or "") if words else not text)
+        if later:
+            starts = np.concatenate((starts, starts[-1] + np.cumsum([len(x) for x in later])))
+            ids = np.concatenate((ids, np.fromiter((i for x in later for i in x), np.int64)))
+        # characters without a piece become their bytes
+        lengths = np.ones(len(ids), np.int64)
+        for at in np.flatnonzero(ids < 0):
+            lengths[at] = len(chr(-ids[at] - 1).encode("utf-8"))
+        spelled = np.repeat(ids, lengths)
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        for at in np.flatnonzero(ids < 0):
+            spelled[ends[at] : ends[at + 1]] = [spelt[b] for b in chr(-ids[at] - 1).encode("utf-8")]
+        starts = ends[starts]
+        # the ids of a word give back that word: then those of a text give back the text
+        true = np.ones(len(starts) - 1, bool)
+        for word, i in index.items():
+            true[i] = b"".join([texts[x] for x in spelled[starts[i] : starts[i + 1]].tolist()]) == word.encode("utf-8")
+        lists, offsets, same = [], [0], []
+        for words, whole in zip(places, bodies):
+            span = starts[words + 1] - starts[words]
+            total = int(span.sum())
+            step = np.repeat(starts[words] - np.concatenate(([0], np.cumsum(span)[:-1])) if len(words) else span, span)
+            lists.append(spelled[step + np.arange(total)])
+            offsets.append(offsets[-1] + total)
+            same.append(bool(whole and true[words].all()))
+        values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        encoded = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32)))
+        owner = pa.chunked_array([c for o in owners for c in o.chunks], owners[0].type)
+        return pa.table({"_id": owner, "ids": encoded, "round_trip": pa.array(same, pa.bool_())})
 
     schema = f"_id {kind}, ids array<int>, round_trip boolean"
     encoded = dealt.groupBy("chunk").cogroup(known.groupBy("part")).applyInArrow(put_together, schema)

@@ -287,7 +287,7 @@ def test_pieces_by_brute_force_and_round_trip(make, spark, sf_dir):
     texts |= {1000 + r.doc_id: r.text for r in few.collect()}
     vocabulary = pieces.load_vocabulary()
     table = {p: (i, s) for p, i, s in vocabulary.pieces}
-    encoded = pieces.encode(make(texts), vocabulary, chunk_chars=2000).cache()
+    encoded = pieces.encode(make(texts), vocabulary, chunk_bytes=2000).cache()
     found = {r.doc_id: r for r in encoded.collect()}
     assert len(found) == len(texts) and all(r.round_trip for r in found.values())
     assert {i: list(r.ids) for i, r in found.items()} == {i: best_path(t, vocabulary, table) for i, t in texts.items()}
