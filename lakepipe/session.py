@@ -79,9 +79,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: With this setting a command deletes its shuffle files as soon as it has ended, on the executors too.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_cleanly(df: DataFrame, path: str) -> None:
+    """Write a table; the shuffle files of the job go with its end, as what comes after reads the table."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_SHUFFLES, None)
+    conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEAN_SHUFFLES)
+        else:
+            conf.set(CLEAN_SHUFFLES, before)
+
+
 def written(df: DataFrame, label: str = "cut") -> DataFrame:
     """The rows, written as a table of the shared folder and read back; the table goes when the session ends."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    write_cleanly(df, path)
     return spark.read.schema(df.schema).parquet(path)
