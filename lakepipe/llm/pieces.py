@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Vocabulary file, by its name among the installed ones.
+MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Score of a character that is spelt in bytes: below any piece's.
 SPELT = -1e10
@@ -38,6 +39,9 @@ CHUNK_BYTES = 16_000_000
 #: Longest word whose edges become rows. It decides where a word is segmented, never how.
 LATTICE_CHARS = 64
 
+#: Bytes of text for each task of the lattice: the edges of its words, some 15 for each, are sorted in memory.
+TEXT_PER_LATTICE = 2_000_000
+
 #: Letters, roughly: nothing of ASCII or of the general punctuation block but A-Z and a-z.
 _WORDY = "A-Za-z\u00c0-\u1fff\u2070-\U0010ffff"
 _JAVA_WORDY = r"A-Za-z\x{C0}-\x{1FFF}\x{2070}-\x{10FFFF}"
@@ -65,7 +69,12 @@ class Vocabulary:
         return max(len(p) for p, _, _ in self.pieces)
 
 
-def load_vocabulary(path: str = MODEL) -> Vocabulary:
+def load_vocabulary(path: str | None = None) -> Vocabulary:
+    """The vocabulary of a model file; without a path the installed one of the name ``MODEL``."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(MODEL)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces, spelt = [], {}
     for i in range(model.get_piece_size()):
@@ -266,8 +275,11 @@ def encode(
                     part = pa.array(words[at : at + 100_000], pa.string())
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk, pa.int64()), len(part)), part], names=["part", "word"])
 
+    # one shuffle for both: the words asked for, and the distinct ones; the test of ``some`` makes the second read all of it
     asked = dealt.mapInArrow(words_of_block, "part long, word string")
-    known = asked.join(segment(asked.select("word").distinct(), vocabulary), "word").select("part", "word", "ids")
+    asked = asked.repartition(max(1, math.ceil(size / TEXT_PER_LATTICE)), "word")
+    words = asked.groupBy("word").agg(F.min("part").alias("some")).where("some IS NOT NULL")
+    known = asked.join(segment(words, vocabulary), "word").select("part", "word", "ids")
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         find = re.compile(pattern).findall
