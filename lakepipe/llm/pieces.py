@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,21 +100,28 @@ def load_vocabulary(path: str | None = None) -> Vocabulary:
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    return spark.createDataFrame(list(vocabulary.pieces), "piece string, id int, score double")
-
-
-def _substrings(word: Column, longest: int) -> Column:
-    size = F.length(word)
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), size - 1),
-            lambda start: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), size - start)),
-                lambda n: F.struct(
-                    start.alias("start"), (start + n).alias("stop"), word.substr(start + 1, n).alias("piece")
-                ),
-            ),
-        )
+    """(at, piece, id, score): the pieces with a 64-bit hash, no two of which are equal."""
+    hashes = [signed_hash(text) for text, _, _ in vocabulary.pieces]
+    if len(set(hashes)) < len({text for text, _, _ in vocabulary.pieces}):
+        raise ValueError("two pieces have one hash")
+    rows = [(h, *piece) for h, piece in zip(hashes, vocabulary.pieces, strict=True)]
+    return spark.createDataFrame(rows, "at long, piece string, id int, score double")
+
+
+def signed_hash(text: str) -> int:
+    """Spark's ``xxhash64`` of a string."""
+    value = xxhash.xxh64_intdigest(text.encode("utf-8"), seed=42)
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def _substrings(words: DataFrame, longest: int) -> DataFrame:
+    """(word, start, stop, _piece): the substrings of each word of up to ``longest`` characters."""
+    size = F.length("word")
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    reach = F.least(F.lit(longest), size - F.col("start"))
+    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
+    return spans.select(
+        "word", "start", (F.col("start") + F.col("n")).alias("stop"), F.col("word").substr(F.col("start") + 1, F.col("n")).alias("_piece")
     )
 
 
@@ -164,16 +172,17 @@ def segment(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     Where ``words`` is partitioned by word, nothing is shuffled.
     """
     table = F.broadcast(piece_table(words.sparkSession, vocabulary))
-    cut = words.select("word", F.explode(_substrings(F.col("word"), vocabulary.longest)).alias("s"))
-    cut = cut.select("word", "s.start", "s.stop", F.col("s.piece").alias("_piece"))
-    met = cut.join(table, F.col("_piece") == F.col("piece"), "left").where("id IS NOT NULL OR stop = start + 1")
+    cut = _substrings(words, vocabulary.longest)
+    # joined on a number, which is quicker; a substring of the same number that is no piece is told by its text
+    met = cut.withColumn("_at", F.xxhash64("_piece")).join(table, F.col("_at") == F.col("at"), "left")
+    met = met.withColumn("met", F.coalesce(F.col("_piece") == F.col("piece"), F.lit(False))).where("met OR stop = start + 1")
     edge = F.struct(
         "stop",
         "start",
-        F.coalesce("score", F.lit(SPELT)).alias("score"),
-        F.coalesce("id", -F.ascii("_piece") - 1).alias("id"),
+        F.when(F.col("met"), F.col("score")).otherwise(F.lit(SPELT)).alias("score"),
+        F.when(F.col("met"), F.col("id")).otherwise(-F.ascii("_piece") - 1).alias("id"),
     )
-    edges = met.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    edges = met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     return edges.select("word", _best_path(F.col("edges")).alias("ids"))
 
 
@@ -237,6 +246,24 @@ def _packed(rows: DataFrame, chunk_bytes: int) -> DataFrame:
     return rows.mapInArrow(pack, "chunk long, block binary")
 
 
+#: Spaces and what follows them, or spaces alone.
+_SPACED = re.compile(r" *[^ ]+| +")
+
+
+def _units(text: str) -> list[str]:
+    """The text behind one more space, cut before spaces: what stands after a single space is given without it."""
+    if "  " not in text and text[:1] != " " and text[-1:] != " ":
+        return text.split(" ")
+    return [u[1:] if u[1:2] != " " and len(u) > 1 else u for u in _SPACED.findall(f" {text}")]
+
+
+def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``values[starts[0]:ends[0]]``, ``values[starts[1]:ends[1]]``, ... one after the other."""
+    spans = ends - starts
+    before = np.cumsum(spans) - spans
+    return values[np.repeat(starts - before, spans) + np.arange(int(spans.sum()))]
+
+
 def _unpacked(block: bytes) -> pa.Table:
     return pa.ipc.open_stream(block).read_all()
 
@@ -266,10 +293,11 @@ def encode(
         find = re.compile(pattern).findall
         for batch in batches:
             for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found: set[str] = set()
+                units: set[str] = set()
                 for text in _unpacked(block.as_py()).column("_text").to_pylist():
                     if text:
-                        found.update(find(f" {text}"))
+                        units.update(_units(text))
+                found = {w for unit in units for w in find(unit if unit[:1] == " " else f" {unit}")}
                 words = [w for w in found if len(w) <= LATTICE_CHARS]
                 for at in range(0, len(words), 100_000):
                     part = pa.array(words[at : at + 100_000], pa.string())
@@ -298,15 +326,27 @@ def encode(
                 later.append(segment_long(word, lattice, longest))
             return i
 
+        units: dict[str, int] = {}
+        inside: list[list[int]] = []  # words of each unit
+        covered: list[bool] = []
+
+        def numbered(unit: str) -> int:
+            i = units.get(unit)
+            if i is None:
+                i = units[unit] = len(inside)
+                spaced = unit if unit[:1] == " " else f" {unit}"
+                words = find(spaced)
+                inside.append([number(w) for w in words])
+                covered.append("".join(words) == spaced)
+            return i
+
         tables = [_unpacked(block.as_py()) for block in left.column("block")]
-        places, sizes, bodies, owners = [], [], [], []
+        places, owners = [], []
         for table in tables:
             owners.append(table.column("_id"))
             for text in table.column("_text").to_pylist():
-                words = find(f" {text}") if text else []
-                places.append(np.fromiter(map(number, words), np.int64, len(words)))
-                sizes.append(len(words))
-                bodies.append(sum(map(len, words)) - 1 == len(text or "") if words else not text)
+                cut = _units(text) if text else []
+                places.append(np.fromiter(map(numbered, cut), np.int64, len(cut)))
         if later:
             starts = np.concatenate((starts, starts[-1] + np.cumsum([len(x) for x in later])))
             ids = np.concatenate((ids, np.fromiter((i for x in later for i in x), np.int64)))
@@ -323,14 +363,18 @@ def encode(
         true = np.ones(len(starts) - 1, bool)
         for word, i in index.items():
             true[i] = b"".join([texts[x] for x in spelled[starts[i] : starts[i + 1]].tolist()]) == word.encode("utf-8")
+        # from words to the units between blanks
+        sizes = np.array([len(x) for x in inside] or [0], np.int64)
+        words = np.fromiter((i for x in inside for i in x), np.int64, int(sizes.sum()))
+        unit_true = np.array([whole and all(true[i] for i in x) for x, whole in zip(inside, covered)], bool)
+        unit_ids = _ranges(spelled, starts[words], starts[words + 1])
+        ends = np.concatenate(([0], np.cumsum(starts[words + 1] - starts[words])))
+        bounds = ends[np.concatenate(([0], np.cumsum(sizes)))]
         lists, offsets, same = [], [0], []
-        for words, whole in zip(places, bodies):
-            span = starts[words + 1] - starts[words]
-            total = int(span.sum())
-            step = np.repeat(starts[words] - np.concatenate(([0], np.cumsum(span)[:-1])) if len(words) else span, span)
-            lists.append(spelled[step + np.arange(total)])
-            offsets.append(offsets[-1] + total)
-            same.append(bool(whole and true[words].all()))
+        for cut in places:
+            lists.append(_ranges(unit_ids, bounds[cut], bounds[cut + 1]))
+            offsets.append(offsets[-1] + len(lists[-1]))
+            same.append(bool(unit_true[cut].all()))
         values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
         encoded = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32)))
         owner = pa.chunked_array([c for o in owners for c in o.chunks], owners[0].type)
