@@ -15,7 +15,8 @@ from __future__ import annotations
 import array
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
@@ -215,12 +216,13 @@ def _packed(rows: DataFrame, chunk_bytes: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         held: list[pa.RecordBatch] = []
         size = number = 0
 
         def block() -> pa.RecordBatch:
             out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(out, held[0].schema, options=options) as writer:
                 writer.write_table(pa.Table.from_batches(held).combine_chunks())
             columns = [pa.array([task << 32 | number], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["chunk", "block"])
@@ -257,6 +259,13 @@ def _units(text: str) -> list[str]:
     return [u[1:] if u[1:2] != " " and len(u) > 1 else u for u in _SPACED.findall(f" {text}")]
 
 
+def _words_of(unit: str, find: Callable[[str], list[str]]) -> list[str]:
+    """The words of a unit; plain letters behind one space are a word whatever the pattern."""
+    if unit.isascii() and unit.isalpha():
+        return [f" {unit}"]
+    return find(unit if unit[:1] == " " else f" {unit}")
+
+
 def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """``values[starts[0]:ends[0]]``, ``values[starts[1]:ends[1]]``, ... one after the other."""
     spans = ends - starts
@@ -264,6 +273,13 @@ def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return values[np.repeat(starts - before, spans) + np.arange(int(spans.sum()))]
 
 
+def _as_long(parts: list[bytes], spans: np.ndarray, words: Iterable[str]) -> bool:
+    """Whether each word is as many bytes long as its parts together; ``spans`` counts the parts of each."""
+    ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))
+    wanted = np.fromiter((len(w) if w.isascii() else len(w.encode("utf-8")) for w in words), np.int64, len(spans))
+    return bool((np.diff(ends[np.concatenate(([0], np.cumsum(spans)))]) == wanted).all())
+
+
 def _unpacked(block: bytes) -> pa.Table:
     return pa.ipc.open_stream(block).read_all()
 
@@ -289,64 +305,72 @@ def encode(
     pattern, spelt, texts = vocabulary.pattern, vocabulary.spelt, piece_bytes(vocabulary)
     scored, longest = vocabulary.pieces, vocabulary.longest
 
-    def words_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words_of(tables: list[pa.Table]) -> tuple[dict[str, int], list[str]]:
+        """The units of a chunk, numbered, and its words for the lattice, in order."""
+        found: set[str] = set()
+        for table in tables:
+            for text in table.column("_text").to_pylist():
+                if text:
+                    found.update(_units(text))
+        units = dict(zip(found, range(len(found))))
         find = re.compile(pattern).findall
+        return units, sorted({w for unit in units for w in _words_of(unit, find) if len(w) <= LATTICE_CHARS})
+
+    def words_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1)):
-                units: set[str] = set()
-                for text in _unpacked(block.as_py()).column("_text").to_pylist():
-                    if text:
-                        units.update(_units(text))
-                found = {w for unit in units for w in find(unit if unit[:1] == " " else f" {unit}")}
-                words = [w for w in found if len(w) <= LATTICE_CHARS]
+                _, words = words_of([_unpacked(block.as_py())])
                 for at in range(0, len(words), 100_000):
                     part = pa.array(words[at : at + 100_000], pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk, pa.int64()), len(part)), part], names=["part", "word"])
+                    place = pa.array(np.arange(at, at + len(part), dtype=np.int32))
+                    columns = [pa.repeat(pa.scalar(chunk, pa.int64()), len(part)), place, part]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "place", "word"])
 
     # one shuffle for both: the words asked for, and the distinct ones; the test of ``some`` makes the second read all of it
-    asked = dealt.mapInArrow(words_of_block, "part long, word string")
+    asked = dealt.mapInArrow(words_of_block, "part long, place int, word string")
     asked = asked.repartition(max(1, math.ceil(size / TEXT_PER_LATTICE)), "word")
-    words = asked.groupBy("word").agg(F.min("part").alias("some")).where("some IS NOT NULL")
-    known = asked.join(segment(words, vocabulary), "word").select("part", "word", "ids")
+    words = asked.groupBy("word").agg(F.min(F.struct("part", "place")).alias("some")).where("some IS NOT NULL")
+    # a chunk knows its words by their places
+    known = asked.join(segment(words, vocabulary), "word").select("part", "place", "ids")
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         find = re.compile(pattern).findall
+        tables = [_unpacked(block.as_py()) for block in left.column("block")]
+        units, words = words_of(tables)
+        index = dict(zip(words, range(len(words))))
+        right = right.sort_by("place")
         flat = right.column("ids").combine_chunks()
         starts, ids = flat.offsets.to_numpy().astype(np.int64), flat.values.to_numpy().astype(np.int64)
-        index = {word: i for i, word in enumerate(right.column("word").to_pylist())}
         later: list[list[int]] = []  # words that the lattice did not see: long ones
         lattice: dict[str, tuple[int, float]] = {}
 
+        def by_hand(word: str) -> list[int]:
+            if not lattice:
+                lattice.update({text: (i, score) for text, i, score in scored})
+            return segment_long(word, lattice, longest)
+
         def number(word: str) -> int:
             i = index.get(word)
             if i is None:
-                if not lattice:
-                    lattice.update({text: (i, score) for text, i, score in scored})
-                i = index[word] = len(starts) - 1 + len(later)
-                later.append(segment_long(word, lattice, longest))
+                i = index[word] = len(words) + len(later)
+                later.append(by_hand(word))
             return i
 
-        units: dict[str, int] = {}
+        if len(right) != len(words):  # a chunk that was dealt anew in between
+            later, index = [by_hand(word) for word in words], dict(index)
+            starts, ids, words = np.zeros(1, np.int64), np.zeros(0, np.int64), []
         inside: list[list[int]] = []  # words of each unit
         covered: list[bool] = []
-
-        def numbered(unit: str) -> int:
-            i = units.get(unit)
-            if i is None:
-                i = units[unit] = len(inside)
-                spaced = unit if unit[:1] == " " else f" {unit}"
-                words = find(spaced)
-                inside.append([number(w) for w in words])
-                covered.append("".join(words) == spaced)
-            return i
-
-        tables = [_unpacked(block.as_py()) for block in left.column("block")]
+        for unit in units:
+            cut = _words_of(unit, find)
+            inside.append([index[w] if w in index else number(w) for w in cut])
+            covered.append(sum(map(len, cut)) == len(unit) + (unit[:1] != " "))
         places, owners = [], []
         for table in tables:
             owners.append(table.column("_id"))
             for text in table.column("_text").to_pylist():
                 cut = _units(text) if text else []
-                places.append(np.fromiter(map(numbered, cut), np.int64, len(cut)))
+                places.append(np.fromiter(map(units.__getitem__, cut), np.int64, len(cut)))
         if later:
             starts = np.concatenate((starts, starts[-1] + np.cumsum([len(x) for x in later])))
             ids = np.concatenate((ids, np.fromiter((i for x in later for i in x), np.int64)))
@@ -360,13 +384,18 @@ def encode(
             spelled[ends[at] : ends[at + 1]] = [spelt[b] for b in chr(-ids[at] - 1).encode("utf-8")]
         starts = ends[starts]
         # the ids of a word give back that word: then those of a text give back the text
-        true = np.ones(len(starts) - 1, bool)
-        for word, i in index.items():
-            true[i] = b"".join([texts[x] for x in spelled[starts[i] : starts[i + 1]].tolist()]) == word.encode("utf-8")
+        spans = np.diff(starts)
+        pieces_of = [texts[x] for x in spelled.tolist()]
+        true = np.ones(len(spans), bool)
+        if b"".join(pieces_of) != "".join(index).encode("utf-8") or not _as_long(pieces_of, spans, index):
+            for word, i in index.items():
+                true[i] = b"".join(pieces_of[starts[i] : starts[i + 1]]) == word.encode("utf-8")
         # from words to the units between blanks
         sizes = np.array([len(x) for x in inside] or [0], np.int64)
-        words = np.fromiter((i for x in inside for i in x), np.int64, int(sizes.sum()))
-        unit_true = np.array([whole and all(true[i] for i in x) for x, whole in zip(inside, covered)], bool)
+        words = np.fromiter(chain.from_iterable(inside), np.int64, int(sizes.sum()))
+        unit_true = np.array(covered, bool)
+        if not true.all():
+            unit_true &= [all(true[i] for i in x) for x in inside]
         unit_ids = _ranges(spelled, starts[words], starts[words + 1])
         ends = np.concatenate(([0], np.cumsum(starts[words + 1] - starts[words])))
         bounds = ends[np.concatenate(([0], np.cumsum(sizes)))]
