@@ -9,20 +9,23 @@ frequencies are taken from all entries, kept or not.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakepipe.llm.common import positions
 from lakepipe.session import cut_lineage
 
-#: Runs of letters of any script.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters of any script, with the marks that belong to them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Characters of a word whose n-grams are cut in one go.
+BLOCK = 256
 UNKNOWN = "und"
 
 
@@ -95,6 +98,28 @@ def _most_frequent(counts: DataFrame, group: list[str], limit: int) -> DataFrame
     return counts.join(F.broadcast(cut), group).where("n >= least").drop("least")
 
 
+def gram_rows(counts: DataFrame, longest: int) -> DataFrame:
+    """(lang, n, gram): the n-grams of each (lang, word, n), up to ``longest`` characters, the word between two ``_``.
+
+    A word shorter than a size gives itself for it. A long word is cut into blocks first, which overlap so that every
+    n-gram lies whole in the block it starts in: no row holds more than those of ``BLOCK`` places.
+    """
+    padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
+    long = F.length(padded) > BLOCK
+    places = F.sequence(F.lit(0), F.floor((F.length(padded) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(places, lambda k: padded.substr(k * BLOCK + 1, F.lit(BLOCK + longest - 1)))
+    cut = counts.select("lang", "n", long.alias("long"), F.explode(F.when(long, blocks).otherwise(F.array(padded))).alias("part"))
+    size_of = F.length("part")
+
+    def of_size(size: int) -> Column:
+        inside = size_of - (size - 1)
+        count = F.when(F.col("long"), F.least(F.lit(BLOCK), inside)).otherwise(F.greatest(inside, F.lit(1)))
+        return F.transform(positions(count), lambda i: F.col("part").substr(i, F.lit(size)))
+
+    runs = F.flatten(F.array(*[of_size(size) for size in range(1, longest + 1)]))
+    return cut.select("lang", "n", F.explode(runs).alias("gram"))
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
     """Fit on every row of ``docs`` with a text and a language.
 
@@ -106,18 +131,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", setti
     languages = tuple(sorted(totals))
     known = _most_frequent(counts, ["lang"], settings.words)
 
-    padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
-    runs = F.flatten(
-        F.array(*[
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1))),
-                lambda i, size=size: padded.substr(i, F.lit(size)),
-            )
-            for size in range(1, settings.longest + 1)
-        ])
-    )
     grams = (
-        counts.select("lang", "n", F.explode(runs).alias("gram"))
+        gram_rows(counts, settings.longest)
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .withColumn("size", F.length("gram"))

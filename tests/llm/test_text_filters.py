@@ -204,3 +204,33 @@ def test_site_quality_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert site_quality.judge(docs, labels).count() == 1
     assert site_quality.judge(docs.limit(0), labels).count() == 0
+
+
+def test_letters_are_letters(spark, make):
+    docs = make([(i, t) for i, t in enumerate(["the cat and the dog", "le chat et le chien"] * 20)], {i: "ef"[i % 2] for i in range(40)})
+    model = language.train(docs)
+    odd = make([(1, "½ ² ① Ⅷ 12 _"), (2, None), (3, ""), (4, "हिन्दी"), (5, "the"), (5, "the")])
+    found = sorted((r.doc_id, r.lang_pred) for r in language.identify(odd, model).collect())
+    assert found[:3] == [(1, "und"), (2, "und"), (3, "und")] and found[3][1] != "und" and found[4:] == [(5, "e")] * 2
+    assert language.find_words("हिन्दी x½y É_ß") == ["हिन्दी", "x", "y", "é", "ß"]
+
+
+def test_grams_of_long_words(spark):
+    words = ["a", "ab", "abc", "xyz" * 100, "".join(chr(97 + i % 7) for i in range(254)), "q" * 255, "ä" * 256, "".join(chr(97 + i * i % 11) for i in range(2000))]
+    counts = spark.createDataFrame([("l", w, i + 1) for i, w in enumerate(words)], "lang string, word string, n long")
+    found = {(r.gram, r.length): r.n for r in language.gram_rows(counts, 4).groupBy("gram", F.length("gram").alias("length")).agg(F.sum("n").alias("n")).collect()}
+    expected = {}
+    for n, w in enumerate(words, 1):
+        padded = f"_{w}_"
+        for size in range(1, 5):
+            for i in range(max(len(padded) - size + 1, 1)):
+                gram = padded[i : i + size]
+                expected[gram, len(gram)] = expected.get((gram, len(gram)), 0) + n
+    assert found == expected
+
+
+def test_a_long_unspaced_text_is_learned_from(spark, make):
+    texts = [(i, "the cat sat") for i in range(30)] + [(100, "".join(chr(97 + i * 7 % 26) for i in range(300_000)))]
+    docs = make(texts, {i: "e" for i, _ in texts})
+    model = language.train(docs)
+    assert language.identify(docs, model).where("lang_pred = 'e'").count() == 31
