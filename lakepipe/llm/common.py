@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakepipe.session import scratch_path
+from lakepipe.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters, digits and everything beyond ASCII.
@@ -79,11 +79,7 @@ def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage is cut and survives lost executors.
 
-    Takes less room than a checkpoint, as Parquet is compressed. The table is deleted when the session ends.
+    Takes less room than a checkpoint, as Parquet is compressed, and the job's shuffle files go at once. The table is
+    deleted when the session ends.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, label)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.session import cut_lineage
+from lakepipe.llm.common import stored
 
 
 def _with_least(sides: DataFrame) -> DataFrame:
@@ -41,15 +41,15 @@ def _small_star(links: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b); root is the least node it can reach.
 
-    Loops and repeated links do no harm; without links the result is empty. Each round is checkpointed. Only two numbers
+    Loops and repeated links do no harm; without links the result is empty. Each round is stored. Only two numbers
     of a round reach the driver, to see whether it changed anything.
     """
-    now = cut_lineage(links.select("a", "b").where("a != b").distinct())
+    now = stored(links.select("a", "b").where("a != b").distinct(), "star")
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     while True:
-        now = cut_lineage(_small_star(_large_star(now)))
+        now = stored(_small_star(_large_star(now)), "star")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -8,7 +8,8 @@ on the full shingle sets.
 
 Documents with equal sets are one class and enter once. In each of a few rounds every class tries the most alike of the
 centres of its buckets, one link per class, which settles nearly everything. At last the classes that share a bucket but
-are still in different components are compared pair by pair, so no link is lost.
+are still in different components are compared pair by pair. A link is lost only if no band meets, or if the estimate is
+more than ``SLACK`` too low: for a pair right at the threshold a chance of about 1e-4, far less above it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from lakepipe.llm.common import join_rows, keyed, stored, without_rows
 from lakepipe.llm.components import connected_components
-from lakepipe.session import cut_lineage
 
 #: Bits kept of each bin's minimum.
 BITS = 4
@@ -260,21 +260,22 @@ def near_groups(
 ) -> DataFrame:
     """One row per input row: id, _h, n_shingles, component_id (smallest id reachable over links, itself included), kept.
 
-    With 32 bands of 4 a pair at 0.80 is missed with a chance of 5e-8, at 0.85 of 6e-11. Null or blank text has an empty
+    With 32 bands of 4 no band of a pair at 0.80 meets with a chance of 5e-8, at 0.85 of 6e-11; see the module on the estimate. Null or blank text has an empty
     set, is linked with nothing and is its own component. Rows with equal sets, repeated rows among them, are in one
     component. A null id never leads a component with other ids.
     """
-    signed = cut_lineage(signatures(docs, size, bands, rows, id_col, text_col))
+    signed = stored(signatures(docs, size, bands, rows, id_col, text_col), "signed")
     filled = signed.where("digest IS NOT NULL")
     # one class per distinct set, represented by its least row
     least = filled.groupBy("digest").agg(
         F.min(F.struct("_id", "_h")).alias("first"), F.min("_id").alias("least_id"), F.count("*").alias("members")
     )
-    classes = cut_lineage(
+    classes = stored(
         filled.join(least, "digest")
         .where(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_h") == F.col("first._h")))
         .dropDuplicates(["digest"])
-        .select(F.col("digest").alias("node"), "_id", "_h", F.col("n_shingles").alias("n"), "keys", "packed", "least_id")
+        .select(F.col("digest").alias("node"), "_id", "_h", F.col("n_shingles").alias("n"), "keys", "packed", "least_id"),
+        "classes",
     )
     placed = classes.withColumn("root", F.col("node"))
     tried = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
@@ -290,8 +291,8 @@ def near_groups(
         if found.isEmpty():
             continue
         tried = tried.unionByName(found)
-        links = cut_lineage(links.unionByName(confirm(found, texts, size, percent)))
-        roots = cut_lineage(connected_components(links))
+        links = stored(links.unionByName(confirm(found, texts, size, percent)), "links")
+        roots = stored(connected_components(links), "roots")
         placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     named = classes.join(roots, "node", "left").select(
