@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ PLAIN = re.compile(r"\S+")
 KEPT = re.compile(rb"\0+")
 #: Words of a sampled shingle.
 SHINGLE = 16
+#: Text whose hashes are held at once.
+SLICE_BYTES = 2_000_000
 
 
 def sentences(text: str | None, longest: int = 20) -> list[str]:
@@ -44,28 +48,43 @@ def sentences(text: str | None, longest: int = 20) -> list[str]:
     return out
 
 
+def sentence_words(text: str | None, longest: int = 20) -> list[str]:
+    """The words of each of ``sentences``, one space between them."""
+    out: list[str] = []
+    for part in SENTENCE.findall(text or ""):
+        words = part.split()
+        if len(words) > longest:
+            out += [" ".join(words[i : i + longest]) for i in range(0, len(words), longest)]
+        elif words or not out:
+            out.append(" ".join(words))
+    return out
+
+
 def run_hashes(units: list[str], span: int) -> list[bytes]:
-    """128-bit hash of each run of ``span`` sentences; white space counts as one space."""
-    marks = [xxhash.xxh3_128_digest(" ".join(u.split()).encode("utf-8")) for u in units]
-    return [xxhash.xxh3_128_digest(b"".join(marks[i : i + span])) for i in range(len(marks) - span + 1)]
+    """128-bit hash of each run of ``span`` of ``sentence_words``."""
+    if len(units) < span:
+        return []
+    marks = b"".join(map(xxhash.xxh3_128_digest, units))
+    return [xxhash.xxh3_128_digest(marks[16 * i : 16 * (i + span)]) for i in range(len(units) - span + 1)]
 
 
-def word_marks(words: list[str], known: dict[str, bytes]) -> bytes:
-    """128-bit hashes of the words, one after the other; ``known`` keeps those of words met before."""
-    for word in set(words).difference(known):
-        known[word] = xxhash.xxh3_128_digest(word.encode("utf-8"))
-    return b"".join([known[w] for w in words])
+def word_marks(texts: list[list[str]]) -> np.ndarray:
+    """128-bit hashes of the words of some texts, one after the other, as two numbers each."""
+    hashes = b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(texts)))
+    return np.frombuffer(hashes, np.uint64).reshape(-1, 2)
 
 
-def blocks(marks: bytes, window: int, shingle: int) -> list[tuple[int, int, int]]:
-    """(shingle's first word, first and last start of the windows it is sampled from), from the text's start to its end.
+def blocks(marks: np.ndarray, sizes: np.ndarray, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle's first word, first and last start of the windows it is sampled from), from each text's start to its end.
 
-    The shingle of a window is the one whose first words hash least, the first of equals.
+    ``sizes`` are the words of each text; windows never cross texts. The shingle of a window is the one whose first words
+    hash least, the first of equals.
     """
-    first = np.frombuffer(marks, dtype=np.uint64)[::2]
+    first = marks[:, 0]
     size = len(first) - shingle + 1
-    if len(first) < window:
-        return []
+    starts = np.maximum(sizes - window + 1, 0)
+    if not starts.sum():
+        return (np.zeros(0, np.int64),) * 3
     order = np.zeros(size, dtype=np.uint64)
     for i in range(min(3, shingle)):
         order = order * np.uint64(0x9E3779B97F4A7C15) + first[i : i + size]
@@ -77,14 +96,34 @@ def blocks(marks: bytes, window: int, shingle: int) -> list[tuple[int, int, int]
         step = min(reach, wide - reach)
         least = np.minimum(least[:-step], least[step:])
         reach += step
-    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    inside = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(starts) - starts), starts) + np.arange(int(starts.sum()))
+    place = (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     begin = np.flatnonzero(np.diff(place, prepend=-1))
     end = np.append(begin[1:], len(place)) - 1
-    return list(zip(place[begin].tolist(), begin.tolist(), end.tolist(), strict=True))
+    return place[begin], inside[begin], inside[end]
+
 
+def _hashes(marks: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
+    """128-bit hash of the words from each start to each stop."""
+    body = memoryview(marks.tobytes())
+    return [xxhash.xxh3_128_digest(body[a:b]) for a, b in zip((16 * starts).tolist(), (16 * stops).tolist(), strict=True)]
 
-def _hash(marks: bytes, start: int, stop: int) -> bytes:
-    return xxhash.xxh3_128_digest(marks[16 * start : 16 * stop])
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in slices of about ``SLICE_BYTES`` of text: what is held in memory does not grow with the batch."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _binary(values: list[bytes], nulls: int = 0) -> pa.Array:
+    """Hashes behind ``nulls`` nulls."""
+    kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(values), [None, pa.py_buffer(b"".join(values))])
+    return pa.concat_arrays([pa.nulls(nulls, pa.binary()), kept.cast(pa.binary())])
 
 
 def _later(again: DataFrame, run: str, *more: str) -> DataFrame:
@@ -95,13 +134,12 @@ def _later(again: DataFrame, run: str, *more: str) -> DataFrame:
     return again.join(first, run).where(~here.eqNullSafe(F.col("first"))).select("_id", "_h", "place", *more)
 
 
-def _placed(batch: pa.RecordBatch, found: list[tuple], names: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    """Rows (row of the batch, values of ``names``) with the ids of their documents."""
-    rows, *values = zip(*found, strict=True) if found else ((), *((),) * len(names))
+def _placed(batch: pa.RecordBatch, rows: np.ndarray, columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    """``columns`` with the ids of the documents in ``rows`` of the batch."""
     spots = pa.array(rows, pa.int32())
-    columns = [pa.array(v, kind) for v, (_, kind) in zip(values, names, strict=True)]
-    ids = [batch.column(n).take(spots) for n in ("_id", "_h")]
-    return pa.RecordBatch.from_arrays([*ids, *columns], ["_id", "_h", *(n for n, _ in names)])
+    ids = {n: batch.column(n).take(spots) for n in ("_id", "_h")}
+    found = {n: c if isinstance(c, pa.Array) else pa.array(c, pa.int32()) for n, c in columns.items()}
+    return pa.RecordBatch.from_pydict(ids | found)
 
 
 def repeated_runs(
@@ -123,26 +161,45 @@ def repeated_runs(
     a window always lies in the first of its blocks, so none is missed.
     """
     shingle = min(SHINGLE, window)
-    names = [("place", pa.int32()), ("stop", pa.int32()), ("run", pa.binary()), ("block", pa.binary())]
+
+    def found_in(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+        """Hashes of the runs of sentences of each text; word hashes, words of each text, blocks."""
+        runs = [run_hashes(sentence_words(t, longest), span) for t in texts]
+        words = [(t or "").split() for t in texts]
+        marks, sizes = word_marks(words), np.fromiter(map(len, words), np.int64, len(words))
+        return runs, marks, sizes, blocks(marks, sizes, window, shingle)
+
+    # half of a run's hash is enough to find those that may stand twice
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chain.from_iterable(map(_slices, batches)):
+            runs, marks, _, (at, _, _) = found_in(part.column("_text").to_pylist())
+            hashes = b"".join([*chain.from_iterable(runs), *_hashes(marks, at, at + shingle)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, np.int64)[::2])], ["half"])
 
     # sentences have no block; for words, place and stop are the first and the last start of the block's windows
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, known = [], {}
-            for i, text in enumerate(batch.column("_text")):
-                value = text.as_py()
-                found += [(i, k, None, run, None) for k, run in enumerate(run_hashes(sentences(value, longest), span))]
-                marks = word_marks((value or "").split(), known)
-                for at, begin, end in blocks(marks, window, shingle):
-                    run, block = _hash(marks, at, at + shingle), _hash(marks, begin, end + window)
-                    found.append((i, begin, end, run, block))
-            yield _placed(batch, found, names)
+        for part in chain.from_iterable(map(_slices, batches)):
+            runs, marks, sizes, (at, begin, end) = found_in(part.column("_text").to_pylist())
+            counts = np.fromiter(map(len, runs), np.int64, len(runs))
+            n = int(counts.sum())
+            place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+            owner = np.searchsorted(np.cumsum(sizes), begin, "right")
+            before = (np.cumsum(sizes) - sizes)[owner]
+            found = [*chain.from_iterable(runs), *_hashes(marks, at, at + shingle)]
+            columns = {
+                "place": np.concatenate([place, begin - before]),
+                "stop": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(end - before, pa.int32())]),
+                "half": pa.array(np.frombuffer(b"".join(found), np.int64)[::2]),
+                "run": _binary(found),
+                "block": _binary(_hashes(marks, begin, end + window), n),
+            }
+            yield _placed(part, np.concatenate([np.repeat(np.arange(len(runs)), counts), owner]), columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = keyed(docs, id_col, text_col)
-    runs = rows.mapInArrow(hashed, f"_id {kind}, _h long, place int, stop int, run binary, block binary")
-    common = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    again = stored(runs.join(common, "run"), "runs")
+    common = rows.mapInArrow(counted, "half long").groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    names = f"_id {kind}, _h long, place int, stop int, half long, run binary, block binary"
+    again = stored(rows.mapInArrow(hashed, names).join(common, "half").drop("half"), "runs")
 
     near = again.where("block IS NOT NULL")
     ranged = near.groupBy("block").agg(
@@ -154,13 +211,15 @@ def repeated_runs(
     apart = apart.agg(F.collect_list(F.struct("place", "stop")).alias("ranges"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, known = [], {}
-            for i, (text, ranges) in enumerate(zip(batch.column("_text"), batch.column("ranges"), strict=True)):
-                marks = word_marks(text.as_py().split(), known)
-                starts = [k for r in ranges.as_py() for k in range(r["place"], r["stop"] + 1)]
-                found += [(i, k, _hash(marks, k, k + window)) for k in starts]
-            yield _placed(batch, found, [names[0], names[2]])
+        for part in chain.from_iterable(map(_slices, batches)):
+            words = [t.split() for t in part.column("_text").to_pylist()]
+            marks, sizes = word_marks(words), np.fromiter(map(len, words), np.int64, len(words))
+            ranges = part.column("ranges").to_pylist()
+            first = [np.concatenate([np.arange(r["place"], r["stop"] + 1) for r in x]) for x in ranges]
+            owner = np.repeat(np.arange(len(first)), list(map(len, first)))
+            place = np.concatenate(first)
+            start = place + (np.cumsum(sizes) - sizes)[owner]
+            yield _placed(part, owner, {"place": place, "run": _binary(_hashes(marks, start, start + window))})
 
     # rows repeated with the same id and text give equal (_id, _h, place): one place
     parts = join_rows(rows, apart).mapInArrow(windows, f"_id {kind}, _h long, place int, run binary")
@@ -182,9 +241,9 @@ def cut_text(
     text: str, places: list[int], begins: list[int], ends: list[int], span: int, longest: int, window: int
 ) -> tuple[int, int, str]:
     """(sentences, sentences of which no word is left, what is left)."""
-    units = sentences(text, longest)
     if not places and not begins:
-        return len(units), 0, text
+        return len(sentence_words(text, longest)), 0, text
+    units = sentences(text, longest)
     runs = {i + k for i in places for k in range(span)}
     gone = bytearray(len(text))
     edges = np.cumsum([0, *map(len, units)]).tolist()
@@ -221,7 +280,7 @@ def remove_repeats(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             sizes, removed, texts = [], [], []
             for text, *spots in zip(*(batch.column(n) for n in ("_text", "places", "begins", "ends")), strict=True):
                 n, gone, left = cut_text(text.as_py() or "", *(s.as_py() or [] for s in spots), span, longest, window)

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from check_oracle import compare, connect
 from pyspark.sql import functions as F
@@ -256,6 +257,20 @@ def test_passages_inside_sentences_by_window_search(make):
     assert found[104].kept_text == texts[104] and found[103].kept_text.split() == ["z"]
 
 
+def test_sentence_spans_hold_a_slice_of_a_batch_at_once(make, monkeypatch):
+    rng = random.Random(21)
+    passage = prose(60, rng)
+    texts = {i: f"{prose(rng.randint(0, 90), rng)}. {passage if i % 3 == 0 else ''} {prose(7, rng)}." for i in range(40)}
+    texts |= {50: None, 51: "", 52: prose(900, rng), 53: texts[4]}
+    batch = pa.RecordBatch.from_pydict({"_text": pa.array(texts.values(), pa.string())})
+    whole = {tuple(r) for r in sentence_spans.remove_repeats(make(texts)).collect()}
+    monkeypatch.setattr(sentence_spans, "SLICE_BYTES", 1000)
+    parts = [p.column("_text").to_pylist() for p in sentence_spans._slices(batch)]
+    assert sum(parts, []) == list(texts.values()) and len(parts) > 10
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 1000 for p in parts)
+    assert {tuple(r) for r in sentence_spans.remove_repeats(make(texts)).collect()} == whole
+
+
 def best_path(text, vocabulary, table):
     ids = []
     for word in re.findall(vocabulary.pattern, f" {text}") if text else []:
