@@ -9,6 +9,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakepipe.operators.changes import keep_unless
 from lakepipe.operators.ranges import interleaved_rank
@@ -25,8 +26,9 @@ from lakepipe.sources.files import (
 )
 
 FILE_BYTES = 256 * 2**20
-#: Bound against estimates that Spark cannot make (a join of unknown size).
 MAX_FILES = 1_000_000
+#: Types whose values take eight bytes of a row, or little more.
+FIXED_TYPES = (T.NumericType, T.BooleanType, T.DatetimeType, T.AnyTimeType, T.NullType, T.DayTimeIntervalType)
 
 
 def write_files(
@@ -59,8 +61,15 @@ def insert_rows(spark: SparkSession, name: str, values: str) -> None:
 
 
 def file_count(df: DataFrame, bytes_per_file: int = FILE_BYTES) -> int:
-    """Files of about the wanted size, from Spark's estimate of the frame; no job is run."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Files for whose rows a task reads about ``bytes_per_file``, by one pass over the frame that counts rows and bytes.
+
+    Stored files are as much smaller as they compress. Spark's own estimate goes by the stored size of its input, so it
+    would hand one task many times the wanted bytes of a table that compresses well.
+    """
+    rows = F.count(F.lit(1)) * F.lit(8 + 8 * len(df.columns))
+    sized = [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, FIXED_TYPES)]
+    texts = [F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)) for c in sized]
+    size = df.agg(sum(texts, rows).alias("n")).first()["n"]
     return max(1, min(MAX_FILES, math.ceil(size / bytes_per_file)))
 
 
@@ -73,7 +82,7 @@ def clustered(
     the bits interleaved, so that a filter on any one of them skips files; the frame is then read three times, and again by
     the sort's own sample.
 
-    Without ``files`` their number follows from the size of the data. A hash of the row ranks below the layout columns, so
+    Without ``files`` their number follows from the size of the rows, for which they are read once more. A hash of the row ranks below the layout columns, so
     one frequent value is spread over several neighbouring files instead of ending in a single task.
     """
     missing = [c for c in columns if c not in df.columns]

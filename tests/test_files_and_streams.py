@@ -161,6 +161,21 @@ def footers(path, column):
     return found
 
 
+@pytest.mark.parametrize("interleave", [False, True])
+def test_file_count_follows_rows_not_compressed_files(spark, tmp_path, interleave):
+    constant = spark.range(0, 30_000, 1, 4).select(
+        F.lit(7).alias("a"), F.lit(3.5).alias("b"), F.repeat(F.lit("x"), 60).alias("t"), F.array(F.lit("yy")).alias("n")
+    )
+    constant.write.parquet(str(tmp_path / "constant"))
+    stored = spark.read.parquet(str(tmp_path / "constant"))
+    size = 30_000 * (8 + 4 * 8 + 60 + 4)
+    assert tables.file_count(stored, size // 10) in (10, 11) and tables.file_count(stored.limit(0)) == 1
+    varied = stored.withColumn("k", F.monotonically_increasing_id())
+    tables.write_clustered(varied, str(tmp_path / "out"), ["a", "k"], tables.file_count(varied, 500_000), interleave=interleave)
+    rows_ = spark.read.parquet(str(tmp_path / "out")).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in rows_) == 30_000 and max(r["count"] for r in rows_) < 10_000
+
+
 def test_interleaved_layout_skips_files_on_every_column(spark, tmp_path):
     df = spark.range(40_000).select(
         "id",
