@@ -51,15 +51,13 @@ def _sample(df: DataFrame, point: Column, ranges: int) -> DataFrame:
 
 
 def _cuts(held: Column, ranges: int) -> Column:
-    """Inner cut points of a sorted array: every so many values, each once."""
-    return F.array_distinct(
-        F.filter(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(ranges - 1)),
-                lambda i: F.get(held, F.floor(i * F.size(held) / ranges).cast("int")),
-            ),
-            lambda x: x.isNotNull(),
-        )
+    """Inner cut points of a sorted array: every so many values."""
+    return F.filter(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(ranges - 1)),
+            lambda i: F.get(held, F.floor(i * F.size(held) / ranges).cast("int")),
+        ),
+        lambda x: x.isNotNull(),
     )
 
 
@@ -85,7 +83,7 @@ def sorted_ranges(df: DataFrame, columns: Sequence[str], ranges: int | None = No
     point = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     held = _sample(df, point, ranges).agg(F.sort_array(F.collect_list("at")).alias("held"))
     # a column of its own: the subquery stands in the plan once, the search reads its value
-    cut = df.withColumn("__cuts", held.select(_cuts(F.col("held"), ranges).alias("cuts")).scalar())
+    cut = df.withColumn("__cuts", held.select(F.array_distinct(_cuts(F.col("held"), ranges)).alias("cuts")).scalar())
     found = _search(cut, "__cuts", point, PART, ranges)
     head = F.coalesce(F.get("__cuts", F.col(PART) - 1) == point, F.lit(False))
     return found.withColumn(HEAD, head).drop("__cuts")
@@ -94,7 +92,8 @@ def sorted_ranges(df: DataFrame, columns: Sequence[str], ranges: int | None = No
 def interleaved_rank(df: DataFrame, columns: Sequence[str], out: str, bits: int = 10) -> DataFrame:
     """Add a number whose bits are those of each column's quantile rank in turn: rows near in it are near in every column.
 
-    Each column is cut into up to ``2 ** bits`` ranges of about equally many rows, whatever its type; nulls rank lowest.
+    Each column is cut into up to ``2 ** bits`` ranges of about equally many rows, whatever its type; nulls rank lowest. A
+    frequent value takes the ranks of all ranges it fills, so that the others keep theirs and each bit halves the rows.
     All cut points come from one sample. ``df`` is read three times.
     """
     if not 1 <= len(columns) * bits <= 62:
