@@ -57,15 +57,18 @@ def document_of(text: Column) -> Column:
     It is read as the only item of a list, followed by a hash of the text. Neither ``1, 2`` nor ``1, "b": 2`` passes, nor
     text that closes the list itself: it would have to hold its own hash.
     """
-    mark = F.xxhash64(text)
-    listed = F.try_parse_json(F.concat(F.lit("[["), text, F.lit("],"), mark.cast("string"), F.lit("]")))
+    def read(text: Column) -> Column:
+        mark = F.xxhash64(text)
+        listed = F.try_parse_json(F.concat(F.lit("[["), text, F.lit("],"), mark.cast("string"), F.lit("]")))
 
-    def only_item(found: Column) -> Column:
-        closed = F.coalesce(F.try_variant_get(found, "$[1]", "bigint") == mark, F.lit(False))
-        alone = F.try_variant_get(found, "$[0][1]", "variant").isNull()
-        return F.when(closed & alone, F.try_variant_get(found, "$[0][0]", "variant"))
+        def only_item(found: Column) -> Column:
+            closed = F.coalesce(F.try_variant_get(found, "$[1]", "bigint") == mark, F.lit(False))
+            alone = F.try_variant_get(found, "$[0][1]", "variant").isNull()
+            return F.when(closed & alone, F.try_variant_get(found, "$[0][0]", "variant"))
 
-    return _once(listed, only_item)
+        return _once(listed, only_item)
+
+    return _once(text, read)
 
 
 def one_document(text: Column) -> Column:
@@ -73,29 +76,41 @@ def one_document(text: Column) -> Column:
     return F.when(document_of(text).isNotNull(), text)
 
 
-def _wrapped_types(df: DataFrame, documents: Sequence[Column]) -> list[str]:
-    """Types of wrapped documents (variants), from one pass over the rows."""
+def _variant_types(df: DataFrame, *documents: str) -> list[str]:
+    """Variant schemas of columns of documents, from one pass over the rows."""
     found = df.agg(*[F.schema_of_variant_agg(d).alias(f"k{i}") for i, d in enumerate(documents)]).first()
-    kinds = [_readable(kind) if kind not in (None, "VOID") else "STRING" for kind in found]
-    return [f"STRUCT<`data`: {kind}>" for kind in kinds]
+    return [kind if kind not in (None, "VOID") else "STRING" for kind in found]
+
 
+def _typed(document: Column, text: Column, variant_type: str) -> Column:
+    """A document as a value of its inferred type.
 
-def _unwrapped(text: Column, wrapped_type: str) -> Column:
-    return F.from_json(wrap_json(text), wrapped_type)["data"]
+    The variant itself is cast. Read once more is only what a variant does not keep: how parts that stay JSON text were
+    written, and the sign of zero.
+    """
+    words = {found["word"] or found["digits"] and "DECIMAL" for found in _TYPE_PARTS.finditer(variant_type)}
+    wrapped = wrap_json(F.when(document.isNotNull(), text))
+    again = F.from_json(wrapped, f"STRUCT<`data`: {_readable(variant_type)}>")["data"]
+    if words & {"VARIANT", "OBJECT<>"}:
+        return again
+    value = F.try_variant_get(document, "$", _readable(variant_type))
+    return F.when(F.contains(text, F.lit("-0")), again).otherwise(value) if words & {"DECIMAL", "DOUBLE", "FLOAT"} else value
 
 
 def parse_json_columns(df: DataFrame, *columns: str) -> DataFrame:
     """Replace JSON text columns by typed columns of an inferred type.
 
-    Documents are wrapped while they are read, so objects, arrays and bare values
+    Documents are read as parts of a list, so objects, arrays and bare values
     all work. Text that is not JSON becomes null. Where documents disagree the
     differing part stays JSON text.
     """
     if not columns:
         return df
-    texts = [one_document(F.col(c)) for c in columns]
-    types = _wrapped_types(df, [document_of(F.col(c)) for c in columns])
-    return df.withColumns({c: _unwrapped(x, t) for c, x, t in zip(columns, texts, types)})
+    read = {c: f"__document{i}" for i, c in enumerate(columns)}
+    documents = df.withColumns({d: document_of(F.col(c)) for c, d in read.items()})
+    types = _variant_types(documents, *read.values())
+    typed = {c: _typed(F.col(d), F.col(c), t) for (c, d), t in zip(read.items(), types)}
+    return documents.withColumns(typed).drop(*read.values())
 
 
 def parse_with(column: str, schema: str | T.DataType) -> Column:
@@ -148,11 +163,13 @@ def parse_two_levels(df: DataFrame, outer: str, inner: str) -> DataFrame:
 
     Both types come from the same pass: the inner text is read out of the parsed document.
     """
-    document = document_of(F.col(outer))
-    inner_text = F.try_variant_get(document, f'$["{inner}"]', "string")
-    outer_type, inner_type = _wrapped_types(df, [document, document_of(inner_text)])
-    first = expand(df.withColumn(outer, _unwrapped(one_document(F.col(outer)), outer_type)), outer)
-    return expand(first.withColumn(inner, _unwrapped(one_document(F.col(inner)), inner_type)), inner)
+    # columns of their own, so that each text is parsed once in a pass
+    read = df.withColumn("__outer", document_of(F.col(outer)))
+    inner_text = F.try_variant_get("__outer", f'$["{inner}"]', "string")
+    types = _variant_types(read.withColumn("__inner", document_of(inner_text)), "__outer", "__inner")
+    first = expand(read.withColumn(outer, _typed(F.col("__outer"), F.col(outer), types[0])).drop("__outer"), outer)
+    documents = first.withColumn("__inner", document_of(F.col(inner)))
+    return expand(documents.withColumn(inner, _typed(F.col("__inner"), F.col(inner), types[1])).drop("__inner"), inner)
 
 
 def join_arrays(columns: Sequence[str]) -> Column:

@@ -167,6 +167,20 @@ def test_numbers_are_typed_like_spark_types_json(spark):
     assert [(r["a"], r["b"], r["c"]) for r in parsed.collect()] == [(1.0, 1.5, 23.0), (2.25, 7.0, None)]
 
 
+def test_documents_are_parsed_once_and_cast(spark):
+    docs = ['{"a": -0.0, "b": [1, null], "s": "x\\u00e9", "n": 12345678901234567890}', ' {"b": [], "a": 9007199254740993}', "{bad", None]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, o string")
+    parsed = nested.parse_json_columns(df, "o")
+    kind = dict(parsed.dtypes)["o"]
+    known = df.select("i", F.from_json("o", kind).alias("o")).where("i < 2")
+    assert rows(parsed.where("i < 2").select("i", F.col("o").cast("string"))) == rows(known.select("i", F.col("o").cast("string")))
+    assert [r["o"] for r in parsed.where("i > 1").collect()] == [None, None]
+    whole = spark.createDataFrame([(1, '{"k": "a", "inner": "{\\"x\\": 5}"}')], "id int, o string")
+    plan = nested.parse_two_levels(whole, "o", "inner")._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and plan.count("try_parse_json") + plan.count("parseJson") <= 2
+    assert nested.parse_two_levels(whole, "o", "inner").first() == (1, "a", 5)
+
+
 def test_infer_json_type(spark):
     df = spark.createDataFrame([('{"a": 1}',), ('{"b": [1.5]}',)], "o string")
     assert nested.infer_json_type(df, "o") == "STRUCT<`a`: BIGINT, `b`: ARRAY<DOUBLE>>"
