@@ -203,6 +203,16 @@ def test_suffix_dedup_other_lengths(make):
     assert {r[0]: tuple(r)[1:] for r in found.collect()} == repeated(texts.items(), 64)
 
 
+def test_suffix_dedup_counts_buckets_alone(make):
+    rng = random.Random(3)
+    docs = suffix_buckets.keyed(make({i: prose(rng.randint(20, 200), rng) for i in range(9)} | {9: None, 10: "x"}), "doc_id", "text")
+    whole = f"{suffix_buckets.BUCKET}, name long, {suffix_buckets.SPOT}"
+    alone = suffix_buckets._anchor_rows(docs, "bigint", 64, 20, suffix_buckets.BUCKET)
+    rows_ = suffix_buckets._anchor_rows(docs, "bigint", 64, 20, whole)
+    assert alone.columns == ["bucket"] and alone.count() > 100
+    assert Counter(r["bucket"] for r in alone.collect()) == Counter(r["bucket"] for r in rows_.collect())
+
+
 def test_sentence_spans_by_brute_force(make):
     rng = random.Random(2)
     passage = ". ".join(prose(12, rng) for _ in range(5)) + ". "
