@@ -370,7 +370,7 @@ def encode(
             owners.append(table.column("_id"))
             for text in table.column("_text").to_pylist():
                 cut = _units(text) if text else []
-                places.append(np.fromiter(map(units.__getitem__, cut), np.int64, len(cut)))
+                places.append(np.fromiter(map(units.__getitem__, cut), np.int32, len(cut)))
         if later:
             starts = np.concatenate((starts, starts[-1] + np.cumsum([len(x) for x in later])))
             ids = np.concatenate((ids, np.fromiter((i for x in later for i in x), np.int64)))
@@ -378,7 +378,7 @@ def encode(
         lengths = np.ones(len(ids), np.int64)
         for at in np.flatnonzero(ids < 0):
             lengths[at] = len(chr(-ids[at] - 1).encode("utf-8"))
-        spelled = np.repeat(ids, lengths)
+        spelled = np.repeat(ids, lengths).astype(np.int32)
         ends = np.concatenate(([0], np.cumsum(lengths)))
         for at in np.flatnonzero(ids < 0):
             spelled[ends[at] : ends[at + 1]] = [spelt[b] for b in chr(-ids[at] - 1).encode("utf-8")]
@@ -399,13 +399,14 @@ def encode(
         unit_ids = _ranges(spelled, starts[words], starts[words + 1])
         ends = np.concatenate(([0], np.cumsum(starts[words + 1] - starts[words])))
         bounds = ends[np.concatenate(([0], np.cumsum(sizes)))]
-        lists, offsets, same = [], [0], []
-        for cut in places:
-            lists.append(_ranges(unit_ids, bounds[cut], bounds[cut + 1]))
-            offsets.append(offsets[-1] + len(lists[-1]))
+        # the words are not needed any more, and take more room than the ids of all texts
+        del units, index, inside, words, later, lattice, pieces_of, right, flat, tables, table
+        offsets = np.concatenate(([0], np.cumsum([int((bounds[cut + 1] - bounds[cut]).sum()) for cut in places], dtype=np.int64)))
+        values, same = np.empty(int(offsets[-1]), np.int32), []
+        for cut, at, end in zip(places, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            values[at:end] = _ranges(unit_ids, bounds[cut], bounds[cut + 1])
             same.append(bool(unit_true[cut].all()))
-        values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        encoded = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32)))
+        encoded = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
         owner = pa.chunked_array([c for o in owners for c in o.chunks], owners[0].type)
         return pa.table({"_id": owner, "ids": encoded, "round_trip": pa.array(same, pa.bool_())})
 
