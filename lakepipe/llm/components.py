@@ -1,58 +1,60 @@
-"""Connected components of a link table by alternating large-star and small-star steps."""
+"""Connected components of a link table by contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakepipe.llm.common import stored
 
 
-def _with_least(sides: DataFrame) -> DataFrame:
-    """(node, other, least): every neighbour next to the least of the node and all its neighbours.
+def _ordered(node: str, turn: int) -> Column:
+    """A node behind a hash that changes every other turn.
 
-    The least comes from an aggregate with a map side and is joined back, so a hub is cut up by Spark's skew join.
+    A chain of nodes in falling order must not shrink one by one; the leaves of a star meet in the second turn of an order,
+    when its least node is the hub.
     """
-    least = sides.groupBy("node").agg(F.min("other").alias("least"))
-    least = least.select(F.col("node").alias("_node"), F.least("node", "least").alias("least"))
-    return sides.join(least, F.col("node") == F.col("_node")).drop("_node")
+    return F.struct(F.xxhash64(F.lit(turn // 2), node).alias("by"), F.col(node).alias("node"))
 
 
-def _both_ways(links: DataFrame) -> DataFrame:
-    turned = links.select(F.col("b").alias("node"), F.col("a").alias("other"))
-    return links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(turned)
+def _moves(links: DataFrame, turn: int) -> DataFrame:
+    """(node, to): the first of each node and its neighbours in the order of ``turn``.
 
-
-def _large_star(links: DataFrame) -> DataFrame:
-    """Neighbours above a node are linked to the least node around it."""
-    near = _with_least(_both_ways(links)).where("other > node")
-    return near.select(F.col("other").alias("a"), F.col("least").alias("b")).distinct()
+    It comes from an aggregate with a map side, so a hub's neighbours meet in no task.
+    """
+    sides = F.array(F.struct(F.col("a").alias("node"), _ordered("b", turn).alias("next")),
+                    F.struct(F.col("b").alias("node"), _ordered("a", turn).alias("next")))
+    near = links.select(F.inline(sides)).groupBy("node").agg(F.min("next").alias("next"))
+    return near.select("node", F.least(_ordered("node", turn), "next")["node"].alias("to"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    """A node and its neighbours below it are linked to the least of them."""
-    down = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other"))
-    near = _with_least(down)
-    below = near.select(F.col("other").alias("a"), F.col("least").alias("b"))
-    itself = near.select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return below.unionByName(itself).where("a != b").distinct()
+def _contracted(links: DataFrame, moves: DataFrame) -> DataFrame:
+    """The links between the nodes that were moved to; those inside one are gone."""
+    for side in "ab":
+        there = moves.select(F.col("node").alias(side), F.col("to").alias(f"to_{side}"))
+        links = links.join(there, side)
+    moved = links.where("to_a != to_b")
+    return moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b); root is the least node it can reach.
 
-    Loops and repeated links do no harm; without links the result is empty. Each round is stored. Only two numbers
-    of a round reach the driver, to see whether it changed anything.
+    Loops and repeated links do no harm; without links the result is empty. In each round every node moves to one of its
+    neighbours, or stays, and the links go with it until none are left: some half of the nodes are gone in a round, and
+    stars in two. Each round is stored, and whether links are left is all of it that reaches the driver.
     """
-    now = stored(links.select("a", "b").where("a != b").distinct(), "star")
-    if now.isEmpty():
+    now = stored(links.select("a", "b").where("a != b").distinct(), "links")
+    rounds: list[DataFrame] = []
+    while not now.isEmpty():
+        rounds.append(stored(_moves(now, len(rounds)), "moves"))
+        now = stored(_contracted(now, rounds[-1]), "links")
+    if not rounds:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    seen = None
-    while True:
-        now = stored(_small_star(_large_star(now)), "star")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    found = rounds[0]
+    for moves in rounds[1:]:
+        later = moves.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        found = found.join(later, "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+    found = stored(found, "met")
+    least = found.groupBy("to").agg(F.min("node").alias("root"))
+    return found.join(least, "to").select("node", "root")

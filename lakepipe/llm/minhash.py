@@ -6,9 +6,9 @@ each of ``BINS`` bins and keeps their low bits, packed into longs. Counting equa
 counts, corrected for chance agreement, estimates the similarity and drops poor candidates; every link is then confirmed
 on the full shingle sets.
 
-Documents with equal sets are one class and enter once. In each of a few rounds every class tries the most alike of the
-centres of its buckets, one link per class, which settles nearly everything. At last the classes that share a bucket but
-are still in different components are compared pair by pair. A link is lost only if no band meets, or if the estimate is
+Documents with equal sets are one class and enter once. At first every class tries the most alike of the centres of its
+buckets, a few links per class, which settles nearly everything. Then the classes that share a bucket but are still in
+different components are compared pair by pair. A link is lost only if no band meets, or if the estimate is
 more than ``SLACK`` too low: for a pair right at the threshold a chance of about 1e-4, far less above it.
 """
 
@@ -32,8 +32,8 @@ BINS = 512
 #: A candidate goes on if its estimate is not further than this below the threshold: over four standard errors for the
 #: largest sets, more for sets that leave bins empty.
 SLACK = 0.07
-#: Rounds in which each class tries one other class.
-ROUNDS = 3
+#: Centres of a bucket; each class tries as many others at first.
+CENTRES = 3
 _SEED = 20_011
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,11 +148,9 @@ def estimate(left: Column, right: Column) -> Column:
     return (equal - (both - equal) / F.lit(2.0**BITS - 1)) / either
 
 
-def class_texts(
-    nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str
-) -> DataFrame:
+def class_texts(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, _text) of the given classes, the text of one document of each."""
-    chosen = classes.select("node", "_id", "_h").join(nodes, "node")
+    chosen = classes.select("node", "_id", "_h")
     texts = join_rows(keyed(docs, id_col, text_col), chosen).select("node", "_text").dropDuplicates(["node"])
     return stored(texts, "texts")
 
@@ -191,7 +189,8 @@ def _sides(nodes: DataFrame, side: str, *more: str) -> DataFrame:
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    known = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    """The pairs that are not in ``tried``, whose pairs have the lesser side first."""
+    known = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
     return pairs.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
 
 
@@ -202,31 +201,26 @@ def _shared_entries(classes: DataFrame) -> DataFrame:
     return stored(entries.join(several, "key"), "buckets")
 
 
-def _best_centres(
-    shared: DataFrame, placed: DataFrame, tried: DataFrame, percent: int, turn: int
-) -> DataFrame:
-    """(a, b): for each class b the most alike centre a of its buckets that is in another component.
+def _best_centres(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each class b and each of ``CENTRES`` orders the most alike of the centres a of its buckets.
 
-    The centre of a bucket is one of its classes by a hash that changes with ``turn``. It comes from an aggregate with a
-    map side and is joined back, so that Spark's skew join can cut up a bucket of very many classes.
+    The centres of a bucket are its first classes in the order of as many hashes. They come from an aggregate with a map
+    side and are joined back, so that Spark's skew join can cut up a bucket of very many classes.
     """
-    entries = shared.select("key", "node").join(placed.select("node", "root"), "node")
-    centres = (
-        entries.groupBy("key")
-        .agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("by"), F.col("node"), F.col("root"))).alias("c"),
-             F.min("root").alias("lo"), F.max("root").alias("hi"))
-        .where("lo != hi")
-        .select("key", F.col("c.node").alias("a"), F.col("c.root").alias("root_a"))
-    )
-    pairs = entries.join(centres, "key").where("root != root_a").select("a", F.col("node").alias("b")).distinct()
+    entries = shared.select("key", F.col("node").alias("b"))
+    first = [F.min(F.struct(F.xxhash64(F.lit(turn), "b").alias("by"), F.col("b").alias("a"))) for turn in range(CENTRES)]
+    centres = entries.groupBy("key").agg(F.array(*first).alias("first"))
+    centres = centres.select("key", F.posexplode("first").alias("turn", "first")).select("key", "turn", "first.a")
+    pairs = entries.join(centres, "key").where("a != b").select("turn", "a", "b").distinct()
     scored = (
-        _untried(pairs, tried)
-        .join(_sides(placed, "a"), "a")
-        .join(_sides(placed, "b"), "b")
+        pairs.join(_sides(classes, "a"), "a")
+        .join(_sides(classes, "b"), "b")
         .where(_alike(percent))
         .withColumn("score", estimate(F.col("packed_a"), F.col("packed_b")))
     )
-    return scored.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")).select("a", "b")
+    best = scored.groupBy("b", "turn").agg(F.max_by("a", F.struct("score", "a")).alias("a"))
+    # a pair may be the best of several orders and of both its classes
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _apart(shared: DataFrame, placed: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
@@ -266,40 +260,34 @@ def near_groups(
     """
     signed = stored(signatures(docs, size, bands, rows, id_col, text_col), "signed")
     filled = signed.where("digest IS NOT NULL")
-    # one class per distinct set, represented by its least row
-    least = filled.groupBy("digest").agg(
-        F.min(F.struct("_id", "_h")).alias("first"), F.min("_id").alias("least_id"), F.count("*").alias("members")
-    )
+    # one class per distinct set, represented by its least row; what is made of the set is the same for all its rows
     classes = stored(
-        filled.join(least, "digest")
-        .where(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_h") == F.col("first._h")))
-        .dropDuplicates(["digest"])
-        .select(F.col("digest").alias("node"), "_id", "_h", F.col("n_shingles").alias("n"), "keys", "packed", "least_id"),
+        filled.groupBy(F.col("digest").alias("node"))
+        .agg(F.min(F.struct("_id", "_h")).alias("least"), F.min("_id").alias("least_id"),
+             F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("packed").alias("packed"))
+        .select("node", "least._id", "least._h", "n", "keys", "packed", "least_id"),
         "classes",
-    )
-    placed = classes.withColumn("root", F.col("node"))
-    tried = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    links, roots = tried, classes.select("node", F.col("node").alias("root")).limit(0)
+    )
     shared = _shared_entries(classes)
-    texts = class_texts(shared.select("node").distinct(), classes, docs, id_col, text_col)
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            found = _best_centres(shared, placed, tried, percent, turn)
-        else:
-            found = _apart(shared, placed, tried, percent)
-        found = stored(found, "pairs")
-        if found.isEmpty():
-            continue
-        tried = tried.unionByName(found)
-        links = stored(links.unionByName(confirm(found, texts, size, percent)), "links")
+    near = stored(classes.join(shared.select("node").distinct(), "node", "left_semi"), "near")
+    texts = class_texts(near, docs, id_col, text_col)
+    tried = stored(_best_centres(shared, near, percent), "pairs")
+    roots = stored(connected_components(confirm(tried, texts, size, percent)), "roots")
+    # once for each class, as several joins read it
+    placed = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = stored(_apart(shared, stored(placed, "placed"), tried, percent), "pairs")
+    if not found.isEmpty():
+        links = confirm(found, texts, size, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = stored(connected_components(links), "roots")
-        placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    named = classes.join(roots, "node", "left").select(
-        F.col("node").alias("digest"), "least_id", F.coalesce("root", "node").alias("root")
+    members = roots.join(classes.select("node", "least_id"), "node")
+    leaders = members.groupBy("root").agg(F.min("least_id").alias("leader"))
+    linked = roots.join(leaders, "root")
+    answer = classes.select("node", "least_id").join(linked, "node", "left").select(
+        F.col("node").alias("digest"),
+        F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("leader")).alias("component_id"),
+        F.hex(F.coalesce("root", "node")).alias("root"),
     )
-    leaders = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    answer = named.join(leaders, "root").select("digest", "component_id", F.hex("root").alias("root"))
     kept = F.col("_id").eqNullSafe(F.col("component_id"))
     return (
         signed.select("_id", "_h", "n_shingles", "digest")
@@ -317,7 +305,7 @@ def drop_near_copies(
     Documents without words stay. A row repeated with the same id and text stays repeated.
     """
     found = near_groups(docs, size, percent, id_col=id_col, text_col=text_col).where("root IS NOT NULL")
-    found = found.select(F.col(id_col).alias("_id"), "_h", "root")
+    found = stored(found.select(F.col(id_col).alias("_id"), "_h", "root"), "grouped")
     name = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_h"))
     first = found.groupBy("root").agg(F.min(name).alias("first"))
     gone = found.join(first, "root").where(name != F.col("first")).select("_id", "_h").distinct()

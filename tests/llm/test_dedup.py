@@ -131,6 +131,34 @@ def test_components_of_paths_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_components_of_a_long_chain_and_a_star_in_few_jobs(spark):
+    # falling and rising stretches, and a hub above its leaves
+    links = [(i, i + 1) for i in range(400)] + [(5000, i) for i in range(1000, 1300)]
+    df = spark.createDataFrame(links, "a long, b long")
+    found = {}
+    assert jobs_of(spark, "star", lambda: found.update(connected_components(df.where("a = 5000")).collect())) < 30
+    assert set(found.values()) == {1000} and len(found) == 301
+    chain = dict(connected_components(df).collect())
+    assert {chain[i] for i in range(401)} == {0} and chain[5000] == 1000
+
+
+def test_near_groups_take_few_jobs_and_place_each_row_once(spark, make):
+    docs = make(near_table())
+    grouped = []
+    assert jobs_of(spark, "near", lambda: grouped.append(minhash.near_groups(docs, 3, 85))) < 100
+    plan = grouped[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 2
+
+
 def test_decontamination_against_sql(spark, make, tmp_path):
     rng = random.Random(4)
     items = {1: prose(40, rng), 2: prose(13, rng), 3: "tiny item", 4: "Solo", 5: None, 6: "", 7: prose(12, rng)}
