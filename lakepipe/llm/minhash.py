@@ -32,6 +32,8 @@ BINS = 512
 #: A candidate goes on if its estimate is not further than this below the threshold: over four standard errors for the
 #: largest sets, more for sets that leave bins empty.
 SLACK = 0.07
+#: Largest set whose hashes go with a class into the last comparison, in 32 bits each.
+GRAMS = 1024
 #: Centres of a bucket; each class tries as many others at first.
 CENTRES = 3
 _SEED = 20_011
@@ -148,11 +150,24 @@ def estimate(left: Column, right: Column) -> Column:
     return (equal - (both - equal) / F.lit(2.0**BITS - 1)) / either
 
 
-def class_texts(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, _text) of the given classes, the text of one document of each."""
+def class_texts(
+    classes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str
+) -> DataFrame:
+    """(node, _text, grams) of the given classes, the text of one document of each.
+
+    ``grams`` are the distinct upper halves of the set's hashes, null for a set of over ``GRAMS``.
+    """
     chosen = classes.select("node", "_id", "_h")
     texts = join_rows(keyed(docs, id_col, text_col), chosen).select("node", "_text").dropDuplicates(["node"])
-    return stored(texts, "texts")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingle_set(text.as_py(), size) for text in batch.column("_text"))
+            grams = [np.unique(s >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(s) <= GRAMS else None for s in sets]
+            columns = [batch.column("node"), batch.column("_text"), pa.array(grams, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "_text", "grams"])
+
+    return stored(texts.mapInArrow(add, "node binary, _text string, grams array<int>"), "texts")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -182,6 +197,17 @@ def _alike(percent: int) -> Column:
     return (100 * small >= percent * large) & near
 
 
+def _enough(percent: int) -> Column:
+    """Whether the halves of hashes that two sets share allow the threshold; true where a set is too large to tell.
+
+    Halves that fell together in a set count as shared, so that no link is lost.
+    """
+    shared = F.size(F.array_intersect("grams_a", "grams_b")) + F.col("n_a") - F.size("grams_a")
+    told = F.col("grams_a").isNotNull() & F.col("grams_b").isNotNull()
+    # as for 100 * shared >= percent * union, with the shared ones worked out once
+    return ~told | ((100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b")))
+
+
 def _sides(nodes: DataFrame, side: str, *more: str) -> DataFrame:
     return nodes.select(
         F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("packed", "n", *more))
@@ -226,20 +252,23 @@ def _best_centres(shared: DataFrame, classes: DataFrame, percent: int) -> DataFr
 def _apart(shared: DataFrame, placed: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of classes that share a bucket, are in different components, look alike and were not tried.
 
-    A pair comes from the first band that both share only.
+    A class may look like very many of a large group and be linked with none: pairs of which the sets' hashes tell that are
+    left out where they are met, so that the pairs do not grow with the square of the group. A pair comes from the first
+    band that both share only.
     """
     entries = shared.join(placed.select("node", "root"), "node")
     mixed = entries.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
     spots = entries.join(mixed.select("key"), "key").select("key", "band", "node")
     sides = placed.withColumn("short", F.transform("keys", lambda k: k.bitwiseAND(F.lit(2**31 - 1)).cast("int")))
-    side = spots.join(sides.select("node", "root", "packed", "n", "short"), "node")
+    side = spots.join(sides.select("node", "root", "packed", "n", "short", "grams"), "node")
     # both sides have the same columns, so that they share one shuffle
-    names = ["node", "key", "band", "root", "packed", "n", "short"]
+    names = ["node", "key", "band", "root", "packed", "n", "short", "grams"]
     left, right = (side.select(*[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
     left, right = left.withColumnRenamed("node_a", "a"), right.withColumnRenamed("node_b", "b")
     earlier = [F.slice(f"short_{x}", 1, F.col("band_a")) for x in "ab"]
     first = ~F.exists(F.zip_with(*earlier, lambda x, y: x == y), lambda same: same)
-    on = (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & _alike(percent) & first
+    on = (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b"))
+    on = on & _alike(percent) & first & _enough(percent)
     return _untried(left.join(right, on).select("a", "b").distinct(), tried)
 
 
@@ -270,11 +299,11 @@ def near_groups(
     )
     shared = _shared_entries(classes)
     near = stored(classes.join(shared.select("node").distinct(), "node", "left_semi"), "near")
-    texts = class_texts(near, docs, id_col, text_col)
+    texts = class_texts(near, docs, size, id_col, text_col)
     tried = stored(_best_centres(shared, near, percent), "pairs")
     roots = stored(connected_components(confirm(tried, texts, size, percent)), "roots")
     # once for each class, as several joins read it
-    placed = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.drop("_text"), "node")
     found = stored(_apart(shared, stored(placed, "placed"), tried, percent), "pairs")
     if not found.isEmpty():
         links = confirm(found, texts, size, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
