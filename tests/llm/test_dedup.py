@@ -159,6 +159,27 @@ def test_near_groups_take_few_jobs_and_place_each_row_once(spark, make):
     assert plan.count("LeftOuter") == 2
 
 
+def test_pairs_that_look_alike_but_are_not_linked_are_left_out_early(make, monkeypatch):
+    rng = random.Random(12)
+    base = prose(150, rng)
+    texts = {i: changed(base, 3, rng) for i in range(60)}
+    given = []
+    plain = minhash.confirm
+
+    def confirm(pairs, *more):
+        given.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(minhash, "confirm", confirm)
+    found = minhash.near_groups(make(texts), 3, 85).drop("_h", "root")
+    right = components(texts, 3, 85)
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == right
+    assert sum(given) < 3 * len(texts) + len(texts)
+    monkeypatch.setattr(minhash, "GRAMS", 10)
+    found = minhash.near_groups(make(texts), 3, 85).drop("_h", "root")
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == right
+
+
 def test_decontamination_against_sql(spark, make, tmp_path):
     rng = random.Random(4)
     items = {1: prose(40, rng), 2: prose(13, rng), 3: "tiny item", 4: "Solo", 5: None, 6: "", 7: prose(12, rng)}
