@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from check_oracle import compare, connect
@@ -385,3 +386,51 @@ def test_pieces_cross_places_in_long_runs(make):
     found = {r.doc_id: r for r in pieces.encode(make(texts), vocabulary).collect()}
     assert {i: list(r.ids) for i, r in found.items()} == {i: best_path(t, whole, table) for i, t in texts.items()}
     assert all(r.round_trip for r in found.values())
+
+
+def test_pieces_travel_as_numbers_of_words(make, monkeypatch):
+    """Several buckets of words and chunks, against a pass over each text; chunks are numbers, not text."""
+    rng = random.Random(8)
+    names = ["the", "tion", "q\0z", "  two", "line\n\nend", "漢字", "\0", "x" * 70, "naïve,", "²²", "Größe"]
+    texts = {i: " ".join(rng.choice(names) for _ in range(rng.randint(0, 30))) for i in range(60)} | {60: None, 61: " ", 62: "a "}
+    rows = [*texts.items(), (3, texts[3]), (None, texts[4]), (None, None)]
+    vocabulary = pieces.load_vocabulary()
+    table = {p: (i, s) for p, i, s in vocabulary.pieces}
+    monkeypatch.setattr(pieces, "TEXT_PER_LATTICE", 1500)
+    monkeypatch.setattr(pieces, "SLICE_ROWS", 7)
+    found = pieces.encode(make(rows), vocabulary, chunk_bytes=2500).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert all(r.round_trip for r in found)
+    assert sorted(((r.doc_id, list(r.ids)) for r in found), key=key) == sorted(
+        ((i, best_path(t, vocabulary, table)) for i, t in rows), key=key
+    )
+
+    given = pa.array([*texts.values(), prose(20_000, rng)], pa.string())
+    order, counts, whole, numbers, words = pieces._numbered(given, re.compile(vocabulary.pattern).findall)
+    assert whole.all() and sorted(order) == list(range(len(given)))
+    ends = np.cumsum(counts).astype(int)
+    spelled = ["".join(words.take(pa.array(numbers[a:b])).to_pylist()) for a, b in zip(ends - counts.astype(int), ends)]
+    assert spelled == [f" {t}" if t else "" for t in given.take(pa.array(order)).to_pylist()]
+    blocks = pieces._closed_words(words), pieces._shrunk(numbers)
+    assert pieces._opened_words(blocks[0]).equals(words) and (pieces._grown(blocks[1]) == numbers).all()
+    assert sum(map(len, blocks)) < 0.5 * sum(len((t or "").encode()) for t in given.to_pylist())
+    assert (pieces._grown(pieces._shrunk(np.array([7, -1114112]))) == [7, -1114112]).all()
+
+
+def test_pieces_best_paths_of_many_words_at_once():
+    """The edges of words in any order, with ties, against the pass over one word."""
+    rng = random.Random(9)
+    table = {"a": (0, -2.0), "b": (1, -3.0), "ab": (2, -5.0), "ba": (3, -4.0), "aba": (4, -7.0), "bb": (5, -6.0)}
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(200)})
+    edges = [
+        (w, a, b, table[word[a:b]][0] if word[a:b] in table else -ord(word[a]) - 1)
+        for w, word in enumerate(words)
+        for a in range(len(word))
+        for b in range(a + 1, min(a + 3, len(word)) + 1)
+        if word[a:b] in table or b == a + 1
+    ]
+    rng.shuffle(edges)
+    scores = np.array([s for _, s in sorted(table.values())])
+    ids, bounds = pieces.best_paths(len(words), *np.array(edges).T, scores)
+    found = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert found == [pieces.segment_long(w, table, 3) for w in words]
