@@ -404,6 +404,8 @@ def test_pieces_travel_as_numbers_of_words(make, monkeypatch):
     assert sorted(((r.doc_id, list(r.ids)) for r in found), key=key) == sorted(
         ((i, best_path(t, vocabulary, table)) for i, t in rows), key=key
     )
+    alone = pieces.encode(make([(1, None), (None, ""), (1, None)]), vocabulary).collect()
+    assert [(list(r.ids), r.n_pieces, r.round_trip) for r in alone] == [([], 0, True)] * 3
 
     given = pa.array([*texts.values(), prose(20_000, rng)], pa.string())
     order, counts, whole, numbers, words = pieces._numbered(given, re.compile(vocabulary.pattern).findall)
